@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm import bpe
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.fingerprints import edited_fingerprints
 
@@ -20,9 +22,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES = {
