@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, packing, quality
+from quarry.llm import bpe, packing, quality, warc
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.fingerprints import edited_fingerprints
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -38,6 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_warc": op3_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
