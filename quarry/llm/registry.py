@@ -9,6 +9,8 @@ from quarry.llm import bpe, packing, quality, warc
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.fingerprints import edited_fingerprints
 
+from quarry.llm.ngram_join import ngram_join
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +24,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -43,6 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_warc": op3_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,

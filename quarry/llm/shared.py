@@ -42,3 +42,24 @@ def total_chars(docs: DataFrame, text_col: str) -> tuple[int, int]:
     """Rows and characters of a table, in one pass."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
     return int(row["n"]), int(row["chars"])
+
+
+#: Bits in one row of Spark's bitmap functions.
+BITMAP_ROW_BITS = 32_768
+
+
+def maybe_among(df: DataFrame, keys: DataFrame, column: str, bitmap_rows: int = 2_048) -> DataFrame:
+    """Rows of df whose long `column` may occur among that of `keys`: all that do, and a few more.
+
+    Narrows a large table before a join without shuffling it. The broadcast bitmap takes `bitmap_rows` x 4 KB
+    at most, 8 MB by default, whatever the number of keys; where it fills up, fewer rows are spared.
+    """
+
+    def slot():
+        return F.pmod(F.xxhash64(column), F.lit(bitmap_rows * BITMAP_ROW_BITS))
+
+    bitmap = keys.groupBy(F.bitmap_bucket_number(slot()).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("__bits"))
+    place = F.bitmap_bit_position(slot()).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("__bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(bitmap), "__bucket")
+    return marked.where(F.getbit(byte, place % 8) == 1).drop("__bucket", "__bits")
