@@ -9,6 +9,7 @@ from quarry.llm import bpe, packing, quality, warc
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.fingerprints import edited_fingerprints
 
+from quarry.llm.lm_score import lm_scores
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.substring_dedup import repeated_paragraphs
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_full_context", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op1_lm_score": op1_lm_score,
     "op2_fingerprints": op2_fingerprints,
     "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
@@ -70,6 +77,31 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lm_score": """
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT doc_id, len(ws) AS n_words, i, ws[i] AS a, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS c
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+        n AS (SELECT count(*) AS total FROM t),
+        c1 AS (SELECT a, count(*) AS k FROM t GROUP BY a), d1 AS (SELECT doc_id, a, count(*) AS k FROM t GROUP BY doc_id, a),
+        c2 AS (SELECT b, a, count(*) AS k FROM t WHERE i > 1 GROUP BY b, a), d2 AS (SELECT doc_id, b, a, count(*) AS k FROM t WHERE i > 1 GROUP BY doc_id, b, a),
+        c3 AS (SELECT c, b, a, count(*) AS k FROM t WHERE i > 2 GROUP BY c, b, a), d3 AS (SELECT doc_id, c, b, a, count(*) AS k FROM t WHERE i > 2 GROUP BY doc_id, c, b, a),
+        s AS (SELECT t.doc_id, t.n_words, t.i, n.total - t.n_words AS rest,
+                     c1.k - d1.k AS k1, pc1.k - pd1.k AS p1, c2.k - d2.k AS k2, pc2.k - pd2.k AS p2, c3.k - d3.k AS k3
+              FROM t CROSS JOIN n
+              JOIN c1 ON c1.a = t.a JOIN d1 ON d1.doc_id = t.doc_id AND d1.a = t.a
+              LEFT JOIN c1 pc1 ON pc1.a = t.b LEFT JOIN d1 pd1 ON pd1.doc_id = t.doc_id AND pd1.a = t.b
+              LEFT JOIN c2 ON c2.b = t.b AND c2.a = t.a LEFT JOIN d2 ON d2.doc_id = t.doc_id AND d2.b = t.b AND d2.a = t.a
+              LEFT JOIN c2 pc2 ON pc2.b = t.c AND pc2.a = t.b LEFT JOIN d2 pd2 ON pd2.doc_id = t.doc_id AND pd2.b = t.c AND pd2.a = t.b
+              LEFT JOIN c3 ON c3.c = t.c AND c3.b = t.b AND c3.a = t.a LEFT JOIN d3 ON d3.doc_id = t.doc_id AND d3.c = t.c AND d3.b = t.b AND d3.a = t.a),
+        g AS (SELECT doc_id, n_words,
+                     CASE WHEN k3 > 0 THEN ln(k3 / p2)
+                          WHEN k2 > 0 THEN ln(k2 / p1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                          ELSE ln(greatest(k1, 1) / greatest(rest, 1)) + ln(0.4) * least(i - 1, 2) END AS x,
+                     CASE least(i, 3) WHEN 3 THEN k3 > 0 WHEN 2 THEN k2 > 0 ELSE k1 > 0 END AS whole
+              FROM s)
+        SELECT doc_id, coalesce(g.n_words, 0) AS n_words, count(*) FILTER (whole) AS n_full_context,
+               round(coalesce(sum(x), 0), 3) AS log_score, round(sum(x) / g.n_words, 4) AS mean_log_score
+        FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id, g.n_words""",
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
