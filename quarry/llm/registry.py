@@ -12,6 +12,7 @@ from quarry.llm.fingerprints import edited_fingerprints
 from quarry.llm.lm_score import lm_scores
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.substring_dedup import repeated_paragraphs
+from quarry.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("kept_id", "kept_doc_id")
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_fingerprints": op2_fingerprints,
     "op3_warc": op3_warc,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
