@@ -8,9 +8,8 @@ range needs padding.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +17,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from quarry.llm.shared import partitions_for, written
 from quarry.llm.words import mixed
@@ -32,55 +31,34 @@ LENGTH = 2048
 #: Of the hashed vectors, of the space of the curve, and bits for each of its dimensions.
 HASHED, DIMS, BITS = 4096, 3, 16
 BATCH_ROWS = 256
+#: Ids of finished pieces that a task holds before it hands them on.
+HELD_IDS = 500_000
 #: Sequence ids of a task start at its number times this.
 SEQUENCES_A_TASK = 1 << 36
 
 
-@lru_cache(2)
-def tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are then ordinary text
-    return found
+def byte_alphabet() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Ids of texts as packed unsigned integers, with a bounded memory of what stands between blanks.
+@lru_cache(2)
+def encoding(path: str) -> tiktoken.Encoding:
+    """Encoder over the vocabulary of a byte-level tokenizers file, whose ids are in the order of its merges.
 
-    The tokenizer splits texts before its merges, and a blank that follows no other white space starts a new
-    piece. So a text is the concatenation of its blank-separated parts, each with its blank, unless a part is
-    empty or starts with white space; such texts are encoded in one go.
+    It gives the ids of the tokenizers library (without special tokens) at some four times its speed.
     """
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    of, special = byte_alphabet(), {x["content"] for x in found.get("added_tokens", ())}
+    ranks = {bytes(map(of.__getitem__, token)): i for token, i in found["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    limit = 300_000
-
-    def __init__(self, path: str):
-        self.tokenizer, self.parts = tokenizer(path), {}
-        self.kind = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
-        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").split(" ") for t in texts]
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        new = list(set().union(*(set(parts[1:]).difference(self.parts) for parts in split)))
-        self.parts.update(zip(new, self.plain([" " + x for x in new]), strict=True))
-        self.parts.update((x, None) for x in new if not x or x[0].isspace())
-        heads = self.plain([parts[0] for parts in split])
-        out = []
-        for text, head, parts in zip(texts, heads, split, strict=True):
-            rest = list(map(self.parts.__getitem__, parts[1:]))
-            raw = self.plain([text])[0] if None in rest else head + b"".join(rest)
-            out.append(np.frombuffer(raw, self.dtype))
-        return out
-
-
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def id_type(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 65_536 else "<u4")
 
 
 @lru_cache(1)
@@ -128,15 +106,14 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """`id, curve_key, n_ids, ids` of each row: ids with the end id, packed as the narrowest unsigned integers that hold the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        vocabulary = encode.tokenizer.get_vocab_size()
+        encode, size = encoding(path).encode_ordinary, encoding(path).n_vocab
+        dtype = id_type(size)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
-                ids = encode(batch.column(1).to_pylist())
-                keys = hilbert_keys(points(ids, vocabulary))
-                raw = [np.append(x, np.array(end_id, encode.dtype)).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(raw, pa.binary())], [id_col, "curve_key", "n_ids", "ids"])
+                ids = [np.array([*encode(t), end_id], dtype) for t in batch.column(1).to_pylist()]
+                keys = hilbert_keys(points([x[:-1] for x in ids], size))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [id_col, "curve_key", "n_ids", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, curve_key long, n_ids long, ids binary")
@@ -145,8 +122,9 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, ids_each: int = 4_000_000) -> DataFrame:
     """A row for each piece of a document in a sequence.
 
-    Returns `id, start, length, ids, doc_tokens, sequence_id, offset, curve_key`: `ids` (array<int>) begin at
-    `start` among the document's ids and lie at `offset` in their sequence. Each id lies in exactly one piece.
+    Returns `id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset, curve_key`: `ids` (array<int>)
+    begin at `start` among the document's ids and lie at `offset` in their sequence; ids_crc32 is that of the
+    ids as little-endian unsigned 32-bit integers. Each id lies in exactly one piece.
     A null or empty text is one piece, the end id. Rows that repeat are packed as often as they come.
     """
     spark = docs.sparkSession
@@ -155,28 +133,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     sorted_ranges = table.repartitionByRange(partitions_for(spark, total, ids_each), "curve_key", id_col).sortWithinPartitions("curve_key", id_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dtype = encoder(path).dtype
         at = TaskContext.get().partitionId() * SEQUENCES_A_TASK * length
+        names, rows, held = [id_col, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"], [], 0
         for frame in frames:
-            rows = []
             for doc, key, n, raw in zip(frame[id_col], frame["curve_key"], frame["n_ids"], frame["ids"], strict=True):
-                ids, start = np.frombuffer(raw, dtype).astype("<i4"), 0
+                ids, start = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<i4"), 0
                 while start < n:
                     m = min(n - start, length - at % length)
-                    rows.append((doc, start, m, ids[start : start + m], n, at // length, at % length, key))
+                    part = ids[start : start + m]
+                    rows.append((doc, start, m, part, zlib.crc32(part.tobytes()), n, at // length, at % length, key))
                     start, at = start + m, at + m
-            yield pd.DataFrame(rows, columns=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
+                held += n
+                if held > HELD_IDS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return sorted_ranges.mapInPandas(run, f"`{id_col}` {kind}, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long, curve_key long")
-
-
-def with_crc32(pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Adds ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("long")
-    def crc(column: pa.Array) -> pa.Array:
-        flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-        return pa.array([zlib.crc32(part.tobytes()) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.int64())
-
-    return pieces.withColumn("ids_crc32", crc(F.col(ids_col)))
+    return sorted_ranges.mapInPandas(run, f"`{id_col}` {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
