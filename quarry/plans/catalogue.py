@@ -1,4 +1,9 @@
 """Registered queries of the audit operators, each with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from quarry.plans import finding_queries, graph_queries, scan_queries, usage_queries
+
+PARTS = (scan_queries, usage_queries, finding_queries, graph_queries)
+QUERIES = {name: run for part in PARTS for name, run in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
