@@ -69,7 +69,7 @@ ACTIONS = """
     FROM {events}"""
 
 RULES = """
-    SELECT p_partkey AS rule_id, p_name AS name, p_type AS category, p_size % 3 <> 0 AS is_enabled, p_size AS priority, p_brand AS blockchain,
+    SELECT p_partkey AS rule_id, p_name AS name, p_type AS category, p_size % 3 <> 0 AS is_enabled, p_size AS priority, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS blockchain,
            CASE WHEN p_size % 4 = 0 THEN NULL ELSE concat('u', p_partkey % 9) END AS project_id, concat('o', p_partkey % 5) AS owner_id
     FROM {part}"""
 

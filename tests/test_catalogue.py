@@ -35,7 +35,7 @@ def test_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
-    assert got, "no rows"
+    assert got or name in ORACLES, "no rows"
     if name in ORACLES:
         cur = con.execute(ORACLES[name])
         names = [d[0] for d in cur.description]
