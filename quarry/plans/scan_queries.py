@@ -1,2 +1,215 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries on text: `documents` as files, code written out from `part` and `lineitem`, and `embeddings`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.catalogue_data import BUILT_IN
+from quarry.operators import code, scan
+from quarry.operators.scan import Pattern
+from quarry.plans.stand_ins import oracle, table, view
+
+SNIPPETS = """
+    SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS doc_id,
+           replace(concat(CASE l_linenumber % 4 WHEN 0 THEN 'public fun set_price(amount: u64, o: &mut Pool) {~' WHEN 1 THEN 'fun repay<T>(c: Coin<T>, r: Receipt) {~' WHEN 2 THEN 'public entry fun borrow(cap: &AdminCap) {~' ELSE 'fun get() {~' END,
+               CASE l_partkey % 5 WHEN 0 THEN '  let x = amount * price;~' WHEN 1 THEN '  let y = value / rate;~' WHEN 2 THEN '  transfer::public_transfer(AdminCap, to);~' WHEN 3 THEN '  clock::timestamp_ms(c); bcs::from_bytes(b);~' ELSE '  oracle::get_price(p);~' END,
+               CASE l_suppkey % 3 WHEN 0 THEN '  flash_loan(receipt);~' WHEN 1 THEN '  balance::join(a, b);~' ELSE '' END, '}~'), '~', chr(10)) AS text,
+           concat(CASE WHEN l_linenumber % 2 = 0 THEN 'oracle' ELSE 'sui' END) AS domain_hint
+    FROM {lineitem}"""
+SOURCES = """
+    SELECT p_partkey AS id, p_size AS size, replace(concat('module 0x1::m', p_partkey, ' {~    use 0x2::coin::{Coin, mint as mint_coin};~    use 0x2::clock;~    const LIMIT: u64 = ', p_size, ' ;~',
+           '    struct Item', p_partkey, ' has key, store { id: UID, amount: u64 }~', CASE WHEN p_size % 3 = 0 THEN '    struct FlashReceipt { pool_id: ID }~' ELSE '' END,
+           '    public fun get_', p_size, '(item: &Item, amount: u64): u64 {~        // note~        let x = amount * item.price / ', p_size, ';~        coin::join(x, "Pool { Full");~        helper(x)~    }~',
+           '    fun helper(cap: &AdminCap) {~        0x2::transfer::public_transfer(cap);~    }~', CASE WHEN p_size % 2 = 0 THEN '    #[test]~    public entry fun check_all(c: Coin<T>) { abort 0 }~' ELSE '' END, '}~'), '~', chr(10)) AS content
+    FROM {part}"""
+#: Lines before the first function of a source: 5, and one if it has a receipt.
+LEAD = "(5 + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END)"
+SQL_SOURCES = f"sources AS ({SOURCES.replace('{part}', 'part')})"
+SQL_SNIPPETS = f"snippets AS ({SNIPPETS.replace('{lineitem}', 'lineitem')})"
+#: Word patterns for prose: ASCII only, so that both regex dialects agree.
+PROSE = [
+    Pattern("W1", "Common words", "low", ("en",), ("the ", " of ", "and"), "the [a-z]+ of"),
+    Pattern("W2", "Licensed text", "high", ("law",), ("license", "copyright"), "licen[cs]e[d]? under"),
+    Pattern("W3", "Insult", "critical", ("tone",), ("stupid", "worthless", "pathetic"), "(stupid|pathetic)"),
+    Pattern("W4", "Common words", "medium", ("en",), ("was ", "with"), "with [a-z]+ing"),
+    Pattern("W5", "Address", "advisory", ("pii",), ("@", "mail"), "[a-z0-9.]+@[a-z0-9.]+"),
+]
+
+
+def escaped(sql, name):
+    """Braces of the written code are doubled for the formatter of spark.sql."""
+    return sql.replace("{", "{{").replace("}", "}}").replace(f"{{{{{name}}}}}", f"{{{name}}}")
+
+
+def snippets(s, d):
+    return s.sql(escaped(SNIPPETS, "lineitem"), lineitem=table(s, d, "lineitem"))
+
+
+def sources(s, d):
+    return s.sql(escaped(SOURCES, "part"), part=table(s, d, "part"))
+
+
+def docs(s, d):
+    return table(s, d, "documents").select("doc_id", "text")
+
+
+def quoted(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql_matches(patterns, rows, tags=False):
+    parts = []
+    for i, p in enumerate(patterns):
+        cues = "list_filter([" + ", ".join(map(quoted, p.cues)) + "], lambda c: contains(lower(text), lower(c)))"
+        more = f" + CASE WHEN list_contains([{', '.join(map(quoted, p.tags))}], domain_hint) THEN 0.2 ELSE 0 END" if tags else ""
+        score = f"round(least(1.0, len({cues}) * 0.15 + CASE WHEN regexp_matches(text, {quoted('(?i)' + p.regex)}) THEN 0.3 ELSE 0 END{more}), 6)::DOUBLE"
+        parts.append(f"SELECT doc_id, {quoted(p.pattern_id)} AS pattern_id, {i} AS seq, {quoted(p.title)} AS title, {quoted(p.severity)} AS severity, array_to_string({cues}[1:5], '|') AS cues, {score} AS confidence FROM {rows} WHERE len({cues}) > 0 AND {score} >= 0.2")
+    return " UNION ALL ".join(parts)
+
+
+def flat(matches):
+    return matches.select("doc_id", "pattern_id", "seq", "title", "severity", F.array_join("matched_cues", "|").alias("cues"), "confidence")
+
+
+def prose(s, d):
+    return scan.match_patterns(docs(s, d), PROSE)
+
+
+def once(s, d):
+    return scan.dedupe_by_title(prose(s, d).withColumn("source_rank", F.lit(0)))
+
+
+def queries_of(s, d):
+    return table(s, d, "embeddings").where("vec_id % 20 = 0")
+
+
+def benchmark_words(s, d):
+    words = table(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.explode(F.split(F.lower("text"), " ")).alias("cue"))
+    return words.where(F.length("cue") >= 9).distinct()
+
+
+def lines_of(s, d):
+    return scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content"))
+
+
+def functions_of(s, d):
+    f = code.function_spans(sources(s, d).select("id", "size", "content"), ["id", "size"])
+    p = code.extract_functions(sources(s, d), ["id"]).select("id", F.col("name").alias("function"), "params", "visibility")
+    return f.join(p, ["id", "function"])
+
+
+def files(s, d):
+    return view(s, d, "files")
+
+
+QUERIES = {
+    "scan_report": lambda s, d: scan.scan_report(docs(s, d), PROSE),
+    "k1_match_patterns": lambda s, d: flat(scan.match_patterns(snippets(s, d), BUILT_IN)),
+    "k1_match_patterns_domain": lambda s, d: flat(scan.match_patterns(snippets(s, d).withColumn("hint", F.array("domain_hint")), BUILT_IN, domain="hint")),
+    "k1_match_prose": lambda s, d: flat(prose(s, d)),
+    "k3_dedupe_by_title": lambda s, d: flat(once(s, d)),
+    "k4_scan_risk_score": lambda s, d: scan.scan_risk_score(once(s, d)),
+    "k5_scan_summary": lambda s, d: scan.scan_summary(once(s, d)),
+    "k6_priority_warnings": lambda s, d: scan.priority_warnings(scan.match_patterns(snippets(s, d), BUILT_IN), 2).select("doc_id", "pattern_id", "rank"),
+    "k8_simple_cue_scan": lambda s, d: scan.simple_cue_scan(docs(s, d), benchmark_words(s, d)).groupBy("pattern_id").count(),
+    "k9_scan_risk_level": lambda s, d: scan.scan_risk_score(once(s, d)).select("doc_id", scan.scan_risk_level(F.col("risk_score")).alias("risk_level")),
+    "s2_exclude_paths": lambda s, d: scan.exclude_paths(files(s, d)).select("path"),
+    "s3_with_language": lambda s, d: scan.with_language(files(s, d)).groupBy("language").count(),
+    "p1_search_lines": lambda s, d: scan.search_lines(files(s, d), "the on"),
+    "p2_search_chunks": lambda s, d: scan.search_chunks(docs(s, d), "LICENSE").select("doc_id"),
+    "p2_search_chunks_regex": lambda s, d: scan.search_chunks(docs(s, d), "[0-9]{3}-[0-9]{4}", True).select("doc_id"),
+    "x1_explode_lines": lambda s, d: scan.explode_lines(files(s, d).select("path", "content")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")),
+    "x2_brace_depth": lambda s, d: scan.brace_depth(lines_of(s, d), ["path"]).groupBy("path").agg(F.max("depth_after").alias("deepest"), F.min_by("depth_after", -F.col("line_no")).alias("last")),
+    "x3_extract_modules": lambda s, d: code.extract_modules(sources(s, d)).select("id", "address", "module_name", "full_name"),
+    "x4_extract_functions": lambda s, d: code.extract_functions(sources(s, d), ["id"]).drop("seq"),
+    "x5_function_spans": lambda s, d: code.function_spans(sources(s, d).select("id", "content"), ["id"]).select("id", "function", "start_line", "end_line"),
+    "x6_is_test_function": lambda s, d: code.is_test_function(sources(s, d).select("id", "content"), ["id"]).select("id", "function", "is_test"),
+    "x7_extract_structs": lambda s, d: code.extract_structs(sources(s, d), ["id"]).select("id", "name", F.array_join("abilities", ",").alias("abilities"), F.array_join("fields", ";").alias("fields"), "is_hot_potato", "has_uid"),
+    "x8_extract_constants": lambda s, d: code.extract_constants(sources(s, d), ["id"]).drop("seq"),
+    "x9_extract_imports": lambda s, d: code.extract_imports(sources(s, d), ["id"]).select("id", "module_path", "item"),
+    "x10_import_aliases": lambda s, d: code.import_aliases(code.extract_imports(sources(s, d), ["id"]), ["id"]),
+    "x11_string_idents": lambda s, d: code.string_idents(sources(s, d), ["id"]).withColumn("names", F.array_join("names", ",")),
+    "x12_function_params": lambda s, d: code.function_params(code.extract_functions(sources(s, d), ["id"])).select("id", "name", F.array_join(F.transform("param_list", lambda p: F.concat_ws("/", p["name"], p["type"], p["constraint"])), ";").alias("params")),
+    "x13_linear_resources": lambda s, d: code.linear_resources(code.extract_functions(sources(s, d), ["id"])).where(F.size("linear") > 0).select("id", "name", F.array_join("linear", ",").alias("linear")),
+    "x14_risk_indicators": lambda s, d: code.risk_indicators(functions_of(s, d)).select("id", "function", "overflow", "division", "access_control", "state_modification", "external_call", "risk_score"),
+    "x16_type_tokens_topk": lambda s, d: code.type_tokens_topk(functions_of(s, d), ["id", "function"]),
+    "x17_describe_function": lambda s, d: code.describe_function(code.extract_functions(sources(s, d), ["id"])).select("id", "name", "description"),
+    "x19_snippet_around": lambda s, d: scan.snippet_around(lines_of(s, d), sources(s, d).select(F.col("id").alias("path"), (F.col("size") % 30 + 1).alias("hit")), 1),
+    "x21_strip_comments": lambda s, d: sources(s, d).select("id", F.length(scan.strip_comments(F.col("content"))).alias("chars")),
+    "x22_external_call_tokens": lambda s, d: code.external_call_tokens(functions_of(s, d)).select("id", "function", F.array_join("external", ",").alias("external")),
+    "j1_extract_calls": lambda s, d: code.extract_calls(sources(s, d).select("id", "content"), ["id"]).select("id", "function", "raw_call"),
+    "q1_content_key": lambda s, d: scan.content_keys(files(s, d)).select("path", "content_key"),
+    "q1_changed_files": lambda s, d: scan.changed_files(files(s, d), scan.content_keys(files(s, d).where("seq % 3 = 0"))).select("path"),
+    "a19_file_tree_counts": lambda s, d: scan.file_tree_counts(files(s, d)),
+    "v1_knn": lambda s, d: scan.knn(queries_of(s, d), table(s, d, "embeddings"), 5, 10.0).select("query_id", "vec_id", "distance", "confidence"),
+    "v4_keywords": lambda s, d: table(s, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(scan.keywords(F.col("text")), " ").alias("words")),
+}
+
+ONCE = "SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY seq) = 1"
+PROSE_ONCE = f"WITH m AS ({sql_matches(PROSE, 'documents')}), once AS ({ONCE})"
+WEIGHT = "CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 70 WHEN 'medium' THEN 40 WHEN 'low' THEN 20 ELSE 10 END"
+SCORE = f"CAST(least(100, floor(round(sum({WEIGHT} * confidence), 6))) AS INT)"
+LEVEL = "CASE WHEN {0} >= 80 THEN 'Critical' WHEN {0} >= 60 THEN 'High' WHEN {0} >= 40 THEN 'Medium' WHEN {0} >= 20 THEN 'Low' ELSE 'Minimal' END"
+COUNTS = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in scan.WEIGHTS)
+LINE = "concat_ws(', ', " + ", ".join(f"CASE WHEN count(*) FILTER (severity = '{x}') > 0 THEN concat(count(*) FILTER (severity = '{x}'), ' {x}') END" for x in scan.WEIGHTS) + ")"
+
+
+def of_sources(sql):
+    return f"WITH {SQL_SOURCES} {sql}"
+
+
+FUNCS = f"""fs AS (SELECT id, concat('get_', size) AS function, {LEAD} + 1 AS a, {LEAD} + 6 AS b, size FROM sources UNION ALL SELECT id, 'helper', {LEAD} + 7, {LEAD} + 9, size FROM sources
+    UNION ALL SELECT id, 'check_all', {LEAD} + 11, {LEAD} + 11, size FROM sources WHERE size % 2 = 0)"""
+
+ORACLES = {
+    "scan_report": f"{PROSE_ONCE} SELECT doc_id, {SCORE} AS risk_score, {COUNTS}, {LINE} AS summary, {LEVEL.format(SCORE)} AS risk_level FROM once GROUP BY doc_id",
+    "k1_match_patterns": f"WITH {SQL_SNIPPETS} {sql_matches(BUILT_IN, 'snippets')}",
+    "k1_match_patterns_domain": f"WITH {SQL_SNIPPETS} {sql_matches(BUILT_IN, 'snippets', True)}",
+    "k1_match_prose": sql_matches(PROSE, "documents"),
+    "k3_dedupe_by_title": f"{PROSE_ONCE} SELECT * FROM once",
+    "k4_scan_risk_score": f"{PROSE_ONCE} SELECT doc_id, {SCORE} AS risk_score FROM once GROUP BY doc_id",
+    "k5_scan_summary": f"{PROSE_ONCE} SELECT doc_id, {COUNTS}, {LINE} AS summary FROM once GROUP BY doc_id",
+    "k6_priority_warnings": f"WITH {SQL_SNIPPETS}, m AS ({sql_matches(BUILT_IN, 'snippets')}) SELECT doc_id, pattern_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS rank FROM m WHERE severity IN ('critical', 'high') QUALIFY rank <= 2",
+    "k8_simple_cue_scan": """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS cue FROM documents), b AS (SELECT DISTINCT item_id, cue FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS cue FROM benchmark) WHERE length(cue) >= 9)
+        SELECT item_id AS pattern_id, count(DISTINCT doc_id) AS count FROM w JOIN b USING (cue) GROUP BY item_id""",
+    "k9_scan_risk_level": f"{PROSE_ONCE} SELECT doc_id, {LEVEL.format(SCORE)} AS risk_level FROM once GROUP BY doc_id",
+    "s2_exclude_paths": oracle("SELECT path FROM files WHERE NOT starts_with(path, 'build/') AND NOT starts_with(path, 'tests/') AND NOT ends_with(path, '_test.move') AND NOT ends_with(path, '.bin')"),
+    "s3_with_language": oracle("SELECT CASE WHEN ends_with(path, '.move') THEN 'move' WHEN ends_with(path, '.toml') THEN 'toml' WHEN ends_with(path, '.MD') THEN 'markdown' ELSE 'plaintext' END AS language, count(*) AS count FROM files GROUP BY 1"),
+    "p1_search_lines": oracle("SELECT path, CAST(i AS INT) AS line_no, trim(line, ' ') AS text, CAST(instr(line, 'the on') - 1 AS INT) AS match_start, CAST(instr(line, 'the on') + 5 AS INT) AS match_end FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files) WHERE contains(line, 'the on')"),
+    "p2_search_chunks": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')",
+    "p2_search_chunks_regex": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')",
+    "x1_explode_lines": oracle("SELECT path, len(string_split(content, chr(10))) AS lines, length(replace(content, chr(10), '')) AS chars FROM files"),
+    "x2_brace_depth": of_sources("SELECT id AS path, 2 AS deepest, 0 AS last FROM sources"),
+    "x3_extract_modules": "SELECT p_partkey AS id, '0x1' AS address, concat('m', p_partkey) AS module_name, concat('0x1::m', p_partkey) AS full_name FROM part",
+    "x4_extract_functions": """SELECT p_partkey AS id, 'public' AS visibility, concat('get_', p_size) AS name, '' AS type_params, 'item: &Item, amount: u64' AS params, 'u64' AS return_type FROM part
+        UNION ALL SELECT p_partkey, 'private', 'helper', '', 'cap: &AdminCap', '' FROM part UNION ALL SELECT p_partkey, 'public entry', 'check_all', '', 'c: Coin<T>', '' FROM part WHERE p_size % 2 = 0""",
+    "x5_function_spans": of_sources(f", {FUNCS} SELECT id, function, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM fs").replace(" , fs", ", fs"),
+    "x6_is_test_function": of_sources(f", {FUNCS} SELECT id, function, function = 'check_all' AS is_test FROM fs").replace(" , fs", ", fs"),
+    "x7_extract_structs": """SELECT p_partkey AS id, concat('Item', p_partkey) AS name, 'key,store' AS abilities, 'id: UID;amount: u64' AS fields, false AS is_hot_potato, true AS has_uid FROM part
+        UNION ALL SELECT p_partkey, 'FlashReceipt', '', 'pool_id: ID', true, false FROM part WHERE p_size % 3 = 0""",
+    "x8_extract_constants": "SELECT p_partkey AS id, 'LIMIT' AS name, 'u64' AS type, concat(p_size) AS value FROM part",
+    "x9_extract_imports": "SELECT p_partkey AS id, m AS module_path, item FROM part CROSS JOIN (VALUES ('0x2::coin', 'Coin'), ('0x2::coin', 'mint as mint_coin'), ('0x2::clock', '')) v(m, item)",
+    "x10_import_aliases": "SELECT p_partkey AS id, 'mint_coin' AS local, '0x2::coin::mint' AS \"full\" FROM part",
+    "x11_string_idents": "SELECT p_partkey AS id, 'Full,Pool' AS names FROM part",
+    "x12_function_params": """SELECT p_partkey AS id, concat('get_', p_size) AS name, 'item/&Item/none;amount/u64/numeric_range' AS params FROM part UNION ALL SELECT p_partkey, 'helper', 'cap/&AdminCap/must_own_capability' FROM part
+        UNION ALL SELECT p_partkey, 'check_all', 'c/Coin<T>/must_have_balance' FROM part WHERE p_size % 2 = 0""",
+    "x13_linear_resources": "SELECT p_partkey AS id, 'check_all' AS name, 'Coin<' AS linear FROM part WHERE p_size % 2 = 0",
+    "x14_risk_indicators": """SELECT p_partkey AS id, concat('get_', p_size) AS function, 1 AS overflow, 3 AS division, 0 AS access_control, 0 AS state_modification, 1 AS external_call, 51 AS risk_score FROM part
+        UNION ALL SELECT p_partkey, 'helper', 0, 0, 1, 1, 2, 33 FROM part UNION ALL SELECT p_partkey, 'check_all', 0, 0, 0, 0, 0, 0 FROM part WHERE p_size % 2 = 0""",
+    "x16_type_tokens_topk": """SELECT p_partkey AS id, concat('get_', p_size) AS function, t AS token, 1 AS n, r AS rank FROM part CROSS JOIN (VALUES ('Item', 1), ('Pool', 2), ('Full', 3)) v(t, r)
+        UNION ALL SELECT p_partkey, 'helper', 'AdminCap', 1, 1 FROM part UNION ALL SELECT p_partkey, 'check_all', 'Coin', 1, 1 FROM part WHERE p_size % 2 = 0""",
+    "x17_describe_function": """SELECT p_partkey AS id, concat('get_', p_size) AS name, 'reads state, callable by other modules' AS description FROM part UNION ALL SELECT p_partkey, 'helper', 'runs logic, internal' FROM part
+        UNION ALL SELECT p_partkey, 'check_all', 'runs logic, callable by transactions' FROM part WHERE p_size % 2 = 0""",
+    "x19_snippet_around": of_sources(""", l AS (SELECT id, size, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS last FROM sources)
+        SELECT id AS path, CAST(size % 30 + 1 AS INT) AS hit, string_agg(concat(CASE WHEN n = size % 30 + 1 THEN '>' ELSE ' ' END, n, '| ', line), chr(10) ORDER BY n) AS snippet FROM l
+        WHERE CASE WHEN size % 30 + 1 <= last THEN abs(n - (size % 30 + 1)) <= 1 ELSE n <= 2 END GROUP BY id, size""").replace(" , l AS", ", l AS"),
+    "x21_strip_comments": of_sources("SELECT id, CAST(length(trim(regexp_replace(replace(content, '// note', ' '), '\\s+', ' ', 'g'))) AS INT) AS chars FROM sources"),
+    "x22_external_call_tokens": of_sources(f", {FUNCS} SELECT id, function, CASE WHEN function = 'helper' THEN '0x2::transfer::public_transfer' ELSE '' END AS external FROM fs").replace(" , fs", ", fs"),
+    "j1_extract_calls": "SELECT p_partkey AS id, concat('get_', p_size) AS function, c AS raw_call FROM part CROSS JOIN (VALUES ('coin::join'), ('helper')) v(c) UNION ALL SELECT p_partkey, 'helper', '0x2::transfer::public_transfer' FROM part",
+    "q1_content_key": oracle("SELECT path, concat('code:', sha256(coalesce(content, ''))[1:32]) AS content_key FROM files"),
+    "q1_changed_files": oracle("SELECT path FROM files WHERE sha256(coalesce(content, '')) NOT IN (SELECT sha256(coalesce(content, '')) FROM files WHERE seq % 3 = 0)"),
+    "a19_file_tree_counts": oracle("SELECT project, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS files FROM files GROUP BY ALL"),
+    "v1_knn": """WITH p AS (SELECT q.vec_id AS query_id, b.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
+        SELECT query_id, vec_id, distance, greatest(0.0, least(1.0, 1 - distance / 2)) AS confidence FROM p WHERE distance <= 10 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 5""",
+    "v4_keywords": f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: regexp_matches(w, '^[a-z_]') AND length(w) >= 3 AND NOT list_contains([{', '.join(map(quoted, scan.STOP_WORDS))}], w))[1:10], ' ') AS words FROM documents WHERE lang = 'en'""",
+}
