@@ -33,7 +33,7 @@ def resolve_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
     per_module = functions.select(F.concat_ws("|", "module", "name").alias("key"), F.col("func_id").alias("to_id"))
     keys = reduce(DataFrame.unionByName, [t.withColumn("kind", F.lit(k)) for k, t in ((1, functions.select(F.col("func_id").alias("key"), F.col("func_id").alias("to_id"))), (2, last), (4, per_module), (5, only))])
     parts = F.split("raw_call", "::")
-    own = F.element_at(F.split("from_id", "::"), -2)
+    own = F.try_element_at(F.split("from_id", "::"), F.lit(-2))
     bare = F.size(parts) == 1
 
     def attempt(kind: int, rank: int, key: Column | str) -> Column:

@@ -10,7 +10,7 @@ from quarry.operators.scan import Pattern
 from quarry.plans.stand_ins import oracle, table, view
 
 SNIPPETS = """
-    SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS doc_id,
+    SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS doc_id,
            replace(concat(CASE l_linenumber % 4 WHEN 0 THEN 'public fun set_price(amount: u64, o: &mut Pool) {~' WHEN 1 THEN 'fun repay<T>(c: Coin<T>, r: Receipt) {~' WHEN 2 THEN 'public entry fun borrow(cap: &AdminCap) {~' ELSE 'fun get() {~' END,
                CASE l_partkey % 5 WHEN 0 THEN '  let x = amount * price;~' WHEN 1 THEN '  let y = value / rate;~' WHEN 2 THEN '  transfer::public_transfer(AdminCap, to);~' WHEN 3 THEN '  clock::timestamp_ms(c); bcs::from_bytes(b);~' ELSE '  oracle::get_price(p);~' END,
                CASE l_suppkey % 3 WHEN 0 THEN '  flash_loan(receipt);~' WHEN 1 THEN '  balance::join(a, b);~' ELSE '' END, '}~'), '~', chr(10)) AS text,
