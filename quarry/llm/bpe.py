@@ -18,11 +18,9 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import partitions_for
-
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A boundary this close to the end of a cut slice may move once more text follows: contractions have up to 3 characters.
 UNSURE = 4
@@ -84,49 +82,48 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     A null text counts as empty and has no ids. Rows may repeat, ids may be null. A text whose chunks nowhere
     agree within an overlap (one pre-token longer than that) is encoded whole, in one task.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     short = _encoded(rows.where(~is_long), "text", path, ["id"])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, text, copies in zip(frame["key"], frame["text"], frame["copies"], strict=True):
+            for key, text in zip(frame["key"], frame["text"], strict=True):
                 n = -(-len(text) // chunk_chars)
-                yield pd.DataFrame({"key": key, "copies": copies, "n": n, "chunk": range(n), "last": [c == n - 1 for c in range(n)], "text": [text[c * chunk_chars : (c + 1) * chunk_chars + overlap] for c in range(n)]})
+                yield pd.DataFrame({"key": key, "chunk": range(n), "n": n, "text": [text[c * chunk_chars : (c + 1) * chunk_chars + overlap] for c in range(n)]})
 
+    # equal texts are encoded once: their chunks meet in the one shuffle of texts, which also spreads a long text over tasks
     long = rows.where(is_long).withColumn("key", F.sha2("text", 256))
     uses = long.groupBy("key", "id").agg(F.count(F.lit(1)).alias("copies"))
-    texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))  # equal texts are encoded once
-    kind = "key string, copies long, n int, chunk int, last boolean, text string"
-    chunks = texts.mapInPandas(cut, kind).repartition(partitions_for(spark, spark.sparkContext.defaultParallelism, 1, 12), "key", "chunk")
+    chunks = long.select("key", "text").mapInPandas(cut, "key string, chunk int, n int, text string").groupBy("key", "chunk").agg(F.first("n").alias("n"), F.first("text").alias("text"))
 
     def seams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             head, tail = [], []
-            for c, last, text in zip(frame["chunk"], frame["last"], frame["text"], strict=True):
+            for c, n, text in zip(frame["chunk"], frame["n"], frame["text"], strict=True):
                 start, end = c * chunk_chars, c * chunk_chars + len(text)
-                sure = end if last else end - UNSURE
-                found = boundaries(text, start, start, sure)
-                head.append([x for x in found if x <= start + overlap] if c else [])
-                tail.append([] if last else [x for x in found if x >= start + chunk_chars])
+                found = boundaries(text, start, start, end if c == n - 1 else end - UNSURE)
+                head.append([x for x in found if x <= start + overlap])
+                tail.append([x for x in found if x >= start + chunk_chars])
             yield pd.DataFrame({"key": frame["key"], "chunk": frame["chunk"], "n": frame["n"], "head": head, "tail": tail})
 
     zones = chunks.mapInPandas(seams, "key string, chunk int, n int, head array<long>, tail array<long>")
-    left = zones.where("chunk < n - 1").select("key", F.col("chunk"), "tail")
-    right = zones.where("chunk > 0").select("key", (F.col("chunk") - 1).alias("chunk"), "head")
-    met = left.join(right, ["key", "chunk"]).select("key", "chunk", F.array_min(F.array_intersect("tail", "head")).alias("at"))
-    unmet = met.where("at IS NULL").select("key").distinct()
-    ends = met.select("key", "chunk", F.col("at").alias("end"))
-    starts = met.select("key", (F.col("chunk") + 1).alias("chunk"), F.col("at").alias("start"))
-    placed = chunks.join(unmet, "key", "left_anti").join(ends, ["key", "chunk"], "left").join(starts, ["key", "chunk"], "left")
-    base = F.col("chunk") * chunk_chars
-    first = F.coalesce(F.col("start"), F.lit(0)) - base
-    pieces = placed.select("key", "chunk", F.substring(F.col("text"), (first + 1).cast("int"), F.coalesce(F.col("end") - base - first, F.length("text")).cast("int")).alias("text"))
-    stitched = _encoded(pieces, "text", path, ["key", "chunk"]).groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    of_text = Window.partitionBy("key")
+    spans = zones.withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(of_text.orderBy("chunk")))))
+    spans = spans.select(
+        "key", "chunk", "end", F.coalesce(F.lag("end").over(of_text.orderBy("chunk")), F.lit(0)).alias("start"),
+        F.max(F.col("end").isNull() & (F.col("chunk") < F.col("n") - 1)).over(of_text).alias("unmet"),
+    )
+    placed = chunks.join(spans, ["key", "chunk"])
+    first = F.col("start") - F.col("chunk") * chunk_chars
+    pieces = placed.where("NOT unmet").select("key", "chunk", F.substring(F.col("text"), (first + 1).cast("int"), F.coalesce(F.col("end") - F.col("start"), F.length("text")).cast("int")).alias("text"))
+    cores = placed.where("unmet").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", F.substring("text", 1, chunk_chars).alias("text")))).alias("parts"))
+    whole = cores.select("key", F.lit(0).alias("chunk"), F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
+    # one exchange by text serves the stitching and the join with the rows that have the text
+    parts = _encoded(pieces, "text", path, ["key", "chunk"]).unionByName(_encoded(whole, "text", path, ["key", "chunk"]))
+    stitched = parts.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     stitched = stitched.select("key", "n_tokens", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    whole = _encoded(texts.join(unmet, "key", "left_semi"), "text", path, ["key"])
-    each = uses.join(stitched.unionByName(whole), "key")
+    each = uses.join(stitched, "key")
     return short.unionByName(each.select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n_tokens", "ids").drop("copy")).withColumnRenamed("id", id_col)
 
 
