@@ -130,7 +130,8 @@ def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, si
     nodes = maybe_among(signed.select("node", "text_hash"), groups, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"))
     blocks = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     wanted = written(nodes.join(groups, "node").join(blocks, "group"), "wanted")
-    texts = maybe_among(keyed.select("text_hash", "text"), wanted, "text_hash").join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    # an inner join: a semi join would be pushed below the bitmap, and all texts would be shuffled
+    texts = maybe_among(keyed.select("text_hash", "text"), wanted, "text_hash").join(wanted.select("text_hash").distinct(), "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
     bundles = partitions_for(spark, wanted.count(), 2 * BLOCK)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     single = F.col("blocks") == 1
