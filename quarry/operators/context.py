@@ -208,3 +208,27 @@ def group_context(groups: DataFrame, functions: DataFrame, edges: DataFrame) ->
     callees = groups.select("module", "group", "func_id").distinct().join(calls, "func_id").join(known, "to_id").groupBy("module", "group").agg(F.array_sort(F.collect_set("to_id")).alias("callees"))
     rows = members.join(callees, ["module", "group"], "left")
     return rows.withColumn("callees", F.when(F.size("functions") <= 3, F.coalesce("callees", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+
+
+def locate_match(matches: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Where each match lies: `doc_id, pattern_id, line, function, how`, the first way that gives a place.
+
+    In order: a function that the title or description names; the first line hint; the best line with a cue,
+    within a function before the module's own level before a struct. `functions`: doc_id, function,
+    start_line, end_line. `lines`: doc_id, line_no, line, place (function, module or struct).
+    """
+    keys = ["doc_id", "pattern_id"]
+    about = F.concat_ws(" ", "title", "description")
+    named = matches.join(functions, "doc_id").where(F.contains(F.concat(F.lit(" "), F.regexp_replace(about, r"[^A-Za-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("function"), F.lit(" "))))
+    hinted = matches.where(F.size("line_hints") > 0).withColumn("at", F.element_at("line_hints", 1))
+    cued = matches.join(lines, "doc_id").where(F.exists("matched_cues", lambda c: F.contains(F.lower("line"), F.lower(c))))
+    rank = choose([(F.col("place") == "function", 0), (F.col("place") == "module", 1)], 2)
+    nothing = F.lit(0)
+    tries = [
+        named.select(*keys, F.lit(1).alias("kind"), nothing.alias("rank"), F.col("start_line").alias("line"), F.lit("named function").alias("how")),
+        hinted.select(*keys, F.lit(2).alias("kind"), nothing.alias("rank"), F.col("at").alias("line"), F.lit("line hint").alias("how")),
+        cued.select(*keys, F.lit(3).alias("kind"), rank.alias("rank"), F.col("line_no").alias("line"), F.lit("cue").alias("how")),
+    ]
+    best = reduce(DataFrame.unionByName, tries).groupBy(*keys).agg(F.min(F.struct("kind", "rank", "line", "how")).alias("b")).select(*keys, "b.line", "b.how")
+    inside = best.join(functions, "doc_id").where("line BETWEEN start_line AND end_line").groupBy(*keys).agg(F.max_by("function", "start_line").alias("function"))
+    return best.join(inside, keys, "left").select(*keys, "line", "function", "how")

@@ -74,7 +74,19 @@ def grouped(s, d):
     return out.select("module", "group", F.array_join("functions", ",").alias("functions"), F.array_join("callees", ",").alias("callees"))
 
 
+def located(s, d):
+    """Matches in the written code: half keep their line hint, and one title names the helper."""
+    docs = sources(s, d).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    spans = code.function_spans(sources(s, d).select("id", "content"), ["id"]).select(F.col("id").alias("doc_id"), "function", "start_line", "end_line")
+    lines = code.function_lines(sources(s, d).select("id", "content"), ["id"])
+    lines = lines.select(F.col("id").alias("doc_id"), "line_no", "line", F.when(F.col("line").contains("struct "), "struct").when(F.col("function").isNotNull(), "function").otherwise("module").alias("place"))
+    cue = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("amount"))).otherwise(F.array(F.lit("LIMIT")))
+    rows = docs.select("doc_id", F.lit("P").alias("pattern_id"), F.when(F.col("doc_id") % 5 == 0, "Misuse of helper()").otherwise("Plain").alias("title"), F.lit("text").alias("description"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")).alias("line_hints"), cue.alias("matched_cues"))
+    return op.locate_match(rows, spans, lines)
+
+
 QUERIES = {
+    "k7_locate_match": located,
     "j12_type_definitions": lambda s, d: op.type_definitions(tokens(s, d), types(s, d)).select("project", "func_id", "token", "type_id"),
     "j13_resolve_external": lambda s, d: op.resolve_external(view(s, d, "calls"), view(s, d, "functions").where("risk_score < 40")).select("from_id", "raw_call", "call_line", "dependency_id"),
     "j14_function_context": lambda s, d: op.function_context(bodies(s, d), view(s, d, "edges"), tokens(s, d).select("func_id", "token"), 2, 1, 2).select("func_id", F.array_join("callers", ",").alias("callers"), F.get(F.col("callees"), F.lit(0))["callee_body"].alias("callee_body"), F.array_join("types", ",").alias("types")),
@@ -105,6 +117,9 @@ NEAR = """n AS (SELECT *, 1 - distance / 2 AS conf FROM (SELECT q.vec_id AS quer
 HAS = lambda x: f"contains(lower(text), '{x}')::INT"
 
 ORACLES = {
+    "k7_locate_match": f"""WITH {SQL_SOURCES}, x AS (SELECT id, size, 5 + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS lead FROM sources)
+        SELECT id AS doc_id, 'P' AS pattern_id, CAST(CASE WHEN id % 5 = 0 THEN lead + 7 WHEN id % 2 = 0 THEN 2 WHEN id % 3 = 0 THEN lead + 1 ELSE 4 END AS INT) AS line,
+            CASE WHEN id % 5 = 0 THEN 'helper' WHEN id % 2 = 0 THEN NULL WHEN id % 3 = 0 THEN concat('get_', size) END AS function, CASE WHEN id % 5 = 0 THEN 'named function' WHEN id % 2 = 0 THEN 'line hint' ELSE 'cue' END AS how FROM x""",
     "j12_type_definitions": f"""WITH ty AS ({TYPES.replace('{part}', 'part')}), tk AS ({TOKENS.replace('{lineitem}', 'lineitem')}) SELECT tk.project, func_id, token, type_id FROM tk JOIN ty ON ty.name = token AND (is_dependency OR ty.project = tk.project)
         QUALIFY row_number() OVER (PARTITION BY tk.project, func_id, token ORDER BY is_dependency, type_id) = 1""",
     "j13_resolve_external": oracle("SELECT c.from_id, raw_call, call_line, d.id AS dependency_id FROM calls c LEFT JOIN (SELECT concat(module, '::', name) AS k, min_by(func_id, seq) AS id FROM functions WHERE risk_score < 40 GROUP BY 1) d ON d.k = replace(raw_call, '0x1::', '')"),
