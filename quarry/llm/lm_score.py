@@ -36,6 +36,22 @@ def restored(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
+def packed_texts(frame: pd.DataFrame) -> dict:
+    """The texts of some rows of a batch as one compressed blob, which is what travels."""
+    raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"]]
+    return {"batch": frame["batch"].iloc[0], "ids": frame["id"].tolist(), "sizes": [-1 if r is None else len(r) for r in raw], "blob": zstandard.ZstdCompressor(level=6).compress(b"".join(r or b"" for r in raw))}
+
+
+def unpacked_texts(frame: pd.DataFrame) -> list[str | None]:
+    out: list[str | None] = []
+    for sizes, blob in zip(frame["sizes"], frame["blob"], strict=True):
+        raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
+        for n in sizes:
+            out.append(None if n < 0 else raw[at : at + n].decode("utf-8", "surrogatepass"))
+            at += max(0, n)
+    return out
+
+
 class Grams:
     """The n-grams of a batch of texts: `own[n]` places those of order n among the distinct hashes `keys`."""
 
@@ -106,19 +122,25 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
     def batched(df: DataFrame, side: int) -> DataFrame:
         n, size = (rows, chars) if (df is docs) == (corpus is None) else total_chars(df, text_col)
         batches = partitions_for(spark, max(size, n * 400), BATCH_CHARS)
-        return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)) * 2 + side).alias("batch"))
+        dealt = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)) * 2 + side).alias("batch"))
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame([packed_texts(part) for _, part in frame.groupby("batch")])
+
+        return dealt.mapInPandas(pack, "batch long, ids array<string>, sizes array<int>, blob binary")
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"n": [sum(len((t or "").split()) for t in frame["text"])]})
+            yield pd.DataFrame({"n": [sum(len((t or "").split()) for t in frame[text_col])]})
 
     asking = batched(docs, 0)
     counted = asking if corpus is None else batched(corpus, 1)
-    corpus_words = counted.select("text").mapInPandas(count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    corpus_words = (docs if corpus is None else corpus).select(text_col).mapInPandas(count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def explode(weight: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            grams = Grams(frame["text"].tolist(), order)
+            grams = Grams(unpacked_texts(frame), order)
             keys, counts = grams.keys, grams.counts.astype(np.uint32) * np.uint32(weight)
             part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             names, first = np.unique(part, return_index=True)
@@ -144,13 +166,14 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
 
     def score(own: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
-            return pd.DataFrame(columns=[id_col, "n_words", "n_full_context", "log_score", "mean_log_score"])
-        grams = Grams(own["text"].tolist(), order)
+            return pd.DataFrame(columns=["id", "n_words", "n_full_context", "log_score", "mean_log_score"])
+        grams = Grams(unpacked_texts(own), order)
         answer = answer.sort_values("range")
         totals = np.concatenate([np.zeros(0, np.uint64), *(restored(x, np.uint64) for x in answer["totals"])])
         log_score, full = grams.scores(totals, corpus_words, backoff, leave_out_own)
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(grams.lengths > 0, log_score / grams.lengths, None)
-        return pd.DataFrame({id_col: own["id"], "n_words": grams.lengths, "n_full_context": full, "log_score": log_score, "mean_log_score": pd.Series(mean, index=own.index, dtype="Float64")})
+        return pd.DataFrame({"id": [i for ids in own["ids"] for i in ids], "n_words": grams.lengths, "n_full_context": full, "log_score": log_score, "mean_log_score": pd.Series(mean, dtype="Float64")})
 
-    return asking.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, f"`{id_col}` {kind}, n_words long, n_full_context long, log_score double, mean_log_score double")
+    scored = asking.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "id string, n_words long, n_full_context long, log_score double, mean_log_score double")
+    return scored.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_full_context", "log_score", "mean_log_score")
