@@ -209,7 +209,8 @@ def verified(records: DataFrame) -> DataFrame:
 
     checked = checked.withColumn("found", bare("sha1")).drop("payload", "sha1")
     sizes = checked.where("record_type = 'response'").groupBy(F.col("page_id").alias("to_id"), F.col("found").alias("to_digest")).agg(F.max("payload_bytes").alias("to_bytes"))
-    joined = checked.join(sizes, (F.col("refers_to") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest")), "left")
+    # the size of what Python returns is unknown to the planner, which must not broadcast it
+    joined = checked.hint("merge").join(sizes.hint("merge"), (F.col("refers_to") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest")), "left")
     return joined.select("record_id", "page_id", "url", "timestamp", "record_type", F.coalesce("payload_bytes", "to_bytes").alias("payload_bytes"), F.coalesce("found", "to_digest").alias("payload_digest"), "refers_to", (F.coalesce("found", "to_digest") == F.col("payload_digest")).alias("intact"))
 
 
@@ -217,4 +218,4 @@ def capture_histories(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Archives the pages, reads the archives back and places each record in the merged index."""
     index = write_archives(pages, id_col, url_col, html_col, dedup_from_bytes)
     order = merge_index(index).select("record_id", "url_key", "file", "offset", "length", "range", "position", "capture_after")
-    return verified(read_archives(index)).join(order, "record_id").drop("record_id")
+    return verified(read_archives(index)).hint("merge").join(order.hint("merge"), "record_id").drop("record_id")
