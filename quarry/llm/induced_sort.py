@@ -114,35 +114,39 @@ def sorted_valleys(text: np.ndarray, valleys: np.ndarray, cap: int) -> tuple[np.
     m, n = len(valleys), len(text)
     if not m:
         return valleys, np.empty(0, np.int32)
-    # names: the ranks of the stretches from a valley through the next, compared eight bytes at a time
+    # names: the ranks of the stretches from a valley through the next, compared seven values at a time
     size = np.append(np.diff(valleys) + 1, n - valleys[-1])
-    order, rank, depth = np.arange(m), np.zeros(m, np.int64), 0
-    longest = int(min(size.max(), cap + 8))
     # a stretch ends where its last value begins to rise, so that it is larger than one that goes on there; the text's end is least
     past = np.full(m, PAST, np.uint64)
     past[-1] = 0
-    while depth < longest:
-        word = np.zeros(m, np.uint64)
+    rank, going, depth = np.zeros(m, np.int64), np.arange(m), 0
+    while len(going) and depth < cap + 8:
+        word = np.zeros(len(going), np.uint64)
         for i in range(depth, depth + 7):  # 7 values of 9 bits: a value and one, or what stands past the end of the stretch
-            inside = size > i
+            inside = size[going] > i
             word <<= np.uint64(9)
-            word[inside] |= (text[valleys[inside] + i] + 1).astype(np.uint64)
-            word[~inside] |= past[~inside]
-        order = np.lexsort((word, rank))
-        new = (np.diff(rank[order]) != 0) | (word[order[1:]] != word[order[:-1]])
-        rank = _ranks(order, new)
+            word[inside] |= (text[valleys[going[inside]] + i] + 1).astype(np.uint64)
+            word[~inside] |= past[going[~inside]]
+        old = rank[going]
+        order = np.argsort(word) if not depth else np.lexsort((word, old))
+        rank[going[order]] = _ranks(old[order], word[order])
         depth += 7
-        if new.all():
-            break
+        going = going[size[going] >= depth]
     # doubling over names: after k rounds ranks compare 2^k stretches, of two bytes or more each
     levels, span = [rank], 1
-    while span * 2 <= cap + 2 and len(np.unique(rank)) < m:
-        after = np.full(m, -1, np.int64)
-        after[:-span] = rank[span:]
-        order = np.lexsort((after, rank))
-        rank = _ranks(order, (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0))
+    while span * 2 <= cap + 2:
+        after = np.zeros(m, np.int64)
+        after[:-span] = rank[span:] + 1
+        both = rank * (m + 1) + after
+        order = np.argsort(both)
+        both = both[order]
+        new = np.empty(m, np.int64)
+        new[order] = _ranks(np.zeros(m, np.int64), both)
+        rank = new
         levels.append(rank)
         span *= 2
+        if (both[1:] != both[:-1]).all():
+            break
     order = np.argsort(rank, kind="stable")
     # common prefixes: skip equal stretches from the longest span down, then compare bytes
     a, b = order[:-1].copy(), order[1:].copy()
@@ -168,10 +172,12 @@ def sorted_valleys(text: np.ndarray, valleys: np.ndarray, cap: int) -> tuple[np.
     return valleys[order], np.concatenate([[0], np.minimum(common, cap)]).astype(np.int32)
 
 
-def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(new)])
-    return out
+def _ranks(old: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """New ranks of entries sorted by (old rank, key): the old rank and how many of that rank stand before."""
+    at = np.arange(len(old))
+    group = np.append(True, old[1:] != old[:-1])
+    run = group | np.append(True, key[1:] != key[:-1])
+    return old + np.maximum.accumulate(np.where(run, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
 
 
 class Scan:
