@@ -51,3 +51,29 @@ def test_edge_rows(spark):
     assert left == {(2, "head\ntail"), (1, f"{NEAR}\nown words"), (3, ""), (None, P), (5, None), (6, ""), (7, "short line\nshort line"), (8, ""), (9, "\n\n"), (7, "")}
     assert sd.without_repeats(df).columns == df.columns
     assert sd.without_repeats(df.limit(0)).count() == 0
+
+
+def test_passages_that_lines_do_not_show(spark):
+    passage = [f"p{i}" for i in range(54)]
+    own = lambda k, n: [f"d{k}x{i}" for i in range(n)]
+    whole = " ".join(passage)
+    mid_line = " ".join(own(1, 40)) + " " + whole + " " + " ".join(own(2, 40))
+    wrapped = " ".join(own(3, 35)) + " " + " ".join(passage[:20]) + "\n" + " ".join(passage[20:]) + " " + " ".join(own(4, 30))
+    short_lines = "\n".join([*own(5, 3), *(" ".join(passage[i : i + 9]).upper() for i in range(0, 54, 9)), "end é"])
+    texts = [(1, mid_line), (2, wrapped), (3, short_lines), (4, " ".join(own(6, 40) + passage[:40] + own(7, 40)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.paragraph, r.kept_id, r.kept_paragraph, r.start, r.end) for r in sd.repeated_paragraphs(df).collect()}
+    a, b = wrapped.index("p0"), short_lines.index("P0")
+    assert found == {(2, 0, 1, 0, a, wrapped.index("p53") + 3), (3, 3, 1, 0, b, short_lines.index("P53") + 3)}
+    left = {r.doc_id: r.text for r in sd.without_repeats(df).collect()}
+    assert left == {1: mid_line, 2: " ".join(own(3, 35)) + " \n" + " ".join(own(4, 30)), 3: "\n".join([*own(5, 3), "end é"]), 4: texts[3][1]}
+
+
+def test_no_long_run_is_left(spark):
+    df = sd.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+    seen = {}
+    for r in df.collect():
+        words = (r.text or "").lower().split()
+        for i in range(len(words) - 50):
+            seen.setdefault(tuple(words[i : i + 51]), set()).add(r.doc_id)
+    assert not [k for k, v in seen.items() if len(v) > 1]
