@@ -17,7 +17,7 @@ from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import new_path, partitions_for, written
@@ -135,7 +135,7 @@ def loser_tree(runs: list[list]) -> Iterator:
 
 
 def merge_index(index: DataFrame, rows_each: int = 500_000) -> DataFrame:
-    """The index in order of URL key and time: `range, position` give each entry's place, `capture_after` the time of the capture before it where that has the same URL key and range."""
+    """The index in order of URL key and time: `range, position` give each entry's place, `capture_after` the time of the capture before it where that has the same URL key, in its range or an earlier one."""
     parts = partitions_for(index.sparkSession, index.count(), rows_each)
     dealt = index.repartitionByRange(parts, "url_key", "timestamp", "record_id")
     columns = dealt.columns
@@ -155,7 +155,12 @@ def merge_index(index: DataFrame, rows_each: int = 500_000) -> DataFrame:
         merged = rows.iloc[order].reset_index(drop=True)
         yield merged.assign(range=TaskContext.get().partitionId(), position=range(len(merged)), capture_after=after)
 
-    return dealt.mapInPandas(merge, ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in columns) + ", range int, position long, capture_after string")
+    merged = written(dealt.mapInPandas(merge, ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in columns) + ", range int, position long, capture_after string"), "warc-merged")
+    # the last capture of a range, one row each, comes before the first of the next range that has rows
+    lasts = merged.groupBy("range").agg(F.max_by(F.struct("url_key", "timestamp"), "position").alias("last"))
+    before = lasts.select("range", F.lag("last").over(Window.orderBy("range")).alias("before"))
+    first = (F.col("position") == 0) & (F.col("before.url_key") == F.col("url_key"))
+    return merged.join(F.broadcast(before), "range", "left").withColumn("capture_after", F.when(first, F.col("before.timestamp")).otherwise(F.col("capture_after"))).select(*merged.columns)
 
 
 def read_archives(index: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def test_many_runs_and_ranges(spark, monkeypatch):
     assert keys == sorted(keys) and len(keys) == 400 and len({r.range for r in rows}) > 2 and len({r.file for r in rows}) == 6
 
 
+def test_captures_follow_over_ranges(spark):
+    df = spark.range(300).selectExpr("id AS page_id", "concat('http://h.org/', CASE WHEN id % 3 = 0 THEN id % 5 ELSE 9 END) AS url", "concat('p', id) AS html").repartition(3)
+    rows = sorted(warc.merge_index(warc.write_archives(df), rows_each=40).collect(), key=lambda r: (r.range, r.position))
+    want = [a.timestamp if a is not None and a.url_key == b.url_key else None for a, b in zip([None, *rows], rows)]
+    assert [r.capture_after for r in rows] == want and len({r.range for r in rows}) > 4
+    assert any(r.position == 0 and r.capture_after for r in rows)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     rng = random.Random(k)
