@@ -142,7 +142,7 @@ QUERIES = {
     "q1_changed_files": lambda s, d: scan.changed_files(files(s, d), scan.content_keys(files(s, d).where("seq % 3 = 0"))).select("path"),
     "a19_file_tree_counts": lambda s, d: scan.file_tree_counts(files(s, d)),
     "v1_knn": lambda s, d: scan.knn(queries_of(s, d), table(s, d, "embeddings"), 5, 10.0).select("query_id", "vec_id", "distance", "confidence"),
-    "v4_keywords": lambda s, d: table(s, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(scan.keywords(F.col("text")), " ").alias("words")),
+    "v4_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(scan.keywords(F.col("text")), " ").alias("words")),
 }
 
 ONCE = "SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY seq) = 1"
