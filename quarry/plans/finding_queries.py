@@ -126,7 +126,7 @@ QUERIES = {
     "o28_exploit_hints": lambda s, d: op.exploit_hints(found(s, d), lookup(s, HINTS, ["vuln_type", "entry_hint", "attack_hint"])).groupBy("vuln_type", "entry_hint", "attack_hint").count(),
     "a7_audit_statistics": lambda s, d: op.audit_statistics(found(s, d)),
     "a8_exploit_statistics": lambda s, d: op.exploit_statistics(op.exploit_status(exploits(s, d))),
-    "a9_risk_score_10": lambda s, d: op.risk_score_10(op.audit_statistics(found(s, d).where("confidence > 90"), "report_id")).select("report_id", "risk_score", "risk_level"),
+    "a9_risk_score_10": lambda s, d: op.risk_score_10(op.audit_statistics(found(s, d), "report_id")).select("report_id", "risk_score", "risk_level"),
     "a10_risk_score_100": lambda s, d: op.risk_score_100(op.severity_histogram(found(s, d), "finding_id")).select("finding_id", "risk_score"),
     "a12_severity_histogram": lambda s, d: op.severity_histogram(found(s, d), rejected="false_positive"),
     "a13_mark_stats": lambda s, d: op.mark_stats(found(s, d), latest_marks(s, d)),

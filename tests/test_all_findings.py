@@ -1,0 +1,11 @@
+"""Risk scores count every finding of a report."""
+
+from quarry.plans.catalogue import ORACLES, QUERIES
+from tests.llm.oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_scores_count_all_findings(spark):
+    twin = ORACLES["a9_risk_score_10"].replace("FROM findings WHERE confidence > 90", "FROM findings")
+    assert_same(QUERIES["a9_risk_score_10"](spark, SF), twin, SF)
