@@ -1,10 +1,10 @@
 """Exact deduplication by progressive refinement, in DataFrame operations only.
 
-Texts are grouped by byte length, then by the hash of a prefix, then by the hash of the whole text. Only
-rows whose length and prefix collide with another row's reach the last step. What travels between tasks
-are lengths and hashes, never texts. Which groups survive the prefix step is told to the last scan by a
-bitmap of fixed size, so that the scan needs neither a shuffle of texts nor a broadcast that grows with
-the data; a false positive there costs one needless hash and changes no result.
+Texts are grouped by byte length; those whose length another text has are grouped by the hash of a prefix too;
+those that still have company, by the hash of the whole text. What travels between tasks are lengths and
+hashes, never texts. Which lengths and prefixes have company is told to the next scan by a bitmap of fixed
+size, so that it needs neither a shuffle of texts nor a broadcast that grows with the data; a false positive
+there costs one needless hash and changes no result.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits in one row of Spark's bitmap functions.
-BITMAP_ROW_BITS = 32768
-
+from quarry.llm.shared import marked_among, rows_left, with_groups, written
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def normalised(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. An ASCII text takes the JVM's faster path."""
     whole = F.coalesce(text, F.lit(""))
@@ -28,7 +26,6 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 256,
-    bitmap_rows: int = 2048,
     digest_all: bool = False,
 ) -> DataFrame:
     """Which row of each group of equal texts stays.
@@ -39,36 +36,27 @@ def exact_dedup(
     text_sha256 is null for texts that an earlier step proved unique, unless `digest_all` asks for all.
     An empty table gives an empty result; other columns of `docs` are not read.
 
-    `bitmap_rows` x 4 KB bound the broadcast bitmap (8 MB by default) at any size of the data.
+    The broadcast bitmaps take 2 MB and 8 MB at most, at any size of the data.
     """
-    text = normalised(F.col("__text"))
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sized = base.select("__id", F.octet_length(F.coalesce("__text", F.lit(""))).alias("__len"), F.xxhash64(normalised(F.substring("__text", 1, prefix_chars))).alias("__prefix"), "__text")
-
-    # 1. length, 2. length and prefix hash: the finer groups are counted once and summed for the coarser
-    by_prefix = sized.groupBy("__len", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
-    shared_length = by_prefix.groupBy("__len").agg(F.sum("__n").alias("__n")).where("__n > 1").select("__len")
-    surviving = by_prefix.where("__n > 1").join(shared_length, "__len", "left_semi")
-
-    def slot() -> Column:
-        return F.pmod(F.xxhash64("__len", "__prefix"), F.lit(bitmap_rows * BITMAP_ROW_BITS))
-
-    bitmap = surviving.groupBy(F.bitmap_bucket_number(slot()).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("__bits"))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = (
-        sized.withColumn("__bucket", F.bitmap_bucket_number(slot()))
-        .withColumn("__bit", F.bitmap_bit_position(slot()).cast("int"))
-        .join(F.broadcast(bitmap), "__bucket", "left")
-        .withColumn("__collides", F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False)))
-    )
-    # 3. the whole text, of survivors only
-    digest = F.sha2(text, 256)
-    hashed = marked.select("__id", "__len", "__prefix", "__collides", (digest if digest_all else F.when(F.col("__collides"), digest)).alias("__sha"))
-
-    key = ["__len", "__prefix", "__sha"]
-    groups = hashed.where("__collides").groupBy(*key).agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    # rows of a huge group meet one row here: an inner or left join that adaptive execution splits
-    return hashed.join(groups, key, "left").select(
+    digest = F.sha2(normalised(F.col("__text")), 256)
+    sized = docs.select(F.col(id_col).alias("__id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__len"), F.col(text_col).alias("__text"))
+
+    # 1. length: rows without company are done
+    shared_length = sized.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__len")
+    shared_length = written(shared_length, "shared-lengths")
+    marked = marked_among(sized, shared_length, "__len", "__long", 512)
+
+    # 2. hash of a prefix, of the others
+    prefix = F.xxhash64("__len", normalised(F.substring("__text", 1, prefix_chars)))
+    marked = marked.withColumn("__prefix", F.when(F.col("__long"), prefix))
+    shared_prefix = marked.where("__long").groupBy("__prefix").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__prefix")
+    marked = marked_among(marked, written(shared_prefix, "shared-prefixes"), "__prefix", "__collides")
+
+    # 3. hash of the whole text, of what is left
+    collides = F.col("__long") & F.col("__collides")
+    hashed = marked.select("__id", "__len", collides.alias("__collides"), (digest if digest_all else F.when(collides, digest)).alias("__sha"))
+    groups = hashed.where("__collides").groupBy("__len", "__sha").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return with_groups(hashed, written(groups, "groups"), ["__len", "__sha"], "group_size", ["__id"], "left").select(
         F.col("__id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -79,10 +67,6 @@ def exact_dedup(
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay after exact_dedup, with all their columns; one of rows that repeat id and text."""
-    found = exact_dedup(docs, id_col, text_col)
-    dropped = found.where(~F.col("kept")).select(F.col(id_col).alias("__drop_id"), F.col("text_sha256").alias("__drop_sha")).distinct()
-    digest = F.sha2(normalised(F.col(text_col)), 256)
-    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col("__drop_id")) & (digest == F.col("__drop_sha")), "left_anti")
-    repeated = docs.groupBy(F.col(id_col).alias("__rep_id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__rep_id")
-    same_id = kept[id_col].eqNullSafe(F.col("__rep_id"))
-    return kept.join(repeated, same_id, "left_anti").unionByName(kept.join(repeated, same_id, "left_semi").withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    found = exact_dedup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").where("group_size > 1")
+    decided = found.groupBy("id", F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT stays")
+    return rows_left(docs, written(decided, "decided"), id_col, F.sha2(normalised(F.col(text_col)), 256))
