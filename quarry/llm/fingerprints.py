@@ -25,7 +25,7 @@ BATCH = 256
 
 
 def sketches(texts: list[str | None], k: int = K, size: int = 5) -> list[np.ndarray]:
-    return [np.unique(s[:k] >> np.uint64(64 - BITS)) for s in shingles(texts, size)]
+    return [np.unique(s[:k] >> np.uint64(64 - BITS)) for s in shingles(texts, size)[0]]
 
 
 def packed(sketch: np.ndarray) -> str:

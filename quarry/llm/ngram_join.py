@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.setjoin import RECALL, SIZE, THRESHOLD, similar_sets
+from quarry.llm.shared import rows_left, with_groups, written
 
 #: Hashes in a band; with the threshold and the target recall this gives 18 bands.
 ROWS = 5
@@ -21,9 +22,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id stays null and counts in no class_id but where all ids of the class are null. Rows that repeat
     are copies of each other.
     """
-    found = similar_sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ["id"], "text", ROWS, size, threshold, recall)
-    classes = found.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    rows = found.join(classes, "root", "left").select(
+    found = written(similar_sets(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ["id"], "text", ROWS, size, threshold, recall), "similar")
+    classes = written(found.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "classes")
+    rows = with_groups(found, classes, ["root"], "class_size", ["id", "node"], "left").select(
         F.col("id").alias(id_col), F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("copies") - 1 + F.col("linked_copies")).alias("n_links"), F.col("links").alias("n_text_links"),
     )
@@ -31,11 +32,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.unionByName(blank)
 
 
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their class, with their columns. Rows that repeat an id are dropped or kept together, but for equal ones, of which one stays."""
-    found = ngram_join(docs, id_col, text_col)
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__drop")).distinct()
-    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col("__drop")), "left_anti")
-    repeated = docs.groupBy(F.col(id_col).alias("__rep")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__rep")
-    same = kept[id_col].eqNullSafe(F.col("__rep"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs` that are the first of their class, with their columns; rows without words stay.
+
+    The first has the smallest id, null after all others, and of texts with that id the one with the smallest
+    hash: texts that share an id are told apart. Of rows that repeat id and text one stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    items = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    found = written(similar_sets(items, ["id", "digest"], "text", ROWS, size, threshold, recall).where("copies > 1 OR links > 0").groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n")), "similar")
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")
+    firsts = written(found.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("members")), "firsts")
+    decided = with_groups(found, firsts, ["root"], "members", ["id", "digest"]).select("id", "digest", "n", (place == F.col("first")).alias("stays"))
+    return rows_left(docs, written(decided.where("n > 1 OR NOT stays").drop("n"), "decided"), id_col, F.xxhash64(text))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.shared import maybe_among, partitions_for, written
+from quarry.llm.shared import maybe_among, partitions_for, with_groups, written
 from quarry.llm.words import mixed, shingles
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -94,10 +94,10 @@ def compared(nodes: list[int], copies: list[int], sets: list[np.ndarray], second
     return [(nodes[i], int(many[i]), int(weight[i]), nodes[root[i]]) for i in np.flatnonzero(many)]
 
 
-def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL, least_words: int = 1) -> DataFrame:
     """Links and classes of texts whose n-gram sets have a Jaccard similarity of at least `threshold`.
 
-    Returns a row for each item that has a word: `keys, node, copies, links, linked_copies, root`. `node` is
+    Returns a row for each item of `least_words` words or more: `keys, node, copies, links, linked_copies, root`. `node` is
     a 64-bit hash of the item's set, `copies` the items that share it, `links` the number of other sets that
     are similar and `linked_copies` the number of their items; `root` names the component of links. A pair
     at the threshold is missed with a probability of 1 - recall at most; every pair that is counted is exact.
@@ -112,9 +112,9 @@ def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, si
         for frame in frames:
             for start in range(0, len(frame), BATCH):
                 part = frame.iloc[start : start + BATCH]
-                sets = shingles(part["text"].tolist(), size)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                if full:
+                sets, counts = shingles(part["text"].tolist(), size)
+                full = np.flatnonzero(counts >= max(1, least_words))
+                if len(full):
                     sets, part = [sets[i] for i in full], part.iloc[full]
                     nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                     yield part[[*keys, "text_hash"]].assign(node=nodes, bands=list(band_hashes(sets, bands, rows)))
@@ -123,15 +123,16 @@ def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, si
     in_bands = signed.select("node", F.explode("bands").alias("band"))
     met = in_bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "first")
     met = written(met, "met")
-    edges = maybe_among(in_bands, met, "band").join(met, "band").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # items that share a node count once here: a task drops its own copies before any travels
+    edges = maybe_among(in_bands, met, "band").distinct().join(met, "band").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     groups = components(edges).withColumnRenamed("root", "group")
 
     # one text for each node of a group: the scan keeps what may be needed, then a text of each node is taken
     nodes = maybe_among(signed.select("node", "text_hash"), groups, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"))
     blocks = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     wanted = written(nodes.join(groups, "node").join(blocks, "group"), "wanted")
-    # an inner join: a semi join would be pushed below the bitmap, and all texts would be shuffled
-    texts = maybe_among(keyed.select("text_hash", "text"), wanted, "text_hash").join(wanted.select("text_hash").distinct(), "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
+    # copies of a text are made one within each task; an inner join: a semi join would be pushed below the bitmap, and all texts would be shuffled
+    texts = maybe_among(keyed.select("text_hash", "text"), wanted, "text_hash").groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted.select("text_hash").distinct(), "text_hash")
     bundles = partitions_for(spark, wanted.count(), 2 * BLOCK)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     single = F.col("blocks") == 1
@@ -141,16 +142,13 @@ def similar_sets(items: DataFrame, keys: list[str], text_col: str, rows: int, si
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         for _, part in frame.groupby("group", sort=False):
-            found += compared(part["node"].tolist(), part["copies"].tolist(), shingles(part["text"].tolist(), size), part["second"].tolist(), threshold)
+            found += compared(part["node"].tolist(), part["copies"].tolist(), shingles(part["text"].tolist(), size)[0], part["second"].tolist(), threshold)
         return pd.DataFrame(found, columns=["node", "links", "linked_copies", "root"])
 
     linked = written(placed.groupBy("task", "low", "high").applyInPandas(verify, "node long, links long, linked_copies long, root long"), "linked")
     classes = components(linked, "node", "root")
     counted = linked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked_copies")).join(classes, "node")
     copies = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    return (
-        signed.select(*keys, "node")
-        .join(copies.where("copies > 1"), "node", "left")
-        .join(counted, "node", "left")
-        .select(*keys, "node", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_copies", F.lit(0)).alias("linked_copies"), F.coalesce("root", "node").alias("root"))
-    )
+    known = written(copies.join(counted, "node", "left").where("copies > 1 OR links > 0"), "known-sets")
+    placed = with_groups(signed.select(*keys, "node"), known, ["node"], "copies", keys, "left")
+    return placed.select(*keys, "node", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_copies", F.lit(0)).alias("linked_copies"), F.coalesce("root", "node").alias("root"))

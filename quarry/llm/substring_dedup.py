@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.setjoin import BATCH, RECALL, SIZE, THRESHOLD, similar_sets
-from quarry.llm.shared import maybe_among, written
+from quarry.llm.shared import maybe_among, with_groups, written
 from quarry.llm.words import ngram_hashes, word_hashes
 
 #: Hashes in a band: short bands, of which the target recall needs few (10 at the defaults).
@@ -35,18 +35,18 @@ def lines(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """`id, doc_hash, paragraph, text` of each line of at least `min_words` words; paragraphs count from 0."""
+    """`id, doc_hash, paragraph, text` of each line that may have `min_words` words; paragraphs count from 0."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_hash"), F.posexplode(lines(F.col(text_col))).alias("paragraph", "text"))
-    return rows.where((F.length("text") >= 2 * min_words - 1) & (F.regexp_count("text", F.lit(r"(?U)\S+")) >= min_words))
+    return rows.where(F.length("text") >= 2 * min_words - 1)
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, size: int, threshold: float, recall: float) -> DataFrame:
     """`id, doc_hash, paragraph, kept_id, kept_paragraph, class_id, class_size` of the lines to remove."""
-    found = similar_sets(paragraphs(docs, id_col, text_col, min_words), ["id", "doc_hash", "paragraph"], "text", ROWS, size, threshold, recall)
+    found = similar_sets(paragraphs(docs, id_col, text_col, min_words), ["id", "doc_hash", "paragraph"], "text", ROWS, size, threshold, recall, min_words)
     # rows that repeat id and text count once: here, where they are narrow
-    members = found.where("copies > 1 OR links > 0").select("id", "doc_hash", "paragraph", "root").distinct()
-    first = members.groupBy("root").agg(F.min(F.struct("id", "doc_hash", "paragraph")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    joined = members.join(first, "root").where(F.struct("id", "doc_hash", "paragraph") != F.col("first"))
+    members = written(found.where("copies > 1 OR links > 0").select("id", "doc_hash", "paragraph", "root").distinct(), "members")
+    first = written(members.groupBy("root").agg(F.min(F.struct("id", "doc_hash", "paragraph")).alias("first"), F.count(F.lit(1)).alias("class_size")), "first-lines")
+    joined = with_groups(members, first, ["root"], "class_size", ["id", "doc_hash", "paragraph"]).where(F.struct("id", "doc_hash", "paragraph") != F.col("first"))
     return joined.select("id", "doc_hash", "paragraph", F.col("first.id").alias("kept_id"), F.col("first.paragraph").alias("kept_paragraph"), F.col("root").alias("class_id"), "class_size")
 
 
@@ -109,10 +109,10 @@ def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: s
 
     left = texts.where(F.length("text") >= 2 * words - 1).join(gone, KEY, "left")
     marked = written(left.mapInPandas(select, f"id {id_kind}, doc_hash long, place int, gram long"), "grams")
-    often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
-    shared = written(maybe_among(marked, often, "gram").join(often, "gram").distinct(), "shared-grams")
-    first = shared.groupBy("gram").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    again = shared.join(first, "gram").where(F.struct(*KEY, "place") != F.col("first"))
+    often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    shared = written(with_groups(maybe_among(marked, often, "gram"), often.select("gram", "n"), ["gram"], "n", [*KEY, "place"]).drop("n").distinct(), "shared-grams")
+    first = written(shared.groupBy("gram").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count(F.lit(1)).alias("class_size")), "first-grams")
+    again = with_groups(shared, first, ["gram"], "class_size", [*KEY, "place"]).where(F.struct(*KEY, "place") != F.col("first"))
     again = again.select(*KEY, "place", F.struct(F.col("first.id").alias("id"), F.col("first.doc_hash").alias("doc_hash"), F.col("first.place").alias("place"), "gram", "class_size").alias("kept"))
 
     # grams that touch or overlap are one run; its ends are carried on
@@ -153,7 +153,10 @@ def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: s
 
     def carried(back: bool, place: str, kept: str, columns: list[str]) -> DataFrame:
         keys, there = [*KEY, place], [f"{kept}_id", f"{kept}_doc_hash", f"{kept}_place"]
-        both = runs.join(at("own", back, *keys, "words", *columns), keys).join(at("kept", back, *there, "words", *columns[1:]), there)
+        # very many runs may go back to one first place
+        uses = runs.groupBy(*there).agg(F.count(F.lit(1)).alias("uses"))
+        targets = written(at("kept", back, *there, "words", *columns[1:]).join(uses, there), "first-places")
+        both = with_groups(runs.join(at("own", back, *keys, "words", *columns), keys), targets, there, "uses", keys)
         return both.withColumn("more", same("own_words", "kept_words"))
 
     before = carried(True, "low", "a", ["chars", "lines"])

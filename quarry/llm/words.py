@@ -50,20 +50,25 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(h)
 
 
-def shingles(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct hashes of the word shingles of each text.
+def shingles(texts: list[str | None], size: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text, and the words in each.
 
     A text of 1 to size-1 words has one shingle, of all its words; one without words has none.
     """
     words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
-    every = ngram_hashes(words, size)
+    # all in one sort: by text, then by hash
+    at = np.arange(max(0, len(words) - size + 1))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    whole = owner[at] == owner[at + size - 1]
+    every, of = ngram_hashes(words, size)[whole], owner[at[whole]]
+    order = np.lexsort((every, of))
+    every, of = every[order], of[order]
+    new = np.append(True, (every[1:] != every[:-1]) | (of[1:] != of[:-1]))[: len(every)]
+    every, of = every[new], of[new]
+    low, high = np.searchsorted(of, [np.arange(len(texts)), np.arange(1, len(texts) + 1)])
     out = []
-    for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
-        if n >= size:
-            out.append(np.unique(every[end - n : end - size + 1]))
-        elif n:
-            out.append(ngram_hashes(np.concatenate([words[end - n : end], np.full(size - n, PAD, np.uint64)]), size))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+    for a, b, end, n in zip(low.tolist(), high.tolist(), ends.tolist(), counts.tolist(), strict=True):
+        short = 0 < n < size
+        out.append(ngram_hashes(np.concatenate([words[end - n : end], np.full(size - n, PAD, np.uint64)]), size) if short else every[a:b])
+    return out, counts

@@ -62,6 +62,15 @@ def test_edge_rows(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 10, 20]
 
 
+def test_texts_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:50], "new", *base[51:]])
+    rows = [(1, " ".join(base)), (2, near), (2, "a text of its own, kept"), (None, near), (None, "another of its own"), (2, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(tuple, nj.one_of_each_class(df).collect()), key=repr)
+    assert left == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
 def test_group_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 8)
     rng = random.Random(5)

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 from quarry.llm import registry
@@ -33,10 +34,54 @@ def rows(df):
     return sorted((r.doc_id, r.paragraph, r.kept_doc_id if "kept_doc_id" in df.columns else r.kept_id, r.kept_paragraph) for r in df.collect())
 
 
+def without_lines(docs, least):
+    gone = {(i, p) for i, p, *_ in brute(docs, least)}
+    return {i: "\n".join(x for p, x in enumerate((t or "").split("\n")) if (i, p) not in gone) for i, t in docs}
+
+
+def repeated_words(texts, gram):
+    """Of each text: its words, and which of them lie in a run of `gram` words that comes at an earlier place."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        words = texts[i].lower().split()
+        again = [False] * len(words)
+        for p in range(len(words) - gram + 1):
+            if first.setdefault(tuple(words[p : p + gram]), (i, p)) != (i, p):
+                again[p : p + gram] = [True] * gram
+        out[i] = words, again
+    return out
+
+
+def is_part(small, large):
+    rest = iter(large)
+    return all(x in rest for x in small)
+
+
+def check_left(docs, left, least):
+    """Repeated lines are gone, of other words only repeated ones, and no long run is left twice."""
+    for i, (words, again) in repeated_words(without_lines(docs, least), sd.GRAM).items():
+        own = (left[i] or "").lower().split()
+        assert is_part(own, words) and is_part([w for w, x in zip(words, again) if not x], own)
+    seen = set()
+    for i in sorted(left):
+        words = (left[i] or "").lower().split()
+        own = {tuple(words[p : p + sd.PASSAGE + 1]) for p in range(len(words) - sd.PASSAGE)}
+        assert not own & seen
+        seen |= own
+
+
 def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute(docs, sd.MIN_WORDS)
-    assert want and rows(registry.QUERIES["op5_substring_dedup"](spark, SF)) == want
+    found = registry.QUERIES["op5_substring_dedup"](spark, SF)
+    assert want and rows(found.where("start IS NULL")) == want
+    texts, again = dict(docs), repeated_words(without_lines(docs, sd.MIN_WORDS), sd.GRAM)
+    passages = found.where("start IS NOT NULL").collect()
+    assert passages
+    for r in passages:
+        part = texts[r.doc_id][r.start : r.end].lower().split()
+        words, marks = again[r.doc_id]
+        assert any(all(marks[p : p + len(part)]) for p in range(len(words) - len(part) + 1) if words[p : p + len(part)] == part) or "\n" in texts[r.doc_id][r.start : r.end]
 
 
 P = " ".join(f"w{i}" for i in range(60))
@@ -69,11 +114,22 @@ def test_passages_that_lines_do_not_show(spark):
     assert left == {1: mid_line, 2: " ".join(own(3, 35)) + " \n" + " ".join(own(4, 30)), 3: "\n".join([*own(5, 3), "end é"]), 4: texts[3][1]}
 
 
-def test_no_long_run_is_left(spark):
-    df = sd.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
-    seen = {}
-    for r in df.collect():
-        words = (r.text or "").lower().split()
-        for i in range(len(words) - 50):
-            seen.setdefault(tuple(words[i : i + 51]), set()).add(r.doc_id)
-    assert not [k for k, v in seen.items() if len(v) > 1]
+def test_what_is_left(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    check_left([(r.doc_id, r.text) for r in df.collect()], {r.doc_id: r.text for r in sd.without_repeats(df).collect()}, sd.MIN_WORDS)
+
+
+def test_planted_passages_are_caught(spark):
+    """60 words each, within longer lines, over line ends and in short lines, in documents of their own words."""
+    rng = random.Random(2)
+    texts = []
+    for k in range(40):
+        passage = [f"p{k // 2}x{i}" for i in range(60)]
+        own = [f"d{k}x{i}" for i in range(90)]
+        words = [*own[:45], *passage, *own[45:]]
+        breaks = {rng.randrange(len(words)) for _ in range(k % 4 * 5)}
+        texts.append((k, " ".join(w + ("\n" if i in breaks else "") for i, w in enumerate(words))))
+    left = {r.doc_id: r.text.split() for r in sd.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    caught = sum(sum(w[0] == "p" for w in left[k]) == 0 for k in range(1, 40, 2))
+    assert caught == 20 and all(sum(w[0] == "d" for w in left[k]) == 90 for k in left)
+    assert all(sum(w[0] == "p" for w in left[k]) == 60 for k in range(0, 40, 2))
