@@ -1,9 +1,12 @@
 """Stupid-backoff scores of documents under the n-gram counts of a corpus.
 
-Documents are dealt to batches by hash. Each batch explodes its n-grams of every order, counts them locally,
-and deals the distinct ones to ranges of the hash: packed arrays of (hash, count), so that a frequent n-gram
-travels once a batch. Each range sums its part of the count table and joins it back to what every batch asked
-for; a batch sums the log scores of its documents. Hashes are of 64 bits.
+Relationally: exploded n-grams, grouped by their hash, give the count table; the count table joins the n-grams
+back; a sum over each document gives its score. Rows travel packed, since one for each n-gram would take some
+eight times the space of the texts. A batch is a run of texts as they are read. It explodes its n-grams of
+every order, combines equal ones, and deals the distinct ones to ranges of the hash as arrays of (hash, count):
+a frequent n-gram travels once a batch, and a batch sends at most one message a range, never more than one an
+n-gram. A range sums its part of the count table and joins it to what each batch asked for; a batch sums the
+log scores of its documents. Hashes are of 64 bits.
 """
 
 from __future__ import annotations
@@ -12,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import partitions_for, total_chars
+from quarry.llm.shared import partitions_for
 from quarry.llm.words import ngram_hashes, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-#: Characters of text in a batch, and characters whose n-grams share a range of hashes.
-BATCH_CHARS, RANGE_CHARS = 4_000_000, 12_000_000
+#: Characters of text in a batch, what a row counts besides, and characters whose n-grams share a range of hashes.
+BATCH_CHARS, ROW_CHARS, RANGE_CHARS = 4_000_000, 400, 12_000_000
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -36,10 +40,12 @@ def restored(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
-def packed_texts(frame: pd.DataFrame) -> dict:
-    """The texts of some rows of a batch as one compressed blob, which is what travels."""
-    raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-    return {"batch": frame["batch"].iloc[0], "ids": frame["id"].tolist(), "sizes": [-1 if r is None else len(r) for r in raw], "blob": zstandard.ZstdCompressor(level=6).compress(b"".join(r or b"" for r in raw))}
+def packed_texts(ids: list[str | None], texts: list[str | None], side: int) -> pd.DataFrame:
+    """A batch as one row: its texts are one compressed blob, its name is a hash of all that it holds."""
+    raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    blob = zstandard.ZstdCompressor(level=6).compress(b"".join(r or b"" for r in raw))
+    name = xxhash.xxh64_intdigest(repr((ids, xxhash.xxh64_intdigest(blob)))) >> 2 << 1 | side
+    return pd.DataFrame([{"batch": name, "ids": ids, "sizes": [-1 if r is None else len(r) for r in raw], "blob": blob}])
 
 
 def unpacked_texts(frame: pd.DataFrame) -> list[str | None]:
@@ -111,32 +117,46 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
 
     `corpus` has the same columns; by default it is `docs`, and then each document is scored by the counts of
     the others (`leave_out_own`), or else no word would ever back off. All of the corpus is counted. Texts
-    without words have log_score 0 and no mean. Rows that repeat are scored alike.
+    without words have log_score 0 and no mean. Rows that repeat are scored alike. `docs` should give its rows in
+    the same order each time, as a scan or a written table does: a task that runs again after a loss must form
+    the same batches, or the job stops.
     """
     leave_out_own = corpus is None if leave_out_own is None else leave_out_own
     spark = docs.sparkSession
-    rows, chars = total_chars(docs if corpus is None else corpus, text_col)
-    ranges = partitions_for(spark, chars, RANGE_CHARS)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def batched(df: DataFrame, side: int) -> DataFrame:
-        n, size = (rows, chars) if (df is docs) == (corpus is None) else total_chars(df, text_col)
-        batches = partitions_for(spark, max(size, n * 400), BATCH_CHARS)
-        dealt = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)) * 2 + side).alias("batch"))
-
-        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame([packed_texts(part) for _, part in frame.groupby("batch")])
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [t or "" for t in frame["text"]]
+            yield pd.DataFrame({"chars": [sum(map(len, texts)) + ROW_CHARS * len(texts)], "words": [sum(len(t.split()) for t in texts)]})
 
-        return dealt.mapInPandas(pack, "batch long, ids array<string>, sizes array<int>, blob binary")
+    def measured(df: DataFrame) -> tuple[int, int]:
+        sums = df.select(F.col(text_col).alias("text")).mapInPandas(measure, "chars long, words long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("chars", "words")])
+        return tuple(sums.first())
 
-    def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"n": [sum(len((t or "").split()) for t in frame[text_col])]})
+    chars, corpus_words = measured(docs if corpus is None else corpus)
+    ranges = partitions_for(spark, chars, RANGE_CHARS)
+    own_chars = chars if corpus is None else measured(docs)[0]
 
-    asking = batched(docs, 0)
-    counted = asking if corpus is None else batched(corpus, 1)
-    corpus_words = (docs if corpus is None else corpus).select(text_col).mapInPandas(count_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def batched(df: DataFrame, side: int, size: int) -> DataFrame:
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, texts, held = [], [], 0
+            for frame in frames:
+                for i, text in zip(frame["id"], frame["text"], strict=True):
+                    ids.append(i)
+                    texts.append(text)
+                    held += len(text or "") + ROW_CHARS
+                    if held >= BATCH_CHARS:
+                        yield packed_texts(ids, texts, side)
+                        ids, texts, held = [], [], 0
+            if ids:
+                yield packed_texts(ids, texts, side)
+
+        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+        return rows.mapInPandas(pack, "batch long, ids array<string>, sizes array<int>, blob binary").repartition(partitions_for(spark, size, BATCH_CHARS), "batch")
+
+    asking = batched(docs, 0, own_chars)
+    counted = asking if corpus is None else batched(corpus, 1, chars)
 
     def explode(weight: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +182,7 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
         out = pd.DataFrame({"range": frame["range"], "batch": frame["batch"], "totals": [squeezed(p) for p in parts]})
         return out[out["batch"] % 2 == 0]
 
-    answers = asked.groupBy("range").applyInPandas(count, "range long, batch long, totals binary")
+    answers = asked.repartition(ranges, "range").groupBy("range").applyInPandas(count, "range long, batch long, totals binary")
 
     def score(own: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
@@ -170,6 +190,8 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
         grams = Grams(unpacked_texts(own), order)
         answer = answer.sort_values("range")
         totals = np.concatenate([np.zeros(0, np.uint64), *(restored(x, np.uint64) for x in answer["totals"])])
+        if len(totals) != len(grams.keys):
+            raise RuntimeError("the rows to score came in another order when a task ran again: write them to a table first")
         log_score, full = grams.scores(totals, corpus_words, backoff, leave_out_own)
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(grams.lengths > 0, log_score / grams.lengths, None)
