@@ -22,6 +22,8 @@ from quarry.llm.words import shingles
 K = 128
 BITS = 48
 BATCH = 256
+#: Runs of ids at most, whose first ids the driver holds. A longer run takes longer and no more memory.
+MAX_RUNS = 20_000
 
 
 def sketches(texts: list[str | None], k: int = K, size: int = 5) -> list[np.ndarray]:
@@ -103,15 +105,15 @@ def compared(a: Column, b: Column, k: int = K) -> Column:
 
 
 def with_successors(docs: DataFrame, id_col: str, text_col: str, chars_each: int = 4_000_000) -> DataFrame:
-    """Rows `part, key, id, text, ahead`, where each part holds a run of ids and the row that follows it.
+    """Rows `part, key, id, text, ahead`, sorted by part, ahead, key and text: each part holds a run of ids and the row that follows it.
 
-    Runs of ids are cut at quantiles, one number a task; the first row of each run is sent to the run before
-    it as well, marked `ahead` (the very first to the last). So each row finds its successor within its part.
-    Null ids come first.
+    Runs of ids are cut at quantiles, one number a run and MAX_RUNS at most; the first row of each run is sent to
+    the run before it as well, marked `ahead` (the very first to the last). So each row's successor comes next
+    in its partition. Null ids come first.
     """
     rows, chars = total_chars(docs, text_col)
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = partitions_for(docs.sparkSession, max(chars, rows * 400), chars_each)
+    parts = min(MAX_RUNS, partitions_for(docs.sparkSession, max(chars, rows * 400), chars_each))
     cuts = sorted(set(keyed.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 and rows else []
     bounds = np.array(cuts, np.float64)
 
@@ -119,7 +121,7 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str, chars_each: int
     def part(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right"))
 
-    firsts = [(r["part"], r["first"]) for r in keyed.select("key").withColumn("part", part("key")).groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()]  # a number a task
+    firsts = [(r["part"], r["first"]) for r in keyed.select("key").withColumn("part", part("key")).groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()]  # a number a run
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
 
     @F.pandas_udf("int")
@@ -128,7 +130,7 @@ def with_successors(docs: DataFrame, id_col: str, text_col: str, chars_each: int
 
     places = F.filter(F.array(F.struct(F.col("__part").alias("part"), F.lit(False).alias("ahead")), F.struct(F.col("__ahead").alias("part"), F.lit(True).alias("ahead"))), lambda x: x["part"].isNotNull())
     spread = keyed.withColumn("__part", part("key")).withColumn("__ahead", ahead_of("key"))
-    return spread.select("key", "id", "text", F.inline(places)).repartition(max(1, len(firsts)), "part")
+    return spread.select("key", "id", "text", F.inline(places)).repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "ahead", "key", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = 5) -> DataFrame:
@@ -140,26 +142,25 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "text"], kind="stable")
-        own = frame[~frame["ahead"]]
-        texts = own["text"].tolist()
-        texts.append(frame[frame["ahead"]]["text"].iloc[0])
-        edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:], strict=False)]
-        rows, after = [], None
-        for start in range(0, len(edited), BATCH):
-            part = texts[start : start + BATCH + 1]
-            whole = sketches(part[1:] if after is not None else part, k, size)
-            if after is not None:
-                whole.insert(0, after)
-            after = whole[-1]
-            changed = sketches(edited[start : start + BATCH], k, size)
-            for i, e in enumerate(changed):
-                text = edited[start + i].encode("utf-8", "surrogatepass")
-                rows.append((len(part[i]), hashlib.sha256(text).hexdigest(), packed(whole[i]), packed(e), resemblance(whole[i], e, k), resemblance(whole[i], whole[i + 1], k)))
-        out = pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        out.insert(0, id_col, own["id"].to_numpy() if len(own) else None)
-        return out
-
     kind = docs.schema[id_col].dataType.simpleString()
-    return with_successors(docs, id_col, text_col).groupBy("part").applyInPandas(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    integral = kind in ("bigint", "int", "smallint", "tinyint")
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # the last row, whose successor is yet to come
+        for frame in frames:
+            for start in range(0, len(frame), BATCH):
+                some = frame.iloc[start : start + BATCH]
+                texts = some["text"].tolist()
+                held += zip(some["part"].tolist(), some["ahead"].tolist(), some["id"].astype(object).where(some["id"].notna(), None), texts, sketches(texts, k, size), strict=True)
+                pairs = [(a, b) for a, b in zip(held, held[1:], strict=False) if not a[1] and a[0] == b[0]]
+                held = held[-1:]
+                edited = [a[3][: len(a[3]) - len(a[3]) // 2] + b[3][: len(a[3]) // 2] for a, b in pairs]
+                rows = [
+                    (a[2], len(a[3]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), packed(a[4]), packed(e), resemblance(a[4], e, k), resemblance(a[4], b[4], k))
+                    for (a, b), text, e in zip(pairs, edited, sketches(edited, k, size), strict=True)
+                ]
+                out = pd.DataFrame(rows, columns=names)
+                yield out.astype({"id": "Int64"}) if integral else out
+
+    return with_successors(docs, id_col, text_col).mapInPandas(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
