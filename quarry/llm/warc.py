@@ -1,8 +1,9 @@
 """WARC archives of captured pages, and their index merged from locally sorted runs.
 
 Each task writes gzip WARC files, a member for each record, and the index of each file as a run sorted by URL
-key and time. Runs are dealt out by ranges of that key; each task merges the slices of runs in its range with
-a loser tree. Ranges follow one another, so the whole is ordered.
+key and time. Runs are dealt out by ranges of that key; each task takes the slices of runs in its range as they
+are and merges them with a loser tree. A range has a bounded number of rows, also of one URL, since time and
+record are part of its bounds. Ranges follow one another, so the whole is ordered.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import new_path, partitions_for, written
+from quarry.llm.shared import marked_among, new_path, partitions_for, with_groups, written
 
 FILE_BYTES = 32_000_000
 #: A page without a capture time of its own is dated by its id, in seconds from here.
@@ -44,17 +45,34 @@ def url_key(url: str | None) -> str:
     return f"{host}{f':{port}' if port else ''}){parts.path or '/'}{'?' + parts.query if parts.query else ''}"
 
 
+def _date(page_id: int | None) -> str:
+    return (FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _uri(url: str) -> str:
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
+def _file_info(name: str) -> bytes:
+    """The record at the head of a file."""
+    block = b"software: quarry\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {_date(None)}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def _record(row: dict, record_id: str, timestamp: str) -> bytes:
     revisit = row["record_type"] == "revisit"
     payload = b"" if revisit else (row["html"] or "").encode("utf-8", "surrogatepass")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {timestamp}", f"WARC-Payload-Digest: sha1:{row['digest']}"]
     if row["url"] is not None:
-        head.append("WARC-Target-URI: " + quote(row["url"], safe="".join(map(chr, range(33, 127)))))
+        head.append("WARC-Target-URI: " + _uri(row["url"]))
     if row["page_id"] is not None:
         head.append(f"X-Page-Id: {row['page_id']}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {row['refers_to']}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {_date(row['refers_to'])}", f"X-Refers-To-Page-Id: {row['refers_to']}"]
+        if row["first_url"] is not None:
+            head.append("WARC-Refers-To-Target-URI: " + _uri(row["first_url"]))
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,10 +90,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = folder or new_path(pages.sparkSession, "warc")
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(body.cast("binary")).alias("sha1"), (F.octet_length(body) >= dedup_from_bytes).alias("counts"))
-    firsts = rows.where("counts").groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
-    joined = rows.join(firsts, "sha1", "left")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = rows.where("counts").groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.min_by("url", named).alias("first_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
+    firsts = written(firsts, "first-payloads")
+    # a page whose payload is surely its own needs no join, and its html no shuffle
+    marked = marked_among(rows.withColumn("key", F.xxhash64("sha1")), firsts.select(F.xxhash64("sha1").alias("key")), "key", "maybe").drop("key")
+    alone = marked.where("NOT maybe").drop("maybe", "counts").withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+    met = with_groups(marked.where("maybe"), firsts, ["sha1"], "n", ["page_id", "url"], "left")
     revisit = F.col("counts") & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    typed = joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    met = met.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("first_url"))
+    typed = alone.unionByName(met)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -93,10 +117,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 if out is None:
                     name, at, run = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, []
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)  # the members are compressed already
+                    info = gzip.compress(_file_info(name), 6, mtime=0)
+                    out.write(info)
+                    at = len(info)
                 row["digest"] = base64.b32encode(bytes.fromhex(row.pop("sha1"))).decode()
                 row["page_id"], row["refers_to"] = (None if row[c] is None else int(row[c]) for c in ("page_id", "refers_to"))
                 record_id = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{at}')}"
-                timestamp = (FIRST_CAPTURE + timedelta(seconds=(row["page_id"] or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                timestamp = _date(row["page_id"])
                 raw = gzip.compress(_record(row, record_id, timestamp), 6, mtime=0)
                 out.write(raw)
                 run.append((url_key(row["url"]), timestamp, row["page_id"], record_id, row["record_type"], row["digest"], row["refers_to"], name, at, len(raw)))
@@ -110,8 +137,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return written(typed.mapInPandas(write, INDEX), "warc-index").withColumn("folder", F.lit(folder))
 
 
-def loser_tree(runs: list[list]) -> Iterator:
-    """Merges sorted lists. Inner node i holds the loser of the match played there; the winner goes up."""
+def loser_tree(runs: list) -> Iterator:
+    """Merges sorted iterables. Inner node i holds the loser of the match played there; the winner goes up."""
     k = len(runs)
     heads = [iter(run) for run in runs]
     now: list = [next(h, None) for h in heads]
@@ -137,7 +164,7 @@ def loser_tree(runs: list[list]) -> Iterator:
 def merge_index(index: DataFrame, rows_each: int = 500_000) -> DataFrame:
     """The index in order of URL key and time: `range, position` give each entry's place, `capture_after` the time of the capture before it where that has the same URL key, in its range or an earlier one."""
     parts = partitions_for(index.sparkSession, index.count(), rows_each)
-    dealt = index.repartitionByRange(parts, "url_key", "timestamp", "record_id")
+    dealt = index.repartitionByRange(parts, "url_key", "timestamp", "record_id").sortWithinPartitions("file", "run_seq")  # the slices of runs, one after the other
     columns = dealt.columns
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,10 +172,11 @@ def merge_index(index: DataFrame, rows_each: int = 500_000) -> DataFrame:
         if not whole:
             return
         rows = pd.concat(whole, ignore_index=True)
-        keys, times, ids, seqs = (rows[c].tolist() for c in ("url_key", "timestamp", "record_id", "run_seq"))
-        runs = [sorted(zip([keys[i] for i in at], [times[i] for i in at], [ids[i] for i in at], [seqs[i] for i in at], at, strict=True), key=lambda r: r[3]) for at in (x.tolist() for x in rows.groupby("file", sort=False).indices.values())]
+        keys, times, ids, files = (rows[c].tolist() for c in ("url_key", "timestamp", "record_id", "file"))
+        cuts = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1]), len(files)]
+        runs = [zip(keys[a:b], times[a:b], ids[a:b], range(a, b), strict=True) for a, b in zip(cuts, cuts[1:], strict=False)]
         order, after, last = [], [], (None, None)
-        for key, time, _, _, i in loser_tree(runs):
+        for key, time, _, i in loser_tree(runs):
             order.append(i)
             after.append(last[1] if last[0] == key else None)
             last = key, time
@@ -183,6 +211,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                             head[name] = value
                         block = lines.read(int(head["Content-Length"]))
                         lines.read(4)
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
                         revisit = head["WARC-Type"] == "revisit"
                         rows.append((head["WARC-Record-ID"][1:-1], head.get("X-Page-Id"), head.get("WARC-Target-URI"), head["WARC-Date"], head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page-Id"), None if revisit else block.partition(b"\r\n\r\n")[2]))
                         size += len(block)
