@@ -122,11 +122,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     # one exchange by text serves the stitching and the join with the rows that have the text
     parts = _encoded(pieces, "text", path, ["key", "chunk"]).unionByName(_encoded(whole, "text", path, ["key", "chunk"]))
     stitched = parts.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    stitched = stitched.select("key", "n_tokens", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    stitched = stitched.select("key", "n_tokens", joined(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     each = uses.join(stitched, "key")
     return short.unionByName(each.select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n_tokens", "ids").drop("copy")).withColumnRenamed("id", id_col)
 
 
+def joined(parts: Column) -> Column:
+    """The byte strings of an array column as one."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else b"".join(x) for x in column.to_pylist()], pa.binary())
+
+    return run(parts)
+
+
 def decoded(ids: Column, path: str = VOCABULARY) -> Column:
     """The bytes that a column of packed ids stands for; null stays null."""
 
