@@ -70,18 +70,22 @@ def features(text: str | None, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted(examples: list[tuple[np.ndarray, np.ndarray, int]], dim: int = DIM, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after follow-the-regularised-leader updates over the examples in order."""
+    """Weights after follow-the-regularised-leader updates over the examples in order. Values that share a place are added up first."""
+    whole = []
+    for at, x, label in examples:
+        at, own = np.unique(at, return_inverse=True)
+        whole.append((at, np.bincount(own, x), label))
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for at, x, label in examples:
+        for at, x, label in whole:
             w = weights(z[at], n[at])
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
-            np.add.at(z, at, g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w)
-            np.add.at(n, at, g * g)
+            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
+            n[at] += g * g
     return weights(z, n)
 
 
@@ -139,4 +143,4 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with their columns."""
     weights = train(docs, labels, id_col, text_col)
-    return docs.withColumn("__score", score(F.col(text_col), weights)).where(F.col("__score") >= threshold).drop("__score")
+    return docs.where(score(F.col(text_col), weights) >= threshold)

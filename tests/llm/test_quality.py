@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -34,3 +35,45 @@ def test_edge_rows(spark):
 
 def test_shapes():
     assert [quality.shape(x) for x in ("THE!!", "of%%%", "|", "Éa9")] == ["XX!!", "xx%%", "|", "Xx9"]
+
+
+def plain_ftrl(examples, epochs):
+    """Follow-the-regularised-leader, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return (sign * quality.L1 - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for places, values, label in examples:
+            found = {}
+            for i, v in zip(places, values):
+                found[i] = found.get(i, 0.0) + v
+            at, x = list(found), list(found.values())
+            w = [weight(i) for i in at]
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(a * b for a, b in zip(w, x))))))
+            for i, v, own in zip(at, x, w):
+                g = (p - label) * v
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / quality.ALPHA * own
+    return {i: weight(i) for i in z}
+
+
+def test_weights_against_plain_updates(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(200).collect()]
+    examples = [(*quality.features(t, 1 << 12), len(t or "") % 2) for t in docs]
+    got = quality.fitted(examples, 1 << 12)
+    want = plain_ftrl([(a.tolist(), x.tolist(), y) for a, x, y in examples], quality.EPOCHS)
+    assert sum(v != 0 for v in want.values()) > 500
+    assert all(abs(got[i] - want.get(i, 0.0)) < 1e-9 for i in range(len(got)))
+
+
+def test_a_column_named_score_stays(spark):
+    docs = spark.createDataFrame([(i, f"Some words of text {i}.", i) for i in range(20)], "doc_id long, text string, __score long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    left = quality.accepted(docs, labels, threshold=0.0)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(map(tuple, docs.collect()))
