@@ -48,13 +48,21 @@ def byte_alphabet() -> dict[str, int]:
 def encoding(path: str) -> tiktoken.Encoding:
     """Encoder over the vocabulary of a byte-level tokenizers file, whose ids are in the order of its merges.
 
-    It gives the ids of the tokenizers library (without special tokens) at some four times its speed.
+    It gives the ids of the tokenizers library at some four times its speed.
     """
     with open(path, encoding="utf-8") as file:
         found = json.load(file)
-    of, special = byte_alphabet(), {x["content"] for x in found.get("added_tokens", ())}
-    ranks = {bytes(map(of.__getitem__, token)): i for token, i in found["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    of, added = byte_alphabet(), {x["content"]: x["id"] for x in found.get("added_tokens", ())}
+    ranks = {bytes(map(of.__getitem__, token)): i for token, i in found["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def token_ids(text: str, path: str = TOKENIZER) -> list[int]:
+    """Ids of a text as the tokenizers library gives them without special tokens of its own: a token that the file adds to its vocabulary is one id wherever the text spells it."""
+    found = encoding(path)
+    if any(token in text for token in found.special_tokens_set):
+        return found.encode(text, allowed_special="all")
+    return found.encode_ordinary(text)
 
 
 def id_type(size: int) -> np.dtype:
@@ -106,12 +114,12 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """`id, curve_key, n_ids, ids` of each row: ids with the end id, packed as the narrowest unsigned integers that hold the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoding(path).encode_ordinary, encoding(path).n_vocab
+        size = encoding(path).n_vocab
         dtype = id_type(size)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
-                ids = [np.array([*encode(t), end_id], dtype) for t in batch.column(1).to_pylist()]
+                ids = [np.array([*token_ids(t, path), end_id], dtype) for t in batch.column(1).to_pylist()]
                 keys = hilbert_keys(points([x[:-1] for x in ids], size))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [id_col, "curve_key", "n_ids", "ids"])
 
