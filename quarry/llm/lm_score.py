@@ -25,7 +25,7 @@ from quarry.llm.words import ngram_hashes, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a batch, what a row counts besides, and characters whose n-grams share a range of hashes.
-BATCH_CHARS, ROW_CHARS, RANGE_CHARS = 4_000_000, 400, 12_000_000
+BATCH_CHARS, ROW_CHARS, RANGE_CHARS = 6_000_000, 400, 12_000_000
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -121,7 +121,8 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
     the same order each time, as a scan or a written table does: a task that runs again after a loss must form
     the same batches, or the job stops.
     """
-    leave_out_own = corpus is None if leave_out_own is None else leave_out_own
+    counts_itself = corpus is None
+    leave_out_own = counts_itself if leave_out_own is None else leave_out_own
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -177,21 +178,22 @@ def lm_scores(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
         keys = [np.cumsum(restored(x, np.uint64), dtype=np.uint64) for x in frame["keys"]]
         counts = np.concatenate([restored(x, np.uint32) for x in frame["counts"]])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, counts)[inverse].astype(np.uint64)
-        parts = np.split(totals, np.cumsum([len(k) for k in keys])[:-1])
-        out = pd.DataFrame({"range": frame["range"], "batch": frame["batch"], "totals": [squeezed(p) for p in parts]})
+        others = (np.bincount(inverse, counts)[inverse] - counts).astype(np.uint64)  # what a batch knows of itself need not travel
+        parts = np.split(others, np.cumsum([len(k) for k in keys])[:-1])
+        out = pd.DataFrame({"range": frame["range"], "batch": frame["batch"], "others": [squeezed(p) for p in parts]})
         return out[out["batch"] % 2 == 0]
 
-    answers = asked.repartition(ranges, "range").groupBy("range").applyInPandas(count, "range long, batch long, totals binary")
+    answers = asked.repartition(ranges, "range").groupBy("range").applyInPandas(count, "range long, batch long, others binary")
 
     def score(own: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame(columns=["id", "n_words", "n_full_context", "log_score", "mean_log_score"])
         grams = Grams(unpacked_texts(own), order)
         answer = answer.sort_values("range")
-        totals = np.concatenate([np.zeros(0, np.uint64), *(restored(x, np.uint64) for x in answer["totals"])])
+        totals = np.concatenate([np.zeros(0, np.uint64), *(restored(x, np.uint64) for x in answer["others"])])
         if len(totals) != len(grams.keys):
             raise RuntimeError("the rows to score came in another order when a task ran again: write them to a table first")
+        totals = totals + grams.counts.astype(np.uint64) * np.uint64(counts_itself)
         log_score, full = grams.scores(totals, corpus_words, backoff, leave_out_own)
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = np.where(grams.lengths > 0, log_score / grams.lengths, None)
