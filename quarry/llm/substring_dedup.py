@@ -109,9 +109,9 @@ def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: s
 
     left = texts.where(F.length("text") >= 2 * words - 1).join(gone, KEY, "left")
     marked = written(left.mapInPandas(select, f"id {id_kind}, doc_hash long, place int, gram long"), "grams")
-    often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    shared = written(with_groups(maybe_among(marked, often, "gram"), often.select("gram", "n"), ["gram"], "n", [*KEY, "place"]).drop("n").distinct(), "shared-grams")
-    first = written(shared.groupBy("gram").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count(F.lit(1)).alias("class_size")), "first-grams")
+    often = written(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
+    shared = written(maybe_among(marked, often, "gram").distinct(), "shared-grams")
+    first = written(shared.groupBy("gram").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "first-grams")
     again = with_groups(shared, first, ["gram"], "class_size", [*KEY, "place"]).where(F.struct(*KEY, "place") != F.col("first"))
     again = again.select(*KEY, "place", F.struct(F.col("first.id").alias("id"), F.col("first.doc_hash").alias("doc_hash"), F.col("first.place").alias("place"), "gram", "class_size").alias("kept"))
 
