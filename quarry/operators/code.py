@@ -19,8 +19,8 @@ STRUCT = r"struct[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*(?:<[^>{]*>)?[ \t]*(?:has[
 CONSTANT = r"const[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*([^=;]+?)[ \t]*=[ \t]*([^;]+);"
 IMPORT = r"(?m)^[ \t]*use[ \t]+([^;]+);"
 #: Linear types, capability names, and what raises each risk, with its weight.
-LINEAR = ["Coin<", "Balance<", "Receipt", "FlashLoan", "Potato", "Ticket", "Voucher", "Promise", "Request", "Borrow"]
-CAPABILITIES = ["AdminCap", "OwnerCap", "TreasuryCap", "UpgradeCap", "Publisher", "MinterCap", "GovernanceCap"]
+LINEAR = ["Coin", "Balance", "TreasuryCap", "CoinMetadata", "Receipt", "FlashLoanReceipt", "HotPotato", "Position", "Pool", "Vault"]
+CAPABILITIES = ["AdminCap", "OwnerCap", "TreasuryCap", "MinterCap", "Capability", "Witness", "Cap"]
 RISKS = {"overflow": (r"\*|\+|<<|>>", 10), "state_modification": (r"balance::join|balance::split|coin::mint|coin::burn|transfer::|dynamic_field::|table::|bag::", 8), "division": ("/", 12), "external_call": ("::", 5)}
 ACCESS_WEIGHT = 15
 #: Words that look like calls and are none.
@@ -70,10 +70,10 @@ def function_spans(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def is_test_function(files: DataFrame, keys: list[str], above: int = 10) -> DataFrame:
-    """Functions that are tests, by their name or by a test attribute in the lines above, up to a closing brace."""
+    """Functions that are tests, by their name or by a test attribute in the lines above, up to a line that closes a block or declares another function."""
     lines = function_lines(files, keys)
     before = F.collect_list("line").over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(-above, -1))
-    near = F.aggregate(F.reverse("before"), F.struct(F.lit(False).alias("hit"), F.lit(False).alias("over")), lambda s, x: F.struct((s["hit"] | (~s["over"] & x.rlike(r"#\[test(_only)?\b"))).alias("hit"), (s["over"] | x.contains("}") | x.rlike(r"\bfun\b")).alias("over")))["hit"]
+    near = F.aggregate(F.reverse("before"), F.struct(F.lit(False).alias("hit"), F.lit(False).alias("over")), lambda s, x: F.struct((s["hit"] | (~s["over"] & x.rlike(r"#\[test(_only)?\]"))).alias("hit"), (s["over"] | x.rlike(r"^\s*(\}\s*$|(fun|public|entry) )")).alias("over")))["hit"]
     named = F.col("declared").startswith("test_") | F.col("declared").endswith("_test") | F.col("declared").endswith("_for_test")
     return lines.withColumn("before", before).where("declared IS NOT NULL").select(*keys, F.col("declared").alias("function"), F.col("line_no").alias("start_line"), (named | near | F.col("line").rlike(r"#\[test")).alias("is_test"))
 
@@ -125,9 +125,9 @@ def function_params(functions: DataFrame) -> DataFrame:
 
 
 def linear_resources(functions: DataFrame) -> DataFrame:
-    """Which linear types occur in the parameters, receipts apart."""
-    found = F.filter(F.array(*map(F.lit, LINEAR)), lambda x: F.contains(F.col("params"), x))
-    return functions.withColumn("linear", found).withColumn("receipts", F.filter("linear", lambda x: x.contains("Receipt")))
+    """Which linear types occur in the parameters: `linear`, and receipts apart in `receipts`."""
+    named = lambda types: F.filter(F.array(*map(F.lit, types)), lambda x: F.contains(F.col("params"), x))
+    return functions.withColumns({"linear": named([x for x in LINEAR if "Receipt" not in x]), "receipts": named([x for x in LINEAR if "Receipt" in x])})
 
 
 def risk_indicators(functions: DataFrame, body: str = "body") -> DataFrame:

@@ -7,13 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import choose, first_per_group, severity_rank, topk_per_group
+from quarry.functions.columns import any_in, choose, first_per_group, severity_rank, topk_per_group
 
 #: Title words and the terms that code must have for a hit to be relevant.
 CORE_CONCEPTS = {
-    "flash": ["flash", "loan", "borrow"], "oracle": ["oracle", "price", "feed"], "liquidat": ["liquidat", "collateral"], "overflow": ["+", "*", "<<"],
-    "division": ["/", "div"], "timestamp": ["clock", "timestamp"], "reward": ["reward", "claim"], "transfer": ["transfer"], "upgrade": ["upgrade", "version"],
+    "recipient": ["recipient"], "oracle": ["oracle"], "whitelist": ["whitelist", "white_list"], "blacklist": ["blacklist", "black_list"], "admin": ["admin"], "owner": ["owner"],
+    "governance": ["governance", "gov"], "timelock": ["timelock", "time_lock"], "pause": ["pause", "paused"], "upgrade": ["upgrade"], "proxy": ["proxy"], "delegate": ["delegate"],
+    "callback": ["callback"], "reentrancy": ["reentrant", "reentrancy"], "slippage": ["slippage"], "deadline": ["deadline"], "nonce": ["nonce"], "signature": ["signature", "sig"],
 }
+#: Names of receipts and of functions that repay, and what shows that type, amount and pool are checked.
+RECEIPTS, REPAYS = ["receipt", "flashreceipt", "flashloanreceipt", "loan"], ["repay", "repay_flashloan", "repay_flash", "return_loan"]
+TYPE_CHECKS = [r"type_name::get<.*>\s*\(\)\s*.*==.*type_name", r"type_name\s*==\s*type_name::get", r"assert!.*type_name.*==", r"ETypeMismatch"]
+AMOUNT_CHECKS = [r"assert!.*coin::value.*>=", r"assert!.*amount.*==", r"ERepayAmountMismatch", r"repay_amount"]
+POOL_CHECKS = [r"object::id\(pool\)\s*==", r"pool_id\s*==", r"EPoolIdMismatch"]
 
 
 def type_definitions(tokens: DataFrame, types: DataFrame) -> DataFrame:
@@ -83,15 +89,16 @@ def scannable(functions: DataFrame) -> DataFrame:
 
 
 def flashloan_check(types: DataFrame, functions: DataFrame) -> DataFrame:
-    """Of each project: the first receipt-like struct, whether it must be used up, the first function that repays, and what that one checks."""
-    receipts = types.where(F.lower("name").contains("receipt") | F.lower("name").contains("potato"))
-    receipt = receipts.groupBy("project").agg(F.min_by(F.struct("name", "abilities"), "seq").alias("r"))
-    repays = functions.where(F.lower("name").contains("repay") | F.lower("name").contains("return_loan"))
-    repay = repays.groupBy("project").agg(F.min_by(F.struct("name", "body"), "seq").alias("f"))
-    rows = receipt.join(repay, "project", "full")
-    body = F.col("f.body")
-    rows = rows.select("project", F.col("r.name").alias("receipt"), (~F.array_contains("r.abilities", "drop")).alias("hot_potato"), F.col("f.name").alias("repay"), body.rlike(r"type_name::get|contains_type|assert!\s*\([^)]*type").alias("checks_type"), body.rlike(r"assert!\s*\([^)]*(amount|value|balance)").alias("checks_amount"), body.rlike(r"pool_id|object::id").alias("checks_pool"), (body.contains("contains_type") & ~body.contains("type_name::get")).alias("type_confusion"))
-    verdict = choose([(F.col("receipt").isNull() | F.col("repay").isNull(), "no flash loan"), (F.col("type_confusion"), "type confusion"), (~F.col("checks_amount"), "amount not checked"), (~F.col("checks_type"), "type not checked")], "checked")
+    """Of each project: the first receipt, whether it must be used up, the first function that repays, and what that one checks; case doesn't count."""
+    receipt = types.where(any_in(F.lower("name"), RECEIPTS)).groupBy("project").agg(F.min_by(F.struct("name", "abilities"), "seq").alias("r"))
+    repay = functions.where(any_in(F.lower("name"), REPAYS)).groupBy("project").agg(F.min_by(F.struct("name", "body"), "seq").alias("f"))
+    body = F.coalesce("f.body", F.lit(""))
+    shows = lambda patterns: body.rlike(f"(?i){'|'.join(patterns)}")
+    kept = F.col("r.name").isNotNull() & ~F.exists(F.coalesce("r.abilities", F.array().cast("array<string>")), lambda a: F.lower(a).contains("drop"))
+    checks = {"hot_potato": kept, "checks_type": shows(TYPE_CHECKS), "checks_amount": shows(AMOUNT_CHECKS), "checks_pool": shows(POOL_CHECKS)}
+    rows = receipt.join(repay, "project", "full").select("project", F.col("r.name").alias("receipt"), F.col("f.name").alias("repay"), *[c.alias(n) for n, c in checks.items()], (~checks["checks_type"] & body.contains("contains_type") & ~body.contains("type_name::get")).alias("type_confusion"))
+    hot = F.col("hot_potato")
+    verdict = choose([(hot & F.col("checks_type") & F.col("checks_amount") & F.col("checks_pool"), "checked"), (hot & F.col("checks_type"), "receipt and type checked"), (hot & F.col("type_confusion"), "type confusion"), (hot, "type not checked")], "to be reviewed")
     return rows.withColumn("verdict", verdict)
 
 
@@ -128,16 +135,16 @@ def matched_cues(code: Column, cues: Column, title: Column, n: int = 5) -> Colum
 
 
 def code_relevance(code: Column, title: Column, words: Column, function: Column, cues: Column, negatives: Column) -> Column:
-    """How well a similar issue fits code, 0 to 1: shares of its words, function and cues that occur, less where a core concept is missing or negative words occur."""
+    """How well a similar issue fits code, 0 to 1: shares of its words, function and cues that occur, less where negative words occur, and 0.1 where any core concept of the title is missing."""
     lower = F.lower(code)
     hits = lambda xs: F.size(F.filter(xs, lambda x: F.contains(lower, F.lower(x))))
     concepts = core_concepts(title)
     checks = F.size(words) + F.when(function.isNotNull(), 1).otherwise(0) + F.size(cues)
     points = hits(words) * 1.0 + F.when(F.contains(lower, F.lower(function)), 1.5).otherwise(0.0) + hits(cues) * 0.8
-    base = F.when(checks == 0, 0.5).otherwise(F.least(F.lit(1.0), points / (checks * 0.5)))
+    base = F.when(checks == 0, 0.5).otherwise(F.least(F.lit(1.0), points / F.greatest(checks * 0.5, F.lit(1.0))))
     bad = hits(negatives)
     weighed = base * F.when(bad >= 2, 0.5).when(bad == 1, 0.7).otherwise(1.0)
-    return F.when((F.size(concepts) > 0) & (hits(concepts) == 0), 0.1).otherwise(F.round(weighed, 6))
+    return F.when(hits(concepts) < F.size(concepts), 0.1).otherwise(F.round(weighed, 6))
 
 
 def semantic_matches(hits: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
@@ -160,15 +167,6 @@ def snippets_by_keyword(lines: DataFrame, keyword: str, n: int = 5, most: int =
     return hits.select("path", picked.alias("hits"))
 
 
-def language_gate(findings: DataFrame, guard: list[str], protected: dict[str, list[str]], exceptions: list[str]) -> DataFrame:
-    """Whether a finding is ruled out by guarantees of the language: guard words keep it, else the first protected type whose words occur rules it out, but for exceptions, which add a note."""
-    text = F.lower(F.concat_ws(" ", "title", "description", "category"))
-    has = lambda words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    kind = choose([(has(words), name) for name, words in protected.items()])
-    rows = findings.withColumn("protected_type", F.when(has(guard), None).otherwise(kind))
-    return rows.withColumns({"language_fp": F.col("protected_type").isNotNull() & ~has(exceptions), "language_note": F.when(F.col("protected_type").isNotNull() & has(exceptions), F.lit("exception"))})
-
-
 def apply_custom_exclusions(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The first user rule that excludes each finding, or null.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.exploit_data import DEFAULT_GAIN, DEFAULT_HINT, DEFAULT_IMPACT, GAINS, HINTS, IMPACTS
 from quarry.functions.columns import SEVERITIES, any_in, choose, first_per_group, line_start, severity_rank, text_of, topk_per_group, vuln_type
 
 KEY = ["module", "function", "line_key", "vuln_type"]
@@ -126,9 +127,16 @@ def is_real(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("sureness").isin("verified", "high") & (F.col("score") >= 6) & (F.col("path_steps") > 0))
 
 
-def impact_by_type(findings: DataFrame, impacts: DataFrame) -> DataFrame:
-    """Who is hit and how much may be lost, by vulnerability type; `impacts` is a small look-up table."""
-    return with_vuln_type(findings).join(impacts, "vuln_type", "left")
+def looked_up(key: Column, table: dict[str, tuple[str, ...]], default: tuple[str, ...], names: list[str]) -> dict[str, Column]:
+    """Columns of a small fixed table by key, as literal cases."""
+    return {n: choose([(key == k, row[i]) for k, row in table.items()], default[i]) for i, n in enumerate(names)}
+
+
+def impact_by_type(findings: DataFrame) -> DataFrame:
+    """Who is hit, how much may be lost and what is gained, by the type in `category`."""
+    kind = F.coalesce("category", F.lit(""))
+    gains = {k: (v,) for k, v in GAINS.items()}
+    return findings.withColumns(looked_up(kind, IMPACTS, DEFAULT_IMPACT, ["parties", "max_loss"]) | looked_up(kind, gains, (DEFAULT_GAIN,), ["gain"]))
 
 
 def concat_phases(batch: DataFrame, cross: DataFrame) -> DataFrame:
@@ -159,13 +167,9 @@ def status_reasons(verified: DataFrame) -> DataFrame:
     return verified.withColumns({"false_positive_reason": F.when(F.col("final_status") == "false_positive", why), "review_reasons": F.when(F.col("final_status") == "needs_review", open_points)})
 
 
-def exploit_hints(findings: DataFrame, hints: DataFrame, default: str = "any") -> DataFrame:
-    """Hints by vulnerability type; types without a row get that of `default`."""
-    typed = with_vuln_type(findings)
-    known = hints.select("vuln_type", "entry_hint", "attack_hint")
-    other = hints.where(F.col("vuln_type") == default).select(F.col("entry_hint").alias("entry_0"), F.col("attack_hint").alias("attack_0"))
-    rows = typed.join(known, "vuln_type", "left").join(F.broadcast(other), F.lit(True), "left")  # one row
-    return rows.withColumns({"entry_hint": F.coalesce("entry_hint", "entry_0"), "attack_hint": F.coalesce("attack_hint", "attack_0")}).drop("entry_0", "attack_0")
+def exploit_hints(findings: DataFrame) -> DataFrame:
+    """Hints for checking whether a finding can be used, by the type in `category`."""
+    return findings.withColumns(looked_up(F.coalesce("category", F.lit("")), HINTS, DEFAULT_HINT, ["entry_hint", "attack_hint", "precondition_hint", "impact_hint"]))
 
 
 def split_by_status(rows: DataFrame) -> DataFrame:

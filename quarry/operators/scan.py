@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import choose, language_of, topk_per_group
+from quarry.functions.columns import any_in, choose, language_of, topk_per_group
 
 #: Points of a match by severity, and the least score of each risk level.
 WEIGHTS = {"critical": 100, "high": 70, "medium": 40, "low": 20, "advisory": 10}
@@ -136,10 +136,14 @@ def scan_risk_score(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id").agg(F.least(F.lit(100), F.floor(total)).cast("int").alias("risk_score"))
 
 
+def severity_line() -> Column:
+    return F.concat_ws(", ", *[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in WEIGHTS])
+
+
 def scan_summary(matches: DataFrame) -> DataFrame:
     """Severity counts of each text and a line of text of those that are not 0."""
     counts = matches.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in WEIGHTS])
-    return counts.withColumn("summary", F.concat_ws(", ", *[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in WEIGHTS]))
+    return counts.withColumn("summary", severity_line())
 
 
 def scan_risk_level(score: Column) -> Column:
@@ -147,10 +151,11 @@ def scan_risk_level(score: Column) -> Column:
 
 
 def scan_report(docs: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Risk score, level and severity counts of each text with a match, worst first."""
-    matches = dedupe_by_title(match_patterns(docs, patterns).withColumn("source_rank", F.lit(0)))
-    joined = scan_risk_score(matches).join(scan_summary(matches), "doc_id")
-    return joined.withColumn("risk_level", scan_risk_level(F.col("risk_score"))).orderBy(F.desc("risk_score"), "doc_id")
+    """Risk score, level and severity counts of each text with a match: one scan, and one exchange for the titles."""
+    found = match_patterns(docs, patterns).groupBy("doc_id", "title").agg(F.min_by(F.struct("severity", "confidence"), "seq").alias("m")).select("doc_id", "m.*")
+    weight = choose([(F.col("severity") == s, w) for s, w in WEIGHTS.items()], 10)
+    rows = found.groupBy("doc_id").agg(F.least(F.lit(100), F.floor(F.round(F.sum(weight * F.col("confidence")), 6))).cast("int").alias("risk_score"), *[F.count_if(F.col("severity") == s).alias(s) for s in WEIGHTS])
+    return rows.withColumns({"summary": severity_line(), "risk_level": scan_risk_level(F.col("risk_score"))})
 
 
 def priority_warnings(matches: DataFrame, n: int = 5) -> DataFrame:
@@ -158,13 +163,11 @@ def priority_warnings(matches: DataFrame, n: int = 5) -> DataFrame:
     return topk_per_group(urgent, ["doc_id"], [F.asc("seq")], n, "rank")
 
 
-def simple_cue_scan(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """Texts that contain a word of a cue table, with the patterns concerned: an equi-join on words.
-
-    `patterns`: pattern_id, cue (one lower-case word a row).
-    """
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))).alias("cue"))
-    return words.join(patterns, "cue").select("doc_id", "pattern_id").distinct()
+def simple_cue_scan(docs: DataFrame, patterns: list[Pattern], text: str = "text") -> DataFrame:
+    """`doc_id, pattern_id` of each text and pattern of which a cue occurs anywhere in the text; case doesn't count."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(any_in(lower, [c.lower() for c in p.cues]), F.lit(p.pattern_id)) for p in patterns if p.cues]))
+    return docs.select("doc_id", F.explode(found).alias("pattern_id"))
 
 
 def keywords(text: Column, n: int = 10) -> Column:

@@ -11,9 +11,14 @@ from quarry.plans.stand_ins import oracle, table, view
 
 TYPES = "SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'a' ELSE 'b' END AS project, concat('T', p_size) AS name, concat(p_brand, '-', p_partkey) AS type_id, p_partkey % 3 = 0 AS is_dependency FROM {part}"
 TOKENS = "SELECT DISTINCT CASE l_suppkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS project, concat('0x1::m', l_suppkey, '::f', l_partkey) AS func_id, concat('T', l_linenumber * 7) AS token FROM {lineitem}"
-FLASH = "SELECT p_brand AS project, p_partkey AS seq, CASE p_size % 5 WHEN 0 THEN 'LoanReceipt' ELSE 'Item' END AS name, CASE WHEN p_size % 2 = 0 THEN array('drop') ELSE array('key') END AS abilities, CASE p_size % 4 WHEN 0 THEN 'repay' ELSE 'get' END AS fname, CASE p_size % 3 WHEN 0 THEN 'assert!(amount > fee); contains_type(x)' WHEN 1 THEN 'assert!(value == x); type_name::get(t); pool_id' ELSE 'ok' END AS body FROM {part}"
-GUARD, EXCEPT = ["precision", "receipt"], ["deposit"]
-PROTECTED = {"overflow": ["overflow"], "reentrancy": ["callback"], "first": ["first"], "donation": ["vault"]}
+#: Bodies of repaying functions, and whether type, amount and pool are checked and types may be confused.
+BODIES = [
+    ("assert!(amount == due); contains_type(x)", False, True, False, True), ("type_name == type_name::get<A>(); assert!(coin::value(&c) >= due); pool_id == id", True, True, True, False),
+    ("ok", False, False, False, False), ("ETYPEMISMATCH; epoolidmismatch; Repay_Amount", True, True, True, False), ("contains_type(x); type_name::get(t)", False, False, False, False),
+    ("assert!(type_name != x && y == z)", True, False, False, False), ("type_name::get<A>() == r.type_name; object::id(pool) == p", True, False, True, False), ("// receipt", False, False, False, False),
+]
+FLASH = f"""SELECT concat(p_brand, '-', p_partkey % 40) AS project, p_partkey AS seq, CASE p_size % 5 WHEN 0 THEN 'LoanReceipt' WHEN 1 THEN 'Loan' ELSE 'Item' END AS name, CASE WHEN p_size % 2 = 0 THEN array('key', 'drop') ELSE array('key') END AS abilities,
+    CASE p_size % 3 WHEN 0 THEN 'repay' WHEN 1 THEN 'return_loan_now' ELSE 'get' END AS fname, CASE p_size % {len(BODIES)} {' '.join(f"WHEN {i} THEN '{b[0]}'" for i, b in enumerate(BODIES))} END AS body, p_size % {len(BODIES)} AS body_no FROM {{part}}"""
 RULES = "SELECT rule_id, owner_id, project_id AS rule_project, CASE WHEN priority % 2 = 0 THEN array('oracle') ELSE array() END AS title_contains, CASE WHEN priority % 5 = 1 THEN array('line 3') ELSE array() END AS description_contains, CASE WHEN priority % 7 = 0 THEN '^f1' END AS function_pattern, CASE WHEN priority % 3 = 0 THEN array('high') ELSE array() END AS severity_in, priority % 4 < 2 AS match_all FROM {rules} WHERE rule_id % 40 < 3"
 
 
@@ -105,7 +110,6 @@ QUERIES = {
     "v5_semantic_matches": lambda s, d: op.semantic_matches(relevant(s, d).drop("rank"), 3).select("query_id", "vec_id", "confidence"),
     "v6_search_by_severity": lambda s, d: op.search_by_severity(hits(s, d), "medium", 4).select("query_id", "vec_id", "severity"),
     "v7_matched_cues": lambda s, d: snippets(s, d).select("doc_id", F.array_join(op.matched_cues(F.col("text"), F.array(F.lit("Cap"), F.lit("o"), F.lit("value")), F.lit("Price of rate, let")), ",").alias("cues")),
-    "o7_language_gate": lambda s, d: op.language_gate(view(s, d, "findings"), GUARD, PROTECTED, EXCEPT).groupBy("title", "protected_type", "language_fp", "language_note").count(),
     "o8_custom_exclusions": lambda s, d: op.apply_custom_exclusions(owned(s, d), sql(s, d, RULES, names=["rules"])).select("finding_id", "seq", "excluded_by"),
     "o22_salvage_json": answers,
     "o26_group_context": grouped,
@@ -125,10 +129,9 @@ ORACLES = {
     "j13_resolve_external": oracle("SELECT c.from_id, raw_call, call_line, d.id AS dependency_id FROM calls c LEFT JOIN (SELECT concat(module, '::', name) AS k, min_by(func_id, seq) AS id FROM functions WHERE risk_score < 40 GROUP BY 1) d ON d.k = replace(raw_call, '0x1::', '')"),
     "j14_function_context": oracle(f"""WITH tk AS ({TOKENS.replace('{lineitem}', 'lineitem')}) SELECT f.func_id, coalesce((SELECT array_to_string(list_sort(list(from_id))[1:2], ',') FROM edges WHERE to_id = f.func_id), '') AS callers,
         (SELECT concat('body of ', split_part(min(to_id), '::', 3)) FROM edges WHERE from_id = f.func_id HAVING count(*) > 0) AS callee_body, coalesce((SELECT array_to_string(list_sort(list(token))[1:2], ',') FROM tk WHERE tk.func_id = f.func_id), '') AS types FROM functions f"""),
-    "j18_flashloan_check": f"""WITH p AS ({FLASH.replace('{part}', 'part').replace("array('drop')", "['drop']").replace("array('key')", "['key']")}), r AS (SELECT project, min_by(name, seq) AS receipt, min_by(abilities, seq) AS ab FROM p WHERE name = 'LoanReceipt' GROUP BY project),
-        f AS (SELECT project, min_by(fname, seq) AS repay, min_by(body, seq) AS body FROM p WHERE fname = 'repay' GROUP BY project),
-        x AS (SELECT project, receipt, NOT list_contains(ab, 'drop') AS hot_potato, repay, contains(body, '_type') OR contains(body, 'type_name') AS checks_type, body <> 'ok' AS checks_amount, contains(body, 'pool_id') AS checks_pool, contains(body, 'contains_type') AS type_confusion FROM r FULL JOIN f USING (project))
-        SELECT *, CASE WHEN receipt IS NULL OR repay IS NULL THEN 'no flash loan' WHEN type_confusion THEN 'type confusion' WHEN NOT checks_amount THEN 'amount not checked' WHEN NOT checks_type THEN 'type not checked' ELSE 'checked' END AS verdict FROM x""",
+    "j18_flashloan_check": f"""WITH p AS ({FLASH.replace('{part}', 'part').replace("array('key', 'drop')", "['key', 'drop']").replace("array('key')", "['key']")}), r AS (SELECT project, min_by(name, seq) AS receipt, min_by(abilities, seq) AS ab FROM p WHERE name <> 'Item' GROUP BY project),
+        f AS (SELECT project, min_by(fname, seq) AS repay, min_by(body_no, seq) AS n FROM p WHERE fname <> 'get' GROUP BY project), x AS (SELECT project, receipt, repay, coalesce(NOT list_contains(ab, 'drop'), false) AS hot_potato, {', '.join(f"coalesce(n IN ({', '.join(str(i) for i, b in enumerate(BODIES) if b[k])}), false) AS {c}" for k, c in enumerate(("checks_type", "checks_amount", "checks_pool", "type_confusion"), 1))} FROM r FULL JOIN f USING (project))
+        SELECT *, CASE WHEN NOT hot_potato THEN 'to be reviewed' WHEN checks_type AND checks_amount AND checks_pool THEN 'checked' WHEN checks_type THEN 'receipt and type checked' WHEN type_confusion THEN 'type confusion' ELSE 'type not checked' END AS verdict FROM x""",
     "j23_function_code": oracle("""WITH q AS (SELECT DISTINCT raw_call AS request FROM calls), a AS (SELECT * FROM functions WHERE risk_score >= 20), b AS (SELECT * FROM functions WHERE risk_score < 20), n AS (SELECT name, min_by(func_id, seq) AS id FROM a GROUP BY name),
         r AS (SELECT request, coalesce(a.func_id, b.func_id) AS found, n.id FROM q LEFT JOIN a ON contains(request, '::') AND concat(a.module, '::', a.name) = replace(request, '0x1::', '') LEFT JOIN b ON contains(request, '::') AND concat(b.module, '::', b.name) = replace(request, '0x1::', '') LEFT JOIN n ON n.name = split_part(request, '::', -1))
         SELECT request, coalesce(found, id) AS func_id, found IS NULL AND id IS NOT NULL AS corrected FROM r"""),
@@ -144,14 +147,12 @@ ORACLES = {
     "p7_risky_access": "SELECT p_partkey AS id, 'helper' AS function FROM part",
     "p7_risky_state": "SELECT p_partkey AS id, 'helper' AS function FROM part",
     "p13_scannable": oracle("SELECT func_id FROM functions WHERE risk_score % 3 <> 0 AND risk_score % 5 <> 0"),
-    "v2_code_relevance": f"""{SNIP}, b AS (SELECT doc_id, text, {HAS('price')} + {HAS('pool')} + CASE WHEN doc_id % 3 = 0 THEN {HAS('repay')} * 1.5 ELSE 0 END + {HAS('flash')} * 0.8 AS points, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS checks, {HAS('admincap')} + {HAS('join')} AS bad, {HAS('oracle')} + {HAS('price')} + {HAS('feed')} AS core FROM snippets)
-        SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND core = 0 THEN 0.1 ELSE round(least(1.0, points / (checks * 0.5)) * CASE WHEN bad >= 2 THEN 0.5 WHEN bad = 1 THEN 0.7 ELSE 1.0 END, 6) END::DOUBLE AS relevance FROM b""",
-    "v3_core_concepts": oracle("SELECT title, CASE title WHEN 'Integer overflow in mint' THEN '+,*,<<' WHEN 'Oracle price manipulation' THEN 'oracle,price,feed' WHEN 'Flash loan receipt reuse' THEN 'flash,loan,borrow' ELSE '' END AS terms, count(*) AS count FROM findings GROUP BY ALL"),
+    "v2_code_relevance": f"""{SNIP}, b AS (SELECT doc_id, text, {HAS('price')} + {HAS('pool')} + CASE WHEN doc_id % 3 = 0 THEN {HAS('repay')} * 1.5 ELSE 0 END + {HAS('flash')} * 0.8 AS points, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS checks, {HAS('admincap')} + {HAS('join')} AS bad, {HAS('oracle')} AS core FROM snippets)
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND core = 0 THEN 0.1 ELSE round(least(1.0, points / greatest(checks * 0.5, 1.0)) * CASE WHEN bad >= 2 THEN 0.5 WHEN bad = 1 THEN 0.7 ELSE 1.0 END, 6) END::DOUBLE AS relevance FROM b""",
+    "v3_core_concepts": oracle("SELECT title, CASE title WHEN 'Missing admin check' THEN 'admin' WHEN 'Oracle price manipulation' THEN 'oracle' WHEN 'Callback before update' THEN 'callback' ELSE '' END AS terms, count(*) AS count FROM findings GROUP BY ALL"),
     "v5_semantic_matches": f"WITH {NEAR} SELECT query_id, vec_id, round(greatest(0.0, conf) * 0.8, 6) AS confidence FROM n WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, conf) * 0.8, 6) DESC, vec_id) <= 3",
     "v6_search_by_severity": f"WITH {NEAR} SELECT query_id, vec_id, severity FROM n WHERE severity IN ('critical', 'high', 'medium') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 4",
     "v7_matched_cues": f"{SNIP} SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{w.lower()}') THEN {quoted(w)} END" for w in ("Cap", "value", "price", "rate", "let")) + ") AS cues FROM snippets",
-    "o7_language_gate": oracle("""SELECT title, CASE WHEN contains(title, 'precision') OR contains(title, 'receipt') THEN NULL WHEN contains(title, 'overflow') THEN 'overflow' WHEN contains(title, 'Callback') THEN 'reentrancy' WHEN contains(title, 'First') THEN 'first' WHEN contains(title, 'vault') THEN 'donation' END AS protected_type,
-        protected_type IS NOT NULL AND title <> 'First depositor wins' AS language_fp, CASE WHEN title = 'First depositor wins' THEN 'exception' END AS language_note, count(*) AS count FROM findings GROUP BY ALL"""),
     "o8_custom_exclusions": oracle("""WITH f AS (SELECT * REPLACE (concat('u', seq % 9) AS project), concat('o', seq % 5) AS owner_id FROM findings), r AS (SELECT * FROM rules WHERE rule_id % 40 < 3),
         j AS (SELECT f.finding_id, f.seq, rule_id, list_filter([CASE WHEN priority % 2 = 0 THEN contains(lower(title), 'oracle') END, CASE WHEN priority % 5 = 1 THEN contains(lower(description), 'line 3') END, CASE WHEN priority % 7 = 0 THEN starts_with(function, 'f1') END, CASE WHEN priority % 3 = 0 THEN lower(severity) = 'high' END], lambda c: c IS NOT NULL) AS cs, priority % 4 < 2 AS match_all
             FROM f JOIN r USING (owner_id) WHERE r.project_id IS NULL OR r.project_id = f.project)

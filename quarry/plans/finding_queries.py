@@ -53,16 +53,30 @@ def full(s, d, mode="full"):
     return op.final_status(found(s, d), rows.drop("seq"), mode)
 
 
-IMPACTS = [("overflow", "holders", "all funds"), ("oracle", "borrowers", "collateral"), ("access_control", "owner", "control")]
-HINTS = [("overflow", "mint", "wrap"), ("flash_loan", "repay", "reuse"), ("any", "public", "probe")]
+#: What the look-ups say of the types that findings get here by their number: parties, loss, first words of the gain, usual entry, impact.
+LOOKED_UP = [
+    ("overflow", "流动性提供者, 协议用户", "池子余额", "攻击者可以通过溢", "deposit, mint, swap, calculate, add_liquidity", "获得超额代币或份额"),
+    ("access_control", "所有用户, 协议资金", "协议全部 TVL", "攻击者可以执行本", "withdraw_all, set_fee, pause, mint, burn", "执行管理员操作，提取资金"),
+    ("capability_leak", "所有用户, 协议资金", "协议全部 TVL", "任何人都可以获取", "init 函数或任何 Capability 创建点", "任何人获得管理员权限"),
+    ("oracle_manipulation", "流动性提供者, 协议用户", "池子余额", "攻击者可以操纵价", "swap, borrow, liquidate, get_price", "套利或恶意清算"),
+    ("precision_loss", "后续存款用户", "后续存款的全部金额", "攻击者可以窃取其", "deposit, redeem, calculate_shares", "窃取后续存款"),
+    ("slippage", "单次交易用户", "交易金额的滑点损失", "攻击者可以通过三", "swap, remove_liquidity", "提取交易滑点利润"),
+    ("flash_loan", "待确定", "待评估", "攻击者可以利用此", "borrow, flash_loan, flashloan", "借款不还或用低价值代币偿还高价值借款"),
+    ("type_confusion", "待确定", "待评估", "攻击者可以利用此", "repay, redeem, withdraw, swap", "用低价值资产换取高价值资产"),
+    ("resource_leak", "待确定", "待评估", "用户资产可能被永", "process, handle, execute", "资产永久丢失"),
+    ("unheard of", "待确定", "待评估", "攻击者可以利用此", "unknown", "需要评估具体影响"),
+]
 
 
-def lookup(s, rows, names):
-    return s.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+def typed_by_number(s, d):
+    names = F.array(*[F.lit(x[0]) for x in LOOKED_UP])
+    return found(s, d).withColumn("category", F.element_at(names, F.pmod("seq", F.lit(len(LOOKED_UP))).cast("int") + 1))
 
 
-def lookup_sql(rows, names):
-    return f"(VALUES {', '.join(str(r) for r in rows)}) v({', '.join(names)})"
+def looked_up_sql(*places):
+    names = {0: "category", 1: "parties", 2: "max_loss", 3: "gain", 4: "entry_hint", 5: "impact_hint"}
+    columns = ", ".join(f"CASE seq % {len(LOOKED_UP)} {' '.join(f'WHEN {i} THEN {chr(39)}{x[k]}{chr(39)}' for i, x in enumerate(LOOKED_UP))} END AS {names[k]}" for k in places)
+    return oracle(f"SELECT {', '.join(names[k] for k in places)}, count(*) AS count FROM (SELECT {columns} FROM findings) GROUP BY ALL")
 
 
 LATEST = "SELECT * FROM (SELECT * FROM marks WHERE mark_type <> 'odd') QUALIFY row_number() OVER (PARTITION BY report_id, finding_id ORDER BY updated_at DESC, seq DESC) = 1"
@@ -117,13 +131,13 @@ QUERIES = {
     "o17_exploit_status": lambda s, d: op.exploit_status(exploits(s, d)).groupBy("exploit_status", "sureness_points").count(),
     "o18_exploitability": lambda s, d: op.exploitability(exploits(s, d)).select("seq", "exploitability"),
     "o19_is_real": lambda s, d: op.is_real(exploits(s, d)).select("seq", "project"),
-    "o20_impact_by_type": lambda s, d: op.impact_by_type(found(s, d), lookup(s, IMPACTS, ["vuln_type", "parties", "max_loss"])).groupBy("vuln_type", "parties", "max_loss").count(),
+    "o20_impact_by_type": lambda s, d: op.impact_by_type(typed_by_number(s, d)).groupBy("category", "parties", "max_loss", F.substring("gain", 1, 8).alias("gain")).count(),
     "o21_concat_phases": lambda s, d: op.concat_phases(found(s, d).where("flag = 'O'").select("finding_id", "project"), found(s, d).where("flag = 'F'").select("finding_id", "module")).groupBy("phase", "project", "module").count(),
     "o23_finding_function": lambda s, d: op.finding_function(found(s, d).withColumns({"path": F.when(F.col("seq") % 2 == 0, F.concat_ws("::", "module", "function")), "function": F.when(F.col("seq") % 3 == 0, F.concat("function", F.lit("<T>")))})).select("seq", "finding_id", "function_name"),
     "o24_format_location": lambda s, d: op.format_location(found(s, d).withColumn("file", F.lit("a.move"))).select("seq", "finding_id", "location"),
     "o25_status_reasons": lambda s, d: op.status_reasons(full(s, d).withColumns({"rule_reason": F.when(F.col("quantity") % 3 == 0, F.lit("rule")), "verdict_reason": F.when(F.col("quantity") % 2 == 0, F.lit("External call")), "recommendation": F.col("description"), "parse_error": F.col("quantity") % 5 == 3, "rounds_differ": F.col("quantity") % 4 == 0})).select("seq", "finding_id", "false_positive_reason", F.array_join("review_reasons", "; ").alias("review_reasons")),
     "o27_split_by_status": lambda s, d: op.split_by_status(exploits(s, d)).withColumn("verification_rate", F.round("verification_rate", 6)),
-    "o28_exploit_hints": lambda s, d: op.exploit_hints(found(s, d), lookup(s, HINTS, ["vuln_type", "entry_hint", "attack_hint"])).groupBy("vuln_type", "entry_hint", "attack_hint").count(),
+    "o28_exploit_hints": lambda s, d: op.exploit_hints(typed_by_number(s, d)).groupBy("category", "entry_hint", "impact_hint").count(),
     "a7_audit_statistics": lambda s, d: op.audit_statistics(found(s, d)),
     "a8_exploit_statistics": lambda s, d: op.exploit_statistics(op.exploit_status(exploits(s, d))),
     "a9_risk_score_10": lambda s, d: op.risk_score_10(op.audit_statistics(found(s, d), "report_id")).select("report_id", "risk_score", "risk_level"),
@@ -174,18 +188,18 @@ ORACLES = {
     "o18_exploitability": withs("""SELECT seq, greatest(0.0, least(10.0, 10.0 - CASE caller WHEN 'unknown' THEN 4.0 WHEN 'admin' THEN 3.0 WHEN 'specific_address' THEN 2.0 ELSE 0.0 END - CASE WHEN path_steps = 0 THEN 5.0 WHEN path_steps > 5 THEN 1.0 ELSE 0.0 END
         - 0.5 * hard_conditions - 2.0 * unrealistic_conditions - CASE goal WHEN 'unknown' THEN 2.0 ELSE 0.0 END))::DOUBLE AS exploitability FROM exploits""", exploits=EXPLOIT),
     "o19_is_real": withs(f"SELECT seq, project FROM exploits WHERE {REAL}", exploits=EXPLOIT),
-    "o20_impact_by_type": withs(f"SELECT vuln_type, parties, max_loss, count(*) AS count FROM typed LEFT JOIN {lookup_sql(IMPACTS, ['vuln_type', 'parties', 'max_loss'])} USING (vuln_type) GROUP BY ALL", typed=TYPED),
+    "o20_impact_by_type": looked_up_sql(0, 1, 2, 3),
     "o21_concat_phases": oracle("SELECT 'batch' AS phase, project, NULL AS module, count(*) AS count FROM findings WHERE flag = 'O' GROUP BY ALL UNION ALL SELECT 'cross_function', NULL, module, count(*) FROM findings WHERE flag = 'F' GROUP BY ALL"),
     "o23_finding_function": oracle("SELECT seq, finding_id, CASE WHEN seq % 3 = 0 OR seq % 2 = 0 THEN function ELSE '' END AS function_name FROM findings"),
     "o24_format_location": oracle("SELECT seq, finding_id, concat_ws(':', concat_ws('::', module, function), split_part(line, '-', 1)) AS location FROM findings"),
     "o25_status_reasons": withs("""SELECT seq, finding_id, CASE WHEN final_status = 'false_positive' THEN CASE WHEN quantity % 3 = 0 THEN 'rule' WHEN quantity % 2 = 0 THEN 'External call' ELSE description[1:100] END END AS false_positive_reason,
         CASE WHEN final_status = 'needs_review' THEN concat_ws('; ', CASE WHEN quantity % 5 = 3 THEN 'verdict not readable' END, CASE WHEN final_confidence < 50 THEN 'low confidence' END, CASE WHEN quantity % 4 = 0 THEN 'verdicts differ' END, CASE WHEN quantity % 2 = 0 THEN 'depends on other code' END) END AS review_reasons FROM final""", verdicts=VERDICTS_ONE, final=FINAL),
     "o27_split_by_status": withs(f"SELECT project, count(*) AS n, count(*) FILTER ({REAL}) AS verified, count(*) FILTER (NOT ({REAL}) AND sureness = 'theoretical') AS theoretical, count(*) FILTER (NOT ({REAL}) AND sureness <> 'theoretical') AS needs_review, round(count(*) FILTER ({REAL}) / count(*), 6) AS verification_rate FROM exploits GROUP BY project", exploits=EXPLOIT),
-    "o28_exploit_hints": withs(f"SELECT vuln_type, coalesce(entry_hint, 'public') AS entry_hint, coalesce(attack_hint, 'probe') AS attack_hint, count(*) AS count FROM typed LEFT JOIN {lookup_sql(HINTS, ['vuln_type', 'entry_hint', 'attack_hint'])} USING (vuln_type) GROUP BY ALL", typed=TYPED),
+    "o28_exploit_hints": looked_up_sql(0, 4, 5),
     "a7_audit_statistics": oracle(STATS),
     "a8_exploit_statistics": withs("SELECT project, " + ", ".join(f"count(*) FILTER (st = '{x}') AS {x}" for x in ("verified", "likely", "theoretical", "needs_review", "false_positive")) + f", count(*) FILTER (chained) AS chains FROM (SELECT *, {EXP_STATUS} AS st FROM e) GROUP BY project", exploits=EXPLOIT, e=EXP),
     "a9_risk_score_10": withs("""SELECT report_id, score AS risk_score, CASE WHEN score >= 8 THEN 'critical' WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score >= 2 THEN 'low' ELSE 'minimal' END AS risk_level FROM
-        (SELECT report_id, least(10.0, round_even(least(4.0 * critical, 10.0) + least(2.0 * high, 6.0) + least(1.0 * medium, 3.0) + least(0.5 * low, 1.0), 1))::DOUBLE AS score FROM stats)""", stats=STATS.replace("project", "report_id").replace("FROM findings", "FROM findings WHERE confidence > 90")),
+        (SELECT report_id, least(10.0, round_even(least(4.0 * critical, 10.0) + least(2.0 * high, 6.0) + least(1.0 * medium, 3.0) + least(0.5 * low, 1.0), 1))::DOUBLE AS score FROM stats)""", stats=STATS.replace("project", "report_id")),
     "a10_risk_score_100": withs("SELECT finding_id, CAST(least(100, 40 * critical + 25 * high + 15 * medium + 8 * low + 4 * advisory) AS BIGINT) AS risk_score FROM h", h=f"SELECT finding_id, {HIST} FROM findings GROUP BY finding_id"),
     "a12_severity_histogram": oracle(f"SELECT report_id, {HIST} FROM findings WHERE status <> 'false_positive' GROUP BY report_id"),
     "a13_mark_stats": withs("SELECT report_id, count(*) FILTER (mark_type = 'issue') AS issue, count(*) FILTER (mark_type = 'not_issue') AS not_issue, count(*) FILTER (mark_type = 'legacy') AS legacy, count(*) FILTER (mark_type IS NULL) AS unmarked FROM findings LEFT JOIN (SELECT report_id, finding_id, mark_type FROM latest) USING (report_id, finding_id) GROUP BY report_id", marks=MARKS, latest=LATEST),

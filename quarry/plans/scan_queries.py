@@ -83,11 +83,6 @@ def queries_of(s, d):
     return table(s, d, "embeddings").where("vec_id % 20 = 0")
 
 
-def benchmark_words(s, d):
-    words = table(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.explode(F.split(F.lower("text"), " ")).alias("cue"))
-    return words.where(F.length("cue") >= 9).distinct()
-
-
 def lines_of(s, d):
     return scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content"))
 
@@ -111,7 +106,7 @@ QUERIES = {
     "k4_scan_risk_score": lambda s, d: scan.scan_risk_score(once(s, d)),
     "k5_scan_summary": lambda s, d: scan.scan_summary(once(s, d)),
     "k6_priority_warnings": lambda s, d: scan.priority_warnings(scan.match_patterns(snippets(s, d), BUILT_IN), 2).select("doc_id", "pattern_id", "rank"),
-    "k8_simple_cue_scan": lambda s, d: scan.simple_cue_scan(docs(s, d), benchmark_words(s, d)).groupBy("pattern_id").count(),
+    "k8_simple_cue_scan": lambda s, d: scan.simple_cue_scan(docs(s, d), [*PROSE, *BUILT_IN]),
     "k9_scan_risk_level": lambda s, d: scan.scan_risk_score(once(s, d)).select("doc_id", scan.scan_risk_level(F.col("risk_score")).alias("risk_level")),
     "s2_exclude_paths": lambda s, d: scan.exclude_paths(files(s, d)).select("path"),
     "s3_with_language": lambda s, d: scan.with_language(files(s, d)).groupBy("language").count(),
@@ -170,8 +165,7 @@ ORACLES = {
     "k4_scan_risk_score": f"{PROSE_ONCE} SELECT doc_id, {SCORE} AS risk_score FROM once GROUP BY doc_id",
     "k5_scan_summary": f"{PROSE_ONCE} SELECT doc_id, {COUNTS}, {LINE} AS summary FROM once GROUP BY doc_id",
     "k6_priority_warnings": f"WITH {SQL_SNIPPETS}, m AS ({sql_matches(BUILT_IN, 'snippets')}) SELECT doc_id, pattern_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS rank FROM m WHERE severity IN ('critical', 'high') QUALIFY rank <= 2",
-    "k8_simple_cue_scan": """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS cue FROM documents), b AS (SELECT DISTINCT item_id, cue FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS cue FROM benchmark) WHERE length(cue) >= 9)
-        SELECT item_id AS pattern_id, count(DISTINCT doc_id) AS count FROM w JOIN b USING (cue) GROUP BY item_id""",
+    "k8_simple_cue_scan": " UNION ALL ".join(f"SELECT doc_id, {quoted(p.pattern_id)} AS pattern_id FROM documents WHERE {' OR '.join(f'contains(lower(text), lower({quoted(c)}))' for c in p.cues)}" for p in [*PROSE, *BUILT_IN]),
     "k9_scan_risk_level": f"{PROSE_ONCE} SELECT doc_id, {LEVEL.format(SCORE)} AS risk_level FROM once GROUP BY doc_id",
     "s2_exclude_paths": oracle("SELECT path FROM files WHERE NOT starts_with(path, 'build/') AND NOT starts_with(path, 'tests/') AND NOT ends_with(path, '_test.move') AND NOT ends_with(path, '.bin')"),
     "s3_with_language": oracle("SELECT CASE WHEN ends_with(path, '.move') THEN 'move' WHEN ends_with(path, '.toml') THEN 'toml' WHEN ends_with(path, '.MD') THEN 'markdown' ELSE 'plaintext' END AS language, count(*) AS count FROM files GROUP BY 1"),
@@ -193,9 +187,9 @@ ORACLES = {
     "x11_string_idents": "SELECT p_partkey AS id, 'Full,Pool' AS names FROM part",
     "x12_function_params": """SELECT p_partkey AS id, concat('get_', p_size) AS name, 'item/&Item/none;amount/u64/numeric_range' AS params FROM part UNION ALL SELECT p_partkey, 'helper', 'cap/&AdminCap/must_own_capability' FROM part
         UNION ALL SELECT p_partkey, 'check_all', 'c/Coin<T>/must_have_balance' FROM part WHERE p_size % 2 = 0""",
-    "x13_linear_resources": "SELECT p_partkey AS id, 'check_all' AS name, 'Coin<' AS linear FROM part WHERE p_size % 2 = 0",
+    "x13_linear_resources": "SELECT p_partkey AS id, 'check_all' AS name, 'Coin' AS linear FROM part WHERE p_size % 2 = 0",
     "x14_risk_indicators": """SELECT p_partkey AS id, concat('get_', p_size) AS function, 1 AS overflow, 3 AS division, 0 AS access_control, 0 AS state_modification, 1 AS external_call, 51 AS risk_score FROM part
-        UNION ALL SELECT p_partkey, 'helper', 0, 0, 1, 1, 2, 33 FROM part UNION ALL SELECT p_partkey, 'check_all', 0, 0, 0, 0, 0, 0 FROM part WHERE p_size % 2 = 0""",
+        UNION ALL SELECT p_partkey, 'helper', 0, 0, 2, 1, 2, 48 FROM part UNION ALL SELECT p_partkey, 'check_all', 0, 0, 0, 0, 0, 0 FROM part WHERE p_size % 2 = 0""",
     "x16_type_tokens_topk": """SELECT p_partkey AS id, concat('get_', p_size) AS function, t AS token, 1 AS n, r AS rank FROM part CROSS JOIN (VALUES ('Item', 1), ('Pool', 2), ('Full', 3)) v(t, r)
         UNION ALL SELECT p_partkey, 'helper', 'AdminCap', 1, 1 FROM part UNION ALL SELECT p_partkey, 'check_all', 'Coin', 1, 1 FROM part WHERE p_size % 2 = 0""",
     "x17_describe_function": """SELECT p_partkey AS id, concat('get_', p_size) AS name, 'reads state, callable by other modules' AS description FROM part UNION ALL SELECT p_partkey, 'helper', 'runs logic, internal' FROM part
@@ -211,5 +205,5 @@ ORACLES = {
     "a19_file_tree_counts": oracle("SELECT project, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS files FROM files GROUP BY ALL"),
     "v1_knn": """WITH p AS (SELECT q.vec_id AS query_id, b.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
         SELECT query_id, vec_id, distance, greatest(0.0, least(1.0, 1 - distance / 2)) AS confidence FROM p WHERE distance <= 10 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 5""",
-    "v4_keywords": f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: regexp_matches(w, '^[a-z_]') AND length(w) >= 3 AND NOT list_contains([{', '.join(map(quoted, scan.STOP_WORDS))}], w))[1:10], ' ') AS words FROM documents WHERE lang = 'en'""",
+    "v4_keywords": f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: regexp_matches(w, '^[a-z_]') AND length(w) >= 3 AND NOT list_contains([{', '.join(map(quoted, scan.STOP_WORDS))}], w))[1:10], ' ') AS words FROM documents""",
 }
