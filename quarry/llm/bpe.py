@@ -44,7 +44,7 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 
 def packed_ids(text: str | None, path: str) -> bytes:
-    return np.array(encoding(path).encode_ordinary(text or ""), "<u4").tobytes()
+    return encoding(path).encode_to_numpy(text or "", allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
 
 
 def boundaries(text: str, start: int, low: int, high: int) -> list[int]:
