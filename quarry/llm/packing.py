@@ -57,12 +57,9 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_ids(text: str, path: str = TOKENIZER) -> list[int]:
+def token_ids(text: str, path: str = TOKENIZER) -> np.ndarray:
     """Ids of a text as the tokenizers library gives them without special tokens of its own: a token that the file adds to its vocabulary is one id wherever the text spells it."""
-    found = encoding(path)
-    if any(token in text for token in found.special_tokens_set):
-        return found.encode(text, allowed_special="all")
-    return found.encode_ordinary(text)
+    return encoding(path).encode_to_numpy(text, allowed_special="all")
 
 
 def id_type(size: int) -> np.dtype:
@@ -119,7 +116,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
-                ids = [np.array([*token_ids(t, path), end_id], dtype) for t in batch.column(1).to_pylist()]
+                ids = [np.append(token_ids(t, path), np.uint32(end_id)).astype(dtype) for t in batch.column(1).to_pylist()]
                 keys = hilbert_keys(points([x[:-1] for x in ids], size))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [id_col, "curve_key", "n_ids", "ids"])
 
