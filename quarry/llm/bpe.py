@@ -122,8 +122,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     # one exchange by text serves the stitching and the join with the rows that have the text
     parts = _encoded(pieces, "text", path, ["key", "chunk"]).unionByName(_encoded(whole, "text", path, ["key", "chunk"]))
     stitched = parts.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    stitched = stitched.select("key", "n_tokens", joined(F.transform("parts", lambda x: x["ids"])).alias("ids"))
-    each = uses.join(stitched, "key")
+    # Python would hide the partitioning by text from the join, so that it joins the parts afterwards
+    each = uses.join(stitched, "key").select("id", "copies", "n_tokens", joined(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     return short.unionByName(each.select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n_tokens", "ids").drop("copy")).withColumnRenamed("id", id_col)
 
 
