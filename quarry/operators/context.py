@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions.columns import any_in, choose, first_per_group, severity_rank, topk_per_group
 
@@ -21,6 +22,9 @@ TYPE_CHECKS = [r"type_name::get<.*>\s*\(\)\s*.*==.*type_name", r"type_name\s*==\
 AMOUNT_CHECKS = [r"assert!.*coin::value.*>=", r"assert!.*amount.*==", r"ERepayAmountMismatch", r"repay_amount"]
 POOL_CHECKS = [r"object::id\(pool\)\s*==", r"pool_id\s*==", r"EPoolIdMismatch"]
 
+#: An object whose braces pair up, with one more level within.
+BALANCED = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,500}\}"
+
 
 def type_definitions(tokens: DataFrame, types: DataFrame) -> DataFrame:
     """The definition of each named type: one of the own project before one of a dependency. `tokens`: project, func_id, token; `types`: project, name, type_id, is_dependency."""
@@ -160,11 +164,19 @@ def search_by_severity(hits: DataFrame, least: str, k: int = 5) -> DataFrame:
 
 
 def snippets_by_keyword(lines: DataFrame, keyword: str, n: int = 5, most: int = 3) -> DataFrame:
-    """Lines of the first hits of a word in each file whose windows of n lines do not overlap."""
+    """The first hits of a word in each file and their snippets: n lines either way, numbered, the hit marked.
+
+    A hit within the window of one already taken is passed over.
+    """
     hits = lines.where(F.lower("line").contains(keyword.lower())).groupBy("path").agg(F.array_sort(F.collect_list("line_no")).alias("hits"))
     empty = F.array().cast("array<int>")
-    picked = F.aggregate("hits", empty, lambda s, h: F.when((F.size(s) < most) & ((F.size(s) == 0) | (F.try_element_at(s, F.lit(-1)) + 2 * n < h)), F.concat(s, F.array(h.cast("int")))).otherwise(s))
-    return hits.select("path", picked.alias("hits"))
+    picked = F.aggregate("hits", empty, lambda s, h: F.when((F.size(s) < most) & ((F.size(s) == 0) | (F.try_element_at(s, F.lit(-1)) + n < h)), F.concat(s, F.array(h.cast("int")))).otherwise(s))
+    found = hits.select("path", picked.alias("hits"))
+    windows = found.select("path", F.posexplode("hits").alias("k", "hit")).select("path", "k", "hit", F.explode(F.sequence(F.col("hit") - n, F.col("hit") + n)).alias("line_no"))
+    shown = F.concat(F.when(F.col("line_no") == F.col("hit"), "→ ").otherwise("  "), F.format_string("%4d | ", "line_no"), F.col("line"))
+    parts = windows.join(lines.select("path", "line_no", "line"), ["path", "line_no"]).groupBy("path", "k").agg(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("shown")))).alias("rows"))
+    joined = parts.select("path", F.struct("k", F.array_join("rows.shown", "\n").alias("snippet")).alias("part")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["snippet"]), "\n---\n").alias("snippet"))
+    return found.join(joined, "path")
 
 
 def apply_custom_exclusions(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -186,16 +198,24 @@ def apply_custom_exclusions(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def salvage_json(responses: DataFrame, schema: str, fields: list[str], text: str = "text") -> DataFrame:
-    """Objects from free text: thinking tags and control characters dropped, the fenced or outermost object parsed, else single fields by pattern."""
+    """Objects from free text, thinking tags and control characters dropped: the fenced or outermost object, else the first balanced one, else single fields by pattern.
+
+    An object counts if it parses and has the first field. Balanced objects have one more level within, of
+    500 objects at most. Fields are of the types of `schema`: true, false and digits become booleans and numbers.
+    """
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<(thinking|reasoning|analysis)>.*?(</\1>|\z)", ""), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     fenced = F.nullif(F.regexp_extract(clean, r"(?s)```(?:json)?\s*(\{.*?\})\s*(?:```|\z)", 1), F.lit(""))
     outer = F.nullif(F.regexp_extract(clean, r"(?s)(\{.*\})", 1), F.lit(""))
     rows = responses.withColumn("__raw", F.coalesce(fenced, outer)).withColumn("__clean", clean)
-    parsed = F.from_json("__raw", schema)
-    rows = rows.withColumn("__parsed", parsed)
-    picked = {f: F.coalesce(F.col(f"__parsed.{f}").cast("string"), F.nullif(F.regexp_extract("__clean", rf'"{f}"\s*:\s*"?([^",}}\n]+)', 1), F.lit(""))) for f in fields}
-    tier = F.when(F.col("__raw").isNotNull() & F.col(f"__parsed.{fields[0]}").isNotNull(), "object").when(picked[fields[0]].isNotNull(), "fields").otherwise("none")
-    return rows.withColumns({**picked, "tier": tier}).drop("__raw", "__clean", "__parsed")
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    rows = rows.withColumn("__whole", F.from_json("__raw", schema)).withColumn("__found", F.col(f"__whole.{fields[0]}").isNotNull())
+    tries = F.transform(F.when(~F.col("__found"), F.regexp_extract_all("__clean", F.lit(BALANCED), F.lit(0))), lambda o: F.from_json(o, schema))
+    rows = rows.withColumn("__part", F.get(F.filter(tries, lambda o: o[fields[0]].isNotNull()), F.lit(0)))
+    rows = rows.withColumn("__parsed", F.when(F.col("__part").isNotNull(), F.col("__part")).otherwise(F.col("__whole")))
+    by_pattern = lambda f: F.trim(F.nullif(F.regexp_extract("__clean", rf'(?i)"{f}"\s*:\s*"?([^",}}\n]+)', 1), F.lit(""))).try_cast(kinds[f])
+    picked = {f: F.coalesce(F.col(f"__parsed.{f}"), by_pattern(f)) for f in fields}
+    tier = F.when(F.col("__found"), "object").when(F.col("__part").isNotNull(), "balanced").when(picked[fields[0]].isNotNull(), "fields").otherwise("none")
+    return rows.withColumns({**picked, "tier": tier}).drop("__raw", "__clean", "__whole", "__found", "__part", "__parsed")
 
 
 def group_context(groups: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:

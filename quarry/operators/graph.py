@@ -195,13 +195,14 @@ def graph_meta(functions: DataFrame, types: DataFrame, edges: DataFrame) -> Data
 
 
 def graph_summary(functions: DataFrame, types: DataFrame, edges: DataFrame, n: int = 20) -> DataFrame:
-    """graph_meta and the first n entry points, leaves and risky functions."""
+    """graph_meta and the first n entry points, leaves, risky functions and calls across modules, each in order of its id."""
 
     def first(df: DataFrame, name: str) -> DataFrame:
         return df.orderBy("func_id").limit(n).agg(F.array_sort(F.collect_list("func_id")).alias(name))
 
     out = graph_meta(functions, types, edges)
-    for df, name in ((entry_points(functions, True), "entries"), (graph_leaves(functions, edges), "leaves"), (high_risk(functions), "risky")):
+    across = cross_module_calls(edges).select(F.concat_ws(" -> ", "from_id", "to_id").alias("func_id"))
+    for df, name in ((across, "cross_module"), (entry_points(functions, True), "entries"), (graph_leaves(functions, edges), "leaves"), (high_risk(functions), "risky")):
         out = out.join(first(df, name), F.lit(True))
     return out
 

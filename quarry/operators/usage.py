@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from quarry.functions.columns import choose, topk_per_group, week_label
 
@@ -90,19 +94,26 @@ def purchase_totals(purchases: DataFrame) -> DataFrame:
 def running_balance(events: DataFrame) -> DataFrame:
     """Balance of each user after each event in time order; usage beyond the balance is rejected and not deducted.
 
-    `events`: user_id, seq, created_at, delta (tokens bought, or minus those used). A rejection depends on all
-    before it, so one user's events are folded in order; a user is never split.
+    `events`: user_id, seq, created_at, delta (tokens bought, or minus those used; null counts 0). A rejection
+    depends on all before it, so a user's events lie in one partition, sorted, and are folded as batches stream
+    by: a task holds a batch and a balance, however many events a user has. Events without user are one user's.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("created_at", "seq", "delta")))
-    state = F.named_struct(F.lit("balance"), F.lit(0).cast("long"), F.lit("rows"), F.array().cast("array<struct<seq:bigint,delta:bigint,balance:bigint,rejected:boolean>>"))
-
-    def step(s: Column, e: Column) -> Column:
-        rejected = s["balance"] + e["delta"] < 0
-        after = F.when(rejected, s["balance"]).otherwise(s["balance"] + e["delta"])
-        return F.named_struct(F.lit("balance"), after, F.lit("rows"), F.concat(s["rows"], F.array(F.struct(e["seq"].alias("seq"), e["delta"].alias("delta"), after.alias("balance"), rejected.alias("rejected")))))
-
-    folded = events.groupBy("user_id").agg(ordered.alias("events")).select("user_id", F.aggregate("events", state, step).alias("s"))
-    return folded.select("user_id", F.inline("s.rows"))
+    ordered = events.select("user_id", F.col("seq").cast("long"), "created_at", F.col("delta").cast("long")).repartition("user_id").sortWithinPartitions("user_id", "created_at", "seq").drop("created_at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, balance = object(), 0  # no id equals the first
+        for batch in batches:
+            balances, rejections = [], []
+            for owner, delta in zip(batch.column("user_id").to_pylist(), batch.column("delta").to_pylist()):
+                if owner != user:
+                    user, balance = owner, 0
+                rejected = balance + (delta or 0) < 0
+                balance += 0 if rejected else delta or 0
+                balances.append(balance)
+                rejections.append(rejected)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(balances, pa.int64()), pa.array(rejections, pa.bool_())], [*batch.schema.names, "balance", "rejected"])
+
+    return ordered.mapInArrow(fold, StructType([*ordered.schema.fields, StructField("balance", LongType()), StructField("rejected", BooleanType())]))
 
 
 def unconstrained_balance(events: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def declared(s, d):
 
 
 def answers(s, d):
-    rows = table(s, d, "conversations").selectExpr("conv_id", "turn", "CASE turn % 4 WHEN 0 THEN concat('<thinking>x {</thinking> ```json\\n{\"verdict\": \"yes\", \"score\": ', conv_id, '}\\n```') WHEN 1 THEN concat('so {\"verdict\": \"no\", \"score\": ', turn, '} end') WHEN 2 THEN concat('{\"verdict\": \"maybe\", \"score\": ', conv_id) ELSE text END AS text")
+    rows = table(s, d, "conversations").selectExpr("conv_id", "turn", "CASE turn % 4 WHEN 0 THEN concat('<thinking>x {</thinking> ```json\\n{\"verdict\": \"yes\", \"score\": ', conv_id, '}\\n```') WHEN 1 THEN concat('so {\"verdict\": \"no\", \"score\": ', turn, '} end') WHEN 2 THEN concat('{\"verdict\": \"maybe\", \"score\": 0', conv_id) ELSE CASE WHEN conv_id % 2 = 0 THEN concat('{oops {\"verdict\": \"late\", \"of\": {}, \"score\": ', turn, '} end {bad}') ELSE text END END AS text")
     return op.salvage_json(rows, "verdict string, score long", ["verdict", "score"]).select("conv_id", "turn", "verdict", "score", "tier")
 
 
@@ -94,11 +94,11 @@ QUERIES = {
     "k7_locate_match": located,
     "j12_type_definitions": lambda s, d: op.type_definitions(tokens(s, d), types(s, d)).select("project", "func_id", "token", "type_id"),
     "j13_resolve_external": lambda s, d: op.resolve_external(view(s, d, "calls"), view(s, d, "functions").where("risk_score < 40")).select("from_id", "raw_call", "call_line", "dependency_id"),
-    "j14_function_context": lambda s, d: op.function_context(bodies(s, d), view(s, d, "edges"), tokens(s, d).select("func_id", "token"), 2, 1, 2).select("func_id", F.array_join("callers", ",").alias("callers"), F.get(F.col("callees"), F.lit(0))["callee_body"].alias("callee_body"), F.array_join("types", ",").alias("types")),
+    "j14_function_context": lambda s, d: op.function_context(bodies(s, d), view(s, d, "edges"), tokens(s, d).select("func_id", "token")).select("func_id", F.array_join("callers", ",").alias("callers"), F.array_join("callees.callee_body", ",").alias("callee_bodies"), F.array_join("types", ",").alias("types")),
     "j18_flashloan_check": flash,
     "j23_function_code": lambda s, d: op.function_code(view(s, d, "calls").select(F.col("raw_call").alias("request")).distinct(), view(s, d, "functions").where("risk_score >= 20"), view(s, d, "functions").where("risk_score < 20")),
     "x18_make_chunks": lambda s, d: op.make_chunks(bodies(s, d), module_types(s, d)).select("func_id", "embedding_text"),
-    "x20_snippets_by_keyword": lambda s, d: op.snippets_by_keyword(scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content")), "amount", 2).select("path", F.array_join("hits", ",").alias("hits")),
+    "x20_snippets_by_keyword": lambda s, d: op.snippets_by_keyword(scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content")), "amount", 2).select("path", F.array_join("hits", ",").alias("hits"), "snippet"),
     "k2_line_hints": lambda s, d: op.line_hints(snippets(s, d).select("doc_id"), snippets(s, d), r"[a-z_]+\s*\(", 3).select("doc_id", F.array_join("hints", ",").alias("hints")),
     "k10_valid_locations": lambda s, d: op.valid_locations(view(s, d, "findings").selectExpr("title AS pattern_id", "CAST(quantity AS INT) % 4 AS line", "CASE WHEN quantity % 5 = 0 THEN '  module x' ELSE module END AS context")),
     "p3_locate": lambda s, d: op.locate(table(s, d, "part").selectExpr("concat('m', p_partkey) AS module", "CASE WHEN p_size % 2 = 0 THEN 'helper' ELSE 'absent' END AS function"), declared(s, d)),
@@ -127,8 +127,8 @@ ORACLES = {
     "j12_type_definitions": f"""WITH ty AS ({TYPES.replace('{part}', 'part')}), tk AS ({TOKENS.replace('{lineitem}', 'lineitem')}) SELECT tk.project, func_id, token, type_id FROM tk JOIN ty ON ty.name = token AND (is_dependency OR ty.project = tk.project)
         QUALIFY row_number() OVER (PARTITION BY tk.project, func_id, token ORDER BY is_dependency, type_id) = 1""",
     "j13_resolve_external": oracle("SELECT c.from_id, raw_call, call_line, d.id AS dependency_id FROM calls c LEFT JOIN (SELECT concat(module, '::', name) AS k, min_by(func_id, seq) AS id FROM functions WHERE risk_score < 40 GROUP BY 1) d ON d.k = replace(raw_call, '0x1::', '')"),
-    "j14_function_context": oracle(f"""WITH tk AS ({TOKENS.replace('{lineitem}', 'lineitem')}) SELECT f.func_id, coalesce((SELECT array_to_string(list_sort(list(from_id))[1:2], ',') FROM edges WHERE to_id = f.func_id), '') AS callers,
-        (SELECT concat('body of ', split_part(min(to_id), '::', 3)) FROM edges WHERE from_id = f.func_id HAVING count(*) > 0) AS callee_body, coalesce((SELECT array_to_string(list_sort(list(token))[1:2], ',') FROM tk WHERE tk.func_id = f.func_id), '') AS types FROM functions f"""),
+    "j14_function_context": oracle(f"""WITH tk AS ({TOKENS.replace('{lineitem}', 'lineitem')}) SELECT f.func_id, coalesce((SELECT array_to_string(list_sort(list(from_id))[1:5], ',') FROM edges WHERE to_id = f.func_id), '') AS callers,
+        (SELECT array_to_string(list_transform(list_sort(list(to_id))[1:5], lambda x: concat('body of ', split_part(x, '::', 3))), ',') FROM edges WHERE from_id = f.func_id) AS callee_bodies, coalesce((SELECT array_to_string(list_sort(list(token))[1:10], ',') FROM tk WHERE tk.func_id = f.func_id), '') AS types FROM functions f"""),
     "j18_flashloan_check": f"""WITH p AS ({FLASH.replace('{part}', 'part').replace("array('key', 'drop')", "['key', 'drop']").replace("array('key')", "['key']")}), r AS (SELECT project, min_by(name, seq) AS receipt, min_by(abilities, seq) AS ab FROM p WHERE name <> 'Item' GROUP BY project),
         f AS (SELECT project, min_by(fname, seq) AS repay, min_by(body_no, seq) AS n FROM p WHERE fname <> 'get' GROUP BY project), x AS (SELECT project, receipt, repay, coalesce(NOT list_contains(ab, 'drop'), false) AS hot_potato, {', '.join(f"coalesce(n IN ({', '.join(str(i) for i, b in enumerate(BODIES) if b[k])}), false) AS {c}" for k, c in enumerate(("checks_type", "checks_amount", "checks_pool", "type_confusion"), 1))} FROM r FULL JOIN f USING (project))
         SELECT *, CASE WHEN NOT hot_potato THEN 'to be reviewed' WHEN checks_type AND checks_amount AND checks_pool THEN 'checked' WHEN checks_type THEN 'receipt and type checked' WHEN type_confusion THEN 'type confusion' ELSE 'type not checked' END AS verdict FROM x""",
@@ -138,8 +138,9 @@ ORACLES = {
     "x18_make_chunks": oracle("""WITH t AS (SELECT DISTINCT module, concat('T', risk_score % 5) AS type_name FROM functions) SELECT func_id, concat_ws(chr(10), func_id, concat('visibility: ', visibility),
         (SELECT string_agg(type_name, ', ' ORDER BY type_name) FROM t WHERE t.module = f.module AND contains(concat('x: T', f.risk_score, ' u64'), type_name)), concat('body of ', name)) AS embedding_text FROM functions f"""),
     "x20_snippets_by_keyword": f"""WITH RECURSIVE {SQL_SOURCES}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM sources), h AS (SELECT id, n FROM l WHERE contains(lower(line), 'amount')),
-        w AS (SELECT id, min(n) AS n, 1 AS k FROM h GROUP BY id UNION ALL SELECT w.id, (SELECT min(h.n) FROM h WHERE h.id = w.id AND h.n > w.n + 4) AS n, k + 1 FROM w WHERE k < 3 AND w.n IS NOT NULL)
-        SELECT id AS path, string_agg(n, ',' ORDER BY n) AS hits FROM w WHERE n IS NOT NULL GROUP BY id""",
+        w AS (SELECT id, min(n) AS n, 1 AS k FROM h GROUP BY id UNION ALL SELECT w.id, (SELECT min(h.n) FROM h WHERE h.id = w.id AND h.n > w.n + 2) AS n, k + 1 FROM w WHERE k < 3 AND w.n IS NOT NULL)
+        SELECT id AS path, string_agg(n, ',' ORDER BY n) AS hits, string_agg(snippet, concat(chr(10), '---', chr(10)) ORDER BY n) AS snippet FROM (
+            SELECT w.id, w.n, string_agg(concat(CASE WHEN l.n = w.n THEN '→ ' ELSE '  ' END, lpad(concat(l.n), 4, ' '), ' | ', l.line), chr(10) ORDER BY l.n) AS snippet FROM w JOIN l ON l.id = w.id AND l.n BETWEEN w.n - 2 AND w.n + 2 GROUP BY w.id, w.n) GROUP BY id""",
     "k2_line_hints": f"""{SNIP}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM snippets), m AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '(?i)[a-z_]+\\s*\\(')) AS hit, generate_subscripts(regexp_extract_all(line, '(?i)[a-z_]+\\s*\\('), 1) AS j FROM l)
         SELECT s.doc_id, coalesce(string_agg(n, ',' ORDER BY n, j) FILTER (r <= 3), '') AS hints FROM snippets s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) AS r FROM m) USING (doc_id) GROUP BY s.doc_id""",
     "k10_valid_locations": oracle("SELECT title AS pattern_id, count(*) AS valid FROM findings WHERE CAST(quantity AS INT) % 4 > 1 AND quantity % 5 <> 0 GROUP BY title"),
@@ -157,8 +158,8 @@ ORACLES = {
         j AS (SELECT f.finding_id, f.seq, rule_id, list_filter([CASE WHEN priority % 2 = 0 THEN contains(lower(title), 'oracle') END, CASE WHEN priority % 5 = 1 THEN contains(lower(description), 'line 3') END, CASE WHEN priority % 7 = 0 THEN starts_with(function, 'f1') END, CASE WHEN priority % 3 = 0 THEN lower(severity) = 'high' END], lambda c: c IS NOT NULL) AS cs, priority % 4 < 2 AS match_all
             FROM f JOIN r USING (owner_id) WHERE r.project_id IS NULL OR r.project_id = f.project)
         SELECT f.finding_id, f.seq, e.x AS excluded_by FROM f LEFT JOIN (SELECT finding_id, seq, min(rule_id) AS x FROM j WHERE len(cs) > 0 AND CASE WHEN match_all THEN list_bool_and(cs) ELSE list_bool_or(cs) END GROUP BY ALL) e USING (finding_id, seq)"""),
-    "o22_salvage_json": """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END AS verdict, CASE turn % 4 WHEN 0 THEN concat(conv_id) WHEN 1 THEN concat(turn) WHEN 2 THEN concat(conv_id) END AS score,
-        CASE turn % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'fields' ELSE 'none' END AS tier FROM conversations""",
+    "o22_salvage_json": """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' ELSE CASE WHEN conv_id % 2 = 0 THEN 'late' END END AS verdict, CAST(CASE turn % 4 WHEN 0 THEN conv_id WHEN 1 THEN turn WHEN 2 THEN conv_id ELSE CASE WHEN conv_id % 2 = 0 THEN turn END END AS BIGINT) AS score,
+        CASE turn % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'fields' ELSE CASE WHEN conv_id % 2 = 0 THEN 'balanced' ELSE 'none' END END AS tier FROM conversations""",
     "o26_group_context": oracle("""WITH g AS (SELECT module, CAST(seq % 97 AS BIGINT) AS "group", func_id FROM functions), m AS (SELECT module, "group", list_sort(list(func_id)) AS fs FROM g GROUP BY ALL),
         c AS (SELECT module, "group", list_sort(list(DISTINCT to_id)) AS cs FROM g JOIN edges ON from_id = func_id GROUP BY ALL)
         SELECT m.module, m."group", array_to_string(fs, ',') AS functions, CASE WHEN len(fs) <= 3 THEN coalesce(array_to_string(cs, ','), '') ELSE '' END AS callees FROM m LEFT JOIN c ON c.module = m.module AND c."group" = m."group" """),

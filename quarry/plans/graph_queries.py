@@ -75,13 +75,13 @@ QUERIES = {
     "j11_resolve_function_id": lambda s, d: text(op.resolve_function_id(requests(s, d), view(s, d, "functions")), "suggestions"),
     "j15_public_entry_for": lambda s, d: op.public_entry_for(view(s, d, "functions").select("func_id"), *F_E(s, d)),
     "j16_caller_requirement": lambda s, d: op.caller_requirement(view(s, d, "functions").withColumn("body", F.when(F.col("risk_score") % 4 == 0, "x: &AdminCap").when(F.col("risk_score") % 4 == 1, "tx_context::sender(c)").when(F.col("risk_score") % 4 == 2, "{ }"))).select("func_id", "caller"),
-    "j17_propagate": lambda s, d: op.propagate(view(s, d, "functions").where("risk_score >= 95"), view(s, d, "edges"), 3, 2),
+    "j17_propagate": lambda s, d: op.propagate(view(s, d, "functions").where("risk_score >= 95"), view(s, d, "edges")),
     "j19_report_listing": lambda s, d: op.report_listing(reports(s, d), view(s, d, "audits"), view(s, d, "projects")).select("report_id", "project_id", "project_name"),
     "j21_has_running_audit": lambda s, d: op.has_running_audit(view(s, d, "projects"), view(s, d, "audits")).select("id"),
     "j21_no_running_audit": lambda s, d: op.has_running_audit(view(s, d, "projects"), view(s, d, "audits"), False).select("id"),
     "j22_latest_audit": lambda s, d: op.latest_audit(view(s, d, "projects"), view(s, d, "audits")),
     "a14_graph_meta": lambda s, d: op.graph_meta(view(s, d, "functions"), types(s, d), view(s, d, "edges")),
-    "a15_graph_summary": lambda s, d: text(op.graph_summary(view(s, d, "functions"), types(s, d), view(s, d, "edges")), "entries", "leaves", "risky"),
+    "a15_graph_summary": lambda s, d: text(op.graph_summary(view(s, d, "functions"), types(s, d), view(s, d, "edges")), "entries", "leaves", "risky", "cross_module"),
     "a16_module_call_digest": lambda s, d: text(op.module_call_digest(*F_E(s, d)), "first_calls"),
     "a17_dashboard": lambda s, d: op.dashboard(reports(s, d), view(s, d, "audits"), view(s, d, "projects")),
     "a22_module_summary": lambda s, d: text(op.module_summary(*F_ONLY(s, d)), "risky"),
@@ -130,9 +130,9 @@ ORACLES = {
     "j16_caller_requirement": oracle("SELECT func_id, CASE risk_score % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'specific_address' WHEN 2 THEN 'anyone' ELSE 'unknown' END AS caller FROM functions"),
     "j17_propagate": oracle("""
         WITH s0 AS (SELECT func_id AS f FROM functions WHERE risk_score >= 95),
-        r1 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM s0) AND e.from_id NOT IN (SELECT f FROM s0) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 2), l1 AS (SELECT f, min(p) AS p FROM r1 GROUP BY f),
-        r2 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM l1) AND e.from_id NOT IN (SELECT f FROM s0 UNION SELECT f FROM l1) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 2), l2 AS (SELECT f, min(p) AS p FROM r2 GROUP BY f),
-        r3 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM l2) AND e.from_id NOT IN (SELECT f FROM s0 UNION SELECT f FROM l1 UNION SELECT f FROM l2) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 2), l3 AS (SELECT f, min(p) AS p FROM r3 GROUP BY f)
+        r1 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM s0) AND e.from_id NOT IN (SELECT f FROM s0) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 5), l1 AS (SELECT f, min(p) AS p FROM r1 GROUP BY f),
+        r2 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM l1) AND e.from_id NOT IN (SELECT f FROM s0 UNION SELECT f FROM l1) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 5), l2 AS (SELECT f, min(p) AS p FROM r2 GROUP BY f),
+        r3 AS (SELECT e.to_id AS p, e.from_id AS f FROM edges e WHERE e.to_id IN (SELECT f FROM l2) AND e.from_id NOT IN (SELECT f FROM s0 UNION SELECT f FROM l1 UNION SELECT f FROM l2) QUALIFY row_number() OVER (PARTITION BY e.to_id ORDER BY e.from_id) <= 5), l3 AS (SELECT f, min(p) AS p FROM r3 GROUP BY f)
         SELECT f AS func_id, p AS from_id, layer, 7 - layer AS exploitability, greatest(60, 85 - 10 * layer) AS confidence FROM (SELECT *, 1 AS layer FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)"""),
     "j19_report_listing": oracle(f"SELECT report_id, project_id, coalesce(p.name, 'Unknown') AS project_name FROM {REPORTS} r LEFT JOIN projects p ON p.id = r.project_id"),
     "j21_has_running_audit": oracle("SELECT id FROM projects WHERE id IN (SELECT project_id FROM audits WHERE status IN ('pending', 'running'))"),
@@ -142,7 +142,8 @@ ORACLES = {
     "a15_graph_summary": oracle(f"""SELECT (SELECT count(DISTINCT module) FROM functions) AS modules, (SELECT count(*) FROM functions) AS functions, (SELECT count(*) FROM ({TYPES})) AS types, (SELECT count(*) FROM edges) AS edges,
         (SELECT string_agg(func_id, ',' ORDER BY func_id) FROM (SELECT func_id FROM functions WHERE contains(visibility, 'public') OR contains(visibility, 'entry') ORDER BY func_id LIMIT 20)) AS entries,
         (SELECT coalesce(string_agg(func_id, ',' ORDER BY func_id), '') FROM (SELECT func_id FROM functions WHERE func_id NOT IN (SELECT from_id FROM edges) ORDER BY func_id LIMIT 20)) AS leaves,
-        (SELECT string_agg(func_id, ',' ORDER BY func_id) FROM (SELECT func_id FROM functions WHERE risk_score >= 50 ORDER BY func_id LIMIT 20)) AS risky"""),
+        (SELECT string_agg(func_id, ',' ORDER BY func_id) FROM (SELECT func_id FROM functions WHERE risk_score >= 50 ORDER BY func_id LIMIT 20)) AS risky,
+        (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT concat(from_id, ' -> ', to_id) AS c FROM edges WHERE split_part(from_id, '::', 2) <> split_part(to_id, '::', 2) ORDER BY c LIMIT 20)) AS cross_module"""),
     "a16_module_call_digest": oracle("SELECT module, func_id, coalesce(array_to_string(list_sort(list(to_id) FILTER (to_id IS NOT NULL))[1:3], ','), '') AS first_calls, CAST(greatest(count(to_id) - 3, 0) AS INT) AS more FROM functions LEFT JOIN edges ON from_id = func_id GROUP BY module, func_id"),
     "a17_dashboard": oracle(f"SELECT (SELECT count(*) FROM {REPORTS}) AS reports, " + ", ".join(f"(SELECT CAST(sum(seq % {k}) AS BIGINT) FROM {REPORTS}) AS {n}" for n, k in (("critical", 3), ("high", 5), ("medium", 7), ("low", 11))) + ", (SELECT count(*) FROM audits) AS audits, (SELECT count(*) FROM audits WHERE status IN ('pending', 'running')) AS running, (SELECT count(*) FROM projects) AS projects"),
     "a22_module_summary": oracle("SELECT module, count(*) AS functions, count(*) FILTER (contains(visibility, 'public')) AS public, count(*) FILTER (contains(visibility, 'entry')) AS entry, coalesce(string_agg(name, ',' ORDER BY name) FILTER (risk_score >= 50), '') AS risky FROM functions GROUP BY module"),

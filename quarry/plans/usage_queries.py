@@ -52,7 +52,7 @@ QUERIES = {
     "a1_usage_trend_week": trend("week"),
     "a1_usage_trend_month": trend("month"),
     "a1_usage_trend_since": lambda s, d: usage.usage_trend(view(s, d, "usages"), "day", F.lit("2024-01-20").cast("timestamp"), 2),
-    "a2_usage_by_project": lambda s, d: usage.usage_by_project(view(s, d, "usages"), 3),
+    "a2_usage_by_project": lambda s, d: usage.usage_by_project(view(s, d, "usages")),
     "a3_usage_by_agent": by_agent,
     "a4_usage_totals": lambda s, d: usage.usage_totals(derived(USERS, s, d, "customer"), view(s, d, "usages")),
     "a5_all_user_stats": lambda s, d: usage.all_user_stats(derived(USERS, s, d, "customer"), view(s, d, "usages")).select("user_id", "remaining", "records", "system_tokens"),
@@ -72,7 +72,7 @@ ORACLES = {
     "a1_usage_trend_since": oracle("SELECT user_id, strftime(created_at, '%Y-%m-%d') AS bucket, CAST(sum(total_tokens) AS BIGINT) AS tokens, count(*) AS records FROM usages WHERE created_at >= TIMESTAMP '2024-01-18' GROUP BY ALL"),
     "a2_usage_by_project": oracle("""
         WITH s AS (SELECT user_id, project_name, CAST(sum(total_tokens) AS BIGINT) AS tokens, count(*) AS records FROM usages WHERE project_name IS NOT NULL GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tokens DESC, project_name) AS rank FROM s QUALIFY rank <= 3"""),
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tokens DESC, project_name) AS rank FROM s QUALIFY rank <= 10"""),
     "a3_usage_by_agent": """
         SELECT user_id, agent, CAST(sum(t) AS BIGINT) AS tokens FROM (
             SELECT user_id, event_type AS agent, CASE WHEN event_id % 5 <> 0 THEN floor(value) ELSE 0 END AS t FROM events

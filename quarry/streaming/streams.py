@@ -13,9 +13,11 @@ from quarry.operators import scan
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its rows as a table in the shared folder, or in memory for other modes than append."""
+    """Runs a stream over what is there now and returns its rows as a table in the shared folder, which must be set."""
     spark = stream.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     import uuid
 
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
