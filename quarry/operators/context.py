@@ -22,6 +22,14 @@ TYPE_CHECKS = [r"type_name::get<.*>\s*\(\)\s*.*==.*type_name", r"type_name\s*==\
 AMOUNT_CHECKS = [r"assert!.*coin::value.*>=", r"assert!.*amount.*==", r"ERepayAmountMismatch", r"repay_amount"]
 POOL_CHECKS = [r"object::id\(pool\)\s*==", r"pool_id\s*==", r"EPoolIdMismatch"]
 
+#: What a function's visibility, the start of its name, or its name says.
+SEEN_BY = {"entry": "Entry point function", "public": "Public function"}
+NAME_STARTS = {
+    ("create_", "new_"): "creates a new object", ("destroy_", "delete_"): "destroys/deletes an object",
+    ("get_", "is_", "has_"): "getter/query function", ("set_", "update_"): "setter/update function",
+}
+NAMED_OPERATIONS = {"DeFi": ["borrow", "repay", "liquidate", "deposit", "withdraw"], "AMM": ["swap", "add_liquidity", "remove_liquidity"], "Token": ["mint", "burn", "transfer"]}
+
 #: An object whose braces pair up, with one more level within.
 BALANCED = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,500}\}"
 
@@ -52,11 +60,27 @@ def function_context(functions: DataFrame, edges: DataFrame, types: DataFrame, c
     return rows.withColumns({"callers": F.coalesce("callers", none), "types": F.coalesce("types", none)})
 
 
+def function_description(name: Column, visibility: Column) -> Column:
+    """What name and visibility tell of a function, as `a, b`; empty if nothing."""
+    seen = F.coalesce(choose([(visibility == v, text) for v, text in SEEN_BY.items()], None), F.lit(""))
+    does = choose([(name.rlike(f"^({'|'.join(prefixes)})"), text) for prefixes, text in NAME_STARTS.items()] + [(name.isin(*names), F.concat(F.lit(f"{kind} "), name, F.lit(" operation"))) for kind, names in NAMED_OPERATIONS.items()], None)
+    return F.array_join(F.filter(F.array(seen, F.coalesce(does, F.lit(""))), lambda x: x != ""), ", ")
+
+
 def make_chunks(functions: DataFrame, types: DataFrame) -> DataFrame:
-    """A retrieval chunk for each function: its text with the structs of its module that its signature names. `types`: module, type_name."""
+    """A retrieval chunk for each function: signature, description, risk, the structs of its module that its signature names, and the text to embed.
+
+    `types`: module, type_name. A null part of a function is left out of its text.
+    """
     named = functions.join(types, "module").where(F.contains(F.concat_ws(" ", "params", "return_type"), F.col("type_name"))).groupBy("func_id").agg(F.array_sort(F.collect_set("type_name")).alias("related"))
     rows = functions.join(named, "func_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
-    return rows.withColumn("embedding_text", F.concat_ws("\n", "func_id", F.concat(F.lit("visibility: "), F.col("visibility")), F.nullif(F.array_join("related", ", "), F.lit("")), "body"))
+    told = function_description(F.col("name"), F.col("visibility"))
+    chunks = rows.withColumns({
+        "signature": F.concat(F.lit("fun "), "name", F.lit("("), F.coalesce("params", F.lit("")), F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.nullif("return_type", F.lit(""))), F.lit(""))),
+        "description": F.when(told != "", F.concat("module", F.lit("::"), "name", F.lit(" - "), told)).otherwise(""),
+    })
+    part = lambda label, c: F.concat(F.lit(label), c)
+    return chunks.withColumn("embedding_text", F.concat_ws("\n", part("Module: ", F.col("module")), part("Function: ", F.col("name")), part("Signature: ", F.col("signature")), part("Description: ", F.nullif("description", F.lit(""))), part("Code:\n", F.col("body"))))
 
 
 def function_code(requests: DataFrame, functions: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -53,10 +53,14 @@ def min_confidence(findings: DataFrame, least: int = 30) -> DataFrame:
     return dedupe_findings(findings).where(F.col("confidence") >= least)
 
 
+def order_functions_by_risk(functions: DataFrame) -> DataFrame:
+    """Functions with their place in their module, riskiest first; equal ones and those without a score in input order."""
+    return functions.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(F.desc_nulls_last("risk_score"), "seq")))
+
+
 def scan_batches(functions: DataFrame, size: int = 5) -> DataFrame:
     """Batches of a module's functions, riskiest first."""
-    rank = F.row_number().over(Window.partitionBy("module").orderBy(F.desc("risk_score"), "seq"))
-    return functions.withColumn("batch", ((rank - 1) / size).cast("int") + 1)
+    return order_functions_by_risk(functions).withColumn("batch", ((F.col("place") - 1) / size).cast("int") + 1).drop("place")
 
 
 def group_findings(findings: DataFrame, size: int = 5) -> DataFrame:
@@ -334,7 +338,8 @@ def matches_to_findings(matches: DataFrame) -> DataFrame:
 
 def write_report_tables(findings: DataFrame, path: str) -> None:
     """Findings, statistics and severities of each project, as tables partitioned by project."""
-    findings.repartition("project").write.partitionBy("project").parquet(f"{path}/findings")
+    part = F.pmod(F.xxhash64(*findings.columns), F.lit(16))  # a project that holds most rows is written by 16 tasks
+    findings.repartition("project", part).write.partitionBy("project").parquet(f"{path}/findings")
     audit_statistics(findings).write.parquet(f"{path}/summary")
     severity_histogram(findings, "project").write.parquet(f"{path}/severities")
 

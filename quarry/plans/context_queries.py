@@ -39,6 +39,14 @@ def bodies(s, d):
     return view(s, d, "functions").withColumns({"body": F.concat(F.lit("body of "), F.col("name")), "params": F.concat(F.lit("x: T"), F.col("risk_score")), "return_type": F.lit("u64")})
 
 
+#: Names that functions of the chunk query take in turn, and what each tells.
+CHUNK_NAMES = {"create_pool": "creates a new object", "delete_it": "destroys/deletes an object", "is_open": "getter/query function", "set_fee": "setter/update function", "repay": "DeFi repay operation", "swap": "AMM swap operation", "burn": "Token burn operation", "renew_": "", "swaps": ""}
+
+
+def chunk_name():
+    return F.element_at(F.array(*map(F.lit, CHUNK_NAMES)), F.pmod("seq", F.lit(len(CHUNK_NAMES))).cast("int") + 1)
+
+
 def module_types(s, d):
     return view(s, d, "functions").select("module", F.concat(F.lit("T"), F.col("risk_score") % 5).alias("type_name")).distinct()
 
@@ -97,7 +105,7 @@ QUERIES = {
     "j14_function_context": lambda s, d: op.function_context(bodies(s, d), view(s, d, "edges"), tokens(s, d).select("func_id", "token")).select("func_id", F.array_join("callers", ",").alias("callers"), F.array_join("callees.callee_body", ",").alias("callee_bodies"), F.array_join("types", ",").alias("types")),
     "j18_flashloan_check": flash,
     "j23_function_code": lambda s, d: op.function_code(view(s, d, "calls").select(F.col("raw_call").alias("request")).distinct(), view(s, d, "functions").where("risk_score >= 20"), view(s, d, "functions").where("risk_score < 20")),
-    "x18_make_chunks": lambda s, d: op.make_chunks(bodies(s, d), module_types(s, d)).select("func_id", "embedding_text"),
+    "x18_make_chunks": lambda s, d: op.make_chunks(bodies(s, d).withColumn("name", chunk_name()), module_types(s, d)).select("func_id", F.array_join("related", ", ").alias("related"), "risk_score", "description", "embedding_text"),
     "x20_snippets_by_keyword": lambda s, d: op.snippets_by_keyword(scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content")), "amount", 2).select("path", F.array_join("hits", ",").alias("hits"), "snippet"),
     "k2_line_hints": lambda s, d: op.line_hints(snippets(s, d).select("doc_id"), snippets(s, d), r"[a-z_]+\s*\(", 3).select("doc_id", F.array_join("hints", ",").alias("hints")),
     "k10_valid_locations": lambda s, d: op.valid_locations(view(s, d, "findings").selectExpr("title AS pattern_id", "CAST(quantity AS INT) % 4 AS line", "CASE WHEN quantity % 5 = 0 THEN '  module x' ELSE module END AS context")),
@@ -135,8 +143,11 @@ ORACLES = {
     "j23_function_code": oracle("""WITH q AS (SELECT DISTINCT raw_call AS request FROM calls), a AS (SELECT * FROM functions WHERE risk_score >= 20), b AS (SELECT * FROM functions WHERE risk_score < 20), n AS (SELECT name, min_by(func_id, seq) AS id FROM a GROUP BY name),
         r AS (SELECT request, coalesce(a.func_id, b.func_id) AS found, n.id FROM q LEFT JOIN a ON contains(request, '::') AND concat(a.module, '::', a.name) = replace(request, '0x1::', '') LEFT JOIN b ON contains(request, '::') AND concat(b.module, '::', b.name) = replace(request, '0x1::', '') LEFT JOIN n ON n.name = split_part(request, '::', -1))
         SELECT request, coalesce(found, id) AS func_id, found IS NULL AND id IS NOT NULL AS corrected FROM r"""),
-    "x18_make_chunks": oracle("""WITH t AS (SELECT DISTINCT module, concat('T', risk_score % 5) AS type_name FROM functions) SELECT func_id, concat_ws(chr(10), func_id, concat('visibility: ', visibility),
-        (SELECT string_agg(type_name, ', ' ORDER BY type_name) FROM t WHERE t.module = f.module AND contains(concat('x: T', f.risk_score, ' u64'), type_name)), concat('body of ', name)) AS embedding_text FROM functions f"""),
+    "x18_make_chunks": oracle(f"""WITH t AS (SELECT DISTINCT module, concat('T', risk_score % 5) AS type_name FROM functions), n AS (SELECT func_id, module, visibility, risk_score, {list(CHUNK_NAMES)}[seq % {len(CHUNK_NAMES)} + 1] AS name, {list(CHUNK_NAMES.values())}[seq % {len(CHUNK_NAMES)} + 1] AS does, split_part(func_id, '::', 3) AS was FROM functions),
+        x AS (SELECT *, concat_ws(', ', CASE visibility WHEN 'entry' THEN 'Entry point function' WHEN 'public' THEN 'Public function' END, nullif(does, '')) AS told FROM n),
+        y AS (SELECT *, CASE WHEN told = '' THEN '' ELSE concat(module, '::', name, ' - ', told) END AS description FROM x)
+        SELECT func_id, coalesce((SELECT string_agg(type_name, ', ' ORDER BY type_name) FROM t WHERE t.module = y.module AND contains(concat('x: T', y.risk_score, ' u64'), type_name)), '') AS related, risk_score, description,
+            concat_ws(chr(10), concat('Module: ', module), concat('Function: ', name), concat('Signature: fun ', name, '(x: T', risk_score, '): u64'), 'Description: ' || nullif(description, ''), concat('Code:', chr(10), 'body of ', was)) AS embedding_text FROM y"""),
     "x20_snippets_by_keyword": f"""WITH RECURSIVE {SQL_SOURCES}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM sources), h AS (SELECT id, n FROM l WHERE contains(lower(line), 'amount')),
         w AS (SELECT id, min(n) AS n, 1 AS k FROM h GROUP BY id UNION ALL SELECT w.id, (SELECT min(h.n) FROM h WHERE h.id = w.id AND h.n > w.n + 2) AS n, k + 1 FROM w WHERE k < 3 AND w.n IS NOT NULL)
         SELECT id AS path, string_agg(n, ',' ORDER BY n) AS hits, string_agg(snippet, concat(chr(10), '---', chr(10)) ORDER BY n) AS snippet FROM (

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import first_per_group
 from quarry.operators import scan
+from quarry.sources.files import new_folder
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns its rows as a table in the shared folder, which must be set."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import uuid
-
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
