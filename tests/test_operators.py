@@ -21,6 +21,13 @@ def test_balance_never_below_zero(spark):
     assert rows(usage.running_balance(df), "seq", "balance", "rejected") == [(1, 5, False), (2, 5, True), (3, 0, False), (4, 0, True)]
 
 
+def test_balance_of_nulls_and_of_none(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None, 1, t, 5), (None, 2, t, None), (None, 3, t, -5), (1, 4, t, -1)], "user_id long, seq long, created_at timestamp, delta long")
+    assert rows(usage.running_balance(df), "seq", "balance", "rejected") == [(1, 5, False), (2, 5, False), (3, 0, False), (4, 0, True)]
+    assert usage.running_balance(df.limit(0)).count() == 0
+
+
 def test_dedupe_is_idempotent(spark):
     df = spark.createDataFrame([(i, "m", "f", "3-5" if i % 2 else "3", "overflow", None, None, 50 + i % 3) for i in range(9)], "seq long, module string, function string, line string, title string, description string, category string, confidence int")
     once = findings.dedupe_findings(df)
