@@ -64,10 +64,6 @@ def week_label(at: Column) -> Column:
     return F.concat(F.date_format(at, "yyyy"), F.lit("-W"), F.lpad(((F.dayofyear(at) + 6 - monday_first) / 7).cast("int").cast("string"), 2, "0"))
 
 
-def risk_band(score: Column, bands: list[tuple[float, str]], default: str) -> Column:
-    return choose([(score >= low, name) for low, name in bands], default)
-
-
 def language_of(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("plaintext"))

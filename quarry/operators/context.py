@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -207,18 +207,25 @@ def apply_custom_exclusions(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The first user rule that excludes each finding, or null.
 
     A rule holds for its owner, and for its project or all. Its conditions, each optional, are joined by AND
-    with `match_all`, else by OR; a rule without conditions excludes nothing. Rules meet findings on the owner.
+    with `match_all`, else by OR; a rule without conditions excludes nothing. An owner's rules meet each row as
+    one array, in order of their ids, so that rows don't multiply. Rows that share finding_id and seq are one finding.
     """
-    rows = findings.join(rules, "owner_id").where(F.col("rule_project").isNull() | (F.col("rule_project") == F.col("project")))
-    conditions = F.array_compact(F.array(
-        F.when(F.size("title_contains") > 0, F.exists("title_contains", lambda w: F.contains(F.lower("title"), F.lower(w)))),
-        F.when(F.size("description_contains") > 0, F.exists("description_contains", lambda w: F.contains(F.lower("description"), F.lower(w)))),
-        F.when(F.col("function_pattern").isNotNull(), F.expr("function RLIKE function_pattern")),
-        F.when(F.size("severity_in") > 0, F.exists("severity_in", lambda x: F.lower(x) == F.lower("severity"))),
-    ))
-    hit = F.when(F.col("match_all"), F.forall(conditions, lambda c: c)).otherwise(F.exists(conditions, lambda c: c)) & (F.size(conditions) > 0)
-    first = rows.where(hit).groupBy("finding_id", "seq").agg(F.min("rule_id").alias("excluded_by"))
-    return findings.join(first, ["finding_id", "seq"], "left")
+    fields = ["rule_id", "rule_project", "match_all", "title_contains", "description_contains", "function_pattern", "severity_in"]
+    of_owner = rules.groupBy("owner_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__rules"))
+
+    def holds(rule: Column) -> Column:
+        conditions = F.array_compact(F.array(
+            F.when(F.size(rule["title_contains"]) > 0, F.exists(rule["title_contains"], lambda w: F.contains(F.lower("title"), F.lower(w)))),
+            F.when(F.size(rule["description_contains"]) > 0, F.exists(rule["description_contains"], lambda w: F.contains(F.lower("description"), F.lower(w)))),
+            F.when(rule["function_pattern"].isNotNull(), F.regexp_like("function", rule["function_pattern"])),
+            F.when(F.size(rule["severity_in"]) > 0, F.exists(rule["severity_in"], lambda x: F.lower(x) == F.lower("severity"))),
+        ))
+        hit = F.when(rule["match_all"], F.forall(conditions, lambda c: c)).otherwise(F.exists(conditions, lambda c: c)) & (F.size(conditions) > 0)
+        return (rule["rule_project"].isNull() | (rule["rule_project"] == F.col("project"))) & hit
+
+    first = F.get(F.filter("__rules", holds), F.lit(0))["rule_id"]
+    rows = findings.join(of_owner, "owner_id", "left").withColumn("__first", first).drop("__rules")
+    return rows.withColumn("excluded_by", F.min("__first").over(Window.partitionBy("finding_id", "seq"))).drop("__first")
 
 
 def salvage_json(responses: DataFrame, schema: str, fields: list[str], text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exploit_data import DEFAULT_GAIN, DEFAULT_HINT, DEFAULT_IMPACT, GAINS, HINTS, IMPACTS
 from quarry.functions.columns import SEVERITIES, any_in, choose, first_per_group, line_start, severity_rank, text_of, topk_per_group, vuln_type
+from quarry.sources.shared import kept_table
 
 KEY = ["module", "function", "line_key", "vuln_type"]
 #: Points of each severity in the two risk scores, and their caps in the first.
@@ -53,9 +54,25 @@ def min_confidence(findings: DataFrame, least: int = 30) -> DataFrame:
     return dedupe_findings(findings).where(F.col("confidence") >= least)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in its group, from 1.
+
+    A group may hold most rows. So rows are dealt by ranges of group and order, and written with their range;
+    a row's place in its range comes after the rows of its group in the ranges before.
+    """
+    rank = [F.col(k).asc() for k in keys] + order
+    ranges = kept_table(df.repartitionByRange(*rank).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__in"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__range") == F.col("__in")]
+    placed = ranges.withColumn("__place", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)))
+    return placed.join(offsets, same).select(*df.columns, (F.col("__place") + F.col("__before")).cast("int").alias(name))
+
+
 def order_functions_by_risk(functions: DataFrame) -> DataFrame:
     """Functions with their place in their module, riskiest first; equal ones and those without a score in input order."""
-    return functions.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(F.desc_nulls_last("risk_score"), "seq")))
+    return numbered(functions, ["module"], [F.desc_nulls_last("risk_score"), F.asc("seq")], "place")
 
 
 def scan_batches(functions: DataFrame, size: int = 5) -> DataFrame:
@@ -65,8 +82,8 @@ def scan_batches(functions: DataFrame, size: int = 5) -> DataFrame:
 
 def group_findings(findings: DataFrame, size: int = 5) -> DataFrame:
     """Groups of at most `size` findings of a module, in input order."""
-    rank = F.row_number().over(Window.partitionBy("module").orderBy("seq"))
-    return findings.withColumn("group", ((rank - 1) / size).cast("int") + 1)
+    places = numbered(findings, ["module"], [F.asc("seq")], "__at")
+    return places.withColumn("group", ((F.col("__at") - 1) / size).cast("int") + 1).drop("__at")
 
 
 def final_status(findings: DataFrame, verdicts: DataFrame, mode: str = "full") -> DataFrame:
@@ -221,9 +238,9 @@ def functions_with_findings(findings: DataFrame) -> DataFrame:
 def finding_index(verified: DataFrame) -> DataFrame:
     """Numbered index of the confirmed findings of each project, worst first, with shortened texts."""
     short = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(F.col(c))
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(severity_rank(F.col("severity")), "seq"))
     place = F.concat_ws("::", F.element_at(F.split("module", "::"), -1), "function")
-    return verified.where("status = 'confirmed'").select("project", rank.alias("number"), F.upper("severity").alias("severity"), F.substring(F.coalesce("category", F.lit("")), 1, 15).alias("category"), place.alias("place"), short("title", 50).alias("title"))
+    places = numbered(verified.where("status = 'confirmed'"), ["project"], [severity_rank(F.col("severity")).asc(), F.asc("seq")], "number")
+    return places.select("project", "number", F.upper("severity").alias("severity"), F.substring(F.coalesce("category", F.lit("")), 1, 15).alias("category"), place.alias("place"), short("title", 50).alias("title"))
 
 
 def filter_findings(findings: DataFrame, severity: str | None = None, status: str | None = None) -> DataFrame:

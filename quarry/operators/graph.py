@@ -1,7 +1,8 @@
 """Call graph: names resolved to edges, neighbourhoods, propagation, and summaries.
 
 `functions`: func_id, module, name, visibility, risk_score, seq. `edges`: from_id, to_id. Graph jobs walk a
-fixed number of layers, each an equi-join; nothing is collected.
+fixed number of layers, each an equi-join written to the shared folder, so that plans don't grow with depth;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import first_per_group, topk_per_group
+from quarry.sources.shared import kept_table
 
 
 def qualify_calls(calls: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -86,10 +88,12 @@ def cross_module_calls(edges: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """`seed, func_id, distance` of all functions within `depth` calls either way, the nearest distance each."""
     both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).unionByName(edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("next"))).distinct()
-    front = seeds.select("seed", F.col("seed").alias("at"))
+    both = kept_table(both, "links")
+    front = kept_table(seeds.select("seed", F.col("seed").alias("at")).distinct(), "seeds")
     seen = front.select("seed", F.col("at").alias("next"), F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
         step = front.join(both, "at").select("seed", "next").distinct().join(seen.select("seed", "next"), ["seed", "next"], "left_anti")
+        step = kept_table(step, "layer")
         seen = seen.unionByName(step.withColumn("distance", F.lit(d)))
         front = step.select("seed", F.col("next").alias("at"))
     return seen.where("distance > 0").withColumnRenamed("next", "func_id")
@@ -142,12 +146,13 @@ def propagate(confirmed: DataFrame, edges: DataFrame, depth: int = 3, fanout: in
     calls = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("func_id")).distinct()
     if affected is not None:
         calls = calls.join(affected.select("func_id").distinct(), "func_id", "left_semi")
-    front = confirmed.select("func_id").distinct()
+    calls = kept_table(calls, "calls")
+    front = kept_table(confirmed.select("func_id").distinct(), "confirmed")
     seen, layers = front, []
     for d in range(1, depth + 1):
         step = front.select(F.col("func_id").alias("from_id")).join(calls, "from_id").join(seen, "func_id", "left_anti")
         step = topk_per_group(step, ["from_id"], [F.asc("func_id")], fanout)
-        step = step.groupBy("func_id").agg(F.min("from_id").alias("from_id"))
+        step = kept_table(step.groupBy("func_id").agg(F.min("from_id").alias("from_id")), "layer")
         layers.append(step.select("func_id", "from_id", F.lit(d).alias("layer"), F.lit(7 - d).alias("exploitability"), F.lit(max(60, 85 - 10 * d)).alias("confidence")))
         front = step.select("func_id")
         seen = seen.unionByName(front)

@@ -8,7 +8,7 @@ from quarry.operators import findings as finding_op
 from quarry.operators import graph, scan
 from quarry.plans.graph_queries import types
 from quarry.plans.stand_ins import oracle, table, view
-from quarry.sources import files
+from quarry.sources import files, shared
 
 MANIFEST = """
     SELECT concat('p', p_partkey) AS project, CASE WHEN p_size % 5 = 0 THEN 'notes.md' ELSE concat('p', p_partkey, '/Move.toml') END AS path,
@@ -22,27 +22,27 @@ NESTED = """
 
 
 def patterns(s, d):
-    path = files.new_folder(s, "patterns")
+    path = shared.new_folder(s, "patterns")
     rows = table(s, d, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("pattern_id"), F.col("text").alias("title"), F.array(F.lit("a\nb"), F.col("text")).alias("detection_cues"))
     scan.write_patterns_jsonl(rows, path)
     return scan.read_patterns_jsonl(s, path).select("pattern_id", "title", F.get("detection_cues", F.lit(0)).alias("first_cue"), F.size("detection_cues").alias("cues"))
 
 
 def finding_files(s, d):
-    path = files.new_folder(s, "findings")
+    path = shared.new_folder(s, "findings")
     s.sql(NESTED, findings=view(s, d, "findings")).write.text(path)
     return files.read_findings_json(s, path).select("finding_id", "status", "severity", "title", "description", "location")
 
 
 def saved_graph(s, d):
-    path = files.new_folder(s, "graph")
+    path = shared.new_folder(s, "graph")
     graph.save_graph(view(s, d, "functions"), view(s, d, "edges"), types(s, d), path)
     kept = [t.select(F.lit(n).alias("part"), F.concat_ws(">", *key).alias("row")) for t, n, key in zip(graph.load_graph(s, path), ("functions", "edges", "types"), (("func_id", "risk_score"), ("from_id", "to_id"), ("module", "type_id")))]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def report_tables(s, d):
-    path = files.new_folder(s, "reports")
+    path = shared.new_folder(s, "reports")
     finding_op.write_report_tables(view(s, d, "findings"), path)
     return s.read.parquet(f"{path}/findings").groupBy("project", "status").agg(F.count(F.lit(1)).alias("findings"), F.sum("confidence").alias("confidence"))
 

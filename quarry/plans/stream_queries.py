@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.plans.scan_queries import PROSE, flat, sql_matches
 from quarry.plans.stand_ins import table
 from quarry.plans.usage_queries import ORACLES as USAGE
+from quarry.sources.shared import new_folder
 from quarry.streaming import streams
 
 
@@ -32,21 +33,14 @@ def balances(s, d):
     return streams.drained(streams.balance_stream(rows), "balances")
 
 
-def folder(s, name):
-    import uuid
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def finding_states(s, d):
     rows = stream(s, d, "events").where("event_type IN ('click', 'error')").selectExpr("concat('f', user_id) AS finding_id", "CASE event_type WHEN 'click' THEN 'confirmed' ELSE 'rejected' END AS status", "ts AS created_at", "event_id AS seq")
-    return streams.latest_state(s, rows, folder(s, "states"), ["finding_id"], ["created_at", "seq"]).select("finding_id", "status", "seq")
+    return streams.latest_state(s, rows, new_folder(s, "states"), ["finding_id"], ["created_at", "seq"]).select("finding_id", "status", "seq")
 
 
 def audit_progress(s, d):
     rows = stream(s, d, "conversations").selectExpr("concat('a', conv_id) AS audit_id", "turn AS seq", "role AS phase", "length(text) AS amount")
-    return streams.latest_state(s, rows, folder(s, "progress"), ["audit_id"], ["seq"])
+    return streams.latest_state(s, rows, new_folder(s, "progress"), ["audit_id"], ["seq"])
 
 
 def scan_stream(s, d):

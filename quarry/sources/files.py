@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.findings import parse_findings
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path not used before in the folder that driver and executors share, which must be set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_findings_json(spark: SparkSession, path: str) -> DataFrame:
     """Flat findings from a folder of JSON lines in the nested form; a line that is no JSON gives a row of defaults."""
     rows = spark.read.text(path).where(F.trim("value") != "").withColumn("seq", F.monotonically_increasing_id())

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import first_per_group
 from quarry.operators import scan
-from quarry.sources.files import new_folder
+from quarry.sources.shared import new_folder
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its rows as a table in the shared folder, which must be set."""
+    """Runs a stream over what is there now and returns its rows as a table in the shared folder."""
     spark = stream.sparkSession
     path = new_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
@@ -50,20 +50,20 @@ def balance_stream(events: DataFrame) -> DataFrame:
 
 
 def latest_state(spark: SparkSession, stream: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, kept in a table that each batch writes anew beside the old one.
+    """The last row of each key, as `order` decides: review states and audit progress.
 
-    Serves review states and audit progress: `order` decides which row is last.
+    The state store holds a row a key. A batch adds the keys that it changed, in a folder of its own that a
+    repeated batch writes over; readers take the last change of each key.
     """
+    others = [c for c in stream.columns if c not in keys]
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("last")).select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in stream.columns])
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/changes/batch=-1")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/state-{number - 1}"))
-        first_per_group(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/state-{number}")
-        spark.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{path}/last")
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/state-{spark.read.parquet(f'{path}/last').first()['n']}")
+    last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return first_per_group(spark.read.schema(stream.schema).parquet(f"{path}/changes/batch=*"), keys, [F.desc(c) for c in order])
 
 
 def incremental_scan_stream(docs: DataFrame, patterns: list[scan.Pattern]) -> DataFrame:

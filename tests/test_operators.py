@@ -2,7 +2,8 @@
 
 import datetime as dt
 
-from quarry.operators import code, findings, graph, rules, scan, usage
+from quarry.operators import code, context, findings, graph, rules, scan, usage
+from quarry.streaming import streams
 
 
 def rows(df, *columns):
@@ -62,3 +63,43 @@ def test_code_tables_on_awkward_text(spark):
 def test_scores_stay_in_range(spark):
     df = spark.createDataFrame([(i, "critical", 1.0) for i in (1, 1, 2)], "doc_id long, severity string, confidence double")
     assert {r.risk_score for r in scan.scan_risk_score(df).collect()} == {100}
+
+
+def test_places_in_a_group_that_holds_most_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else "m" if i % 7 else "n", i % 3) for i in range(2000)], "seq long, module string, risk_score int").repartition(7)
+    got = findings.numbered(df, ["module"], [findings.F.desc_nulls_last("risk_score"), findings.F.asc("seq")], "place")
+    want = []
+    for module in (None, "m", "n"):
+        own = sorted((-(i % 3), i) for i in range(2000) if (None if i % 50 == 0 else "m" if i % 7 else "n") == module)
+        want += [(seq, module, place) for place, (_, seq) in enumerate(own, 1)]
+    assert rows(got, "seq", "module", "place") == sorted(want, key=repr)
+    assert findings.numbered(df.limit(0), ["module"], [findings.F.asc("seq")], "place").count() == 0
+
+
+def test_layers_leave_short_plans(spark):
+    e = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(9)], "from_id string, to_id string")
+    s = spark.createDataFrame([("f0",), ("f0",)], "seed string")
+    deep = graph.neighbors(e, s, 6)
+    assert rows(deep, "func_id", "distance") == [(f"f{i}", i) for i in range(1, 7)]
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert graph.neighbors(e, s.limit(0), 2).count() == 0
+
+
+def test_custom_rules_of_owner_and_project(spark):
+    f = spark.createDataFrame([("a", 1, "o", "p", "Overflow", "d", "f", "HIGH"), ("b", 2, "o", "q", "Overflow", None, None, None), ("c", 3, "x", "p", "Overflow", "d", "f", "LOW"), ("d", 4, None, "p", None, None, None, None)], "finding_id string, seq long, owner_id string, project string, title string, description string, function string, severity string")
+    r = spark.createDataFrame(
+        [(3, "o", None, False, ["overflow"], None, None, None), (2, "o", "p", True, ["over"], None, "^f$", ["high"]), (1, "o", "p", True, None, None, None, None), (0, "x", "q", False, ["over"], None, None, None)],
+        "rule_id int, owner_id string, rule_project string, match_all boolean, title_contains array<string>, description_contains array<string>, function_pattern string, severity_in array<string>",
+    )
+    assert rows(context.apply_custom_exclusions(f, r), "finding_id", "excluded_by") == [("a", 2), ("b", 3), ("c", None), ("d", None)]
+    assert rows(context.apply_custom_exclusions(f, r.limit(0)), "finding_id", "excluded_by") == [(x, None) for x in "abcd"]
+
+
+def test_last_state_over_batches(spark, tmp_path):
+    schema = "id string, status string, seq long"
+    for batch in ([("a", "open", 1), ("b", "open", 2)], [("a", "closed", 5), ("c", "open", 4)], [("a", "late", 3), (None, "open", 6)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streams.latest_state(spark, stream, f"{tmp_path}/out", ["id"], ["seq"])
+    assert rows(got, "id", "status", "seq") == [("a", "closed", 5), ("b", "open", 2), ("c", "open", 4), (None, "open", 6)]
