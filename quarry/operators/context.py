@@ -70,10 +70,13 @@ def function_description(name: Column, visibility: Column) -> Column:
 def make_chunks(functions: DataFrame, types: DataFrame) -> DataFrame:
     """A retrieval chunk for each function: signature, description, risk, the structs of its module that its signature names, and the text to embed.
 
-    `types`: module, type_name. A null part of a function is left out of its text.
+    `types`: module, type_name; those of a module meet each function as one array. A null part of a function is
+    left out of its text.
     """
-    named = functions.join(types, "module").where(F.contains(F.concat_ws(" ", "params", "return_type"), F.col("type_name"))).groupBy("func_id").agg(F.array_sort(F.collect_set("type_name")).alias("related"))
-    rows = functions.join(named, "func_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+    of_module = types.groupBy("module").agg(F.array_sort(F.collect_set("type_name")).alias("__types"))
+    signature = F.concat_ws(" ", "params", "return_type")
+    related = F.filter("__types", lambda t: F.contains(signature, t))
+    rows = functions.join(of_module, "module", "left").select(*functions.columns, F.coalesce(related, F.array().cast("array<string>")).alias("related"))
     told = function_description(F.col("name"), F.col("visibility"))
     chunks = rows.withColumns({
         "signature": F.concat(F.lit("fun "), "name", F.lit("("), F.coalesce("params", F.lit("")), F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.nullif("return_type", F.lit(""))), F.lit(""))),
@@ -264,13 +267,16 @@ def locate_match(matches: DataFrame, functions: DataFrame, lines: DataFrame) ->
 
     In order: a function that the title or description names; the first line hint; the best line with a cue,
     within a function before the module's own level before a struct. `functions`: doc_id, function,
-    start_line, end_line. `lines`: doc_id, line_no, line, place (function, module or struct).
+    start_line, end_line. `lines`: doc_id, line_no, line, place (function, module or struct). The matches of a
+    text, no more than the catalogue has patterns, meet its lines and functions as one array.
     """
     keys = ["doc_id", "pattern_id"]
     about = F.concat_ws(" ", "title", "description")
-    named = matches.join(functions, "doc_id").where(F.contains(F.concat(F.lit(" "), F.regexp_replace(about, r"[^A-Za-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("function"), F.lit(" "))))
+    words = F.concat(F.lit(" "), F.regexp_replace(about, r"[^A-Za-z0-9_]+", " "), F.lit(" "))
+    of_text = matches.groupBy("doc_id").agg(F.collect_list(F.struct("pattern_id", words.alias("about"), "matched_cues")).alias("__matches"))
+    named = functions.join(of_text, "doc_id").select("doc_id", "start_line", F.inline(F.filter("__matches", lambda m: F.contains(m["about"], F.concat(F.lit(" "), F.col("function"), F.lit(" "))))))
     hinted = matches.where(F.size("line_hints") > 0).withColumn("at", F.element_at("line_hints", 1))
-    cued = matches.join(lines, "doc_id").where(F.exists("matched_cues", lambda c: F.contains(F.lower("line"), F.lower(c))))
+    cued = lines.withColumn("__lower", F.lower("line")).join(of_text, "doc_id").select("doc_id", "line_no", "place", F.inline(F.filter("__matches", lambda m: F.exists(m["matched_cues"], lambda c: F.contains(F.col("__lower"), F.lower(c))))))
     rank = choose([(F.col("place") == "function", 0), (F.col("place") == "module", 1)], 2)
     nothing = F.lit(0)
     tries = [

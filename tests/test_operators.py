@@ -103,3 +103,20 @@ def test_last_state_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = streams.latest_state(spark, stream, f"{tmp_path}/out", ["id"], ["seq"])
     assert rows(got, "id", "status", "seq") == [("a", "closed", 5), ("b", "open", 2), ("c", "open", 4), (None, "open", 6)]
+
+
+def test_places_of_matches(spark):
+    m = spark.createDataFrame(
+        [(1, "p", "Misuse of f()", None, None, ["x"]), (1, "q", "Other", "text", [7], ["x"]), (1, "r", "Other", None, [], ["VALUE", "none"]), (2, "p", None, None, None, None), (None, "p", "f", None, [3], ["x"])],
+        "doc_id long, pattern_id string, title string, description string, line_hints array<int>, matched_cues array<string>",
+    )
+    f = spark.createDataFrame([(1, "f", 2, 4), (1, "g", 6, 9), (2, "f", 1, 2)], "doc_id long, function string, start_line int, end_line int")
+    ls = spark.createDataFrame([(1, 1, "struct value", "struct"), (1, 3, "let Value = x", "function"), (1, 5, "value", "module"), (2, 1, None, "function")], "doc_id long, line_no int, line string, place string")
+    got = rows(context.locate_match(m, f, ls), "doc_id", "pattern_id", "line", "function", "how")
+    assert got == [(1, "p", 2, "f", "named function"), (1, "q", 7, "g", "line hint"), (1, "r", 3, "f", "cue"), (None, "p", 3, None, "line hint")]
+
+
+def test_chunks_name_the_types_of_their_module(spark):
+    f = spark.createDataFrame([("a", "m", "f", "public", "x: &Pool<T>", "Coin", 5, "b"), ("b", "n", "g", "private", "x: Pool", None, 0, None), (None, None, "h", None, None, None, None, None)], "func_id string, module string, name string, visibility string, params string, return_type string, risk_score int, body string")
+    t = spark.createDataFrame([("m", "Pool"), ("m", "Coin"), ("m", None), ("m", "Pool"), ("n", "Vault")], "module string, type_name string")
+    assert rows(context.make_chunks(f, t), "func_id", "related") == [("a", ["Coin", "Pool"]), ("b", []), (None, [])]
