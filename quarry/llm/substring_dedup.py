@@ -26,6 +26,8 @@ MIN_WORDS = 30
 #: least hash is selected, so that two places that share PASSAGE words share a selected gram.
 PASSAGE, GRAM = 50, 25
 KEY = ["id", "doc_hash"]
+#: The last id of each type that rows without id can have.
+LAST_IDS = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1, "string": "\U0010ffff"}
 #: Which characters part words, as str.split does; all of those lie below 0x3001.
 BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
 
@@ -34,9 +36,31 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def stand_in(rows: DataFrame, id_col: str) -> Column:
+    """The id, or the last of its type where it is null: so that of equal paragraphs one whose row has an id stays."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    return F.coalesce(rows[id_col], F.lit(LAST_IDS[kind]).cast(kind)) if kind in LAST_IDS else rows[id_col]
+
+
+def key_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Id and text hash by which joins find each row, those without id too.
+
+    The hash is of 63 bits and negative, or not for a row
+    without id, so that it comes after a row whose id is the last of its type, and isn't taken for it.
+    """
+    text_hash = F.xxhash64(docs[text_col])
+    return stand_in(docs, id_col), F.when(docs[id_col].isNull(), text_hash.bitwiseAND(F.lit(2**63 - 1))).otherwise(text_hash.bitwiseOR(F.lit(-(2**63))))
+
+
+def real_id(id_: str, doc_hash: str) -> Column:
+    """The id of a row, null again where it was."""
+    return F.when(F.col(doc_hash) < 0, F.col(id_))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """`id, doc_hash, paragraph, text` of each line that may have `min_words` words; paragraphs count from 0."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_hash"), F.posexplode(lines(F.col(text_col))).alias("paragraph", "text"))
+    id_, doc_hash = key_of(docs, id_col, text_col)
+    rows = docs.where(id_.isNotNull()).select(id_.alias("id"), doc_hash.alias("doc_hash"), F.posexplode(lines(F.col(text_col))).alias("paragraph", "text"))
     return rows.where(F.length("text") >= 2 * min_words - 1)
 
 
@@ -47,7 +71,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     members = written(found.where("copies > 1 OR links > 0").select("id", "doc_hash", "paragraph", "root").distinct(), "members")
     first = written(members.groupBy("root").agg(F.min(F.struct("id", "doc_hash", "paragraph")).alias("first"), F.count(F.lit(1)).alias("class_size")), "first-lines")
     joined = with_groups(members, first, ["root"], "class_size", ["id", "doc_hash", "paragraph"]).where(F.struct("id", "doc_hash", "paragraph") != F.col("first"))
-    return joined.select("id", "doc_hash", "paragraph", F.col("first.id").alias("kept_id"), F.col("first.paragraph").alias("kept_paragraph"), F.col("root").alias("class_id"), "class_size")
+    return joined.select("id", "doc_hash", "paragraph", real_id("first.id", "first.doc_hash").alias("kept_id"), F.col("first.paragraph").alias("kept_paragraph"), F.col("root").alias("class_id"), "class_size")
 
 
 def remaining(text: str | None, gone: object) -> list[tuple[int, int, str]]:
@@ -87,7 +111,8 @@ def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: s
     class_id, class_size, start, end`: characters of the text, its line and that of the first place.
     """
     id_kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text"))
+    id_, doc_hash = key_of(docs, id_col, text_col)
+    texts = docs.where(id_.isNotNull()).select(id_.alias("id"), doc_hash.alias("doc_hash"), F.col(text_col).alias("text"))
     reach = words - gram
 
     def select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +185,7 @@ def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: s
         return both.withColumn("more", same("own_words", "kept_words"))
 
     before = carried(True, "low", "a", ["chars", "lines"])
-    before = before.select(*KEY, "low", "high", F.get("own_lines", F.col("more")).alias("paragraph"), F.col("a_id").alias("kept_id"), F.get("kept_lines", F.col("more")).alias("kept_paragraph"), "class_id", "class_size", F.get("own_chars", F.col("more")).alias("start"), (F.col("low") - F.col("more")).alias("from"))
+    before = before.select(*KEY, "low", "high", F.get("own_lines", F.col("more")).alias("paragraph"), real_id("a_id", "a_doc_hash").alias("kept_id"), F.get("kept_lines", F.col("more")).alias("kept_paragraph"), "class_id", "class_size", F.get("own_chars", F.col("more")).alias("start"), (F.col("low") - F.col("more")).alias("from"))
     after = carried(False, "high", "z", ["chars"])
     after = after.select(*KEY, "high", F.get("own_chars", F.col("more")).alias("end"), (F.col("high") + F.lit(gram) + F.col("more")).alias("to"))
     whole = before.join(after, [*KEY, "high"]).drop("low", "high")
@@ -180,13 +205,14 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     `threshold` are linked; of each component of links the line with the smallest id and place stays; start and
     end are null. Of the rest, passages of `passage_words` words or more that come at an earlier place too go
     as well, wherever lines break: characters start to end, `paragraph` is the line where they start.
-    doc_hash tells rows with the same id apart; rows that repeat id and text are one document. Rows without id
-    are left out, null or empty texts have nothing to remove.
+    doc_hash tells rows with the same id apart; rows that repeat id and text are one document. Rows
+    without id come after those with one (ids that are neither whole numbers nor texts: they are left out). Null
+    or empty texts have nothing to remove.
     """
     by_line = written(repeated_lines(docs, id_col, text_col, min_words, size, threshold, recall), "repeated-lines")
     gone = by_line.groupBy(*KEY).agg(F.collect_set("paragraph").alias("gone"))
     rows = by_line.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}).unionByName(repeated_passages(docs, gone, id_col, text_col, passage_words, (passage_words + 1) // 2))
-    return rows.withColumnRenamed("id", id_col)
+    return rows.withColumn("id", real_id("id", "doc_hash")).withColumnRenamed("id", id_col)
 
 
 def cut(text: str | None, gone: object, spans: list[tuple[int, int]]) -> str:
@@ -209,14 +235,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` with the repeated paragraphs and passages cut out of the text column; all rows and columns stay."""
     found = repeated_paragraphs(docs, id_col, text_col, min_words)
     line, span = F.when(F.col("start").isNull(), F.col("paragraph")), F.when(F.col("start").isNotNull(), F.struct("start", "end"))
-    gone = found.groupBy(F.col(id_col).alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set(line).alias("__gone"), F.collect_set(span).alias("__spans"))
+    id_, doc_hash = key_of(docs, id_col, text_col)
+    gone = found.groupBy(stand_in(found, id_col).alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set(line).alias("__gone"), F.collect_set(span).alias("__spans"))
     gone = gone.select("__id", "__hash", "__gone", F.col("__spans.start").alias("__starts"), F.col("__spans.end").alias("__ends"))
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, lines_: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([cut(t, g, list(zip(a, b, strict=True))) for t, g, a, b in zip(text, lines_, starts, ends, strict=True)], dtype=object)
 
-    joined = docs.join(gone, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    joined = docs.join(gone, (id_ == F.col("__id")) & (doc_hash == F.col("__hash")), "left")
     only_lines = F.array_join(F.filter(lines(F.col(text_col)), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     # whole lines are cut without Python
     spans = F.size("__starts") > 0

@@ -13,7 +13,7 @@ def words5(t):
 
 
 def brute(docs, least):
-    items = [(i, p, words5(line)) for i, t in docs if i is not None for p, line in enumerate((t or "").split("\n")) if len(line.split()) >= least]
+    items = [((i is None, i or 0), p, words5(line)) for i, t in docs for p, line in enumerate((t or "").split("\n")) if len(line.split()) >= least]
     root = list(range(len(items)))
 
     def find(i):
@@ -27,11 +27,12 @@ def brute(docs, least):
     classes = {}
     for i in range(len(items)):
         classes.setdefault(find(i), []).append(items[i][:2])
-    return sorted((*x, *min(c)) for c in classes.values() for x in c if x != min(c))
+    real = lambda place: (None if place[0][0] else place[0][1], place[1])
+    return sorted(((*real(x), *real(min(c))) for c in classes.values() for x in c if x != min(c)), key=repr)
 
 
 def rows(df):
-    return sorted((r.doc_id, r.paragraph, r.kept_doc_id if "kept_doc_id" in df.columns else r.kept_id, r.kept_paragraph) for r in df.collect())
+    return sorted(((r.doc_id, r.paragraph, r.kept_doc_id if "kept_doc_id" in df.columns else r.kept_id, r.kept_paragraph) for r in df.collect()), key=repr)
 
 
 def without_lines(docs, least):
@@ -93,9 +94,13 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*d, "r") for d in DOCS], "doc_id long, text string, root string")
     assert rows(sd.repeated_paragraphs(df)) == brute(DOCS, 30)
     left = {(r.doc_id, r.text) for r in sd.without_repeats(df).collect()}
-    assert left == {(2, "head\ntail"), (1, f"{NEAR}\nown words"), (3, ""), (None, P), (5, None), (6, ""), (7, "short line\nshort line"), (8, ""), (9, "\n\n"), (7, "")}
+    assert left == {(2, "head\ntail"), (1, f"{NEAR}\nown words"), (3, ""), (None, ""), (5, None), (6, ""), (7, "short line\nshort line"), (8, ""), (9, "\n\n"), (7, "")}
     assert sd.without_repeats(df).columns == df.columns
     assert sd.without_repeats(df.limit(0)).count() == 0
+    last = [(2**63 - 1, P), (None, P), (None, f"{P}\nown"), (None, None)]
+    assert sorted(map(tuple, sd.without_repeats(spark.createDataFrame(last, "doc_id long, text string")).collect()), key=repr) == [(2**63 - 1, P), (None, ""), (None, "own"), (None, None)]
+    named = [("b", " ".join([*"xyz", P])), (None, " ".join([P, "q r s"])), ("", "one")]
+    assert sorted(map(tuple, sd.without_repeats(spark.createDataFrame(named, "doc_id string, text string")).collect()), key=repr) == [("", "one"), ("b", f"x y z {P}"), (None, "")]
 
 
 def test_passages_that_lines_do_not_show(spark):
