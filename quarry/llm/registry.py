@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, chat_format, packing, quality, warc
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.fingerprints import edited_fingerprints
+from quarry.llm.hard_negatives import hard_negatives, quantised
 from quarry.llm.lm_score import lm_scores
 from quarry.llm.merkle import tampered_proofs
 from quarry.llm.ngram_join import ngram_join
@@ -63,6 +64,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), quantised(F.col("embedding")).alias("vec"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_chat_format": op12_chat_format,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -126,6 +134,18 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_hard_negatives": """
+        WITH e AS (SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.rid AS arid, a.id AS anchor_id, a.label AS alabel, e.id, e.label, list_inner_product(a.v, e.v)::BIGINT AS score
+              FROM e a JOIN e ON a.id % 100 = 0 AND a.rid <> e.rid),
+        p AS (SELECT * FROM s WHERE label = alabel QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, id NULLS LAST) <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.arid, p.id ORDER BY s.score DESC, s.id NULLS LAST)::INT AS rank
+              FROM p JOIN s ON s.arid = p.arid AND s.label <> s.alabel AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT * FROM n WHERE rank <= 5""",
     "op12_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
