@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import any_in, choose, language_of, topk_per_group
+from quarry.functions.columns import choose, language_of, topk_per_group
 
 #: Points of a match by severity, and the least score of each risk level.
 WEIGHTS = {"critical": 100, "high": 70, "medium": 40, "low": 20, "advisory": 10}
@@ -53,8 +53,8 @@ def with_language(files: DataFrame) -> DataFrame:
 
 
 def read_patterns_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """The pattern catalogue; blank and broken lines are skipped."""
-    schema = "pattern_id string, title string, severity string, issue_tags array<string>, detection_cues array<string>, pattern string, function string, recommendation string"
+    """The pattern catalogue, as `match_catalogue` and `cue_scan` take it; blank and broken lines are skipped."""
+    schema = "seq long, pattern_id string, title string, severity string, issue_tags array<string>, detection_cues array<string>, pattern string, function string, module_path string, recommendation string"
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("pattern_id IS NOT NULL")
 
 
@@ -163,13 +163,6 @@ def priority_warnings(matches: DataFrame, n: int = 5) -> DataFrame:
     return topk_per_group(urgent, ["doc_id"], [F.asc("seq")], n, "rank")
 
 
-def simple_cue_scan(docs: DataFrame, patterns: list[Pattern], text: str = "text") -> DataFrame:
-    """`doc_id, pattern_id` of each text and pattern of which a cue occurs anywhere in the text; case doesn't count."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(any_in(lower, [c.lower() for c in p.cues]), F.lit(p.pattern_id)) for p in patterns if p.cues]))
-    return docs.select("doc_id", F.explode(found).alias("pattern_id"))
-
-
 def keywords(text: Column, n: int = 10) -> Column:
     """The first n lower-case identifiers of three letters or more that are no stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9_])([a-z_][a-z0-9_]*)(?![a-z0-9_])"), 1)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.catalogue_data import BUILT_IN
-from quarry.operators import code, scan
+from quarry.operators import code, cues, scan
 from quarry.operators.scan import Pattern
 from quarry.plans.stand_ins import oracle, table, view
+from quarry.sources import shared
 
 SNIPPETS = """
     SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS doc_id,
@@ -22,6 +23,15 @@ SOURCES = """
            '    public fun get_', p_size, '(item: &Item, amount: u64): u64 {~        // note~        let x = amount * item.price / ', p_size, ';~        coin::join(x, "Pool { Full");~        helper(x)~    }~',
            '    fun helper(cap: &AdminCap) {~        0x2::transfer::public_transfer(cap);~    }~', CASE WHEN p_size % 2 = 0 THEN '    #[test]~    public entry fun check_all(c: Coin<T>) { abort 0 }~' ELSE '' END, '}~'), '~', chr(10)) AS content
     FROM {part}"""
+#: A pattern for each benchmark item: its runs of two, three and four words are cues.
+CATALOGUE = """
+    SELECT item_id AS seq, concat('B', item_id) AS pattern_id, concat_ws(' ', {at}(w, 1), {at}(w, 2)) AS title, {at}({list}('critical', 'high', 'medium', 'low', 'advisory'), CAST(item_id % 5 + 1 AS INT)) AS severity,
+           {list}({at}({list}('en', 'fr', 'de', 'es'), CAST(item_id % 4 + 1 AS INT))) AS issue_tags, {cues} AS detection_cues,
+           concat(regexp_replace(lower({at}(w, 1)), '[^a-z]', '.'{all}), '[a-z, ]+', regexp_replace(lower({at}(w, 3)), '[^a-z]', '.'{all})) AS pattern, text AS module_path, text AS "function", 'Look again' AS recommendation
+    FROM (SELECT item_id, text, {words} AS w FROM {benchmark})"""
+SPARK_CUES = ", ".join(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))" for n in (2, 3, 4))
+DUCK_CUES = " || ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))" for n in (2, 3, 4))
+SQL_CATALOGUE = "catalogue AS (" + CATALOGUE.format(at="list_extract", list="list_value", cues=DUCK_CUES, all=", 'g'", words="string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')", benchmark="benchmark") + ")"
 #: Lines before the first function of a source: 5, and one if it has a receipt.
 LEAD = "(5 + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END)"
 SQL_SOURCES = f"sources AS ({SOURCES.replace('{part}', 'part')})"
@@ -53,6 +63,14 @@ def docs(s, d):
     return table(s, d, "documents").select("doc_id", "text")
 
 
+def catalogue(s, d):
+    """The patterns, written as JSON lines and read back."""
+    sql = CATALOGUE.format(at="element_at", list="array", cues=f"concat({SPARK_CUES})", all="", words="split(trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ')), ' ')", benchmark="{benchmark}")
+    path = shared.new_folder(s, "catalogue")
+    scan.write_patterns_jsonl(s.sql(sql.replace('"function"', "`function`"), benchmark=table(s, d, "benchmark")), path)
+    return scan.read_patterns_jsonl(s, path)
+
+
 def quoted(x):
     return "'" + x.replace("'", "''") + "'"
 
@@ -106,7 +124,9 @@ QUERIES = {
     "k4_scan_risk_score": lambda s, d: scan.scan_risk_score(once(s, d)),
     "k5_scan_summary": lambda s, d: scan.scan_summary(once(s, d)),
     "k6_priority_warnings": lambda s, d: scan.priority_warnings(scan.match_patterns(snippets(s, d), BUILT_IN), 2).select("doc_id", "pattern_id", "rank"),
-    "k8_simple_cue_scan": lambda s, d: scan.simple_cue_scan(docs(s, d), [*PROSE, *BUILT_IN]),
+    "k1_match_catalogue": lambda s, d: flat(cues.match_catalogue(table(s, d, "documents"), catalogue(s, d), domain="lang")),
+    "k8_simple_cue_scan": lambda s, d: cues.cue_scan(docs(s, d), catalogue(s, d)).select("doc_id", F.col("seq").alias("pattern")),
+    "k8_cue_scan_hints": lambda s, d: cues.cue_scan(docs(s, d).withColumns({"m": F.substring("text", 1, 4), "f": F.substring("text", 5, 3)}), catalogue(s, d), "m", "f").select("doc_id", F.col("seq").alias("pattern")),
     "k9_scan_risk_level": lambda s, d: scan.scan_risk_score(once(s, d)).select("doc_id", scan.scan_risk_level(F.col("risk_score")).alias("risk_level")),
     "s2_exclude_paths": lambda s, d: scan.exclude_paths(files(s, d)).select("path"),
     "s3_with_language": lambda s, d: scan.with_language(files(s, d)).groupBy("language").count(),
@@ -165,7 +185,13 @@ ORACLES = {
     "k4_scan_risk_score": f"{PROSE_ONCE} SELECT doc_id, {SCORE} AS risk_score FROM once GROUP BY doc_id",
     "k5_scan_summary": f"{PROSE_ONCE} SELECT doc_id, {COUNTS}, {LINE} AS summary FROM once GROUP BY doc_id",
     "k6_priority_warnings": f"WITH {SQL_SNIPPETS}, m AS ({sql_matches(BUILT_IN, 'snippets')}) SELECT doc_id, pattern_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS rank FROM m WHERE severity IN ('critical', 'high') QUALIFY rank <= 2",
-    "k8_simple_cue_scan": " UNION ALL ".join(f"SELECT doc_id, {quoted(p.pattern_id)} AS pattern_id FROM documents WHERE {' OR '.join(f'contains(lower(text), lower({quoted(c)}))' for c in p.cues)}" for p in [*PROSE, *BUILT_IN]),
+    "k1_match_catalogue": f"""WITH {SQL_CATALOGUE}, m AS (SELECT doc_id, 'B' || seq AS pattern_id, seq, title, severity, list_filter(detection_cues, lambda c: contains(lower(text), lower(c))) AS hits,
+            regexp_matches(text, '(?i)' || pattern) AS fits, list_contains(issue_tags, lang) AS tagged FROM documents CROSS JOIN catalogue),
+        r AS (SELECT *, round(least(1.0, len(hits) * 0.15 + CASE WHEN fits THEN 0.3 ELSE 0 END + CASE WHEN tagged THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM m WHERE len(hits) > 0)
+        SELECT doc_id, pattern_id, seq, title, severity, array_to_string(hits[1:5], '|') AS cues, confidence FROM r WHERE confidence >= 0.2""",
+    "k8_simple_cue_scan": f"WITH {SQL_CATALOGUE}, c AS (SELECT DISTINCT seq, lower(cue) AS cue FROM (SELECT seq, unnest(detection_cues) AS cue FROM catalogue)) SELECT DISTINCT doc_id, seq AS pattern FROM documents JOIN c ON contains(lower(text), cue)",
+    "k8_cue_scan_hints": f"""WITH {SQL_CATALOGUE}, c AS (SELECT DISTINCT seq, lower(cue) AS cue FROM (SELECT seq, unnest(detection_cues) AS cue FROM catalogue)) SELECT DISTINCT doc_id, seq AS pattern FROM documents JOIN c ON contains(lower(text), cue)
+        UNION SELECT doc_id, seq FROM documents JOIN catalogue ON (text <> '' AND contains(module_path, substr(text, 1, 4))) OR (length(text) > 4 AND contains("function", substr(text, 5, 3)))""",
     "k9_scan_risk_level": f"{PROSE_ONCE} SELECT doc_id, {LEVEL.format(SCORE)} AS risk_level FROM once GROUP BY doc_id",
     "s2_exclude_paths": oracle("SELECT path FROM files WHERE NOT starts_with(path, 'build/') AND NOT starts_with(path, 'tests/') AND NOT ends_with(path, '_test.move') AND NOT ends_with(path, '.bin')"),
     "s3_with_language": oracle("SELECT CASE WHEN ends_with(path, '.move') THEN 'move' WHEN ends_with(path, '.toml') THEN 'toml' WHEN ends_with(path, '.MD') THEN 'markdown' ELSE 'plaintext' END AS language, count(*) AS count FROM files GROUP BY 1"),
