@@ -1,4 +1,4 @@
-"""Scanning text: files, lines, search, cue-and-regex patterns with confidence, and similar vectors.
+"""Scanning text: files, lines, search, and cue-and-regex patterns with confidence.
 
 A catalogue of patterns is compiled to literal column expressions, so that each regex is compiled once and a
 scan is one pass without a join. `doc_id` names a text, `text` holds it.
@@ -185,23 +185,3 @@ def snippet_around(lines: DataFrame, hits: DataFrame, n: int = 3) -> DataFrame:
     mark = F.when(F.col("inside") & (F.col("line_no") == F.col("hit")), ">").otherwise(" ")
     shown = F.struct("line_no", F.concat(mark, F.col("line_no").cast("string"), F.lit("| "), F.col("line")).alias("shown"))
     return joined.groupBy("path", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["shown"]), "\n").alias("snippet"))
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int = 5, farthest: float = 1.5, broadcast_bytes: int = 32_000_000) -> DataFrame:
-    """The k nearest base vectors of each query, within a distance; confidence falls with the distance.
-
-    An exact search compares a stated query set with all base vectors. Queries are dealt to blocks that stay
-    below `broadcast_bytes`: one block is broadcast, more are joined to the base block by block.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    size = q.agg(F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0))).first()[0]
-    blocks = 1 + size // broadcast_bytes
-    if blocks == 1:
-        pairs = base.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        dealt = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = dealt.join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "block").where("vec_id <> query_id")
-    diff = F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) ** 2)
-    distance = F.round(F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)), 6)
-    near = topk_per_group(pairs.select("query_id", "vec_id", distance.alias("distance")), ["query_id"], [F.asc("distance"), F.asc("vec_id")], 2 * k, "rank").where(F.col("distance") <= farthest)
-    return near.where(F.col("rank") <= k).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2)))

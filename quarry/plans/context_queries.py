@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import code, scan
+from quarry.operators import code, scan, vectors
 from quarry.operators import context as op
 from quarry.plans.scan_queries import SQL_SOURCES, SQL_SNIPPETS, functions_of, quoted, snippets, sources
 from quarry.plans.stand_ins import oracle, table, view
@@ -61,7 +61,7 @@ def owned(s, d):
 
 
 def hits(s, d):
-    near = scan.knn(table(s, d, "embeddings").where("vec_id % 20 = 0"), table(s, d, "embeddings"), 20, 10.0)
+    near = vectors.knn(table(s, d, "embeddings").where("vec_id % 20 = 0"), table(s, d, "embeddings"), 20, 10.0)
     label = table(s, d, "embeddings").select("vec_id", F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low", "advisory"])), F.pmod("label", F.lit(5)).cast("int") + 1).alias("severity"))
     return near.join(label, "vec_id")
 

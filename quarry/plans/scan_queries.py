@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.catalogue_data import BUILT_IN
-from quarry.operators import code, cues, scan
+from quarry.operators import code, cues, scan, vectors
 from quarry.operators.scan import Pattern
 from quarry.plans.stand_ins import oracle, table, view
 from quarry.sources import shared
@@ -156,7 +156,7 @@ QUERIES = {
     "q1_content_key": lambda s, d: scan.content_keys(files(s, d)).select("path", "content_key"),
     "q1_changed_files": lambda s, d: scan.changed_files(files(s, d), scan.content_keys(files(s, d).where("seq % 3 = 0"))).select("path"),
     "a19_file_tree_counts": lambda s, d: scan.file_tree_counts(files(s, d)),
-    "v1_knn": lambda s, d: scan.knn(queries_of(s, d), table(s, d, "embeddings"), 5, 10.0).select("query_id", "vec_id", "distance", "confidence"),
+    "v1_knn": lambda s, d: vectors.knn(queries_of(s, d), table(s, d, "embeddings"), 5, 10.0).select("query_id", "vec_id", "distance", "confidence"),
     "v4_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(scan.keywords(F.col("text")), " ").alias("words")),
 }
 
