@@ -133,6 +133,18 @@ def flashloan_check(types: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
+def first_lines(text: Column, regex: str, n: int) -> Column:
+    """Line numbers of the first n matches of a regular expression, case ignored: lines before the match, counted in what
+    splitting at the matches leaves."""
+    pattern = F.lit(f"(?i)({regex})")
+    whole = F.regexp_extract_all(text, pattern, 0)
+    pieces = F.slice(F.split(text, f"(?i){regex}", n + 1), 1, F.least(F.lit(n), F.size(whole)))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    steps = F.zip_with(pieces, F.slice(whole, 1, n), lambda piece, hit: F.struct(breaks(piece).alias("before"), breaks(hit).alias("within")))
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("hints"))
+    return F.aggregate(steps, start, lambda s, x: F.struct((s["line"] + x["before"] + x["within"]).alias("line"), F.concat(s["hints"], F.array(s["line"] + x["before"])).alias("hints")), lambda s: s["hints"])
+
+
 def line_hints(matches: DataFrame, docs: DataFrame, regex: str, n: int = 3, text: str = "text") -> DataFrame:
     """Line numbers of the first n matches of a pattern in each matched text."""
     rows = docs.select("doc_id", F.col(text).alias("rest"), F.lit(1).alias("line"), F.array().cast("array<int>").alias("hints"))
@@ -146,6 +158,13 @@ def line_hints(matches: DataFrame, docs: DataFrame, regex: str, n: int = 3, text
     return matches.join(rows.select("doc_id", "hints"), "doc_id")
 
 
+def pattern_line_hints(matches: DataFrame, docs: DataFrame, regexes: dict[str, str], n: int = 3, text: str = "text") -> DataFrame:
+    """`doc_id, pattern_id, hints` of each match: line numbers of the first n hits of its pattern's regex; none without a regex."""
+    found = matches.select("doc_id", "pattern_id").join(docs.select("doc_id", F.col(text).alias("__text")), "doc_id")
+    hints = choose([(F.col("pattern_id") == p, first_lines(F.col("__text"), regex, n)) for p, regex in regexes.items()], None)
+    return found.select("doc_id", "pattern_id", F.coalesce(hints, F.array().cast("array<int>")).alias("hints"))
+
+
 def valid_locations(matches: DataFrame) -> DataFrame:
     """Matches of each pattern that point below the first line and not at a module's head."""
     return matches.where((F.col("line") > 1) & ~F.ltrim("context").startswith("module ")).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("valid"))

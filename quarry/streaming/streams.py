@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import first_per_group
 from quarry.operators import scan
+from quarry.operators.context import pattern_line_hints
 from quarry.sources.shared import new_folder
+from quarry.streaming.states import AuditProgress, BalanceFold, ReviewState, stateful
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -33,39 +32,102 @@ def purchase_dedupe_stream(purchases: DataFrame, late: str = "1 day") -> DataFra
     return purchases.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["transaction_digest"])
 
 
-def balance_stream(events: DataFrame) -> DataFrame:
-    """Balances after each event of a user, in the order of a batch's times; usage beyond the balance is rejected."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def balance_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Balances after each event of a user in the order of time, over all batches; usage beyond the balance is rejected.
+
+    An event is folded once the watermark, `late` behind the latest, has passed it; `closed` ends a stream. Later
+    ones are dropped. Events without a time or a sequence number are left out, a null delta counts 0.
+    """
+    stateful(events.sparkSession)
+    # no part of a key may be null in the state store
+    keys = [F.col("user_id").isNull().alias("no_user"), F.coalesce(F.col("user_id").cast("long"), F.lit(0)).alias("user")]
+    at = F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")
+    rows = events.where("created_at IS NOT NULL").select(*keys, at, F.col("seq").cast("long").alias("seq"), F.col("created_at").cast("timestamp").alias("created_at"), F.col("delta").cast("long").alias("delta"))
+    folded = rows.withWatermark("created_at", late).groupBy("no_user", "user").transformWithStateInPandas(BalanceFold(), "user_id long, seq long, delta long, balance long, rejected boolean", "append", "EventTime")
+    return folded
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        balance, rows = state.get[0] if state.exists else 0, []
-        for e in pd.concat(list(frames)).sort_values(["created_at", "seq"]).itertuples():
-            rejected = balance + e.delta < 0
-            balance = balance if rejected else balance + e.delta
-            rows.append((key[0], e.seq, e.delta, balance, rejected))
-        state.update((int(balance),))
-        yield pd.DataFrame(rows, columns=["user_id", "seq", "delta", "balance", "rejected"])
 
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, seq long, delta long, balance long, rejected boolean", "balance long", "append", GroupStateTimeout.NoTimeout)
+def closed(events: DataFrame, path: str, ahead: str = "interval 400 days") -> None:
+    """Adds to a folder of events one without user, sequence and delta, far behind the last: it moves the watermark past all others."""
+    last = events.agg((F.max(F.col("created_at").cast("timestamp")) + F.expr(ahead)).alias("created_at"))
+    last.select(*[(F.col(f.name) if f.name == "created_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).coalesce(1).write.mode("append").parquet(path)
 
 
-def latest_state(spark: SparkSession, stream: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, as `order` decides: review states and audit progress.
+def kept_by_version(rows: DataFrame, path: str, keys: list[str], checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream of rows that hold the whole state of their keys and returns the latest of each key.
 
-    The state store holds a row a key. A batch adds the keys that it changed, in a folder of its own that a
-    repeated batch writes over; readers take the last change of each key.
+    A batch writes the keys that it changed into a folder of its own, over what an earlier try left there: a batch
+    that is repeated after a restart changes nothing. Readers take the highest `version` of each key; `compacted`
+    folds the folders.
     """
-    others = [c for c in stream.columns if c not in keys]
-    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("last")).select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in stream.columns])
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/changes/batch=-1")
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/changes/batch=-1")
 
     def add(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return first_per_group(spark.read.schema(stream.schema).parquet(f"{path}/changes/batch=*"), keys, [F.desc(c) for c in order])
+    rows.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return first_per_group(spark.read.schema(rows.schema).parquet(f"{path}/changes/batch=*"), keys, [F.desc("version")])
+
+
+def review_stream(actions: DataFrame) -> DataFrame:
+    """The state of each finding after each batch of review actions: status, severity, notes. Null fields were never set.
+
+    `actions`: finding_id, action_type, new_severity, reason, created_at, seq. Actions without time or finding are left out.
+    """
+    stateful(actions.sparkSession)
+    rows = actions.where("created_at IS NOT NULL AND finding_id IS NOT NULL").select("finding_id", "action_type", "new_severity", "reason", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"))
+    return rows.groupBy("finding_id").transformWithStateInPandas(ReviewState(), "finding_id string, status string, severity string, notes array<string>, version long", "update", "none")
+
+
+def reviewed(findings: DataFrame, states: DataFrame) -> DataFrame:
+    """Findings with what their reviews made of them, as `apply_actions` has it."""
+    named = states.select("finding_id", F.col("status").alias("__status"), F.col("severity").alias("__severity"), F.col("notes").alias("__notes"))
+    rows = findings.join(named, "finding_id", "left")
+    return rows.withColumns({"status": F.coalesce("__status", "status"), "severity": F.coalesce("__severity", "severity"), "notes": F.coalesce("__notes", F.array().cast("array<string>"))}).drop("__status", "__severity", "__notes")
+
+
+def progress_stream(updates: DataFrame, audits: DataFrame) -> DataFrame:
+    """Progress of running audits: phase, percent and the last 500 messages; phase -1 only adds its message.
+
+    `updates`: audit_id, seq, phase, percent, message; `audits`: id, status. Updates of audits that don't run are ignored.
+    """
+    stateful(updates.sparkSession)
+    running = audits.where("status = 'running' AND id IS NOT NULL").select(F.col("id").alias("audit_id")).distinct()
+    rows = updates.join(running, "audit_id").select("audit_id", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), F.coalesce(F.col("phase").cast("int"), F.lit(-1)).alias("phase"), F.coalesce(F.col("percent").cast("double"), F.lit(0.0)).alias("percent"), "message")
+    return rows.groupBy("audit_id").transformWithStateInPandas(AuditProgress(), "audit_id string, current_phase int, phase_name string, progress_percent double, messages array<string>, version long", "update", "none")
+
+
+#: The tables that a scan of new texts fills.
+SCAN_TABLES = ("texts", "matches", "line_hints", "titles", "scores", "summaries")
+
+
+def incremental_scan(texts: DataFrame, patterns: list[scan.Pattern], path: str, checkpoint: str | None = None) -> None:
+    """Scans texts as they arrive (`doc_id, text`) into tables under `path`: matches, their line hints, one match a title, risk
+    scores and summaries, and the content keys seen.
+
+    A text whose content was seen before, under whatever id, is not scanned again: the state store holds a key a
+    content. All tables of a batch are written from one scan, into folders named after the batch, over what an
+    earlier try left there.
+    """
+    keyed = scan.content_keys(texts, content="text").dropDuplicates(["content_key"])
+
+    def add(batch: DataFrame, number: int) -> None:
+        def put(name: str, rows: DataFrame) -> DataFrame:
+            where = f"{path}/{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(where)
+            return batch.sparkSession.read.schema(rows.schema).parquet(where)
+
+        fresh = put("texts", batch.select("doc_id", "text", "content_key"))
+        found = put("matches", scan.match_patterns(fresh, patterns))
+        put("line_hints", pattern_line_hints(found, fresh, {p.pattern_id: p.regex for p in patterns if p.regex}))
+        titles = put("titles", scan.dedupe_by_title(found.withColumn("source_rank", F.lit(0))))
+        put("scores", scan.scan_risk_score(titles))
+        put("summaries", scan.scan_summary(titles))
+
+    keyed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def incremental_scan_stream(docs: DataFrame, patterns: list[scan.Pattern]) -> DataFrame:
-    """Pattern matches of texts as they arrive."""
-    return scan.match_patterns(docs, patterns)
+def scanned(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table that `incremental_scan` filled."""
+    return spark.read.parquet(f"{path}/{name}").drop("batch")
