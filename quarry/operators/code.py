@@ -1,7 +1,7 @@
 """Code tables from source text: modules, functions, types, constants, imports, calls and risk.
 
-Native column expressions only. Limits, by design: two declarations on one line share its span, and braces in
-comments count as braces.
+Native column expressions only. Functions and braces are found by their place in the text, so that several may share
+a line. Braces within double quotes don't count, those in comments do.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import choose
-from quarry.operators.scan import brace_depth, explode_lines, strip_comments
+from quarry.operators.scan import explode_lines
 
-FUNCTION = r"(?m)^[ \t]*((?:public(?:\((?:friend|package)\))?[ \t]+)?(?:entry[ \t]+)?)fun[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*(<[^>(]*>)?[ \t]*\(([^)]*)\)[ \t]*(?::[ \t]*([^{;]+?))?[ \t\n]*[{;]"
+FUNCTION = r"((?:#\[[^\]]+\]\s*)*)((?:public(?:\s*\(\s*(?:friend|package)\s*\))?\s+)?(?:entry\s+)?)fun\s+(\w+)\s*(<[^>]+>)?\s*\(([^)]*)\)(?:\s*:\s*([^{;]+))?\s*\{"
+#: Strings as they end at the next quote without a backslash before it, and braces outside of them.
+BRACES = r'(?<!\\)"[^"]*+(?:(?<=\\)"[^"]*+)*+(?:"|$)|[{}]'
 STRUCT = r"struct[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*(?:<[^>{]*>)?[ \t]*(?:has[ \t]+([a-z, \t]+?))?[ \t]*\{([^}]*)\}"
 CONSTANT = r"const[ \t]+([A-Za-z_][A-Za-z0-9_]*)[ \t]*:[ \t]*([^=;]+?)[ \t]*=[ \t]*([^;]+);"
 IMPORT = r"(?m)^[ \t]*use[ \t]+([^;]+);"
@@ -24,7 +26,17 @@ CAPABILITIES = ["AdminCap", "OwnerCap", "TreasuryCap", "MinterCap", "Capability"
 RISKS = {"overflow": (r"\*|\+|<<|>>", 10), "state_modification": (r"balance::join|balance::split|coin::mint|coin::burn|transfer::|dynamic_field::|table::|bag::", 8), "division": ("/", 12), "external_call": ("::", 5)}
 ACCESS_WEIGHT = 15
 #: Words that look like calls and are none.
-NO_CALLS = ["if", "while", "loop", "return", "assert", "abort", "fun", "let", "move", "copy", "match", "spec", "else"]
+NO_CALLS = [
+    "if", "else", "while", "loop", "return", "abort", "break", "continue", "let", "mut", "move", "copy", "as", "use", "fun", "public", "entry",
+    "struct", "module", "const", "has", "assert", "spec", "requires", "ensures", "vector", "option", "some", "none", "true", "false", "allow", "lint", "test", "test_only",
+]
+#: Capitalised words that name no type worth looking up, and shapes of such words.
+NO_TYPES = [
+    "Self", "T", "U", "V", "W", "X", "Y", "Z", "CoinType", "CoinTypeA", "CoinTypeB", "Type", "Key", "Store", "ID", "UID", "TxContext", "Option", "String", "ASCII",
+    "E", "R", "S", "A", "B", "C", "N", "M", "TODO", "FIXME", "NOTE", "HACK", "XXX", "BUG", "Check", "If", "The", "This", "We", "It", "Is", "Not", "For",
+    "Args", "Returns", "Return", "Param", "See", "Example",
+]
+NO_TYPE_SHAPES = r"^.{1,2}$|^[^a-z]+$|_$|^(Coin)?Type[A-Z]$|^[A-Z][a-z]+[TKV]$"
 
 
 def _each(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
@@ -43,39 +55,89 @@ def extract_modules(files: DataFrame) -> DataFrame:
     return rows.withColumn("full_name", F.when(F.col("address") != "", F.concat_ws("::", "address", "module_name")).otherwise(F.col("module_name"))).drop("content")
 
 
+def places(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
+    """A row for each match of a pattern: `seq`, the matched text `whole`, its place `at` (characters before it) and its line.
+
+    Lengths of matches and of what lies between them are summed up in order, so that a text is read once.
+    """
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    both = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: F.struct(hit.alias("whole"), F.length(gap).alias("gap"), breaks(gap).alias("gap_lines")))
+    rows = df.select(*keys, F.posexplode(both).alias("seq", "hit")).select(*keys, "seq", "hit.*")
+    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.sum(F.col("gap") + F.length("whole")).over(before) - F.length("whole")
+    line = F.sum(F.col("gap_lines") + breaks(F.col("whole"))).over(before) - breaks(F.col("whole")) + 1
+    return rows.select(*keys, "seq", "whole", at.alias("at"), line.cast("int").alias("line"))
+
+
+def _declared(rows: DataFrame, *columns: str) -> DataFrame:
+    words = F.trim(F.regexp_replace(_part(FUNCTION, 2), r"\s+", " "))
+    words = F.regexp_replace(words, r" ?\( ?(friend|package) ?\)", "($1)")
+    return rows.select(
+        *columns, F.btrim(_part(FUNCTION, 1), F.lit(" \t\r\n")).alias("attributes"), F.when(words == "", "private").otherwise(words).alias("visibility"), _part(FUNCTION, 3).alias("name"),
+        F.coalesce(_part(FUNCTION, 4), F.lit("")).alias("type_params"), _part(FUNCTION, 5).alias("params"), F.btrim(F.coalesce(_part(FUNCTION, 6), F.lit("")), F.lit(" \t\r\n")).alias("return_type"),
+    )
+
+
 def extract_functions(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Declared functions: visibility, name, type parameters, parameters, return type, in order."""
-    words = F.trim(F.regexp_replace(_part(FUNCTION, 1), r"[ \t]+", " "))
-    rows = _each(files, keys, "content", FUNCTION)
-    return rows.select(*keys, "seq", F.when(words == "", "private").otherwise(words).alias("visibility"), _part(FUNCTION, 2).alias("name"), _part(FUNCTION, 3).alias("type_params"), _part(FUNCTION, 4).alias("params"), F.trim(_part(FUNCTION, 5)).alias("return_type"))
+    """Functions with a body, wherever they stand in a line: attributes, visibility, name, type parameters, parameters, return type, in order."""
+    return _declared(_each(files, keys, "content", FUNCTION), *keys, "seq")
+
+
+def signature() -> Column:
+    """A declaration as one line, from the columns of `extract_functions`."""
+    seen = F.when(F.col("visibility") != "private", F.concat("visibility", F.lit(" "))).otherwise("")
+    given = F.when(F.col("return_type") != "", F.concat(F.lit(": "), "return_type")).otherwise("")
+    return F.concat(seen, F.lit("fun "), "name", "type_params", F.lit("("), "params", F.lit(")"), given)
+
+
+def function_places(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Functions with where they begin (`at`, `start_line`, their attributes counted in), where their block opens and closes, and
+    the lines of these.
+
+    A brace closes the one before it on its own level, so that one look ahead on each level pairs them all; the next
+    open brace after a declaration's own start is its block. A block that is never closed ends with its file.
+    """
+    declared = _declared(places(files, keys, "content", FUNCTION), *keys, "at", "line").select(*keys, "at", "line", F.lit("f").alias("kind"), F.struct("attributes", "visibility", "name", "type_params", "params", "return_type").alias("told"))
+    braces = places(files, keys, "content", BRACES).where(F.col("whole").isin("{", "}")).select(*keys, "at", "line", F.col("whole").alias("kind"))
+    in_file = Window.partitionBy(*keys).orderBy("at")
+    depth = F.sum(F.when(F.col("kind") == "{", 1).otherwise(-1)).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
+    leveled = braces.withColumn("level", depth + F.when(F.col("kind") == "}", 1).otherwise(0))
+    own = Window.partitionBy(*keys, "level").orderBy("at")
+    paired = leveled.withColumns({"close_at": F.lead("at").over(own), "close_line": F.lead("line").over(own)}).where("kind = '{'")
+    ends = files.select(*keys, (F.length("content") - 1).alias("last_at"), F.size(F.split("content", "\n", -1)).alias("last_line"))
+    opened = paired.select(*keys, "at", "line", "kind", F.struct(F.col("at").alias("open_at"), F.col("line").alias("open_line"), "close_at", "close_line").alias("block"))
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = declared.unionByName(opened, allowMissingColumns=True).withColumn("block", F.last("block", True).over(backwards)).where("kind = 'f'")
+    rows = rows.join(ends, keys).select(*keys, F.col("told.*"), "at", F.col("line").alias("start_line"), "block.open_at", "block.open_line", F.coalesce("block.close_at", "last_at").alias("close_at"), F.coalesce("block.close_line", "last_line").cast("int").alias("end_line"))
+    return rows
+
+
+def function_spans(files: DataFrame, keys: list[str]) -> DataFrame:
+    """First and last line of each function, and its body: the lines between, both whole."""
+    spans = function_places(files, keys).select(*keys, F.col("name").alias("function"), "at", "start_line", "end_line")
+    lines = F.split("content", "\n", -1)
+    text = files.select(*keys, "content")
+    return spans.join(text, keys).select(*keys, "function", "at", "start_line", "end_line", F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("body"))
 
 
 def function_lines(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of each file with depth of braces and the declaration that they belong to, if any."""
-    lines = brace_depth(explode_lines(files), keys)
+    """Lines of each file with the function that they belong to, if any; the last that begins at or before a line, where several share it."""
+    spans = function_places(files, keys).groupBy(*keys, F.col("start_line").alias("line_no")).agg(F.max_by("name", "at").alias("declared"))
+    lines = explode_lines(files).join(spans, [*keys, "line_no"], "left")
     by_file = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.nullif(F.regexp_extract("line", r"^[ \t]*(?:public(?:\((?:friend|package)\))?[ \t]+)?(?:entry[ \t]+)?fun[ \t]+([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
-    lines = lines.withColumn("declared", name)
     return lines.withColumn("start_line", F.last(F.when(F.col("declared").isNotNull(), F.col("line_no")), True).over(by_file)).withColumn("function", F.last("declared", True).over(by_file))
 
 
-def function_spans(files: DataFrame, keys: list[str]) -> DataFrame:
-    """First and last line and body of each function: the end is the first line where its braces are closed again."""
-    lines = function_lines(files, keys).where("start_line IS NOT NULL")
-    own = Window.partitionBy(*keys, "start_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("base", F.first("depth_before").over(own)).withColumn("opened", F.max(F.when(F.col("line").contains("{"), 1).otherwise(0)).over(own))
-    lines = lines.withColumn("closed", F.min(F.when((F.col("opened") == 1) & (F.col("depth_after") <= F.col("base")), F.col("line_no"))).over(Window.partitionBy(*keys, "start_line")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return lines.where("line_no <= closed").groupBy(*keys, "function", "start_line").agg(F.max("closed").alias("end_line"), body.alias("body"))
-
-
 def is_test_function(files: DataFrame, keys: list[str], above: int = 10) -> DataFrame:
-    """Functions that are tests, by their name or by a test attribute in the lines above, up to a line that closes a block or declares another function."""
-    lines = function_lines(files, keys)
-    before = F.collect_list("line").over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(-above, -1))
-    near = F.aggregate(F.reverse("before"), F.struct(F.lit(False).alias("hit"), F.lit(False).alias("over")), lambda s, x: F.struct((s["hit"] | (~s["over"] & x.rlike(r"#\[test(_only)?\]"))).alias("hit"), (s["over"] | x.rlike(r"^\s*(\}\s*$|(fun|public|entry) )")).alias("over")))["hit"]
-    named = F.col("declared").startswith("test_") | F.col("declared").endswith("_test") | F.col("declared").endswith("_for_test")
-    return lines.withColumn("before", before).where("declared IS NOT NULL").select(*keys, F.col("declared").alias("function"), F.col("line_no").alias("start_line"), (named | near | F.col("line").rlike(r"#\[test")).alias("is_test"))
+    """Functions that are tests: by their name, by an attribute of their own, or by one in the lines above, up to a line that
+    closes a block or declares another function."""
+    named = F.col("name").startswith("test_") | F.col("name").endswith("_test") | F.col("name").endswith("_for_test")
+    marked = F.col("attributes").rlike(r"#\[test(_only)?\]")
+    rows = function_places(files, keys).select(*keys, F.col("name").alias("function"), "at", "start_line", (named | marked).alias("sure"))
+    before = F.reverse(F.slice(F.split("content", "\n", -1), F.greatest(F.col("start_line") - above, F.lit(1)), F.least(F.col("start_line") - 1, F.lit(above))))
+    near = F.aggregate(before, F.struct(F.lit(False).alias("hit"), F.lit(False).alias("over")), lambda s, x: F.struct((s["hit"] | (~s["over"] & x.rlike(r"#\[test(_only)?\]"))).alias("hit"), (s["over"] | x.rlike(r"^\s*(\}\s*$|(fun|public|entry) )")).alias("over")))["hit"]
+    return rows.join(files.select(*keys, "content"), keys).select(*keys, "function", "start_line", (F.col("sure") | ((F.col("start_line") > 1) & near)).alias("is_test"))
 
 
 def extract_structs(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,25 +207,43 @@ def external_call_tokens(functions: DataFrame, body: str = "body") -> DataFrame:
 
 
 def extract_calls(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls in the lines of each function: `module::f(` and bare `f(`; declarations, line comments, keywords and the own name left out."""
-    lines = function_lines(files, keys).where("function IS NOT NULL AND declared IS NULL AND NOT ltrim(line) LIKE '//%'")
-    wide = F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_]+(?:::[A-Za-z0-9_]+)+)[ \t]*(?:<[^(;]*>)?[ \t]*\("), 1)
-    bare = F.regexp_extract_all("line", F.lit(r"(?<![:.\w])([A-Za-z_][A-Za-z0-9_]*)[ \t]*\("), 1)
+    """Calls in the block of each function: `module::f(` and bare lower-case `f(`; line comments, keywords and the own name left out."""
+    blocks = function_places(files, keys).select(*keys, F.col("name").alias("function"), "open_at", "open_line", "close_at").join(files.select(*keys, "content"), keys)
+    inside = F.substring(F.col("content"), (F.col("open_at") + 1).cast("int"), (F.col("close_at") - F.col("open_at") + 1).cast("int"))
+    lines = blocks.select(*keys, "function", "open_line", F.posexplode(F.split(inside, "\n", -1)).alias("n", "line")).where("NOT ltrim(line) LIKE '//%'")
+    wide = F.regexp_extract_all("line", F.lit(r"(\w+(?:::\w+)+)\s*(?:<[^>]*>)?\s*\("), 1)
+    bare = F.regexp_extract_all("line", F.lit(r"(?<![:\w.])([a-z_][a-z0-9_]*)\s*(?:<[^>]*>)?\s*\("), 1)
     calls = F.array_distinct(F.concat(wide, F.filter(bare, lambda x: ~x.isin(NO_CALLS) & (x != F.col("function")))))
-    return lines.select(*keys, "function", F.col("line_no").alias("call_line"), F.explode(calls).alias("raw_call"))
+    return lines.select(*keys, "function", (F.col("open_line") + F.col("n")).alias("call_line"), F.explode(calls).alias("raw_call"))
 
 
-def type_tokens_topk(functions: DataFrame, keys: list[str], k: int = 10, text: str = "body") -> DataFrame:
-    """The k most frequent capitalised names of each function, comments removed; the first seen among equals."""
-    tokens = F.regexp_extract_all(strip_comments(F.col(text)), F.lit(r"\b([A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*)"), 1)
+def type_tokens_topk(functions: DataFrame, keys: list[str], k: int = 10, text: str = "body", head: str | None = None) -> DataFrame:
+    """The k most frequent names of types of each function, in its signature (`head`) and body, comments removed; the first seen among equals."""
+    combined = F.concat_ws("\n", *[F.col(c) for c in (head, text) if c])
+    bare = F.regexp_replace(F.regexp_replace(combined, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    tokens = F.filter(F.regexp_extract_all(bare, F.lit(r"\b([A-Z][a-zA-Z0-9_]*)\b"), 1), lambda t: ~t.isin(NO_TYPES) & ~t.rlike(NO_TYPE_SHAPES))
     rows = functions.select(*keys, F.posexplode(tokens).alias("at", "token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("first")
 
 
+#: What a function's visibility, the start of its name, or its name says.
+SEEN_BY = {"entry": "Entry point function", "public": "Public function"}
+NAME_STARTS = {
+    ("create_", "new_"): "creates a new object", ("destroy_", "delete_"): "destroys/deletes an object",
+    ("get_", "is_", "has_"): "getter/query function", ("set_", "update_"): "setter/update function",
+}
+NAMED_OPERATIONS = {"DeFi": ["borrow", "repay", "liquidate", "deposit", "withdraw"], "AMM": ["swap", "add_liquidity", "remove_liquidity"], "Token": ["mint", "burn", "transfer"]}
+
+
+def function_description(name: Column, visibility: Column) -> Column:
+    """What name and visibility tell of a function, as `a, b`; empty if nothing."""
+    seen = F.coalesce(choose([(visibility == v, text) for v, text in SEEN_BY.items()], None), F.lit(""))
+    does = choose([(name.rlike(f"^({'|'.join(prefixes)})"), text) for prefixes, text in NAME_STARTS.items()] + [(name.isin(*names), F.concat(F.lit(f"{kind} "), name, F.lit(" operation"))) for kind, names in NAMED_OPERATIONS.items()], None)
+    return F.array_join(F.filter(F.array(seen, F.coalesce(does, F.lit(""))), lambda x: x != ""), ", ")
+
+
 def describe_function(functions: DataFrame) -> DataFrame:
-    """A plain description from the name and the visibility."""
-    starts = lambda *words: reduce(lambda a, b: a | b, [F.col("name").startswith(w) for w in words])
-    what = choose([(starts("create", "new", "init"), "creates an object"), (starts("destroy", "delete", "burn"), "destroys an object"), (starts("get", "borrow", "is_", "has_"), "reads state"), (starts("set", "update"), "changes settings"), (starts("deposit", "withdraw", "stake", "repay", "flash"), "moves funds"), (starts("swap", "add_liquidity", "remove_liquidity"), "trades on a pool"), (starts("mint", "transfer"), "handles tokens")], "runs logic")
-    who = choose([(F.col("visibility").contains("entry"), "callable by transactions"), (F.col("visibility").contains("public"), "callable by other modules")], "internal")
-    return functions.withColumn("description", F.concat_ws(", ", what, who))
+    """`description` from module, name and visibility; empty where these tell nothing."""
+    told = function_description(F.col("name"), F.col("visibility"))
+    return functions.withColumn("description", F.when(told != "", F.concat("module", F.lit("::"), "name", F.lit(" - "), told)).otherwise(""))

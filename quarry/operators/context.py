@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.columns import any_in, choose, first_per_group, severity_rank, topk_per_group
+from quarry.operators.code import function_description
+from quarry.operators.scan import keywords
 
 #: Title words and the terms that code must have for a hit to be relevant.
 CORE_CONCEPTS = {
@@ -22,14 +24,6 @@ TYPE_CHECKS = [r"type_name::get<.*>\s*\(\)\s*.*==.*type_name", r"type_name\s*==\
 AMOUNT_CHECKS = [r"assert!.*coin::value.*>=", r"assert!.*amount.*==", r"ERepayAmountMismatch", r"repay_amount"]
 POOL_CHECKS = [r"object::id\(pool\)\s*==", r"pool_id\s*==", r"EPoolIdMismatch"]
 
-#: What a function's visibility, the start of its name, or its name says.
-SEEN_BY = {"entry": "Entry point function", "public": "Public function"}
-NAME_STARTS = {
-    ("create_", "new_"): "creates a new object", ("destroy_", "delete_"): "destroys/deletes an object",
-    ("get_", "is_", "has_"): "getter/query function", ("set_", "update_"): "setter/update function",
-}
-NAMED_OPERATIONS = {"DeFi": ["borrow", "repay", "liquidate", "deposit", "withdraw"], "AMM": ["swap", "add_liquidity", "remove_liquidity"], "Token": ["mint", "burn", "transfer"]}
-
 #: An object whose braces pair up, with one more level within.
 BALANCED = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,500}\}"
 
@@ -60,13 +54,6 @@ def function_context(functions: DataFrame, edges: DataFrame, types: DataFrame, c
     return rows.withColumns({"callers": F.coalesce("callers", none), "types": F.coalesce("types", none)})
 
 
-def function_description(name: Column, visibility: Column) -> Column:
-    """What name and visibility tell of a function, as `a, b`; empty if nothing."""
-    seen = F.coalesce(choose([(visibility == v, text) for v, text in SEEN_BY.items()], None), F.lit(""))
-    does = choose([(name.rlike(f"^({'|'.join(prefixes)})"), text) for prefixes, text in NAME_STARTS.items()] + [(name.isin(*names), F.concat(F.lit(f"{kind} "), name, F.lit(" operation"))) for kind, names in NAMED_OPERATIONS.items()], None)
-    return F.array_join(F.filter(F.array(seen, F.coalesce(does, F.lit(""))), lambda x: x != ""), ", ")
-
-
 def make_chunks(functions: DataFrame, types: DataFrame) -> DataFrame:
     """A retrieval chunk for each function: signature, description, risk, the structs of its module that its signature names, and the text to embed.
 
@@ -101,11 +88,6 @@ def function_code(requests: DataFrame, functions: DataFrame, dependencies: DataF
     return requests.join(hits, "request", "left").withColumn("corrected", F.coalesce(F.col("kind") == 4, F.lit(False))).drop("kind")
 
 
-def locate(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """First file and line of a requested module and function. `requests`: module, function; `lines`: path, module, function, line_no of declarations."""
-    return requests.join(lines.groupBy("module", "function").agg(F.min(F.struct("path", "line_no")).alias("at")), ["module", "function"], "left").select("module", "function", "at.path", "at.line_no")
-
-
 def risky_by_type(functions: DataFrame, kind: str = "all") -> DataFrame:
     """Functions of a kind of risk: access, state, funds (state changes on coins or balances) or all."""
     coins = F.col("params").contains("Coin") | F.col("params").contains("Balance")
@@ -184,17 +166,33 @@ def matched_cues(code: Column, cues: Column, title: Column, n: int = 5) -> Colum
     return F.slice(F.array_union(own, words), 1, n)
 
 
-def code_relevance(code: Column, title: Column, words: Column, function: Column, cues: Column, negatives: Column) -> Column:
-    """How well a similar issue fits code, 0 to 1: shares of its words, function and cues that occur, less where negative words occur, and 0.1 where any core concept of the title is missing."""
-    lower = F.lower(code)
-    hits = lambda xs: F.size(F.filter(xs, lambda x: F.contains(lower, F.lower(x))))
-    concepts = core_concepts(title)
-    checks = F.size(words) + F.when(function.isNotNull(), 1).otherwise(0) + F.size(cues)
-    points = hits(words) * 1.0 + F.when(F.contains(lower, F.lower(function)), 1.5).otherwise(0.0) + hits(cues) * 0.8
-    base = F.when(checks == 0, 0.5).otherwise(F.least(F.lit(1.0), points / F.greatest(checks * 0.5, F.lit(1.0))))
-    bad = hits(negatives)
-    weighed = base * F.when(bad >= 2, 0.5).when(bad == 1, 0.7).otherwise(1.0)
-    return F.when(hits(concepts) < F.size(concepts), 0.1).otherwise(F.round(weighed, 6))
+def code_relevance(code: Column, title: Column, description: Column, function: Column, cues: Column) -> Column:
+    """How well a similar issue fits code, 0 to 1; `cues` is one text, parts between ` | `.
+
+    0.1 where a core concept of the title is missing. 0.15 where the description names two specific identifiers or
+    more and seven tenths of them are missing (of the first five). Else the points of title words (1), function
+    (1.5), cues (0.8) and names or quoted code of the description (0.6) that occur, over half of those tried; less
+    where names occur neither whole nor in any part. 0.5 where there is nothing to try. Identifiers and names
+    count in the order in which they are named.
+    """
+    lower, told = F.lower(F.coalesce(code, F.lit(""))), F.coalesce(description, F.lit(""))
+    has = lambda x: F.contains(lower, F.lower(x))
+    hits = lambda xs: F.size(F.filter(xs, has))
+    concepts, words = core_concepts(title), keywords(F.coalesce(title, F.lit("")))
+    named = F.coalesce(function, F.lit("")) != ""
+    short = F.element_at(F.split(F.coalesce(function, F.lit("")), "::"), -1)
+    parts = F.filter(F.transform(F.slice(F.split(F.coalesce(cues, F.lit("")), r" \| "), 1, 5), lambda c: F.trim(F.lower(c))), lambda c: F.length(c) >= 3)
+    identifiers = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(told), F.lit(r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), 1)), lambda x: F.length(x) >= 8)
+    missing = F.size(F.filter(F.slice(identifiers, 1, 5), lambda x: ~has(x)))
+    quoted, names = F.regexp_extract_all(told, F.lit("`([^`]+)`"), 1), F.regexp_extract_all(F.lower(told), F.lit(r"\b([a-z_]+(?:_[a-z]+)+)\b"), 1)
+    patterns = F.filter(F.slice(F.array_distinct(F.concat(quoted, names)), 1, 10), lambda x: F.length(x) >= 5)
+    bad = F.size(F.filter(patterns, lambda x: ~has(x) & F.contains(x, F.lit("_")) & ~F.exists(F.split(x, "_"), has)))
+    checks = F.size(words) + F.when(named, 1).otherwise(0) + F.size(parts) + F.size(patterns)
+    points = hits(words) * 1.0 + F.when(named & has(short), 1.5).otherwise(0.0) + hits(parts) * 0.8 + hits(patterns) * 0.6
+    base = F.least(F.lit(1.0), points / F.greatest(checks * 0.5, F.lit(1.0)))
+    weighed = F.when(checks == 0, 0.5).otherwise(base * F.when(bad >= 2, 0.5).when(bad == 1, 0.7).otherwise(1.0))
+    unlikely = (F.size(identifiers) >= 2) & (missing >= F.size(identifiers) * 0.7)
+    return F.when(hits(concepts) < F.size(concepts), 0.1).when(unlikely, 0.15).otherwise(F.round(weighed, 6))
 
 
 def semantic_matches(hits: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:

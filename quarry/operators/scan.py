@@ -86,11 +86,6 @@ def search_lines(files: DataFrame, query: str, suffix: str | None = None, limit:
     return hits if limit is None else hits.orderBy("path", "line_no").limit(limit)
 
 
-def search_chunks(chunks: DataFrame, query: str, regex: bool = False, text: str = "text") -> DataFrame:
-    hit = F.col(text).rlike(query) if regex else F.lower(text).contains(query.lower())
-    return chunks.where(hit)
-
-
 def content_keys(files: DataFrame, kind: str = "code", content: str = "content") -> DataFrame:
     """A key of each content, by which unchanged files are recognised."""
     return files.withColumn("content_key", F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(F.coalesce(content, F.lit("")), 256), 1, 32)))

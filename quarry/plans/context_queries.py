@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import code, scan, vectors
+from quarry.operators import code, scan, search, vectors
 from quarry.operators import context as op
 from quarry.plans.scan_queries import SQL_SOURCES, SQL_SNIPPETS, functions_of, quoted, snippets, sources
 from quarry.plans.stand_ins import oracle, table, view
@@ -70,9 +70,28 @@ def relevant(s, d):
     return hits(s, d).withColumn("relevance", F.when(F.col("vec_id") % 2 == 0, 0.8).otherwise(0.25))
 
 
-def declared(s, d):
-    spans = code.function_spans(sources(s, d).select("id", "content"), ["id"])
-    return spans.select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.concat(F.lit("m"), F.col("id")).alias("module"), "function", F.col("start_line").alias("line_no"))
+#: Issues that a snippet is held against: title, description, function, cues.
+CASES = [
+    ("Oracle price stale", "uses `get_price` of set_price", "pool::set_price", "amount * price | oracle::get_price | p"),
+    ("Plain", "", "", ""),
+    ("of", None, None, None),
+    ("Repay receipt", "calls repay_flash_loan and close_position without verify_receipt_type", "repay", "flash_loan(receipt)"),
+    ("Borrow rate", "the value of flash_loan may be drained by swap_exact_out", "borrow", "AdminCap"),
+    ("Transfer of AdminCap", "Anyone can `transfer::public_transfer` it", "m::get", "public_transfer"),
+    ("let amount", "see zz_qqq and public_transfer", None, "value / rate"),
+    ("Timestamp of the clock", "see zz_qqq, vv_www and from_bytes", "borrow", "xx | clock::timestamp_ms(c)"),
+    ("Signature malleability", "", "", ""),
+]
+SQL_CASES = ", ".join(f"({i}, " + ", ".join("NULL" if x is None else quoted(x) for x in case) + ")" for i, case in enumerate(CASES))
+
+
+def relevance_cases(s, d):
+    cases = s.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "n long, title string, description string, function string, cues string")
+    return snippets(s, d).withColumn("n", F.pmod("doc_id", F.lit(len(CASES)))).join(F.broadcast(cases), "n")
+
+
+def requests(s, d):
+    return table(s, d, "part").selectExpr("concat(CASE WHEN p_size % 4 = 0 THEN 'x::' ELSE '' END, 'm', p_partkey) AS module", "CASE p_size % 3 WHEN 0 THEN 'helper' WHEN 1 THEN 'absent' END AS function")
 
 
 def answers(s, d):
@@ -109,11 +128,11 @@ QUERIES = {
     "x20_snippets_by_keyword": lambda s, d: op.snippets_by_keyword(scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content")), "amount", 2).select("path", F.array_join("hits", ",").alias("hits"), "snippet"),
     "k2_line_hints": lambda s, d: op.line_hints(snippets(s, d).select("doc_id"), snippets(s, d), r"[a-z_]+\s*\(", 3).select("doc_id", F.array_join("hints", ",").alias("hints")),
     "k10_valid_locations": lambda s, d: op.valid_locations(view(s, d, "findings").selectExpr("title AS pattern_id", "CAST(quantity AS INT) % 4 AS line", "CASE WHEN quantity % 5 = 0 THEN '  module x' ELSE module END AS context")),
-    "p3_locate": lambda s, d: op.locate(table(s, d, "part").selectExpr("concat('m', p_partkey) AS module", "CASE WHEN p_size % 2 = 0 THEN 'helper' ELSE 'absent' END AS function"), declared(s, d)),
+    "p3_locate": lambda s, d: search.locate(sources(s, d).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.regexp_replace("content", "module 0x1::", "module ").alias("content")), requests(s, d)),
     "p7_risky_access": lambda s, d: op.risky_by_type(code.risk_indicators(functions_of(s, d)), "access").select("id", "function"),
     "p7_risky_state": lambda s, d: op.risky_by_type(code.risk_indicators(functions_of(s, d)), "state").select("id", "function"),
     "p13_scannable": lambda s, d: op.scannable(view(s, d, "functions").withColumns({"path": F.when(F.col("risk_score") % 3 == 0, "tests/a.move").otherwise("a.move"), "uses": F.when(F.col("risk_score") % 5 == 0, F.array(F.lit("x::test_only"))).otherwise(F.array(F.lit("x")))})).select("func_id"),
-    "v2_code_relevance": lambda s, d: snippets(s, d).select("doc_id", op.code_relevance(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "Oracle issue").otherwise("Plain"), F.array(F.lit("price"), F.lit("pool")), F.when(F.col("doc_id") % 3 == 0, F.lit("repay")), F.array(F.lit("flash")), F.array(F.lit("AdminCap"), F.lit("join"))).alias("relevance")),
+    "v2_code_relevance": lambda s, d: relevance_cases(s, d).select("doc_id", op.code_relevance(*[F.col(c) for c in ("text", "title", "description", "function", "cues")]).alias("relevance")),
     "v3_core_concepts": lambda s, d: view(s, d, "findings").select("title", F.array_join(op.core_concepts(F.col("title")), ",").alias("terms")).groupBy("title", "terms").count(),
     "v5_semantic_matches": lambda s, d: op.semantic_matches(relevant(s, d).drop("rank"), 3).select("query_id", "vec_id", "confidence"),
     "v6_search_by_severity": lambda s, d: op.search_by_severity(hits(s, d), "medium", 4).select("query_id", "vec_id", "severity"),
@@ -155,12 +174,27 @@ ORACLES = {
     "k2_line_hints": f"""{SNIP}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM snippets), m AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '(?i)[a-z_]+\\s*\\(')) AS hit, generate_subscripts(regexp_extract_all(line, '(?i)[a-z_]+\\s*\\('), 1) AS j FROM l)
         SELECT s.doc_id, coalesce(string_agg(n, ',' ORDER BY n, j) FILTER (r <= 3), '') AS hints FROM snippets s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) AS r FROM m) USING (doc_id) GROUP BY s.doc_id""",
     "k10_valid_locations": oracle("SELECT title AS pattern_id, count(*) AS valid FROM findings WHERE CAST(quantity AS INT) % 4 > 1 AND quantity % 5 <> 0 GROUP BY title"),
-    "p3_locate": "SELECT concat('m', p_partkey) AS module, CASE WHEN p_size % 2 = 0 THEN 'helper' ELSE 'absent' END AS function, CASE WHEN p_size % 2 = 0 THEN concat('f', p_partkey) END AS path, CASE WHEN p_size % 2 = 0 THEN CAST(12 + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS INT) END AS line_no FROM part",
+    "p3_locate": f"""WITH {SQL_SOURCES}, l AS (SELECT id, string_split(content, chr(10)) AS lines FROM sources), a AS (SELECT id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM l),
+        r AS (SELECT p_partkey, concat('m', p_partkey) AS m, concat(CASE WHEN p_size % 4 = 0 THEN 'x::' ELSE '' END, 'm', p_partkey) AS module, CASE p_size % 3 WHEN 0 THEN 'helper' WHEN 1 THEN 'absent' END AS "function" FROM part),
+        h AS (SELECT module, "function", concat('f', id) AS path, min(n) AS head FROM r JOIN a ON contains(line, 'module 0x1::' || m) GROUP BY ALL),
+        f AS (SELECT h.*, (SELECT min(n) FROM a WHERE concat('f', a.id) = path AND contains(line, 'fun ' || h."function")) AS place FROM h),
+        best AS (SELECT * FROM f WHERE "function" IS NULL OR place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY module, "function" ORDER BY path) = 1)
+        SELECT r.module, r."function", path, CAST(CASE WHEN r."function" IS NULL THEN head ELSE place END AS INT) AS line_start, CAST(CASE WHEN r."function" IS NULL THEN head ELSE place + 2 END AS INT) AS line_end
+        FROM r LEFT JOIN best ON r.module = best.module AND r."function" IS NOT DISTINCT FROM best."function" """,
     "p7_risky_access": "SELECT p_partkey AS id, 'helper' AS function FROM part",
     "p7_risky_state": "SELECT p_partkey AS id, 'helper' AS function FROM part",
     "p13_scannable": oracle("SELECT func_id FROM functions WHERE risk_score % 3 <> 0 AND risk_score % 5 <> 0"),
-    "v2_code_relevance": f"""{SNIP}, b AS (SELECT doc_id, text, {HAS('price')} + {HAS('pool')} + CASE WHEN doc_id % 3 = 0 THEN {HAS('repay')} * 1.5 ELSE 0 END + {HAS('flash')} * 0.8 AS points, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS checks, {HAS('admincap')} + {HAS('join')} AS bad, {HAS('oracle')} AS core FROM snippets)
-        SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND core = 0 THEN 0.1 ELSE round(least(1.0, points / greatest(checks * 0.5, 1.0)) * CASE WHEN bad >= 2 THEN 0.5 WHEN bad = 1 THEN 0.7 ELSE 1.0 END, 6) END::DOUBLE AS relevance FROM b""",
+    "v2_code_relevance": f"""{SNIP}, c AS (SELECT doc_id, lower(text) AS code, lower(x.title) AS title, coalesce(x.description, '') AS told, coalesce(x.function, '') AS fn, coalesce(x.cues, '') AS cues FROM snippets JOIN (VALUES {SQL_CASES}) x(n, title, description, function, cues) ON doc_id % {len(CASES)} = n),
+        p AS (SELECT *, list_filter([CASE WHEN contains(title, 'oracle') THEN 'oracle' END, CASE WHEN contains(title, 'admin') THEN 'admin' END, CASE WHEN contains(title, 'signature') THEN 'sig' END, CASE WHEN contains(title, 'signature') THEN 'signature' END], lambda x: x IS NOT NULL AND NOT contains(code, x)) AS lost,
+                list_filter(regexp_extract_all(title, '[a-z_][a-z0-9_]*'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'not', 'but', 'without'))[1:10] AS words,
+                list_filter(list_transform(string_split(cues, ' | ')[1:5], lambda c: trim(lower(c))), lambda c: length(c) >= 3) AS parts,
+                list_filter(list_distinct(regexp_extract_all(lower(told), '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')), lambda x: length(x) >= 8) AS ids,
+                list_filter(list_distinct(regexp_extract_all(told, '`([^`]+)`', 1) || regexp_extract_all(lower(told), '\\b[a-z_]+(?:_[a-z]+)+\\b')), lambda x: length(x) >= 5) AS pats FROM c),
+        q AS (SELECT *, len(words) + (fn <> '')::INT + len(parts) + len(pats) AS checks,
+                len(list_filter(words, lambda x: contains(code, x))) + CASE WHEN fn <> '' AND contains(code, lower(string_split(fn, '::')[-1])) THEN 1.5 ELSE 0 END + 0.8 * len(list_filter(parts, lambda x: contains(code, x))) + 0.6 * len(list_filter(pats, lambda x: contains(code, lower(x)))) AS points,
+                len(list_filter(pats, lambda x: NOT contains(code, lower(x)) AND contains(x, '_') AND len(list_filter(string_split(x, '_'), lambda y: contains(code, lower(y)))) = 0)) AS bad, len(list_filter(ids, lambda x: NOT contains(code, x))) AS missing FROM p)
+        SELECT doc_id, CASE WHEN len(lost) > 0 THEN 0.1 WHEN len(ids) >= 2 AND missing >= 0.7 * len(ids) THEN 0.15 WHEN checks = 0 THEN 0.5
+                            ELSE round(least(1.0, points / greatest(checks * 0.5, 1.0)) * CASE WHEN bad >= 2 THEN 0.5 WHEN bad = 1 THEN 0.7 ELSE 1 END, 6) END::DOUBLE AS relevance FROM q""",
     "v3_core_concepts": oracle("SELECT title, CASE title WHEN 'Missing admin check' THEN 'admin' WHEN 'Oracle price manipulation' THEN 'oracle' WHEN 'Callback before update' THEN 'callback' ELSE '' END AS terms, count(*) AS count FROM findings GROUP BY ALL"),
     "v5_semantic_matches": f"WITH {NEAR} SELECT query_id, vec_id, round(greatest(0.0, conf) * 0.8, 6) AS confidence FROM n WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, conf) * 0.8, 6) DESC, vec_id) <= 3",
     "v6_search_by_severity": f"WITH {NEAR} SELECT query_id, vec_id, severity FROM n WHERE severity IN ('critical', 'high', 'medium') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 4",

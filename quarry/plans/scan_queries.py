@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.catalogue_data import BUILT_IN
-from quarry.operators import code, cues, scan, vectors
+from quarry.operators import code, cues, scan, search, vectors
 from quarry.operators.scan import Pattern
 from quarry.plans.stand_ins import oracle, table, view
 from quarry.sources import shared
@@ -46,6 +46,18 @@ PROSE = [
 ]
 
 
+#: Functions that share lines, braces within strings, words that look like calls, comments between.
+ONE_LINERS = """
+    SELECT p_partkey AS id, replace(concat('module m { #[test] fun t', p_size, '() { } public fun two(x: Coin<T>): u64 { a::b<X>(x); if (x) { some(x); vector(x) }; Thing(x); f', p_size, '(x) }~',
+           '#[allow(unused)]~#[test_only]~public(package) entry fun q<T: store>(s: String) {~ // skip(me);~ let s = "} { \\" }";~ ', CASE WHEN p_size % 2 = 0 THEN 'two(s); q(s);~' ELSE 'break (x); .call(x);~' END, '} fun last_test() {}~}~fun open() { abort(1'), '~', chr(10)) AS content
+    FROM {part}"""
+NAMES = "'create_a', 'new_a', 'destroy_a', 'delete_a', 'get_a', 'is_a', 'has_a', 'set_a', 'update_a', 'borrow', 'repay', 'liquidate', 'deposit', 'withdraw', 'swap', 'add_liquidity', 'remove_liquidity', 'mint', 'burn', 'transfer', 'run', 'getter', 'mint_a'"
+
+
+def one_liners(s, d):
+    return s.sql(escaped(ONE_LINERS.replace("\\", "\\\\"), "part"), part=table(s, d, "part"))
+
+
 def escaped(sql, name):
     """Braces of the written code are doubled for the formatter of spark.sql."""
     return sql.replace("{", "{{").replace("}", "}}").replace(f"{{{{{name}}}}}", f"{{{name}}}")
@@ -89,6 +101,12 @@ def flat(matches):
     return matches.select("doc_id", "pattern_id", "seq", "title", "severity", F.array_join("matched_cues", "|").alias("cues"), "confidence")
 
 
+def found(s, d, query, regex=False):
+    path = shared.new_folder(s, "search")
+    search.build_search_index(docs(s, d), path, posting_parts=16, text_parts=16)
+    return search.search_index(s, path, query, regex)
+
+
 def prose(s, d):
     return scan.match_patterns(docs(s, d), PROSE)
 
@@ -106,8 +124,8 @@ def lines_of(s, d):
 
 
 def functions_of(s, d):
-    f = code.function_spans(sources(s, d).select("id", "size", "content"), ["id", "size"])
-    p = code.extract_functions(sources(s, d), ["id"]).select("id", F.col("name").alias("function"), "params", "visibility")
+    f = code.function_spans(sources(s, d).select("id", "size", "content"), ["id", "size"]).drop("at")
+    p = code.extract_functions(sources(s, d), ["id"]).select("id", F.col("name").alias("function"), "params", "visibility", code.signature().alias("signature"))
     return f.join(p, ["id", "function"])
 
 
@@ -131,12 +149,17 @@ QUERIES = {
     "s2_exclude_paths": lambda s, d: scan.exclude_paths(files(s, d)).select("path"),
     "s3_with_language": lambda s, d: scan.with_language(files(s, d)).groupBy("language").count(),
     "p1_search_lines": lambda s, d: scan.search_lines(files(s, d), "the on"),
-    "p2_search_chunks": lambda s, d: scan.search_chunks(docs(s, d), "LICENSE").select("doc_id"),
-    "p2_search_chunks_regex": lambda s, d: scan.search_chunks(docs(s, d), "[0-9]{3}-[0-9]{4}", True).select("doc_id"),
+    "p2_search_chunks": lambda s, d: found(s, d, "LICENSE").select(F.col("key").alias("doc_id")),
+    "p2_search_chunks_regex": lambda s, d: found(s, d, "[0-9]{3}-[0-9]{4}", True).select(F.col("key").alias("doc_id")),
+    "p2_search_first": lambda s, d: search.first_hits(found(s, d, r"(?:the)\s+th[a-z]+ing", True).select(F.col("key").alias("doc_id")), ["doc_id"]),
     "x1_explode_lines": lambda s, d: scan.explode_lines(files(s, d).select("path", "content")).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")),
     "x2_brace_depth": lambda s, d: scan.brace_depth(lines_of(s, d), ["path"]).groupBy("path").agg(F.max("depth_after").alias("deepest"), F.min_by("depth_after", -F.col("line_no")).alias("last")),
     "x3_extract_modules": lambda s, d: code.extract_modules(sources(s, d)).select("id", "address", "module_name", "full_name"),
     "x4_extract_functions": lambda s, d: code.extract_functions(sources(s, d), ["id"]).drop("seq"),
+    "x4_one_line": lambda s, d: code.extract_functions(one_liners(s, d), ["id"]).drop("seq"),
+    "x5_one_line": lambda s, d: code.function_spans(one_liners(s, d), ["id"]).drop("at"),
+    "x6_one_line": lambda s, d: code.is_test_function(one_liners(s, d), ["id"]),
+    "j1_one_line": lambda s, d: code.extract_calls(one_liners(s, d), ["id"]),
     "x5_function_spans": lambda s, d: code.function_spans(sources(s, d).select("id", "content"), ["id"]).select("id", "function", "start_line", "end_line"),
     "x6_is_test_function": lambda s, d: code.is_test_function(sources(s, d).select("id", "content"), ["id"]).select("id", "function", "is_test"),
     "x7_extract_structs": lambda s, d: code.extract_structs(sources(s, d), ["id"]).select("id", "name", F.array_join("abilities", ",").alias("abilities"), F.array_join("fields", ";").alias("fields"), "is_hot_potato", "has_uid"),
@@ -147,8 +170,9 @@ QUERIES = {
     "x12_function_params": lambda s, d: code.function_params(code.extract_functions(sources(s, d), ["id"])).select("id", "name", F.array_join(F.transform("param_list", lambda p: F.concat_ws("/", p["name"], p["type"], p["constraint"])), ";").alias("params")),
     "x13_linear_resources": lambda s, d: code.linear_resources(code.extract_functions(sources(s, d), ["id"])).where(F.size("linear") > 0).select("id", "name", F.array_join("linear", ",").alias("linear")),
     "x14_risk_indicators": lambda s, d: code.risk_indicators(functions_of(s, d)).select("id", "function", "overflow", "division", "access_control", "state_modification", "external_call", "risk_score"),
-    "x16_type_tokens_topk": lambda s, d: code.type_tokens_topk(functions_of(s, d), ["id", "function"]),
-    "x17_describe_function": lambda s, d: code.describe_function(code.extract_functions(sources(s, d), ["id"])).select("id", "name", "description"),
+    "x16_type_tokens_topk": lambda s, d: code.type_tokens_topk(functions_of(s, d), ["id", "function"], head="signature"),
+    "x17_describe_function": lambda s, d: code.describe_function(code.extract_functions(sources(s, d), ["id"]).withColumn("module", F.concat(F.lit("m"), "id"))).select("id", "name", "description"),
+    "x17_all_names": lambda s, d: code.describe_function(table(s, d, "part").selectExpr("p_partkey AS id", "'m' AS module", f"element_at(array({NAMES}), CAST(p_partkey % {NAMES.count(',') + 1} + 1 AS INT)) AS name", "element_at(array('entry', 'public', 'private', 'public entry', 'public(friend)'), p_size % 5 + 1) AS visibility")).select("id", "name", "visibility", "description"),
     "x19_snippet_around": lambda s, d: scan.snippet_around(lines_of(s, d), sources(s, d).select(F.col("id").alias("path"), (F.col("size") % 30 + 1).alias("hit")), 1),
     "x21_strip_comments": lambda s, d: sources(s, d).select("id", F.length(scan.strip_comments(F.col("content"))).alias("chars")),
     "x22_external_call_tokens": lambda s, d: code.external_call_tokens(functions_of(s, d)).select("id", "function", F.array_join("external", ",").alias("external")),
@@ -174,7 +198,7 @@ def of_sources(sql):
 
 
 FUNCS = f"""fs AS (SELECT id, concat('get_', size) AS function, {LEAD} + 1 AS a, {LEAD} + 6 AS b, size FROM sources UNION ALL SELECT id, 'helper', {LEAD} + 7, {LEAD} + 9, size FROM sources
-    UNION ALL SELECT id, 'check_all', {LEAD} + 11, {LEAD} + 11, size FROM sources WHERE size % 2 = 0)"""
+    UNION ALL SELECT id, 'check_all', {LEAD} + 10, {LEAD} + 11, size FROM sources WHERE size % 2 = 0)"""
 
 ORACLES = {
     "scan_report": f"{PROSE_ONCE} SELECT doc_id, {SCORE} AS risk_score, {COUNTS}, {LINE} AS summary, {LEVEL.format(SCORE)} AS risk_level FROM once GROUP BY doc_id",
@@ -197,12 +221,21 @@ ORACLES = {
     "s3_with_language": oracle("SELECT CASE WHEN ends_with(path, '.move') THEN 'move' WHEN ends_with(path, '.toml') THEN 'toml' WHEN ends_with(path, '.MD') THEN 'markdown' ELSE 'plaintext' END AS language, count(*) AS count FROM files GROUP BY 1"),
     "p1_search_lines": oracle("SELECT path, CAST(i AS INT) AS line_no, trim(line, ' ') AS text, CAST(instr(line, 'the on') - 1 AS INT) AS match_start, CAST(instr(line, 'the on') + 5 AS INT) AS match_end FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files) WHERE contains(line, 'the on')"),
     "p2_search_chunks": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')",
+    "p2_search_first": "SELECT doc_id, count(*) OVER () AS total FROM documents WHERE regexp_matches(text, '(?:the)\\s+th[a-z]+ing') ORDER BY doc_id LIMIT 20",
     "p2_search_chunks_regex": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')",
     "x1_explode_lines": oracle("SELECT path, len(string_split(content, chr(10))) AS lines, length(replace(content, chr(10), '')) AS chars FROM files"),
     "x2_brace_depth": of_sources("SELECT id AS path, 2 AS deepest, 0 AS last FROM sources"),
     "x3_extract_modules": "SELECT p_partkey AS id, '0x1' AS address, concat('m', p_partkey) AS module_name, concat('0x1::m', p_partkey) AS full_name FROM part",
-    "x4_extract_functions": """SELECT p_partkey AS id, 'public' AS visibility, concat('get_', p_size) AS name, '' AS type_params, 'item: &Item, amount: u64' AS params, 'u64' AS return_type FROM part
-        UNION ALL SELECT p_partkey, 'private', 'helper', '', 'cap: &AdminCap', '' FROM part UNION ALL SELECT p_partkey, 'public entry', 'check_all', '', 'c: Coin<T>', '' FROM part WHERE p_size % 2 = 0""",
+    "x4_extract_functions": """SELECT p_partkey AS id, '' AS attributes, 'public' AS visibility, concat('get_', p_size) AS name, '' AS type_params, 'item: &Item, amount: u64' AS params, 'u64' AS return_type FROM part
+        UNION ALL SELECT p_partkey, '', 'private', 'helper', '', 'cap: &AdminCap', '' FROM part UNION ALL SELECT p_partkey, '#[test]', 'public entry', 'check_all', '', 'c: Coin<T>', '' FROM part WHERE p_size % 2 = 0""",
+    "x4_one_line": """SELECT p_partkey AS id, v.* REPLACE (replace(name, '$', p_size::VARCHAR) AS name) FROM part CROSS JOIN (VALUES ('#[test]', 'private', 't$', '', '', ''), ('', 'public', 'two', '', 'x: Coin<T>', 'u64'),
+        (concat('#[allow(unused)]', chr(10), '#[test_only]'), 'public(package) entry', 'q', '<T: store>', 's: String', ''), ('', 'private', 'last_test', '', '', ''), ('', 'private', 'open', '', '', '')) v(attributes, visibility, name, type_params, params, return_type)""",
+    "x5_one_line": f"""WITH o AS ({ONE_LINERS.replace("{part}", "part")}), l AS (SELECT id, string_split(content, chr(10)) AS l, p_size FROM o JOIN part ON p_partkey = id),
+        f AS (SELECT * FROM l CROSS JOIN (VALUES ('t$', 1, 1), ('two', 1, 1), ('q', 2, 8), ('last_test', 8, 8), ('open', 10, 10)) v(function, a, b))
+        SELECT id, replace(function, '$', p_size::VARCHAR) AS function, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, array_to_string(l[a:b], chr(10)) AS body FROM f""",
+    "x6_one_line": "SELECT p_partkey AS id, replace(f, '$', p_size::VARCHAR) AS function, CAST(a AS INT) AS start_line, t AS is_test FROM part CROSS JOIN (VALUES ('t$', 1, true), ('two', 1, false), ('q', 2, true), ('last_test', 8, true), ('open', 10, false)) v(f, a, t)",
+    "j1_one_line": """SELECT p_partkey AS id, f AS function, CAST(n AS INT) AS call_line, replace(c, '$', p_size::VARCHAR) AS raw_call FROM part CROSS JOIN (VALUES ('two', 1, 'a::b'), ('two', 1, 'f$')) v(f, n, c)
+        UNION ALL SELECT p_partkey, 'q', 7, 'two' FROM part WHERE p_size % 2 = 0""",
     "x5_function_spans": of_sources(f", {FUNCS} SELECT id, function, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM fs").replace(" , fs", ", fs"),
     "x6_is_test_function": of_sources(f", {FUNCS} SELECT id, function, function = 'check_all' AS is_test FROM fs").replace(" , fs", ", fs"),
     "x7_extract_structs": """SELECT p_partkey AS id, concat('Item', p_partkey) AS name, 'key,store' AS abilities, 'id: UID;amount: u64' AS fields, false AS is_hot_potato, true AS has_uid FROM part
@@ -216,10 +249,17 @@ ORACLES = {
     "x13_linear_resources": "SELECT p_partkey AS id, 'check_all' AS name, 'Coin' AS linear FROM part WHERE p_size % 2 = 0",
     "x14_risk_indicators": """SELECT p_partkey AS id, concat('get_', p_size) AS function, 1 AS overflow, 3 AS division, 0 AS access_control, 0 AS state_modification, 1 AS external_call, 51 AS risk_score FROM part
         UNION ALL SELECT p_partkey, 'helper', 0, 0, 2, 1, 2, 48 FROM part UNION ALL SELECT p_partkey, 'check_all', 0, 0, 0, 0, 0, 0 FROM part WHERE p_size % 2 = 0""",
-    "x16_type_tokens_topk": """SELECT p_partkey AS id, concat('get_', p_size) AS function, t AS token, 1 AS n, r AS rank FROM part CROSS JOIN (VALUES ('Item', 1), ('Pool', 2), ('Full', 3)) v(t, r)
-        UNION ALL SELECT p_partkey, 'helper', 'AdminCap', 1, 1 FROM part UNION ALL SELECT p_partkey, 'check_all', 'Coin', 1, 1 FROM part WHERE p_size % 2 = 0""",
-    "x17_describe_function": """SELECT p_partkey AS id, concat('get_', p_size) AS name, 'reads state, callable by other modules' AS description FROM part UNION ALL SELECT p_partkey, 'helper', 'runs logic, internal' FROM part
-        UNION ALL SELECT p_partkey, 'check_all', 'runs logic, callable by transactions' FROM part WHERE p_size % 2 = 0""",
+    "x16_type_tokens_topk": """SELECT p_partkey AS id, concat('get_', p_size) AS function, t AS token, n, r AS rank FROM part CROSS JOIN (VALUES ('Item', 2, 1), ('Pool', 1, 2), ('Full', 1, 3)) v(t, n, r)
+        UNION ALL SELECT p_partkey, 'helper', 'AdminCap', 2, 1 FROM part UNION ALL SELECT p_partkey, 'check_all', 'Coin', 2, 1 FROM part WHERE p_size % 2 = 0""",
+    "x17_describe_function": """SELECT p_partkey AS id, concat('get_', p_size) AS name, concat('m', p_partkey, '::get_', p_size, ' - Public function, getter/query function') AS description FROM part UNION ALL SELECT p_partkey, 'helper', '' FROM part
+        UNION ALL SELECT p_partkey, 'check_all', '' FROM part WHERE p_size % 2 = 0""",
+    "x17_all_names": f"""WITH f AS (SELECT p_partkey AS id, list_extract([{NAMES}], p_partkey % {NAMES.count(',') + 1} + 1) AS name, list_extract(['entry', 'public', 'private', 'public entry', 'public(friend)'], p_size % 5 + 1) AS visibility FROM part),
+        t AS (SELECT *, CASE visibility WHEN 'entry' THEN 'Entry point function' WHEN 'public' THEN 'Public function' END AS seen,
+                     CASE WHEN starts_with(name, 'create_') OR starts_with(name, 'new_') THEN 'creates a new object' WHEN starts_with(name, 'destroy_') OR starts_with(name, 'delete_') THEN 'destroys/deletes an object'
+                          WHEN starts_with(name, 'get_') OR starts_with(name, 'is_') OR starts_with(name, 'has_') THEN 'getter/query function' WHEN starts_with(name, 'set_') OR starts_with(name, 'update_') THEN 'setter/update function'
+                          WHEN name IN ('borrow', 'repay', 'liquidate', 'deposit', 'withdraw') THEN 'DeFi ' || name || ' operation' WHEN name IN ('swap', 'add_liquidity', 'remove_liquidity') THEN 'AMM ' || name || ' operation'
+                          WHEN name IN ('mint', 'burn', 'transfer') THEN 'Token ' || name || ' operation' END AS does FROM f)
+        SELECT id, name, visibility, CASE WHEN seen IS NULL AND does IS NULL THEN '' ELSE 'm::' || name || ' - ' || concat_ws(', ', seen, does) END AS description FROM t""",
     "x19_snippet_around": of_sources(""", l AS (SELECT id, size, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS last FROM sources)
         SELECT id AS path, CAST(size % 30 + 1 AS INT) AS hit, string_agg(concat(CASE WHEN n = size % 30 + 1 THEN '>' ELSE ' ' END, n, '| ', line), chr(10) ORDER BY n) AS snippet FROM l
         WHERE CASE WHEN size % 30 + 1 <= last THEN abs(n - (size % 30 + 1)) <= 1 ELSE n <= 2 END GROUP BY id, size""").replace(" , l AS", ", l AS"),

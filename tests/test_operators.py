@@ -55,7 +55,7 @@ def test_code_tables_on_awkward_text(spark):
     text = 'module a::m;\npublic(friend) fun f<T>(x: T, c: &AdminCap): u64 {\n  let s = "}";\n  g(x);\n}\n#[test_only]\nfun g() { }\nstruct P { pool_id: ID }\n'
     df = spark.createDataFrame([("p", text), ("q", ""), ("r", None)], "id string, content string")
     assert rows(code.extract_functions(df, ["id"]), "name", "visibility", "return_type") == [("f", "public(friend)", "u64"), ("g", "private", "")]
-    assert rows(code.function_spans(df, ["id"]), "function", "start_line", "end_line") == [("f", 2, 5), ("g", 7, 7)]
+    assert rows(code.function_spans(df, ["id"]), "function", "start_line", "end_line") == [("f", 2, 5), ("g", 6, 7)]  # attributes are part of a declaration
     assert rows(code.is_test_function(df, ["id"]), "function", "is_test") == [("f", False), ("g", True)]
     assert rows(code.extract_structs(df, ["id"]), "name", "is_hot_potato") == [("P", True)]
 
