@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 from quarry.functions.columns import any_in, choose, first_per_group, severity_rank, topk_per_group
 from quarry.operators.code import function_description
+from quarry.operators.knowledge import knowledge_topics
+from quarry.operators.rules import language_gate
 from quarry.operators.scan import keywords
 
 #: Title words and the terms that code must have for a hit to be relevant.
@@ -269,14 +271,37 @@ def salvage_json(responses: DataFrame, schema: str, fields: list[str], text: str
     return rows.withColumns({**picked, "tier": tier}).drop("__raw", "__clean", "__whole", "__found", "__part", "__parsed")
 
 
-def group_context(groups: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each group of findings: its distinct functions, and their callees if there are three functions at most. `groups`: module, group, func_id."""
-    members = groups.groupBy("module", "group").agg(F.array_sort(F.collect_set("func_id")).alias("functions"))
-    calls = edges.select(F.col("from_id").alias("func_id"), "to_id")
-    known = functions.select(F.col("func_id").alias("to_id"))
-    callees = groups.select("module", "group", "func_id").distinct().join(calls, "func_id").join(known, "to_id").groupBy("module", "group").agg(F.array_sort(F.collect_set("to_id")).alias("callees"))
-    rows = members.join(callees, ["module", "group"], "left")
-    return rows.withColumn("callees", F.when(F.size("functions") <= 3, F.coalesce("callees", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+def group_context(findings: DataFrame, functions: DataFrame, edges: DataFrame, topics: DataFrame, asked: int = 2, shown: int = 3) -> DataFrame:
+    """What a group of findings shares, a row a group: `functions`, their `bodies`, `callees`, `callers`, `topics`, `hints`.
+
+    `findings`: module, group, finding_id, func_id, title, description, category, hint (of a soft rule, or null);
+    `functions`: func_id, signature, body; `topics`: word, topics. Functions come in the order of their ids. Callees
+    are those of the first `asked` functions, `shown` of each, where there are three functions at most; callers the
+    signatures of the first `shown` callers of each function. A finding without a soft hint has one where the
+    language guards against it. Findings without a function bring topics and hints only; a group is small.
+    """
+    keys = ["module", "group"]
+    members = findings.where("func_id IS NOT NULL").select(*keys, "func_id").distinct()
+    in_group = Window.partitionBy(*keys)
+    members = members.withColumns({"place": F.row_number().over(in_group.orderBy("func_id")), "n": F.count(F.lit(1)).over(in_group)})
+    lists = lambda rows, name, value: rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("func_id").alias("by"), value.alias("x")))).alias(name)).withColumn(name, F.transform(name, lambda v: v["x"]))
+    known = members.join(functions.select("func_id", "body"), "func_id", "left")
+    own = lists(known, "functions", F.col("func_id")).join(lists(known.where("body <> ''"), "bodies", F.col("body")), keys, "left")
+    in_graph = functions.select(F.col("func_id").alias("to_id"))
+    down = topk_per_group(members.where((F.col("n") <= 3) & (F.col("place") <= asked)).join(edges.select(F.col("from_id").alias("func_id"), "to_id").distinct(), "func_id").join(in_graph, "to_id"), [*keys, "func_id"], [F.asc("to_id")], shown)
+    callees = lists(down.groupBy(*keys, "func_id").agg(F.array_join(F.array_sort(F.collect_list("to_id")), ", ").alias("ids")), "callees", F.concat("func_id", F.lit(": "), "ids"))
+    signed = edges.select(F.col("to_id").alias("func_id"), "from_id").distinct().join(functions.select(F.col("func_id").alias("from_id"), "signature"), "from_id")
+    first = topk_per_group(signed, ["func_id"], [F.asc("from_id")], shown).groupBy("func_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_id", "signature"))), lambda v: v["signature"]), "; ").alias("signatures"))
+    callers = lists(members.join(first, "func_id"), "callers", F.concat("func_id", F.lit(": "), "signatures"))
+    told = knowledge_topics(findings.select(*keys, "finding_id", "title", "description", "category", "hint"), topics)
+    gated = language_gate(told).withColumn("said", F.coalesce("hint", F.when(F.col("language_fp"), F.concat(F.lit("the language guards against "), "protected_type"))))
+    shared = gated.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"),
+        F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.concat("finding_id", F.lit(": "), "said")))).alias("hints"),
+    )
+    none = F.array().cast("array<string>")
+    rows = shared.join(own, keys, "left").join(callees, keys, "left").join(callers, keys, "left")
+    return rows.select(*keys, *[F.coalesce(c, none).alias(c) for c in ("functions", "bodies", "callees", "callers", "topics", "hints")])
 
 
 def locate_match(matches: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:

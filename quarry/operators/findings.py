@@ -331,9 +331,13 @@ def rule_trigger_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("triggers"), F.max("created_at").alias("last_hit"))
 
 
-def rule_stats(rules: DataFrame) -> DataFrame:
-    """Rules by category: all, enabled and disabled."""
-    return rules.groupBy("category").agg(F.count(F.lit(1)).alias("rules"), F.count_if("is_enabled").alias("enabled"), F.count_if(~F.col("is_enabled")).alias("disabled"))
+def rule_stats(rules: DataFrame, triggers: DataFrame | None = None) -> DataFrame:
+    """Rules by category: all, enabled, disabled, and the sum of their `triggers` (rule_id, triggers) where given."""
+    counts = [F.count(F.lit(1)).alias("rules"), F.count_if("is_enabled").alias("enabled"), F.count_if(~F.col("is_enabled")).alias("disabled")]
+    if triggers is None:
+        return rules.groupBy("category").agg(*counts)
+    met = rules.join(triggers.select("rule_id", "triggers"), "rule_id", "left")
+    return met.groupBy("category").agg(*counts, F.coalesce(F.sum("triggers"), F.lit(0)).alias("triggers"))
 
 
 def list_rules(rules: DataFrame, chain: str | None = None, category: str | None = None, enabled: bool | None = None) -> DataFrame:
@@ -349,8 +353,9 @@ def list_exclusions(rules: DataFrame, owner: str, project: str, chain: str) -> D
 
 
 def matches_to_findings(matches: DataFrame) -> DataFrame:
-    """Pattern matches as findings, named by their pattern."""
-    return matches.select(F.col("pattern_id").alias("finding_id"), "doc_id", "title", F.upper("severity").alias("severity"), (F.col("confidence") * 100).cast("int").alias("confidence"), F.concat_ws(", ", "matched_cues").alias("description"))
+    """Pattern matches as findings, named by their pattern: cues as the description, line hints kept, the first as the line."""
+    hints = F.coalesce("line_hints", F.array().cast("array<int>")) if "line_hints" in matches.columns else F.array().cast("array<int>")
+    return matches.select(F.col("pattern_id").alias("finding_id"), "doc_id", "title", F.upper("severity").alias("severity"), (F.col("confidence") * 100).cast("int").alias("confidence"), F.concat_ws(", ", "matched_cues").alias("description"), hints.alias("line_hints"), F.get(hints, F.lit(0)).cast("string").alias("line"))
 
 
 def write_report_tables(findings: DataFrame, path: str) -> None:

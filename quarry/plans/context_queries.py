@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import code, scan, search, vectors
 from quarry.operators import context as op
+from quarry.operators.knowledge import topic_words
+from quarry.plans.knowledge_queries import TOPIC_LIST
 from quarry.plans.scan_queries import SQL_SOURCES, SQL_SNIPPETS, functions_of, quoted, snippets, sources
 from quarry.plans.stand_ins import oracle, table, view
 
@@ -99,11 +101,19 @@ def answers(s, d):
     return op.salvage_json(rows, "verdict string, score long", ["verdict", "score"]).select("conv_id", "turn", "verdict", "score", "tier")
 
 
+#: Findings of functions, some without one; Spark and DuckDB both run it.
+GROUPED = """
+    SELECT module, CAST(seq % 97 AS BIGINT) AS "group", concat('x', seq) AS finding_id, CASE WHEN seq % 11 = 0 THEN NULL ELSE func_id END AS func_id,
+           CASE seq % 4 WHEN 0 THEN 'Price may overflow' WHEN 1 THEN 'Flash loan without a check' WHEN 2 THEN 'Reentrancy by callback' ELSE 'Plain' END AS title, CASE WHEN seq % 3 = 0 THEN 'anyone can take it' END AS description,
+           CASE WHEN seq % 5 = 0 THEN 'vector' END AS category, CASE WHEN seq % 7 = 0 THEN 'by rule' END AS hint
+    FROM {functions}"""
+
+
 def grouped(s, d):
     funcs = view(s, d, "functions")
-    rows = funcs.selectExpr("module", "CAST(seq % 97 AS BIGINT) AS `group`", "func_id")
-    out = op.group_context(rows, funcs, view(s, d, "edges"))
-    return out.select("module", "group", F.array_join("functions", ",").alias("functions"), F.array_join("callees", ",").alias("callees"))
+    rows = s.sql(GROUPED.replace('"group"', "`group`"), functions=funcs)
+    out = op.group_context(rows, funcs.selectExpr("func_id", "concat(visibility, ' fun ', name) AS signature", "CASE WHEN seq % 13 > 0 THEN concat('body of ', func_id) END AS body"), view(s, d, "edges"), topic_words(s))
+    return out.select("module", "group", *[F.array_join(c, "|").alias(c) for c in ("functions", "bodies", "callees", "callers", "topics", "hints")])
 
 
 def located(s, d):
@@ -147,6 +157,9 @@ NEAR = """n AS (SELECT *, 1 - distance / 2 AS conf FROM (SELECT q.vec_id AS quer
     FROM embeddings q JOIN embeddings b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id) WHERE distance <= 10 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 20)"""
 HAS = lambda x: f"contains(lower(text), '{x}')::INT"
 
+#: What the language guards against among the titles above: overflow aborts, and calls can't come back.
+GUARDED = "WHEN title = 'Price may overflow' THEN 'the language guards against arithmetic_overflow' WHEN title = 'Reentrancy by callback' THEN 'the language guards against reentrancy'"
+
 ORACLES = {
     "k7_locate_match": f"""WITH {SQL_SOURCES}, x AS (SELECT id, size, 5 + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS lead FROM sources)
         SELECT id AS doc_id, 'P' AS pattern_id, CAST(CASE WHEN id % 5 = 0 THEN lead + 7 WHEN id % 2 = 0 THEN 2 WHEN id % 3 = 0 THEN lead + 1 ELSE 4 END AS INT) AS line,
@@ -205,7 +218,17 @@ ORACLES = {
         SELECT f.finding_id, f.seq, e.x AS excluded_by FROM f LEFT JOIN (SELECT finding_id, seq, min(rule_id) AS x FROM j WHERE len(cs) > 0 AND CASE WHEN match_all THEN list_bool_and(cs) ELSE list_bool_or(cs) END GROUP BY ALL) e USING (finding_id, seq)"""),
     "o22_salvage_json": """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' ELSE CASE WHEN conv_id % 2 = 0 THEN 'late' END END AS verdict, CAST(CASE turn % 4 WHEN 0 THEN conv_id WHEN 1 THEN turn WHEN 2 THEN conv_id ELSE CASE WHEN conv_id % 2 = 0 THEN turn END END AS BIGINT) AS score,
         CASE turn % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'fields' ELSE CASE WHEN conv_id % 2 = 0 THEN 'balanced' ELSE 'none' END END AS tier FROM conversations""",
-    "o26_group_context": oracle("""WITH g AS (SELECT module, CAST(seq % 97 AS BIGINT) AS "group", func_id FROM functions), m AS (SELECT module, "group", list_sort(list(func_id)) AS fs FROM g GROUP BY ALL),
-        c AS (SELECT module, "group", list_sort(list(DISTINCT to_id)) AS cs FROM g JOIN edges ON from_id = func_id GROUP BY ALL)
-        SELECT m.module, m."group", array_to_string(fs, ',') AS functions, CASE WHEN len(fs) <= 3 THEN coalesce(array_to_string(cs, ','), '') ELSE '' END AS callees FROM m LEFT JOIN c ON c.module = m.module AND c."group" = m."group" """),
+    "o26_group_context": oracle(f"""WITH x AS ({GROUPED.replace('{functions}', 'functions')}), k AS (SELECT DISTINCT module, "group", func_id FROM x WHERE func_id IS NOT NULL),
+        m AS (SELECT *, row_number() OVER (PARTITION BY module, "group" ORDER BY func_id) AS place, count(*) OVER (PARTITION BY module, "group") AS n FROM k),
+        own AS (SELECT module, "group", string_agg(func_id, '|' ORDER BY func_id) AS fs, string_agg(CASE WHEN seq % 13 > 0 THEN concat('body of ', func_id) END, '|' ORDER BY func_id) AS bodies FROM m JOIN functions USING (module, func_id) GROUP BY ALL),
+        d AS (SELECT module, "group", m.func_id, array_to_string(list_sort(list(DISTINCT to_id))[1:3], ', ') AS ids FROM m JOIN edges ON from_id = m.func_id WHERE n <= 3 AND place <= 2 AND to_id IN (SELECT func_id FROM functions) GROUP BY ALL),
+        c AS (SELECT module, "group", string_agg(concat(func_id, ': ', ids), '|' ORDER BY func_id) AS callees FROM d GROUP BY ALL),
+        u AS (SELECT to_id AS func_id, concat(visibility, ' fun ', name) AS signature, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges) e JOIN functions f ON f.func_id = e.from_id QUALIFY r <= 3),
+        us AS (SELECT func_id, string_agg(signature, '; ' ORDER BY r) AS sigs FROM u GROUP BY ALL),
+        cs AS (SELECT module, "group", string_agg(concat(func_id, ': ', sigs), '|' ORDER BY func_id) AS callers FROM m JOIN us USING (func_id) GROUP BY ALL),
+        w AS (SELECT *, lower(concat(title, ' ', coalesce(description, ''), ' ', coalesce(category, ''))) AS c FROM x),
+        t AS (SELECT module, "group", unnest(string_split({TOPIC_LIST}, ',')) AS topic FROM w), ts AS (SELECT module, "group", string_agg(DISTINCT topic, '|' ORDER BY topic) AS topics FROM t WHERE topic <> '' GROUP BY ALL),
+        h AS (SELECT module, "group", string_agg(concat(finding_id, ': ', said), '|' ORDER BY concat(finding_id, ': ', said)) AS hints FROM (SELECT *, coalesce(hint, CASE {GUARDED} END) AS said FROM x) WHERE said IS NOT NULL GROUP BY ALL)
+        SELECT g.module, g."group", coalesce(fs, '') AS functions, coalesce(bodies, '') AS bodies, coalesce(callees, '') AS callees, coalesce(callers, '') AS callers, coalesce(topics, '') AS topics, coalesce(hints, '') AS hints
+        FROM (SELECT DISTINCT module, "group" FROM x) g LEFT JOIN own USING (module, "group") LEFT JOIN c USING (module, "group") LEFT JOIN cs USING (module, "group") LEFT JOIN ts USING (module, "group") LEFT JOIN h USING (module, "group")"""),
 }

@@ -6,9 +6,19 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import VULN_WORDS, topk_per_group
 from quarry.operators import findings as op
+from quarry.operators import scan
+from quarry.operators.context import pattern_line_hints
+from quarry.plans.scan_queries import PROSE, SQL_HINTS, docs, sql_matches
 from quarry.plans.stand_ins import oracle, table, view
 
 
+def hinted(s, d):
+    """Matches of the prose patterns with the lines of their hits."""
+    matches = scan.match_patterns(docs(s, d), PROSE)
+    hints = pattern_line_hints(matches, docs(s, d), {p.pattern_id: p.regex for p in PROSE})
+    return matches.join(hints.withColumnRenamed("hints", "line_hints"), ["doc_id", "pattern_id"])
+
+
 def found(spark, sf):
     return view(spark, sf, "findings")
 
@@ -121,7 +131,8 @@ QUERIES = {
     "o4_dedupe_findings": lambda s, d: op.dedupe_findings(found(s, d)).select("finding_id", "line_key", "vuln_type", "confidence", "seq"),
     "o5_min_confidence": lambda s, d: op.min_confidence(found(s, d)).select("finding_id", "confidence", "seq"),
     "o9_rule_trigger_counts": lambda s, d: op.rule_trigger_counts(table(s, d, "events").selectExpr("event_id % 74 AS rule_id", "ts AS created_at")).withColumn("last_hit", F.date_format("last_hit", "yyyy-MM-dd HH:mm:ss")),
-    "o10_rule_stats": lambda s, d: op.rule_stats(view(s, d, "rules")),
+    "o10_rule_stats": lambda s, d: op.rule_stats(view(s, d, "rules"), op.rule_trigger_counts(table(s, d, "events").selectExpr("event_id % 74 AS rule_id", "ts AS created_at"))),
+    "o27_matches_to_findings": lambda s, d: op.matches_to_findings(hinted(s, d)).withColumn("line_hints", F.array_join("line_hints", ",")),
     "o12_scan_batches": lambda s, d: op.scan_batches(view(s, d, "functions")).select("func_id", "batch"),
     "o13_group_findings": lambda s, d: op.group_findings(found(s, d)).select("finding_id", "seq", "group"),
     "o14_final_status": lambda s, d: full(s, d).select("finding_id", "seq", "final_status", "final_confidence", "final_severity"),
@@ -177,7 +188,10 @@ ORACLES = {
     "o4_dedupe_findings": withs("SELECT finding_id, line_key, vuln_type, confidence, seq FROM d", typed=TYPED, d=DEDUPED),
     "o5_min_confidence": withs("SELECT finding_id, confidence, seq FROM d WHERE confidence >= 30", typed=TYPED, d=DEDUPED),
     "o9_rule_trigger_counts": "SELECT event_id % 74 AS rule_id, count(*) AS triggers, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_hit FROM events GROUP BY ALL",
-    "o10_rule_stats": oracle("SELECT category, count(*) AS rules, count(*) FILTER (is_enabled) AS enabled, count(*) FILTER (NOT is_enabled) AS disabled FROM rules GROUP BY category"),
+    "o10_rule_stats": oracle("SELECT category, count(*) AS rules, count(*) FILTER (is_enabled) AS enabled, count(*) FILTER (NOT is_enabled) AS disabled, CAST(coalesce(sum(n), 0) AS BIGINT) AS triggers FROM rules LEFT JOIN (SELECT event_id % 74 AS r, count(*) AS n FROM events GROUP BY ALL) ON r = rule_id GROUP BY category"),
+    "o27_matches_to_findings": f"""WITH m AS ({sql_matches(PROSE, "documents")}), {SQL_HINTS.replace("FROM d)", "FROM documents)")}
+        SELECT pattern_id AS finding_id, doc_id, title, upper(severity) AS severity, CAST(floor(confidence * 100) AS INT) AS confidence, replace(cues, '|', ', ') AS description, coalesce(hints, '') AS line_hints, nullif(split_part(coalesce(hints, ''), ',', 1), '') AS line
+        FROM m LEFT JOIN h USING (doc_id, pattern_id)""",
     "o12_scan_batches": oracle("SELECT func_id, CAST((row_number() OVER (PARTITION BY module ORDER BY risk_score DESC, seq) - 1) // 5 + 1 AS INT) AS batch FROM functions"),
     "o13_group_findings": oracle('SELECT finding_id, seq, CAST((row_number() OVER (PARTITION BY module ORDER BY seq) - 1) // 5 + 1 AS INT) AS "group" FROM findings'),
     "o14_final_status": withs("SELECT finding_id, seq, final_status, final_confidence, final_severity FROM final", verdicts=VERDICTS_ONE, final=FINAL),

@@ -184,6 +184,10 @@ QUERIES = {
     "v4_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(scan.keywords(F.col("text")), " ").alias("words")),
 }
 
+#: Lines of the first three hits of each prose pattern in a text of `d`.
+SQL_HINTS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+        hits AS ({" UNION ALL ".join(f"SELECT doc_id, '{p.pattern_id}' AS pattern_id, n, unnest(regexp_extract_all(line, '(?i){p.regex}')) AS hit FROM lines" for p in PROSE)}),
+        h AS (SELECT doc_id, pattern_id, array_to_string(list(n ORDER BY n)[1:3], ',') AS hints FROM hits GROUP BY ALL)"""
 ONCE = "SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY seq) = 1"
 PROSE_ONCE = f"WITH m AS ({sql_matches(PROSE, 'documents')}), once AS ({ONCE})"
 WEIGHT = "CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 70 WHEN 'medium' THEN 40 WHEN 'low' THEN 20 ELSE 10 END"

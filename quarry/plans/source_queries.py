@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import findings as finding_op
-from quarry.operators import graph, scan
+from quarry.operators import graph, knowledge, scan
 from quarry.plans.graph_queries import types
 from quarry.plans.stand_ins import oracle, table, view
 from quarry.sources import files, shared
@@ -47,7 +47,27 @@ def report_tables(s, d):
     return s.read.parquet(f"{path}/findings").groupBy("project", "status").agg(F.count(F.lit(1)).alias("findings"), F.sum("confidence").alias("confidence"))
 
 
+def source_files(s, d):
+    """Parts as source lines, a file a brand, written and read back."""
+    path = shared.new_folder(s, "sources")
+    lines = table(s, d, "part").select(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-").alias("brand"), "p_partkey", F.concat(F.lit("fun f"), "p_partkey", F.lit("() { // "), "p_name", F.lit(" }")).alias("value"))
+    lines.repartition("brand").sortWithinPartitions("brand", "p_partkey").drop("p_partkey").write.partitionBy("brand").text(path)
+    return path
+
+
+def source_tree(s, d):
+    rows = scan.read_source_tree(s, source_files(s, d), ".txt")
+    return rows.select(F.regexp_replace("project", "^brand=", "").alias("brand"), F.rtrim("content", F.lit("\n")).alias("content"))
+
+
+def markdown_files(s, d):
+    rows = knowledge.read_markdown_reports(s, source_files(s, d), "*.txt")
+    return rows.select(F.regexp_extract("path", "brand=([^/]+)/", 1).alias("brand"), F.rtrim("content", F.lit("\n")).alias("content"))
+
+
 QUERIES = {
+    "s1_source_tree": source_tree,
+    "s6_markdown_reports": markdown_files,
     "s4_s5_patterns_jsonl": patterns,
     "s7_findings_json": finding_files,
     "s8_report_tables": report_tables,
@@ -56,7 +76,11 @@ QUERIES = {
     "l3_functions_by_risk": lambda s, d: finding_op.order_functions_by_risk(view(s, d, "functions")).select("module", "func_id", "place"),
 }
 
+FILES = "SELECT regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g') AS brand, string_agg(concat('fun f', p_partkey, '() { // ', p_name, ' }'), chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY 1"
+
 ORACLES = {
+    "s1_source_tree": FILES,
+    "s6_markdown_reports": FILES,
     "s4_s5_patterns_jsonl": "SELECT concat('B', item_id) AS pattern_id, text AS title, concat('a', chr(10), 'b') AS first_cue, CAST(2 AS INT) AS cues FROM benchmark",
     "s7_findings_json": oracle("""
         WITH x AS (SELECT *, upper(CASE WHEN confidence > 50 THEN 'low' ELSE severity END) AS level FROM findings)

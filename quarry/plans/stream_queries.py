@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.plans.scan_queries import LINE, ONCE, PROSE, SCORE, flat, sql_matches
+from quarry.plans.scan_queries import LINE, ONCE, PROSE, SCORE, SQL_HINTS, flat, sql_matches
 from quarry.plans.stand_ins import table
 from quarry.plans.usage_queries import ORACLES as USAGE
 from quarry.sources.shared import new_folder
@@ -100,9 +100,7 @@ ORACLES = {
                coalesce(arg_max(new_severity, place) FILTER (action_type IN ('upgrade', 'downgrade') AND new_severity IS NOT NULL), 'medium') AS severity,
                coalesce(string_agg(reason, '|' ORDER BY created_at, seq) FILTER (action_type = 'add_note'), '') AS notes FROM o GROUP BY finding_id""",
     "t5_incremental_scan_stream": f"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), m AS ({sql_matches(PROSE, "d")}), once AS ({ONCE}),
-        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
-        hits AS ({" UNION ALL ".join(f"SELECT doc_id, '{p.pattern_id}' AS pattern_id, n, unnest(regexp_extract_all(line, '(?i){p.regex}')) AS hit FROM lines" for p in PROSE)}),
-        h AS (SELECT doc_id, pattern_id, array_to_string(list(n ORDER BY n)[1:3], ',') AS hints FROM hits GROUP BY ALL),
+        {SQL_HINTS},
         r AS (SELECT doc_id, {SCORE} AS risk_score, {LINE} AS summary FROM once GROUP BY doc_id)
         SELECT 'code:' || sha256(text)[1:32] AS content_key, pattern_id, title, severity, cues, confidence, coalesce(hints, '') AS hints, risk_score, summary
         FROM once JOIN d USING (doc_id) JOIN r USING (doc_id) LEFT JOIN h USING (doc_id, pattern_id)""",

@@ -29,6 +29,13 @@ def test_markdown_reports(spark, tmp_path):
     assert [(i.issue_id, i.title, i.severity, i.function) for i in issues] == [("H-1", "First", "high", "a::b"), ("H-2", "Second", None, None)]
 
 
+def test_reports_with_broken_bytes(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("# R\r\nfee\ufffd ".encode() + b"\xff\xfe\xe9t\xc3" + "é".encode() + b"\xe2\x82")
+    (tmp_path / "b.md").write_bytes(b"")
+    got = {r.path[-4:]: r.content for r in knowledge.read_markdown_reports(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "# R\nfee\ufffd té"}  # Spark's reader leaves empty files out
+
+
 def test_findings_json(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps({"finding_id": "f", "status": "false_positive", "original_finding": {"title": "T", "severity": "weird"}}) + "\nnot json\n")
     rows = files.read_findings_json(spark, str(tmp_path)).orderBy("seq").collect()
