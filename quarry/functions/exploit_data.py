@@ -37,3 +37,20 @@ HINTS = {
     "resource_leak": ("process, handle, execute", "触发不处理资源的代码路径", "存在不处理 Coin/Balance 的分支", "资产永久丢失"),
 }
 DEFAULT_HINT = ("unknown", "需要分析具体代码", "需要分析具体条件", "需要评估具体影响")
+#: Names of functions by which a type of vulnerability is usually entered, in order.
+TYPICAL_ENTRIES = {
+    "overflow": ["deposit", "mint", "swap", "add_liquidity", "calculate"],
+    "precision_loss": ["deposit", "redeem", "withdraw", "calculate_shares"],
+    "access_control": ["withdraw_all", "set_fee", "pause", "mint", "burn", "upgrade"],
+    "capability_leak": ["init", "create", "transfer"],
+    "oracle_manipulation": ["swap", "borrow", "liquidate", "get_price"],
+    "flash_loan_non_repayment": ["borrow", "flash_loan"],
+    "slippage": ["swap", "remove_liquidity"],
+    "resource_leak": ["process", "handle", "execute"],
+    "type_confusion": ["generic functions", "create<T>", "process<T>"],
+}
+#: Modules of the standard library.
+LIBRARY_MODULES = [
+    "event", "transfer", "object", "tx_context", "clock", "coin", "balance", "type_name", "linked_table", "table", "bag", "vec_map", "vec_set",
+    "dynamic_field", "dynamic_object_field", "bcs", "hash", "ecdsa_k1", "vector", "option", "string", "ascii", "debug", "unit_test", "test_scenario", "test_utils",
+]

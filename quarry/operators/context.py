@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.columns import any_in, choose, first_per_group, severity_rank, topk_per_group
+from quarry.functions.exploit_data import LIBRARY_MODULES
 from quarry.operators.code import function_description
 from quarry.operators.knowledge import knowledge_topics
 from quarry.operators.rules import language_gate
@@ -76,18 +77,27 @@ def make_chunks(functions: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def function_code(requests: DataFrame, functions: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Code of requested `module::f`: exact id, then the same name in a module whose last part fits, then a dependency, then the first of that name, flagged as corrected."""
-    rows = requests.withColumns({"m": F.try_element_at(F.split("request", "::"), F.lit(-2)), "f": F.element_at(F.split("request", "::"), -1)})
-    tries = [
-        (1, functions.select(F.col("func_id").alias("k"), "func_id", "seq"), "request"),
-        (2, functions.select(F.concat_ws("::", "module", "name").alias("k"), "func_id", "seq"), "mf"),
-        (3, dependencies.select(F.concat_ws("::", "module", "name").alias("k"), "func_id", "seq"), "mf"),
-        (4, functions.select(F.col("name").alias("k"), "func_id", "seq"), "f"),
-    ]
-    keys = reduce(DataFrame.unionByName, [t.groupBy("k").agg(F.min_by("func_id", "seq").alias("func_id")).withColumn("kind", F.lit(n)) for n, t, _ in tries])
-    asked = rows.withColumn("mf", F.concat_ws("::", "m", "f")).select("request", F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).alias("k")) for n, _, c in tries])))
-    hits = first_per_group(asked.join(keys, ["kind", "k"]), ["request"], [F.asc("kind")]).select("request", "func_id", "kind")
-    return requests.join(hits, "request", "left").withColumn("corrected", F.coalesce(F.col("kind") == 4, F.lit(False))).drop("kind")
+    """Which function a requested `module::f` stands for: `request, func_id, origin, corrected`; nulls on a miss.
+
+    In order: a stub where the module's last part is one of the standard library; the exact id; the same name in a
+    module of that name or with that last part; a dependency as it stands, below `sui` or below `std`; the first
+    function of that name, flagged as corrected.
+    """
+    parts = F.split("request", "::")
+    module, name = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "::"), F.element_at(parts, -1)
+    rows = requests.select("request").distinct().withColumns({"module": module, "f": name, "m": F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))})
+    short = F.concat_ws("::", "m", "f")
+    paths = [F.concat_ws("::", F.lit(lead), "module", "f") if lead else F.col("request") for lead in ("", "sui", "std")]
+    tries = [("index", F.col("request")), ("module", short), *[("dependency", p) for p in [*paths, short]], ("name", F.col("f"))]
+    asked = rows.select("request", F.inline(F.array(*[F.struct(F.lit(n).alias("place"), F.lit(kind).alias("kind"), key.alias("k")) for n, (kind, key) in enumerate(tries, 1)])))
+    keyed = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), key.alias("k"), "func_id", "seq")
+    of_module = F.concat_ws("::", F.element_at(F.split("module", "::"), -1), "name")
+    known = [keyed(functions, "index", F.col("func_id")), keyed(functions, "module", of_module), keyed(dependencies, "dependency", F.col("func_id")), keyed(dependencies, "dependency", F.concat_ws("::", "module", "name")), keyed(functions, "name", F.col("name"))]
+    keys = reduce(DataFrame.unionByName, known).groupBy("kind", "k").agg(F.min_by("func_id", "seq").alias("func_id"))
+    stubs = rows.where(F.col("m").isin(LIBRARY_MODULES)).select("request", F.lit(0).alias("place"), F.lit("library").alias("kind"), F.concat_ws("::", F.lit("sui"), "module", "f").alias("func_id"))
+    hits = stubs.unionByName(asked.join(keys, ["kind", "k"]).select("request", "place", "kind", "func_id"))
+    best = first_per_group(hits, ["request"], [F.asc("place")]).select("request", "func_id", F.col("kind").alias("origin"))
+    return requests.join(best, "request", "left").withColumn("corrected", F.coalesce(F.col("origin") == "name", F.lit(False)))
 
 
 def risky_by_type(functions: DataFrame, kind: str = "all") -> DataFrame:

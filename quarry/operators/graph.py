@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import first_per_group, topk_per_group
+from quarry.functions.columns import choose, first_per_group, topk_per_group
+from quarry.functions.exploit_data import TYPICAL_ENTRIES
 from quarry.sources.shared import kept_table
 
 
@@ -129,12 +130,19 @@ def resolve_function_id(requests: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def public_entry_for(findings: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """The public function by which a finding's function is reached: itself, its first public caller, or UNKNOWN."""
+    """The public function by which a finding's function is reached (`entry_point`) and how it is known (`via`): itself or
+    its first public caller (direct_call), else the first usual entry of the finding's `category` that its `source` names
+    (inferred), else UNKNOWN (unknown). `category` and `source` are read where present."""
     public = functions.where(F.col("visibility").contains("public") | (F.col("visibility") == "entry"))
     own = public.select("func_id", F.col("func_id").alias("own"))
     first = edges.join(public.select(F.col("func_id").alias("from_id"), "seq"), "from_id").groupBy(F.col("to_id").alias("func_id")).agg(F.min_by("from_id", "seq").alias("caller"))
     rows = findings.join(own, "func_id", "left").join(first, "func_id", "left")
-    return rows.withColumn("entry_point", F.coalesce("own", "caller", F.lit("UNKNOWN"))).drop("own", "caller")
+    guessed = F.lit(None).cast("string")
+    if {"category", "source"} <= set(findings.columns):
+        guessed = choose([(F.col("category") == kind, F.coalesce(*[F.when(F.contains("source", F.lit(n)), F.lit(n)) for n in names])) for kind, names in TYPICAL_ENTRIES.items()], guessed)
+    direct = F.coalesce("own", "caller")
+    via = F.when(direct.isNotNull(), "direct_call").when(guessed.isNotNull(), "inferred").otherwise("unknown")
+    return rows.withColumns({"entry_point": F.coalesce(direct, guessed, F.lit("UNKNOWN")), "via": via}).drop("own", "caller")
 
 
 def propagate(confirmed: DataFrame, edges: DataFrame, depth: int = 3, fanout: int = 5, affected: DataFrame | None = None) -> DataFrame:

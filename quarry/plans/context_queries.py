@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import code, scan, search, vectors
+from quarry.functions.exploit_data import LIBRARY_MODULES
 from quarry.operators import context as op
 from quarry.operators.knowledge import topic_words
 from quarry.plans.knowledge_queries import TOPIC_LIST
@@ -109,6 +110,14 @@ GROUPED = """
     FROM {functions}"""
 
 
+#: Functions of dependencies, some below `sui`, some below `std`.
+DEPENDENCIES = "SELECT concat(CASE seq % 3 WHEN 0 THEN 'sui::' WHEN 1 THEN 'std::' ELSE '' END, CASE WHEN seq % 2 = 0 THEN func_id ELSE concat(module, '::', name) END) AS func_id, module, name, seq FROM {functions} WHERE risk_score < 20"
+
+
+def dependencies(s, d):
+    return s.sql(DEPENDENCIES, functions=view(s, d, "functions"))
+
+
 def grouped(s, d):
     funcs = view(s, d, "functions")
     rows = s.sql(GROUPED.replace('"group"', "`group`"), functions=funcs)
@@ -133,7 +142,7 @@ QUERIES = {
     "j13_resolve_external": lambda s, d: op.resolve_external(view(s, d, "calls"), view(s, d, "functions").where("risk_score < 40")).select("from_id", "raw_call", "call_line", "dependency_id"),
     "j14_function_context": lambda s, d: op.function_context(bodies(s, d), view(s, d, "edges"), tokens(s, d).select("func_id", "token")).select("func_id", F.array_join("callers", ",").alias("callers"), F.array_join("callees.callee_body", ",").alias("callee_bodies"), F.array_join("types", ",").alias("types")),
     "j18_flashloan_check": flash,
-    "j23_function_code": lambda s, d: op.function_code(view(s, d, "calls").select(F.col("raw_call").alias("request")).distinct(), view(s, d, "functions").where("risk_score >= 20"), view(s, d, "functions").where("risk_score < 20")),
+    "j23_function_code": lambda s, d: op.function_code(view(s, d, "calls").selectExpr("CASE call_line WHEN 1 THEN replace(raw_call, 'm', 'x::coin::m') WHEN 5 THEN concat('0x2::coin::f', from_seq % 50) ELSE raw_call END AS request").distinct(), view(s, d, "functions").where("risk_score >= 20"), dependencies(s, d)),
     "x18_make_chunks": lambda s, d: op.make_chunks(bodies(s, d).withColumn("name", chunk_name()), module_types(s, d)).select("func_id", F.array_join("related", ", ").alias("related"), "risk_score", "description", "embedding_text"),
     "x20_snippets_by_keyword": lambda s, d: op.snippets_by_keyword(scan.explode_lines(sources(s, d).select(F.col("id").alias("path"), "content")), "amount", 2).select("path", F.array_join("hits", ",").alias("hits"), "snippet"),
     "k2_line_hints": lambda s, d: op.line_hints(snippets(s, d).select("doc_id"), snippets(s, d), r"[a-z_]+\s*\(", 3).select("doc_id", F.array_join("hints", ",").alias("hints")),
@@ -172,9 +181,13 @@ ORACLES = {
     "j18_flashloan_check": f"""WITH p AS ({FLASH.replace('{part}', 'part').replace("array('key', 'drop')", "['key', 'drop']").replace("array('key')", "['key']")}), r AS (SELECT project, min_by(name, seq) AS receipt, min_by(abilities, seq) AS ab FROM p WHERE name <> 'Item' GROUP BY project),
         f AS (SELECT project, min_by(fname, seq) AS repay, min_by(body_no, seq) AS n FROM p WHERE fname <> 'get' GROUP BY project), x AS (SELECT project, receipt, repay, coalesce(NOT list_contains(ab, 'drop'), false) AS hot_potato, {', '.join(f"coalesce(n IN ({', '.join(str(i) for i, b in enumerate(BODIES) if b[k])}), false) AS {c}" for k, c in enumerate(("checks_type", "checks_amount", "checks_pool", "type_confusion"), 1))} FROM r FULL JOIN f USING (project))
         SELECT *, CASE WHEN NOT hot_potato THEN 'to be reviewed' WHEN checks_type AND checks_amount AND checks_pool THEN 'checked' WHEN checks_type THEN 'receipt and type checked' WHEN type_confusion THEN 'type confusion' ELSE 'type not checked' END AS verdict FROM x""",
-    "j23_function_code": oracle("""WITH q AS (SELECT DISTINCT raw_call AS request FROM calls), a AS (SELECT * FROM functions WHERE risk_score >= 20), b AS (SELECT * FROM functions WHERE risk_score < 20), n AS (SELECT name, min_by(func_id, seq) AS id FROM a GROUP BY name),
-        r AS (SELECT request, coalesce(a.func_id, b.func_id) AS found, n.id FROM q LEFT JOIN a ON contains(request, '::') AND concat(a.module, '::', a.name) = replace(request, '0x1::', '') LEFT JOIN b ON contains(request, '::') AND concat(b.module, '::', b.name) = replace(request, '0x1::', '') LEFT JOIN n ON n.name = split_part(request, '::', -1))
-        SELECT request, coalesce(found, id) AS func_id, found IS NULL AND id IS NOT NULL AS corrected FROM r"""),
+    "j23_function_code": oracle(f"""WITH q AS (SELECT DISTINCT CASE call_line WHEN 1 THEN replace(raw_call, 'm', 'x::coin::m') WHEN 5 THEN concat('0x2::coin::f', from_seq % 50) ELSE raw_call END AS request FROM calls),
+        p AS (SELECT request, string_split(request, '::') AS s FROM q), a AS (SELECT * FROM functions WHERE risk_score >= 20), b AS ({DEPENDENCIES.replace('{functions}', 'functions')}), n AS (SELECT name, min_by(func_id, seq) AS id FROM a GROUP BY name),
+        r AS (SELECT request, CASE WHEN len(s) > 1 AND s[-2] IN ({', '.join(map(quoted, LIBRARY_MODULES))}) THEN 'sui::' || request END AS stub, e.func_id AS exact, m.func_id AS own, coalesce(d1.func_id, d2.func_id, d3.func_id, d4.func_id) AS dep, n.id
+              FROM p LEFT JOIN a e ON e.func_id = request LEFT JOIN a m ON len(s) > 1 AND m.module = s[-2] AND m.name = s[-1] LEFT JOIN b d1 ON d1.func_id = request LEFT JOIN b d2 ON d2.func_id = 'sui::' || request LEFT JOIN b d3 ON d3.func_id = 'std::' || request
+              LEFT JOIN b d4 ON len(s) > 1 AND d4.module = s[-2] AND d4.name = s[-1] LEFT JOIN n ON n.name = s[-1])
+        SELECT request, coalesce(stub, exact, own, dep, id) AS func_id, CASE WHEN stub IS NOT NULL THEN 'library' WHEN exact IS NOT NULL THEN 'index' WHEN own IS NOT NULL THEN 'module' WHEN dep IS NOT NULL THEN 'dependency' WHEN id IS NOT NULL THEN 'name' END AS origin,
+               coalesce(stub, exact, own, dep) IS NULL AND id IS NOT NULL AS corrected FROM r"""),
     "x18_make_chunks": oracle(f"""WITH t AS (SELECT DISTINCT module, concat('T', risk_score % 5) AS type_name FROM functions), n AS (SELECT func_id, module, visibility, risk_score, {list(CHUNK_NAMES)}[seq % {len(CHUNK_NAMES)} + 1] AS name, {list(CHUNK_NAMES.values())}[seq % {len(CHUNK_NAMES)} + 1] AS does, split_part(func_id, '::', 3) AS was FROM functions),
         x AS (SELECT *, concat_ws(', ', CASE visibility WHEN 'entry' THEN 'Entry point function' WHEN 'public' THEN 'Public function' END, nullif(does, '')) AS told FROM n),
         y AS (SELECT *, CASE WHEN told = '' THEN '' ELSE concat(module, '::', name, ' - ', told) END AS description FROM x)

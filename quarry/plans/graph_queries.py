@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.exploit_data import TYPICAL_ENTRIES
 from quarry.operators import graph as op
 from quarry.plans.stand_ins import oracle, view
 
@@ -60,6 +61,12 @@ def text(df, *columns):
     return df.withColumns({c: F.array_join(c, ",") for c in columns})
 
 
+#: A finding for each function: its type and the source that it was found in.
+ENTERED = """
+    SELECT func_id, CASE seq % 4 WHEN 0 THEN 'overflow' WHEN 1 THEN 'flash_loan_non_repayment' WHEN 2 THEN 'slippage' ELSE 'unheard of' END AS category,
+           CASE seq % 5 WHEN 0 THEN 'fun swap();' WHEN 1 THEN 'fun calculate(); mint();' WHEN 2 THEN 'fun flash_loan();' WHEN 3 THEN 'fun remove_liquidity(); swap();' END AS source
+    FROM {functions}"""
+
 QUERIES = {
     "j2_qualify_calls": lambda s, d: op.qualify_calls(view(s, d, "calls"), aliases(s, d)).select("from_id", "raw_call", "call_line", "call"),
     "j3_resolve_edges": resolved,
@@ -73,7 +80,7 @@ QUERIES = {
     "j10_callers": lambda s, d: op.callers(view(s, d, "edges"), view(s, d, "functions"), 2).select("to_id", "from_id", "name", "visibility", "rank"),
     "j10_callees": lambda s, d: op.callees(view(s, d, "edges"), view(s, d, "functions"), 1).select("to_id", "from_id", "name", "visibility", "rank"),
     "j11_resolve_function_id": lambda s, d: text(op.resolve_function_id(requests(s, d), view(s, d, "functions")), "suggestions"),
-    "j15_public_entry_for": lambda s, d: op.public_entry_for(view(s, d, "functions").select("func_id"), *F_E(s, d)),
+    "j15_public_entry_for": lambda s, d: op.public_entry_for(s.sql(ENTERED, functions=view(s, d, "functions")), *F_E(s, d)).select("func_id", "entry_point", "via"),
     "j16_caller_requirement": lambda s, d: op.caller_requirement(view(s, d, "functions").withColumn("body", F.when(F.col("risk_score") % 4 == 0, "x: &AdminCap").when(F.col("risk_score") % 4 == 1, "tx_context::sender(c)").when(F.col("risk_score") % 4 == 2, "{ }"))).select("func_id", "caller"),
     "j17_propagate": lambda s, d: op.propagate(view(s, d, "functions").where("risk_score >= 95"), view(s, d, "edges")),
     "j19_report_listing": lambda s, d: op.report_listing(reports(s, d), view(s, d, "audits"), view(s, d, "projects")).select("report_id", "project_id", "project_name"),
@@ -126,7 +133,10 @@ ORACLES = {
         WITH q AS (SELECT DISTINCT raw_call AS request FROM calls), n AS (SELECT name, list(func_id) AS ids FROM (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq) <= 3) GROUP BY name),
         r AS (SELECT request, coalesce(f.func_id, l.id) AS func_id FROM q LEFT JOIN functions f ON f.func_id = request LEFT JOIN {LAST} l ON l.k = request)
         SELECT request, r.func_id, CASE WHEN r.func_id IS NULL THEN array_to_string(list_sort(ids), ',') END AS suggestions FROM r LEFT JOIN n ON n.name = split_part(request, '::', -1)"""),
-    "j15_public_entry_for": oracle(f"SELECT f.func_id, CASE WHEN {PUBLIC} THEN f.func_id ELSE coalesce((SELECT min_by(p.func_id, p.seq) FROM edges e JOIN (SELECT * FROM functions WHERE {PUBLIC}) p ON p.func_id = e.from_id WHERE e.to_id = f.func_id), 'UNKNOWN') END AS entry_point FROM functions f"),
+    "j15_public_entry_for": oracle(f"""WITH x AS ({ENTERED.replace('{functions}', 'functions')}), t AS (SELECT * FROM (VALUES {", ".join(f"('{kind}', {names})" for kind, names in TYPICAL_ENTRIES.items())}) t(category, names)),
+        y AS (SELECT x.func_id, CASE WHEN {PUBLIC} THEN x.func_id ELSE (SELECT min_by(p.func_id, p.seq) FROM edges e JOIN (SELECT * FROM functions WHERE {PUBLIC}) p ON p.func_id = e.from_id WHERE e.to_id = x.func_id) END AS direct,
+                     list_filter(names, lambda n: contains(source, n))[1] AS guessed FROM x JOIN functions f ON f.func_id = x.func_id LEFT JOIN t USING (category))
+        SELECT func_id, coalesce(direct, guessed, 'UNKNOWN') AS entry_point, CASE WHEN direct IS NOT NULL THEN 'direct_call' WHEN guessed IS NOT NULL THEN 'inferred' ELSE 'unknown' END AS via FROM y"""),
     "j16_caller_requirement": oracle("SELECT func_id, CASE risk_score % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'specific_address' WHEN 2 THEN 'anyone' ELSE 'unknown' END AS caller FROM functions"),
     "j17_propagate": oracle("""
         WITH s0 AS (SELECT func_id AS f FROM functions WHERE risk_score >= 95),
