@@ -14,13 +14,13 @@ def of(*names):
 
 
 F_E, F_ONLY, E_ONLY = of("functions", "edges"), of("functions"), of("edges")
-TYPES = "SELECT DISTINCT concat('m', l_suppkey) AS module, l_linenumber AS type_id FROM lineitem WHERE l_suppkey % 3 = 0"
+TYPES = "SELECT DISTINCT concat('m', l_suppkey) AS module, l_linenumber AS type_id FROM lineitem"
 
 
 def types(s, d):
     from quarry.plans.stand_ins import table
 
-    return table(s, d, "lineitem").where("l_suppkey % 3 = 0").selectExpr("concat('m', l_suppkey) AS module", "l_linenumber AS type_id").distinct()
+    return table(s, d, "lineitem").selectExpr("concat('m', l_suppkey) AS module", "l_linenumber AS type_id").distinct()
 
 
 def seeds(s, d):

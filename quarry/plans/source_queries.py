@@ -87,7 +87,7 @@ ORACLES = {
         SELECT finding_id, CASE status WHEN 'confirmed' THEN 'confirmed' WHEN 'false_positive' THEN 'rejected' ELSE 'open' END AS status, CASE WHEN level IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'ADVISORY') THEN level ELSE 'MEDIUM' END AS severity,
                title, CASE WHEN confidence % 2 = 0 THEN description ELSE '' END AS description, concat(module, '::', function) AS location FROM x"""),
     "s8_report_tables": oracle("SELECT project, status, count(*) AS findings, CAST(sum(confidence) AS BIGINT) AS confidence FROM findings GROUP BY project, status"),
-    "s9_saved_graph": oracle("SELECT 'functions' AS part, concat(func_id, '>', risk_score) AS row FROM functions UNION ALL SELECT 'edges', concat(from_id, '>', to_id) FROM edges UNION ALL SELECT 'types', concat(module, '>', type_id) FROM (SELECT DISTINCT concat('m', l_suppkey) AS module, l_linenumber AS type_id FROM lineitem WHERE l_suppkey % 3 = 0)"),
+    "s9_saved_graph": oracle("SELECT 'functions' AS part, concat(func_id, '>', risk_score) AS row FROM functions UNION ALL SELECT 'edges', concat(from_id, '>', to_id) FROM edges UNION ALL SELECT 'types', concat(module, '>', type_id) FROM (SELECT DISTINCT concat('m', l_suppkey) AS module, l_linenumber AS type_id FROM lineitem)"),
     "s10_manifest_deps": """
         SELECT concat('p', p_partkey) AS project, concat('n', p_size) AS package, 'Sui' AS dep_name, concat('https://x/', p_size, '.git') AS git, concat('r', p_partkey) AS rev, CAST(NULL AS VARCHAR) AS local FROM part WHERE p_size % 5 <> 0 AND p_size % 3 <> 0
         UNION ALL SELECT concat('p', p_partkey), concat('n', p_size), 'lib-a', NULL, NULL, concat('../', p_size) FROM part WHERE p_size % 5 <> 0""",
