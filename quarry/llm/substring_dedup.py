@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.setjoin import BATCH, RECALL, SIZE, THRESHOLD, similar_sets
 from quarry.llm.shared import maybe_among, with_groups, written
-from quarry.llm.words import ngram_hashes, word_hashes
+from quarry.llm.words import BLANK, ngram_hashes, word_hashes
 
 #: Hashes in a band: short bands, of which the target recall needs few (10 at the defaults).
 ROWS = 3
@@ -28,8 +27,6 @@ PASSAGE, GRAM = 50, 25
 KEY = ["id", "doc_hash"]
 #: The last id of each type that rows without id can have.
 LAST_IDS = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1, "string": "\U0010ffff"}
-#: Which characters part words, as str.split does; all of those lie below 0x3001.
-BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
 
 
 def lines(text: Column) -> Column:
@@ -97,8 +94,14 @@ def placed_words(text: str | None, gone: object) -> tuple[np.ndarray, ...]:
 
 
 def selected(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least hash of each `window` hashes in a row, the first of equal ones."""
-    return np.unique(sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1))
+    """Places of the least hash of each `window` hashes in a row, the first of equal ones: windows grow by joining two that overlap or touch."""
+    least, at, span = grams, np.arange(len(grams)), 1
+    while span < window:
+        step = min(span, window - span)
+        earlier = least[:-step] <= least[step:]
+        least, at = np.where(earlier, least[:-step], least[step:]), np.where(earlier, at[:-step], at[step:])
+        span += step
+    return at[np.append(True, at[1:] != at[:-1])]  # places never go back
 
 
 def repeated_passages(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, words: int = PASSAGE, gram: int = GRAM) -> DataFrame:
