@@ -170,13 +170,13 @@ def strip_comments(text: Column) -> Column:
 
 
 def snippet_around(lines: DataFrame, hits: DataFrame, n: int = 3) -> DataFrame:
-    """Numbered lines around each hit, which is marked; a hit beyond the end gives the first 2n lines. Lines meet hits on path and a block of lines."""
+    """Numbered lines around each hit, which is marked; a hit beyond the end gives the first 2n lines. Lines meet hits on path and a block of lines, in sort-merge joins: neither side is small."""
     size = 2 * n + 1
     ends = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    placed = hits.join(ends, "path").withColumn("inside", F.col("hit") <= F.col("last"))
+    placed = hits.join(ends.hint("merge"), "path").withColumn("inside", F.col("hit") <= F.col("last"))
     placed = placed.withColumn("low", F.when(F.col("inside"), F.col("hit") - n).otherwise(1)).withColumn("high", F.when(F.col("inside"), F.col("hit") + n).otherwise(2 * n))
     blocks = placed.withColumn("block", F.explode(F.sequence((F.greatest("low", F.lit(1)) / size).cast("int"), (F.col("high") / size).cast("int"))))
-    joined = blocks.join(lines.withColumn("block", (F.col("line_no") / size).cast("int")), ["path", "block"]).where("line_no BETWEEN low AND high")
+    joined = blocks.join(lines.withColumn("block", (F.col("line_no") / size).cast("int")).hint("merge"), ["path", "block"]).where("line_no BETWEEN low AND high")
     mark = F.when(F.col("inside") & (F.col("line_no") == F.col("hit")), ">").otherwise(" ")
     shown = F.struct("line_no", F.concat(mark, F.col("line_no").cast("string"), F.lit("| "), F.col("line")).alias("shown"))
     return joined.groupBy("path", "hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["shown"]), "\n").alias("snippet"))
