@@ -42,3 +42,12 @@ def test_spans_tell_of_their_own_declaration(spark):
     rows = spark.createDataFrame([(1, "fun f(a: A) {}\nfun f(b: B): u8 {}")], "id long, content string")
     got = code.function_spans(rows, ["id"], "params", "return_type").collect()
     assert sorted((r.start_line, r.params, r.return_type) for r in got) == [(1, "a: A", ""), (2, "b: B", "u8")]
+
+
+def test_type_definitions_before_tokens(spark):
+    """Own before dependencies, then by id; the first definition of a name is found before tokens meet it."""
+    tokens = spark.createDataFrame([("a", "f", "T"), ("a", "f", "T"), ("b", "f", "T"), ("a", "g", "U"), (None, "h", "T"), ("c", "f", "V")], "project string, func_id string, token string")
+    types = spark.createDataFrame([("a", "T", "9", False), ("a", "T", "1", True), ("b", "T", "0", True), ("a", "U", "5", True), ("a", "V", "5", False)], "project string, name string, type_id string, is_dependency boolean")
+    got = context.type_definitions(tokens, types)
+    assert sorted(got.select(F.coalesce("project", F.lit("-")), "func_id", "token", "type_id").collect()) == [("-", "h", "T", "0"), ("a", "f", "T", "9"), ("a", "g", "U", "5"), ("b", "f", "T", "0")]
+    assert "row_number" not in plan(got)
