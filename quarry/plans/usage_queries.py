@@ -19,9 +19,10 @@ PURCHASES = """
 LEDGER = """
     SELECT user_id, event_id AS seq, ts AS created_at, CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 5) AS BIGINT) ELSE -CAST(floor(value) AS BIGINT) END AS delta
     FROM {events}"""
+#: Values have two decimals and are summed as such: a sum of doubles depends on the order of its rows, and its floor with it.
 AGENTS = """
-    SELECT concat('a', user_id) AS audit_id, concat('g', event_id % 5) AS agent, CAST(floor(sum(value)) AS BIGINT) AS prompt, CAST(count(*) AS BIGINT) AS completion,
-           CAST(floor(sum(value)) + count(*) AS BIGINT) AS total, CAST(sum(event_id % 2) AS BIGINT) AS calls
+    SELECT concat('a', user_id) AS audit_id, concat('g', event_id % 5) AS agent, CAST(floor(sum(CAST(value AS DECIMAL(18, 2)))) AS BIGINT) AS prompt, CAST(count(*) AS BIGINT) AS completion,
+           CAST(floor(sum(CAST(value AS DECIMAL(18, 2)))) + count(*) AS BIGINT) AS total, CAST(sum(event_id % 2) AS BIGINT) AS calls
     FROM {events} GROUP BY user_id, event_id % 5"""
 
 
