@@ -14,9 +14,10 @@ from quarry.streaming.states import PHASE_NAMES, UNNAMED_PHASE
 
 def stream(s, d, name):
     kept = table(s, d, name)
-    # a file that is given alone is a stream of one file
-    root, file = d.rstrip("/"), f"{name}.parquet"
-    return s.readStream.schema(kept.schema).parquet(f"{root}/{{{file},{file}/*}}")
+    # a file that is given alone is a stream of one file, by a pattern; a folder is read as it is, so that each of its files comes once
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    alone = any(f.endswith(f"/{name}.parquet") for f in kept.inputFiles())
+    return s.readStream.schema(kept.schema).parquet(f"{d.rstrip('/')}/{{{name}.parquet}}" if alone else path)
 
 
 def usage_windows(s, d):
