@@ -51,3 +51,13 @@ def test_type_definitions_before_tokens(spark):
     got = context.type_definitions(tokens, types)
     assert sorted(got.select(F.coalesce("project", F.lit("-")), "func_id", "token", "type_id").collect()) == [("-", "h", "T", "0"), ("a", "f", "T", "9"), ("a", "g", "U", "5"), ("b", "f", "T", "0")]
     assert "row_number" not in plan(got)
+
+
+def test_equal_rules_meet_findings_once(spark):
+    """A thousand rules that say the same are one for their owner and project, whatever the case of their words."""
+    rules = spark.range(1000).selectExpr("id + 1 AS rule_id", "'o' AS owner_id", "IF(id % 2 = 0, 'p', NULL) AS rule_project", "true AS match_all", "array(IF(id % 3 = 0, 'X', 'x')) AS title_contains", "array() AS description_contains", "CAST(NULL AS STRING) AS function_pattern", "array('High') AS severity_in")
+    rows = [("a", 1, "o", "p", "an x", "d", "f", "HIGH"), ("b", 2, "o", "q", "an X", None, None, "high"), ("c", 3, "o", "p", "an x", "d", "f", "low"), ("d", 4, "z", "p", "x", "d", "f", "high")]
+    findings = spark.createDataFrame(rows, "finding_id string, seq long, owner_id string, project string, title string, description string, function string, severity string")
+    got = context.apply_custom_exclusions(findings, rules)
+    assert sorted((r.finding_id, r.excluded_by) for r in got.collect()) == [("a", 1), ("b", 2), ("c", None), ("d", None)]
+    assert "min(rule_id" in plan(got)
