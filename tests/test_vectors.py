@@ -44,3 +44,15 @@ def test_most_pairs_are_passed_over(spark):
     asked = base.selectExpr("key", "vector", "1.5D AS within").limit(200)
     left = vectors.pairs_compared(vectors.bounded(asked, cells, blocks, 6, 6), cells, blocks, 6).first()["compared"]
     assert left < 0.15 * 200 * 4000
+
+
+def test_a_block_is_sent_once_to_a_batch(spark):
+    base = vectors.classes_of(vectors.packed(spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(clusters(600))], SCHEMA), 6), 6).cache()
+    cells, blocks = vectors.indexed(base, 6, 200, 50, 64)
+    asked = base.selectExpr("key", "vector", "100D AS within").repartition(16)
+    assert vectors.visits(vectors.batched(asked), cells, 6, False).count() == blocks.count()
+
+
+def test_long_vectors_that_lie_near(spark):
+    base = [(i, [1e6 + i * 0.5, 1e6, 1e6, 1e6, 1e6, 1e6], "x") for i in range(60)]
+    assert run(spark, base[:20], base, 5, 1.5, sample=30, cell=10, block=8) == brute(base[:20], base, 5, 1.5)
