@@ -7,11 +7,13 @@ scan is one pass without a join. `doc_id` names a text, `text` holds it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import choose, language_of, topk_per_group
+from quarry.sources.shared import once_each
 
 #: Points of a match by severity, and the least score of each risk level.
 WEIGHTS = {"critical": 100, "high": 70, "medium": 40, "low": 20, "advisory": 10}
@@ -99,25 +101,50 @@ def file_tree_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("project", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 
 
-def _match(pattern: Pattern, number: int, lower: Column, text: Column, domain: Column | None, hints: Column | None) -> Column:
-    cues = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(c.lower())), F.lit(c)) for c in pattern.cues]))
-    score = F.size(cues) * F.lit(CUE)
+def _match(pattern: Pattern, number: int, cues: dict[str, Column], regex: Column, domain: Column | None, hints: Column | None) -> tuple[Column, list[Column]]:
+    """What a text with any of a pattern's cues scores, and the row of the match without its score."""
+    count = reduce(lambda a, b: a + b, [cues[c.lower()].cast("int") for c in pattern.cues])
+    score = count * F.lit(CUE)
     if pattern.regex:
-        score = score + F.when(text.rlike(f"(?i){pattern.regex}"), REGEX).otherwise(0.0)
+        score = score + F.when(regex, REGEX).otherwise(0.0)
     if domain is not None:
         score = score + F.when(F.arrays_overlap(domain, F.array(*map(F.lit, pattern.tags))), DOMAIN).otherwise(0.0)
     if hints is not None and pattern.function:
         score = score + F.when(F.array_contains(hints, pattern.function), HINT).otherwise(0.0)
-    score = F.round(F.least(score, F.lit(1.0)), 6)
-    return F.when((F.size(cues) > 0) & (score >= LEAST), F.struct(F.lit(pattern.pattern_id).alias("pattern_id"), F.lit(number).alias("seq"), F.lit(pattern.title).alias("title"), F.lit(pattern.severity).alias("severity"), F.lit(pattern.recommendation).alias("recommendation"), F.slice(cues, 1, CUES_KEPT).alias("matched_cues"), score.alias("confidence")))
+    any_cue = reduce(lambda a, b: a | b, [cues[c.lower()] for c in pattern.cues])
+    matched = F.concat(*[F.when(cues[c.lower()], F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in pattern.cues])
+    row = [F.lit(pattern.pattern_id).alias("pattern_id"), F.lit(number).alias("seq"), F.lit(pattern.title).alias("title"), F.lit(pattern.severity).alias("severity"), F.lit(pattern.recommendation).alias("recommendation"), F.slice(matched, 1, CUES_KEPT).alias("matched_cues")]
+    return F.when(any_cue, F.round(F.least(score, F.lit(1.0)), 6)), row
 
 
 def match_patterns(docs: DataFrame, patterns: list[Pattern], domain: str | None = None, hints: str | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row for each text and pattern that fits: a cue at least, and confidence from cues, regex and hints."""
-    column = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("__lower", F.lower(column))
-    found = F.array_compact(F.array(*[_match(p, i, F.col("__lower"), column, domain and F.col(domain), hints and F.col(hints)) for i, p in enumerate(patterns)]))
-    return rows.select(*keys, F.inline(found))
+    """A row for each text and pattern that fits: a cue at least, and confidence from cues, regex and hints.
+
+    Step by step, each a plain projection of what the step before worked out once: the lower-cased text, whether each
+    distinct cue occurs, whether the regex of a pattern with a cue fits, and scores.
+    """
+    patterns = [(i, p) for i, p in enumerate(patterns) if p.cues]
+    if not patterns:
+        return match_patterns(docs, [Pattern("", "", "", (), ("x",))], None, None, keys, text).where(F.lit(False))
+    places = {c: f"__cue{i}" for i, c in enumerate(dict.fromkeys(c.lower() for _, p in patterns for c in p.cues))}
+    cues = {c: F.col(place) for c, place in places.items()}
+    kept = list(dict.fromkeys([*keys, *[c for c in (domain, hints) if c]]))
+    rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text")).select(*kept, "__text", F.lower("__text").alias("__lower"))
+    rows = rows.select(*kept, "__text", *[F.contains("__lower", F.lit(c)).alias(place) for c, place in places.items()])
+    asked = {i: reduce(lambda a, b: a | b, [cues[c.lower()] for c in p.cues]) for i, p in patterns}
+    rows = rows.select(*kept, *places.values(), *[(asked[i] & F.col("__text").rlike(f"(?i){p.regex}")).alias(f"__regex{i}") for i, p in patterns if p.regex])
+    made = {i: _match(p, i, cues, F.col(f"__regex{i}"), domain and F.col(domain), hints and F.col(hints)) for i, p in patterns}
+    rows = rows.select(*keys, *places.values(), *[score.alias(f"__score{i}") for i, (score, _) in made.items()])
+    found = F.array(*[F.when(F.col(f"__score{i}") >= LEAST, F.struct(*row, F.col(f"__score{i}").alias("confidence"))) for i, (_, row) in made.items()])
+    return rows.select(*keys, F.inline(found)).where("pattern_id IS NOT NULL")
+
+
+def match_repeated(docs: DataFrame, patterns: list[Pattern], domain: str | None = None, hints: str | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """`match_patterns` for texts that repeat, as vendored and generated code does: a text is scanned once, whatever number of rows have it."""
+    columns = [c for c in (text, domain, hints) if c]
+    told = docs.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *columns)
+    found = once_each(told, columns, lambda rows: match_patterns(rows, patterns, domain, hints, ("__key",), text))
+    return found.select(*[F.col(f"__of_{k}").alias(k) for k in keys], *[c for c in found.columns if not c.startswith("__of_")])
 
 
 def dedupe_by_title(matches: DataFrame, rank: str = "source_rank") -> DataFrame:
