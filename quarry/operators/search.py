@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from quarry.operators.cues import found_cues
 from quarry.operators.scan import explode_lines
 
-#: Characters of a run, runs of a query that are looked up (the rarest), and folders of postings and of texts.
-RUN, LOOKED_UP, POSTING_PARTS, TEXT_PARTS = 3, 3, 64, 256
+#: Characters of a run, runs of a query that are looked up (the rarest), folders of postings and of texts, and shares of a folder of postings.
+RUN, LOOKED_UP, POSTING_PARTS, TEXT_PARTS, SHARES = 3, 3, 64, 256, 16
 ALL_RUNS = r"(?s)(?=(.{%d}))" % RUN
 
 
 def build_search_index(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text", posting_parts: int = POSTING_PARTS, text_parts: int = TEXT_PARTS) -> None:
     """Writes the index of `texts` below `path`. Null texts are left out; repeated keys are texts each.
 
-    Postings are dealt by ranges of run and key, so that those of a run that all texts have fill many files.
+    Postings are dealt by run and text part, so that those of a run that all texts have fill many files; ranges would
+    take all runs out of all texts once more, for a sample.
     """
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(text_parts)).cast("int").alias("part"))
     rows.repartition("part").write.partitionBy("part").parquet(f"{path}/texts")
     runs = rows.select("key", "part", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(ALL_RUNS), 1))).alias("run"))
     runs = runs.withColumn("of_run", F.pmod(F.xxhash64("run"), F.lit(posting_parts)).cast("int"))
-    runs.repartitionByRange("of_run", "run", "key").sortWithinPartitions("of_run", "run").write.partitionBy("of_run").parquet(f"{path}/postings")
+    runs.repartition("of_run", F.pmod("part", F.lit(SHARES))).sortWithinPartitions("of_run", "run").write.partitionBy("of_run").parquet(f"{path}/postings")
     stored = texts.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("of_run", "run").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
 

@@ -56,3 +56,19 @@ def test_locate(spark):
     got = [tuple(r) for r in search.locate(files.selectExpr("path", "replace(content, 'x::', '') AS content"), spark.createDataFrame(asked, "module string, function string")).collect()]
     want = [("pool", "swap", "a.move", 4, 5), ("pool", "swap", "a.move", 4, 5), ("pool", "close", "b.move", 2, 4), ("z::pool", None, "a.move", 1, 1), ("a::b", "one", "c.move", 1, 1), ("pool", "gone", None, None, None), ("nomodule", None, None, None, None), (None, None, None, None, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_runs_are_taken_out_of_a_text_once(spark):
+    """Once for the texts and once for the postings, but not again for a sample of the postings."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    texts = spark.createDataFrame([(i, f"text {i} of many") for i in range(50)], "doc_id long, text string").select("doc_id", seen("text").alias("text"))
+    search.build_search_index(texts.where("doc_id >= 0"), tempfile.mkdtemp(prefix="spark-search-"), posting_parts=4, text_parts=4)
+    assert read.value <= 4 * 50
