@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import code, context, scan
+from quarry.operators import code, context, graph, scan
 
 TEXT = "module m {\n fun f() {\n  g(amount);\n }\n #[test]\n fun t() {}\n}\n"
 
@@ -61,3 +61,12 @@ def test_equal_rules_meet_findings_once(spark):
     got = context.apply_custom_exclusions(findings, rules)
     assert sorted((r.finding_id, r.excluded_by) for r in got.collect()) == [("a", 1), ("b", 2), ("c", None), ("d", None)]
     assert "min(rule_id" in plan(got)
+
+
+def test_calls_stay_one_row_while_they_are_resolved(spark):
+    """No try of a call is a row of its own, and the first kind of match wins: a self call does not fall to the next."""
+    functions = [("0x1::m::f", "m", "f", 1), ("0x2::m::f", "m", "f", 2), ("0x1::m::g", "m", "g", 3), ("0x1::n::g", "n", "g", 4), ("0x1::n::h", "n", "h", 5), ("x|y", "q", "z", 6)]
+    calls = [("0x1::m::g", c, i) for i, c in enumerate(["0x1::m::f", "m::f", "0x9::m::f", "f", "g", "h", "n::g", "x|y", "gone", None])] + [("0x1::m::g", "h", 1), (None, "h", 1), ("bare", "g", 1)]
+    got = graph.resolve_edges(spark.createDataFrame(calls, "from_id string, raw_call string, call_line int"), spark.createDataFrame(functions, "func_id string, module string, name string, seq long"))
+    assert sorted(map(tuple, got.collect())) == [("0x1::m::g", "0x1::m::f", 0), ("0x1::m::g", "0x1::n::g", 6), ("0x1::m::g", "0x1::n::h", 1), ("0x1::m::g", "0x2::m::f", 1)]
+    assert "Generate" not in plan(got) and "row_number" not in plan(got)
