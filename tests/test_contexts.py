@@ -36,3 +36,19 @@ def test_functions_are_told_apart_by_numbers(spark):
     assert sorted(r.func_id for r in got.collect()) == sorted(r.func_id for r in rows.collect())
     shuffled = [x for x in executed(got).splitlines() if "Exchange" in x]
     assert shuffled and all("l_suppkey" in x and "func_id" not in x for x in shuffled)
+
+
+def test_group_context_of_repeated_texts(spark):
+    """Texts are weighed once for all findings that have them; odd names and missing functions stay as they are."""
+    schema = "module string, group long, finding_id string, func_id string, title string, description string, category string, hint string"
+    rows = [("m", 1, f'x"{i}', f, "Arithmetic overflow", None, None, h) for i, (f, h) in enumerate([("b", None), ("a", "by\nrule"), (None, None), ("a", None), ("gone", None)])]
+    rows += [("n", 1, "y", "c", "Plain", "", "", None), ("m", 2, "z", None, None, None, None, None)]
+    functions = spark.createDataFrame([("a", "fun a", ""), ("b", None, "B"), ("c", "fun c", None)], "func_id string, signature string, body string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "gone"), ("b", "a"), ("c", "a"), (None, "a"), ("gone", "a"), ("b", "c")], EDGES)
+    topics = spark.createDataFrame([("overflow", ["t2", "t1"]), ("arith", ["t1"])], "word string, topics array<string>")
+    found = context.group_context(spark.createDataFrame(rows, schema), functions, edges, topics)
+    got = {(r.module, r.group): r for r in found.collect()}
+    g = got["m", 1]
+    assert (g.functions, g.bodies, g.callees, g.callers, g.topics) == (["a", "b", "gone"], ["B"], ["a: b", "b: a, c"], ["a: fun c", "b: fun a", "gone: fun a"], ["t1", "t2"])
+    assert 'x"1: by\nrule' in g.hints and len(g.hints) in (1, 5)
+    assert (got["n", 1].functions, got["n", 1].bodies, got["n", 1].callees, got["n", 1].callers) == (["c"], [], ["c: a"], ["c: "]) and (got["m", 2].functions, got["m", 2].hints) == ([], [])
