@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,17 +25,24 @@ def stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: What is kept of an event that waits and of a user's balance, packed.
+EVENT = np.dtype([("no_user", "?"), ("user", "<i8"), ("at", "<i8"), ("seq", "<i8"), ("delta", "<i8")])
+HELD = np.dtype([("no_user", "?"), ("user", "<i8"), ("balance", "<i8")])
+
+
 class BalanceFold(StatefulProcessor):
-    """Balances of a user (key: whether there is none, id), events folded in the order of their times across batches.
+    """Balances of a bucket of users (key: its number), events folded in the order of their times across batches.
 
     An event waits in a buffer until the watermark has passed its time, so that none can come before it any more;
     a timer at the earliest waiting event then folds all that may be. The buffer holds what arrives within the lateness.
+    A call to the state store takes longer than the fold of many events, so the users of a bucket share each call: what
+    waits is kept as a packed array a batch, balances as one.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.balance = handle.getValueState("balance", "balance long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, delta long")
+        self.balances = handle.getValueState("balances", "packed binary")
+        self.waiting = handle.getListState("waiting", "packed binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def _wake(self, at: int) -> None:
@@ -48,34 +56,50 @@ class BalanceFold(StatefulProcessor):
         self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = []
         for frame in rows:
             frame = frame[frame["seq"].notna()]
-            if frame.empty:
-                continue
-            # whole numbers again: a null in a batch makes pandas' columns floating, and the store keeps none of these
-            events = list(zip(*[frame[c].fillna(0).astype("int64").tolist() for c in ("at", "seq", "delta")], strict=True))
-            self.waiting.appendList(events)
-            self._wake(min(e[0] for e in events) // 1000)
+            part = np.empty(len(frame), EVENT)
+            for c in EVENT.names:
+                # whole numbers again: a null in a batch makes pandas' columns floating
+                part[c] = frame[c].fillna(0).astype(EVENT[c]).to_numpy()
+            parts.append(part)
+        events = np.concatenate(parts) if parts else np.empty(0, EVENT)
+        if len(events):
+            self.waiting.appendValue((events.tobytes(),))
+            self._wake(int(events["at"].min()) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(e) for e in self.waiting.get())
-        ready = [e for e in waiting if e[0] <= passed]
-        rest = waiting[len(ready) :]
+        waiting = np.concatenate([np.frombuffer(bytes(x[0]), EVENT) for x in self.waiting.get()])
+        ready, rest = waiting[waiting["at"] <= passed], waiting[waiting["at"] > passed]
         self.timer.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0] // 1000)
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+            self._wake(int(rest["at"].min()) // 1000)
         else:
             self.waiting.clear()
-        balance, out = self.balance.get()[0] if self.balance.exists() else 0, []
-        for _, seq, delta in ready:
+        if not len(ready):
+            return iter(())
+        ready = ready[np.lexsort([ready[c] for c in ("delta", "seq", "at", "user", "no_user")])]
+        known = np.frombuffer(bytes(self.balances.get()[0]), HELD) if self.balances.exists() else np.empty(0, HELD)
+        held = {(n, u): b for n, u, b in known.tolist()}
+        owner, balance, balances, rejections = None, 0, [], []
+        for no_user, user, _, _, delta in ready.tolist():
+            if owner != (no_user, user):
+                if owner is not None:
+                    held[owner] = balance
+                owner = (no_user, user)
+                balance = held.get(owner, 0)
             rejected = balance + delta < 0
             balance += 0 if rejected else delta
-            out.append((None if key[0] else key[1], seq, delta, balance, rejected))
-        self.balance.update((balance,))
-        return iter([pd.DataFrame(out, columns=["user_id", "seq", "delta", "balance", "rejected"]).astype({"user_id": "Int64"})])
+            balances.append(balance)
+            rejections.append(rejected)
+        held[owner] = balance
+        self.balances.update((np.array([(*o, b) for o, b in held.items()], HELD).tobytes(),))
+        users = pd.Series(ready["user"], dtype="Int64").mask(ready["no_user"])
+        return iter([pd.DataFrame({"user_id": users, "seq": ready["seq"].copy(), "delta": ready["delta"].copy(), "balance": balances, "rejected": rejections})])
 
     def close(self) -> None:
         pass

@@ -32,19 +32,19 @@ def purchase_dedupe_stream(purchases: DataFrame, late: str = "1 day") -> DataFra
     return purchases.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["transaction_digest"])
 
 
-def balance_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def balance_stream(events: DataFrame, late: str = "1 hour", buckets: int = 256) -> DataFrame:
     """Balances after each event of a user in the order of time, over all batches; usage beyond the balance is rejected.
 
     An event is folded once the watermark, `late` behind the latest, has passed it; `closed` ends a stream. Later
-    ones are dropped. Events without a time or a sequence number are left out, a null delta counts 0.
+    ones are dropped. Events without a time or a sequence number are left out, a null delta counts 0. State is kept by
+    `buckets` of users, whose waiting events a task holds in memory; their number stays the same over restarts.
     """
     stateful(events.sparkSession)
-    # no part of a key may be null in the state store
-    keys = [F.col("user_id").isNull().alias("no_user"), F.coalesce(F.col("user_id").cast("long"), F.lit(0)).alias("user")]
+    user = F.col("user_id").cast("long")
+    keys = [F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int").alias("bucket"), user.isNull().alias("no_user"), F.coalesce(user, F.lit(0)).alias("user")]
     at = F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")
-    rows = events.where("created_at IS NOT NULL").select(*keys, at, F.col("seq").cast("long").alias("seq"), F.col("created_at").cast("timestamp").alias("created_at"), F.col("delta").cast("long").alias("delta"))
-    folded = rows.withWatermark("created_at", late).groupBy("no_user", "user").transformWithStateInPandas(BalanceFold(), "user_id long, seq long, delta long, balance long, rejected boolean", "append", "EventTime")
-    return folded
+    rows = events.where("created_at IS NOT NULL").select(*keys, at, F.col("seq").cast("long").alias("seq"), F.col("created_at").cast("timestamp").alias("created_at"), F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"))
+    return rows.withWatermark("created_at", late).groupBy("bucket").transformWithStateInPandas(BalanceFold(), "user_id long, seq long, delta long, balance long, rejected boolean", "append", "EventTime")
 
 
 def closed(events: DataFrame, path: str, ahead: str = "interval 400 days") -> None:

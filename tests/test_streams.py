@@ -46,6 +46,20 @@ def test_balances_of_late_events(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, usage.running_balance(events).select("seq", "balance", "rejected").collect()))
 
 
+def test_balances_are_kept_by_buckets_of_users(spark):
+    """Many users meet few states; those of a bucket, the missing user and user 0 included, stay apart over batches."""
+    rng, path = random.Random(7), folder("buckets")
+    rows = [(rng.choice([None, *range(40)]), i, START + dt.timedelta(minutes=i // 2), rng.choice([None, 50, -20, -30])) for i in range(900)]
+    for n in range(3):
+        spark.createDataFrame(rows[n * 300 : n * 300 + 300], EVENTS).coalesce(1).write.mode("append").parquet(path)
+    events = spark.createDataFrame(rows, EVENTS)
+    streams.closed(events, path)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    got = streams.drained(streams.balance_stream(stream, "10 days", buckets=3), "balances").select("user_id", "seq", "delta", "balance", "rejected")
+    want = usage.running_balance(events.fillna(0, ["delta"])).select("user_id", "seq", "delta", "balance", "rejected")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 ACTIONS = "finding_id string, action_type string, new_severity string, reason string, created_at timestamp, seq long"
 
 
