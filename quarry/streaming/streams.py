@@ -53,11 +53,11 @@ def closed(events: DataFrame, path: str, ahead: str = "interval 400 days") -> No
     last.select(*[(F.col(f.name) if f.name == "created_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).coalesce(1).write.mode("append").parquet(path)
 
 
-def kept_by_version(rows: DataFrame, path: str, keys: list[str], checkpoint: str | None = None) -> DataFrame:
+def kept_by_version(rows: DataFrame, path: str, keys: list[str], checkpoint: str | None = None, order: tuple[str, ...] = ("version",)) -> DataFrame:
     """Runs a stream of rows that hold the whole state of their keys and returns the latest of each key.
 
     A batch writes the keys that it changed into a folder of its own, over what an earlier try left there: a batch
-    that is repeated after a restart changes nothing. Readers take the highest `version` of each key; `compacted`
+    that is repeated after a restart changes nothing. Readers take the highest `version` of each key, or the last by `order`; `compacted`
     folds the folders.
     """
     spark = rows.sparkSession
@@ -67,7 +67,14 @@ def kept_by_version(rows: DataFrame, path: str, keys: list[str], checkpoint: str
         batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
     rows.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return first_per_group(spark.read.schema(rows.schema).parquet(f"{path}/changes/batch=*"), keys, [F.desc("version")])
+    return first_per_group(spark.read.schema(rows.schema).parquet(f"{path}/changes/batch=*"), keys, [F.desc(c) for c in order])
+
+
+def latest_state(spark: SparkSession, stream: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, as `order` decides, over all batches; the state store holds a row a key."""
+    others = [c for c in stream.columns if c not in keys]
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("last"))
+    return kept_by_version(last.select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in stream.columns]), path, keys, order=tuple(order))
 
 
 def review_stream(actions: DataFrame) -> DataFrame:
