@@ -60,12 +60,21 @@ def packer(width: int) -> Callable:
     return run
 
 
+def first_keys(classes: DataFrame, count: int, n: int) -> DataFrame:
+    """The `n` rows with the smallest `key`, a hex digest. Rows beyond some twice as many are passed over first, as
+    each task would send its own first `n` to the driver."""
+    digits = 12
+    if count > 2 * n:
+        classes = classes.where(F.substring("key", 1, digits) < f"{2 * n * 16**digits // count:0{digits}x}")
+    return classes.orderBy("key").limit(n)
+
+
 class Index:
     """Blocks of all classes, and the tree with the ranges of what they hold."""
 
     def __init__(self, classes: DataFrame, width: int, count: int, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK):
         spark = classes.sparkSession
-        fitted = classes.orderBy("key").limit(max(1, min(sample, SAMPLE_BYTES // (4 * width)))).select("vector").toPandas()["vector"]
+        fitted = first_keys(classes, count, max(1, min(sample, SAMPLE_BYTES // (4 * width)))).select("vector").toPandas()["vector"]
         distinct = list(dict.fromkeys(map(bytes, fitted)))
         tree = Tree(vectors_of(pd.Series(distinct, dtype=object), width), count / leaf)
         self.width = width
@@ -103,7 +112,9 @@ class Index:
         `asked` holds `key, vector, label, least, most` (arrays, a window each, both ends within). Rows of the
         anchor's label are looked at if `same`, else those of all others. `probe`: only in a block of its own leaf.
         """
-        found = self.visits(asked, probe, batch).join(self.blocks.drop("low", "high"), ["leaf", "salt"])
+        # anchors are few on disk, but a row for each block that they meet is not: neither side is sent through the driver
+        asked = asked.repartition(max(1, min(-(-asked.count() // batch), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+        found = self.visits(asked, probe, batch).hint("merge").join(self.blocks.drop("low", "high"), ["leaf", "salt"])
         return first(found.mapInPandas(compared(self.width, same, k), FOUND), k)
 
     def visits(self, asked: DataFrame, probe: bool, batch: int = BATCH) -> DataFrame:

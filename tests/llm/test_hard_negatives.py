@@ -79,3 +79,21 @@ def test_quantised(spark):
 
 def test_matches_sql(spark):
     assert_same(registry.QUERIES["op11_hard_negatives"](spark, SF), registry.ORACLES["op11_hard_negatives"], SF)
+
+
+def test_nothing_large_goes_through_the_driver(spark):
+    """Visits are an anchor's vector for each block that it meets: they meet blocks by a shuffle, however small the
+    anchors' file; and tasks don't each send a whole sample."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, rng.integers(-300, 300, 8).tolist(), "") for i in range(3000)]
+    classes = hn.classes_of(spark.createDataFrame(rows, SCHEMA), 5)
+    few = hn.first_keys(classes, 3000, 50)
+    assert [r.key for r in few.collect()] == sorted(r.key for r in classes.collect())[:50]
+    assert "substr" in few._jdf.queryExecution().optimizedPlan().toString()
+    packed = classes.mapInPandas(hn.packer(8), "label long, ids array<long>, nulls int, key string, vector binary").select("key", "label", "vector", "ids", "nulls")
+    index = hn.Index(packed, 8, 3000, 256, 40, 32)
+    asked = packed.limit(40).select("key", "vector", "label", F.array(F.lit(-hn.ANY)).alias("least"), F.array(F.lit(hn.ANY)).alias("most"))
+    found = index.search(hn.written(asked, "asked"), True, 3)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
