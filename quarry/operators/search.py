@@ -12,8 +12,8 @@ from re import _constants, _parser, error
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.cues import found_cues
 from quarry.operators.scan import explode_lines
+from quarry.sources.shared import FEW_ROWS, kept_table
 
 #: Characters of a run, runs of a query that are looked up (the rarest), folders of postings and of texts, and shares of a folder of postings.
 RUN, LOOKED_UP, POSTING_PARTS, TEXT_PARTS, SHARES = 3, 3, 64, 256, 16
@@ -94,6 +94,23 @@ def first_hits(hits: DataFrame, order: list[str], n: int = 20) -> DataFrame:
     return hits.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # one row
 
 
+def named_lines(lines: DataFrame, word: str, names: DataFrame) -> DataFrame:
+    """Rows of `lines` and `names` (`name`, and more) where the line holds `word` with the name right after it.
+
+    What follows the word is cut to each length that a name has, so that names are met by equality: names that begin
+    alike cost no more than those that don't. Repeated if the line holds them repeatedly.
+    """
+    names = kept_table(names, "names")
+    sizes = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())  # no more than the longest name has characters
+    if not sizes:
+        return lines.limit(0).crossJoin(names.limit(0))
+    few = names.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    after = F.regexp_extract_all("line", F.lit(f"(?s)(?={word}(.{{0,{sizes[-1]}}}))"), F.lit(1))
+    cut = lines.where(F.col("line").contains(word)).withColumn("__after", F.explode(after)).withColumn("__n", F.explode(F.array(*map(F.lit, sizes))))
+    cut = cut.where(F.length("__after") >= F.col("__n")).withColumn("name", F.substring(F.col("__after"), F.lit(1), F.col("__n"))).drop("__after", "__n")
+    return cut.join(F.broadcast(names) if few else names.hint("merge"), "name")
+
+
 def locate(files: DataFrame, requests: DataFrame) -> DataFrame:
     """`module, function, path, line_start, line_end` of requested places; nulls where there is none.
 
@@ -103,24 +120,26 @@ def locate(files: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = requests.select("module", "function").distinct()
     segments = F.split("module", "::")
-    names = F.array_distinct(F.array(F.concat(F.lit("module "), F.element_at(segments, -1)), F.concat(F.lit("module "), F.array_join(segments, "_"))))
+    names = F.array_distinct(F.array(F.element_at(segments, -1), F.array_join(segments, "_")))
     lines = explode_lines(files.select("path", "content"))
-    heads = found_cues(lines.where(F.col("line").contains("module ")), asked.where("module <> ''").select("module", F.explode(names).alias("cue")).distinct(), "line")
-    modules = heads.where(F.contains("line", F.col("cue"))).groupBy("module", "path").agg(F.min("line_no").alias("module_line"))
-    named = asked.where("function <> ''").select("function", F.concat(F.lit("fun "), "function").alias("cue")).distinct()
-    funs = found_cues(lines.where(F.col("line").contains("fun ")), named, "line").where(F.contains("line", F.col("cue"))).select("path", "line_no", "function")
-    wanted = asked.join(modules, "module")
+    heads = named_lines(lines, "module ", asked.where("module <> ''").select("module", F.explode(names).alias("name")).where("name IS NOT NULL").distinct())
+    modules = heads.groupBy("module", "path").agg(F.min("line_no").alias("module_line"))
+    funs = named_lines(lines, "fun ", asked.where("function <> ''").select("function", F.col("function").alias("name")).distinct()).select("path", "line_no", "function")
+    # requests and files may be few bytes on disk and yet not small enough to be sent to all tasks
+    wanted = asked.hint("merge").join(modules.hint("merge"), "module")
     alone = wanted.where("coalesce(function, '') = ''").groupBy("module", "function").agg(F.min_by(F.struct("path", F.col("module_line").alias("line_start"), F.col("module_line").alias("line_end")), "path").alias("at"))
     starts = wanted.join(funs, ["path", "function"]).where("line_no >= module_line").groupBy("module", "function", "path").agg(F.min("line_no").alias("line_start"))
     first = starts.groupBy("module", "function").agg(F.min_by(F.struct("path", "line_start"), "path").alias("at")).select("module", "function", "at.*")
     step = lambda s, x: F.struct(
-        (s["n"] + F.when(s["end"] == 0, F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))).otherwise(0)).alias("n"),
-        (s["open"] | x.contains("{")).alias("open"),
+        (s["n"] + F.when(s["end"] == 0, x["net"]).otherwise(0)).alias("n"),
+        (s["open"] | x["opens"]).alias("open"),
         (s["at"] + 1).alias("at"),
-        F.when((s["end"] == 0) & (s["open"] | x.contains("{")) & (s["n"] + F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}")) == 0), s["at"]).otherwise(s["end"]).alias("end"),
+        F.when((s["end"] == 0) & (s["open"] | x["opens"]) & (s["n"] + x["net"] == 0), s["at"]).otherwise(s["end"]).alias("end"),
     )
-    rest = F.slice(F.split("content", "\n", -1), F.col("line_start"), F.size(F.split("content", "\n", -1)))
+    braces = lambda x: F.struct((F.regexp_count(x, F.lit(r"\{")) - F.regexp_count(x, F.lit(r"\}"))).alias("net"), x.contains("{").alias("opens"))
+    texts = files.select("path", F.split("content", "\n", -1).alias("lines"))
+    rest = F.transform(F.slice("lines", F.col("line_start"), F.size("lines")), braces)
     end = F.aggregate(rest, F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.col("line_start").alias("at"), F.lit(0).alias("end")), step, lambda s: s["end"])
-    ended = first.join(files.select("path", "content"), "path").withColumn("end", end).select("module", "function", F.struct("path", "line_start", F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("line_start")).alias("line_end")).alias("at"))
+    ended = first.hint("merge").join(texts.hint("merge"), "path").withColumn("end", end).select("module", "function", F.struct("path", "line_start", F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("line_start")).alias("line_end")).alias("at"))
     found = alone.unionByName(ended).select(F.col("module").alias("__m"), F.col("function").alias("__f"), "at")
-    return requests.join(found, (F.col("module") == F.col("__m")) & F.col("function").eqNullSafe(F.col("__f")), "left").select("module", "function", "at.path", "at.line_start", "at.line_end")
+    return requests.hint("merge").join(found.hint("merge"), (F.col("module") == F.col("__m")) & F.col("function").eqNullSafe(F.col("__f")), "left").select("module", "function", "at.path", "at.line_start", "at.line_end")

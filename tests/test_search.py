@@ -72,3 +72,22 @@ def test_runs_are_taken_out_of_a_text_once(spark):
     texts = spark.createDataFrame([(i, f"text {i} of many") for i in range(50)], "doc_id long, text string").select("doc_id", seen("text").alias("text"))
     search.build_search_index(texts.where("doc_id >= 0"), tempfile.mkdtemp(prefix="spark-search-"), posting_parts=4, text_parts=4)
     assert read.value <= 4 * 50
+
+
+def test_locate_names_that_begin_alike(spark):
+    """Names are met by what follows the word, not by a run of letters that all of them share."""
+    n = 3000
+    files = spark.range(n).selectExpr("concat('f', id) AS path", "concat('use module ; module m', id, ' {\nfun swap', id % 7, '() {\n}\n}') AS content")
+    asked = spark.range(n).selectExpr("concat('m', id) AS module", "CASE id % 3 WHEN 0 THEN concat('swap', id % 7) WHEN 1 THEN 'swap' END AS function")
+    lines = [r for r in search.explode_lines(files).where("contains(line, 'module ')").collect()]
+    got = {(r.module, r.function): (r.path, r.line_start, r.line_end) for r in search.locate(files, asked).collect()}
+    assert len(got) == n
+    for i in range(0, n, 97):
+        f = {0: f"swap{i % 7}", 1: "swap"}.get(i % 3)
+        fits = [r.path for r in lines if f"module m{i}" in r.line and f in (None, "swap", f"swap{int(r.path[1:]) % 7}")]
+        assert got[f"m{i}", f] == (min(fits), 1 if f is None else 2, 1 if f is None else 3)
+    met = search.named_lines(search.explode_lines(files), "module ", asked.selectExpr("module", "module AS name"))
+    assert met.count() == sum(len({str(i)[: k + 1] for k in range(len(str(i)))}) for i in range(n))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "contains(line, name" not in plan
+    assert search.named_lines(search.explode_lines(files), "fun ", spark.createDataFrame([("", "a b")], "name string, function string").where("name = 'x'")).count() == 0
