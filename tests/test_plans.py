@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import code, context, graph, scan
+from quarry.plans import catalogue
+from quarry.plans.stand_ins import view
 
 TEXT = "module m {\n fun f() {\n  g(amount);\n }\n #[test]\n fun t() {}\n}\n"
 
@@ -70,3 +72,29 @@ def test_calls_stay_one_row_while_they_are_resolved(spark):
     got = graph.resolve_edges(spark.createDataFrame(calls, "from_id string, raw_call string, call_line int"), spark.createDataFrame(functions, "func_id string, module string, name string, seq long"))
     assert sorted(map(tuple, got.collect())) == [("0x1::m::g", "0x1::m::f", 0), ("0x1::m::g", "0x1::n::g", 6), ("0x1::m::g", "0x1::n::h", 1), ("0x1::m::g", "0x2::m::f", 1)]
     assert "Generate" not in plan(got) and "row_number" not in plan(got)
+
+
+@pytest.mark.parametrize("name", ["k6_priority_warnings", "o6_apply_exclusions", "o6_apply_exclusions_hard", "o7_language_gate"])
+def test_ids_beyond_64_bits(spark, tmp_path, name):
+    """Order keys of a table 360 times sf0.1: ids are the same numbers, as decimals; where they fit, 64-bit numbers."""
+    shift = 54_000_000
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(300)
+    lines.write.parquet(f"{tmp_path}/near/lineitem.parquet")
+    near = spark.read.parquet(f"{tmp_path}/near/lineitem.parquet")
+    near.withColumn("l_orderkey", F.col("l_orderkey") + shift).write.parquet(f"{tmp_path}/far/lineitem.parquet")
+    query = catalogue.QUERIES[name]
+    own, far = query(spark, f"{tmp_path}/near"), query(spark, f"{tmp_path}/far")
+    key = "doc_id" if "doc_id" in own.columns else "seq"
+    assert (dict(own.dtypes)[key], dict(far.dtypes)[key]) == ("bigint", "decimal(38,0)")
+    rows = lambda df, less: sorted(repr([int(r[c]) - less if c == key else r[c] for c in df.columns]) for r in df.collect())
+    assert rows(far, shift * 8 * 10**11) == rows(own, 0) != []
+
+
+def test_findings_beyond_64_bits(spark, tmp_path):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(20)
+    lines.withColumn("l_orderkey", F.col("l_orderkey") + 54_000_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = view(spark, str(tmp_path), "findings").select("seq", "finding_id").collect()
+    for r in got:
+        order, number, part, supplier = map(int, r.finding_id[1:].split("-"))
+        assert int(r.seq) == ((order * 8 + number) * 10**6 + part) * 10**5 + supplier
+    assert len(got) == 20
