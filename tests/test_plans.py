@@ -98,3 +98,17 @@ def test_findings_beyond_64_bits(spark, tmp_path):
         order, number, part, supplier = map(int, r.finding_id[1:].split("-"))
         assert int(r.seq) == ((order * 8 + number) * 10**6 + part) * 10**5 + supplier
     assert len(got) == 20
+
+
+def test_split_calls_reads_calls_once(spark):
+    """As the operator over edges and resolved calls, with every kind of match, calls that repeat, and one exchange fewer for each reading."""
+    functions = spark.createDataFrame([("0x1::a::f", "a", "f", 1), ("0x2::a::f", "a", "f", 2), ("0x1::b::g", "b", "g", 3), ("0x1::b::h", "b", "h", 4)], "func_id string, module string, name string, seq long")
+    told = [("0x1::b::g", c) for c in ("0x1::a::f", "a::f", "z::a::f", "h", "f", "q::r", "zz", "g", "0x1::b::g", "q::r", None)] + [("0x1::b::h", "h"), ("0x1::a::f", "nope"), ("0x1::a::f", "g")]
+    calls = spark.createDataFrame([(f, c, i) for i, (f, c) in enumerate(told)], "from_id string, raw_call string, call_line int")
+    got = graph.split_calls(calls, functions)
+    rows = {r.from_id: (r.internal, r.external) for r in got.collect()}
+    assert rows == {"0x1::b::g": (["0x1::a::f", "0x1::b::h", "0x2::a::f"], ["f", "q::r", "zz"]), "0x1::a::f": (["0x1::b::g"], ["nope"])}
+    resolved = spark.createDataFrame([(f, c) for f, c in told if c not in ("f", "q::r", "zz", "nope", None)], "from_id string, raw_call string")
+    old = graph.split_internal_external(calls.where("raw_call IS NOT NULL"), graph.resolve_edges(calls, functions), resolved)
+    assert {r.from_id: (r.internal, r.external) for r in old.collect()} == rows
+    assert plan(catalogue.QUERIES["j4_split_internal_external"](spark, "/root/testdata/sf0.001")).count("SortMergeJoin") <= 3
